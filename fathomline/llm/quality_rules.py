@@ -61,7 +61,7 @@ def _squeezed(text: Column) -> Column:
     return F.translate(text, WORD_BREAKS, "")
 
 
-def text_measures(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] | None = None) -> DataFrame:
+def text_measures(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] | None = None, mark: str | None = None) -> DataFrame:
     """``df`` with the counts that rules speak about, as long columns.
 
     n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, n_stop_words,
@@ -101,6 +101,8 @@ def text_measures(df: DataFrame, text: str = "text", stop_words: tuple[str, ...]
         "n_letters": F.length(F.regexp_replace("__t", r"[^\p{L}]++", "")).cast("long"),
         "n_upper": F.length(F.regexp_replace("__t", r"[^\p{Lu}]++", "")).cast("long"),
     }
+    if mark:
+        new[mark] = F.monotonically_increasing_id()
     return step.select(*[F.col(f"`{c}`") for c in names if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
@@ -109,14 +111,14 @@ def _members(stop_words: tuple[str, ...]) -> Column:
     return F.expr(f"size(filter(__w, x -> lower(rtrim('.,;:!?', x)) in ({words})))")
 
 
-def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS, mark: str | None = None) -> DataFrame:
     """``df`` with the measures of its texts, ``base_failed``, ``broken`` (names of broken rules) and ``kept``.
 
     base_failed: under 50 words, or more than half of them in repeated windows of three. kept is false
     there, and else true where no rule is broken. Null and empty texts have no words and fail. An empty
     table gives an empty one; repeated rows are judged one by one.
     """
-    out = text_measures(df, text)
+    out = text_measures(df, text, mark=mark)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     broken = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]))
     out = out.withColumn("base_failed", base).withColumn("broken", broken)
@@ -127,5 +129,5 @@ def kept_documents(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     """The rows of ``df`` that all rules keep, with the columns of ``df``."""
     names = df.columns
     flagged = df.select(*[F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("__text"))
-    good = apply_rules(flagged, "__text", rules).where("kept")
+    good = apply_rules(flagged, "__text", rules, mark="__row").where(F.col("kept") & (F.col("__row") >= 0))
     return good.select(*[F.col(f"__in_{i}").alias(c) for i, c in enumerate(names)])
