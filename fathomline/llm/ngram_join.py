@@ -167,7 +167,7 @@ def _map_side(spec: JoinSpec, bits: int) -> Callable:
             sig, who, a, b = _ties(np.concatenate(sigs) if sigs else np.zeros(0, np.uint64), np.concatenate(whos) if whos else np.zeros(0, np.int64))
             bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
             at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            ends = np.concatenate([at[1:], [len(sig)]]).astype(np.int64)
+            ends = np.append(at, len(sig))[1:]
             rows = [(int(bucket[i]), sig[i:j].tobytes(), who[i:j].tobytes(), b"", b"") for i, j in zip(at, ends, strict=True)]
             table = np.array(docs, np.int64).reshape(-1, 5).tobytes()
             anywhere = int(mix64(np.uint64(len(table) + waiting)) % np.uint64(1 << bits))
