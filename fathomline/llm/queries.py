@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import chat, knn, language_id, mixing, ngram_join, packing, quality_rules, token_files, url_filter
+from fathomline.llm import chat, knn, language_id, mixing, ngram_join, oracles, packing, quality_rules, token_files, url_filter
 
 URL_RULES = [
     url_filter.UrlRule("block", "com", "en/"),
@@ -81,4 +81,5 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others mix by pseudorandom draws, learn a model, or need a tokenizer: tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_knn": oracles.OP1, "op3_quality_rules": oracles.OP3, "op4_url_filter": oracles.op4(URL_RULES), "op7_chat": oracles.OP7, "op10_ngram_join": oracles.OP10}
