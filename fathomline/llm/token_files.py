@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fathomline.llm.shared import shared_dir, shuffle_partitions
+from fathomline.llm.shared import cut, shared_dir, shuffle_partitions
 from fathomline.llm.tokens import default_tokenizer, encoded
 
 #: Ids in a frame at most.
@@ -49,11 +49,19 @@ _SIZES = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(vocabulary, control, data) of unsigned 32-bit ids."""
-    vocab, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((vocab, -counts))
-    rank_of = np.empty(len(vocab), np.uint32)
-    rank_of[order] = np.arange(len(vocab), dtype=np.uint32)
-    ranks = rank_of[inverse]
+    if len(ids) and int(ids.max()) < 1 << 22:  # a vocabulary's ids: counting needs no sort
+        counts = np.bincount(ids)
+        vocab = np.flatnonzero(counts)
+        order = np.argsort(-counts[vocab], kind="stable")
+        rank_of = np.empty(len(counts), np.uint32)
+        rank_of[vocab[order]] = np.arange(len(vocab), dtype=np.uint32)
+        ranks = rank_of[ids]
+    else:
+        vocab, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank_of = np.empty(len(vocab), np.uint32)
+        rank_of[order] = np.arange(len(vocab), dtype=np.uint32)
+        ranks = rank_of[inverse]
     size = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = size - 1
@@ -151,7 +159,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     {"shard": np.full(k, f.shard, np.int32), "frame": np.full(k, f.frame, np.int32), "place": np.arange(k, dtype=np.int32), "goes_on": (np.arange(k) == 0) & bool(f.goes_on), "last": np.arange(k) == k - 1, "doc_id": pd.array([None if d is None or d != d else int(d) for d in f.doc_ids], "Int64"), "inner": at, "n": n, "crc": crc}
                 )
 
-    one = frames.select(*FRAMES.names).mapInPandas(parts, schema).join(places, ["shard", "frame"])
+    # Read by three branches below: decoded once, and kept (a row for each document and frame).
+    one = cut(frames.mapInPandas(parts, schema)).join(places, ["shard", "frame"])
     one = one.withColumn("start", F.col("first") + F.col("inner"))
     # What may be in several frames: the first and the last document of each. Number them by where they begin.
     edge = one.where("goes_on or last")

@@ -12,12 +12,10 @@ import sys
 from array import array
 from collections.abc import Iterator
 
-import numpy as np
-
 END_ID = 0
 _MARKS = frozenset(".,;:!?")
 #: Words that a worker remembers; on overflow it forgets all and starts again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 _loaded: dict[str, WordEncoder] = {}
 
@@ -36,6 +34,36 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next free one from 256."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Known(dict):
+    """Units and their ids; a unit that is missing is encoded when it is looked up."""
+
+    def __init__(self, lib):
+        super().__init__()
+        self.lib, self.model, self.letters = lib, lib.model, _byte_letters()
+
+    def __missing__(self, w: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        word = w[1:] if w[:1] == " " else w
+        if word.isalpha() and max(word) < "\u0250":  # one piece for the pre-tokenizer: straight to the model
+            ids = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
+        elif word[-1:] in _MARKS and word[-2:-1].isalpha() and word[-2] < "\u0250":
+            # One mark after a letter is a piece of its own: the word before it is looked up alone.
+            out = self[w] = self[w[:-1]] + self[word[-1]]
+            return out
+        else:
+            ids = self.lib.encode(w or "\n", add_special_tokens=False).ids
+        out = self[w] = _bytes(ids)
+        return out
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -47,7 +75,7 @@ class WordEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.lib)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [_bytes(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,27 +87,11 @@ class WordEncoder:
             return None
         return text.replace("\n", "\n\n").replace(" ", "\n ").split("\n")
 
-    def learn(self, new: list[str]) -> None:
-        known, stems = self.known, {}
-        for w in new:
-            # One mark after a letter is a piece of its own: the word before it is looked up alone.
-            if w[-1:] in _MARKS and w[-2:-1].isalpha() and w[-2] < "\u0250":
-                stems[w] = w[:-1]
-        alone = list({*(w for w in new if w not in stems), *stems.values(), *_MARKS} - known.keys() - {""})
-        known.update(zip(alone, self.whole(alone), strict=True))
-        known.update((w, known[s] + known[w[-1]]) for w, s in stems.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, cut, new = self.known, [self.units(t) if t else [] for t in texts], set()
-        new.update(*filter(None, cut))
-        missing = new.difference(known)
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = new
-        if "" not in known:
-            known[""] = self.whole(["\n"])[0]
-        self.learn(list(missing - {""}))
-        return [self.whole([t])[0] if u is None else b"".join(map(known.__getitem__, u)) for t, u in zip(texts, cut, strict=True)]
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        u = self.units(text)
+        return self.whole([text])[0] if u is None else b"".join(map(self.known.__getitem__, u))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -88,16 +100,8 @@ def encoder(path: str) -> WordEncoder:
     return _loaded[path]
 
 
-def encoded(path: str, texts: Iterator[str | None], chars: int = 1_000_000) -> Iterator[bytes]:
-    """The ids of each text (null: none) followed by END_ID, in the order given; about ``chars`` characters are held at a time."""
-    enc, end = encoder(path), np.array([END_ID], "<u4").tobytes()
-    held, n = [], 0
+def encoded(path: str, texts: Iterator[str | None]) -> Iterator[bytes]:
+    """The ids of each text (null: none) followed by END_ID, in the order given."""
+    encode, end = encoder(path).encode, _bytes([END_ID])
     for t in texts:
-        held.append(t or "")
-        n += len(held[-1])
-        if n >= chars or len(held) >= 4096:
-            for ids in enc.encode(held):
-                yield ids + end
-            held, n = [], 0
-    for ids in enc.encode(held):
-        yield ids + end
+        yield encode(t or "") + end
