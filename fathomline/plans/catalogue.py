@@ -1,6 +1,8 @@
-"""All queries of the analytics engine and their SQL."""
+"""All queries of the analytics engine and their SQL, over the tables of a folder."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from fathomline.plans import metrics, surface, texts
+
+QUERIES = texts.QUERIES | metrics.QUERIES | surface.QUERIES
+ORACLE_SQL = texts.ORACLE_SQL | metrics.ORACLE_SQL | surface.ORACLE_SQL
