@@ -32,7 +32,7 @@ def row_max_pivot(df: DataFrame, row: str, column: str, value: str, columns: lis
 
 
 def cooccurrence(df: DataFrame, a: str, b: str, columns: list[str]) -> DataFrame:
-    return df.where(F.col(b).isin(columns)).groupBy(a).pivot(b, columns).agg(F.count("*")).na.fill(0)
+    return df.where(F.col(b).isin(columns)).groupBy(a).pivot(b, columns).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def quartiles(df: DataFrame, by: str, value: str) -> DataFrame:

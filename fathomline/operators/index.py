@@ -29,6 +29,11 @@ class IndexWeights:
 FACTORS = ("volume", "depth", "breadth", "tone", "specificity", "forward_looking", "salience")
 
 
+def rounded(c: Column, places: int = 4) -> Column:
+    """Half up; the slack keeps sums of doubles, whose last bits depend on their order, on one side of a half."""
+    return F.round(c + 1e-9, places)
+
+
 def breadth(refs: DataFrame, keys: list[str] = KEY, codes: tuple[str, ...] = ("category_a", "category_b"), base: int = 16) -> DataFrame:
     """Shannon entropy of the codes of all dimensions, over log2 of the greater of ``base`` and their number; capped at 1."""
     one = refs.select(*keys, F.explode(F.array_compact(F.array(*codes))).alias("code")).where("code <> ''")
@@ -52,8 +57,8 @@ def factors(refs: DataFrame, pages: Column, forward: str, salient: str, keys: li
     agg = refs.groupBy(*keys).agg(
         n.alias("total_refs"),
         pages.alias("total_pages"),
-        F.round(F.coalesce(F.avg(F.when(F.col("semantic_score") > 0, F.col("semantic_score"))), F.lit(0.0)), 4).alias("depth"),
-        F.round(F.coalesce(tone, F.lit(0.5)), 4).alias("tone"),
+        rounded(F.coalesce(F.avg(F.when(F.col("semantic_score") > 0, F.col("semantic_score"))), F.lit(0.0))).alias("depth"),
+        rounded(F.coalesce(tone, F.lit(0.5))).alias("tone"),
         F.round(F.least((2 * F.count_if(F.col("strength") == "strong") + F.count_if(F.col("strength") == "medium")) / (2 * n), F.lit(1.0)), 4).alias("specificity"),
         F.round(F.count_if(F.col("text").rlike(forward)) / n, 4).alias("forward_looking"),
         F.round(F.count_if(F.col("text").rlike(salient)) / n, 4).alias("salience"),
@@ -64,7 +69,7 @@ def factors(refs: DataFrame, pages: Column, forward: str, salient: str, keys: li
 
 
 def composite(df: DataFrame, weights: IndexWeights = IndexWeights()) -> DataFrame:
-    return df.withColumn("disclosure_index", F.round(sum((F.col(f) * getattr(weights, f) for f in FACTORS), F.lit(0.0)), 4))
+    return df.withColumn("disclosure_index", rounded(sum((F.col(f) * getattr(weights, f) for f in FACTORS), F.lit(0.0))))
 
 
 def ranked(df: DataFrame, by: str = "disclosure_index", within: tuple[str, ...] = ("year",), tie: tuple[str, ...] = ("company",), name: str = "rank_in_year") -> DataFrame:
@@ -78,13 +83,13 @@ def top_of_each(df: DataFrame, n: int, by: str, within: tuple[str, ...], tie: tu
 def by_industry(df: DataFrame) -> DataFrame:
     """Means of factors and index, number of companies, extremes, population deviation, sorted names; ranked within the year."""
     out = df.groupBy("industry", "year").agg(
-        *[F.round(F.avg(f), 4).alias(f"avg_{f}") for f in FACTORS],
-        F.round(F.avg("disclosure_index"), 4).alias("industry_index"),
+        *[rounded(F.avg(f)).alias(f"avg_{f}") for f in FACTORS],
+        rounded(F.avg("disclosure_index")).alias("industry_index"),
         F.count("*").alias("num_companies"),
         F.sum("total_refs").alias("total_refs"),
         F.min("disclosure_index").alias("min_index"),
         F.max("disclosure_index").alias("max_index"),
-        F.round(F.stddev_pop("disclosure_index"), 4).alias("std_deviation"),
+        rounded(F.stddev_pop("disclosure_index")).alias("std_deviation"),
         F.array_join(F.sort_array(F.collect_list(F.col("company").cast("string"))), ", ").alias("companies_list"),
     )
     return ranked(out, "industry_index", ("year",), ("industry",), "rank_among_industries")

@@ -26,13 +26,13 @@ def query(sql: str | None = None):
 INDEX_SQL = f"""{REFS_SQL}, codes AS (SELECT company, year, unnest([category_a, category_b]) AS code FROM refs), cn AS (SELECT company, year, code, count(*) AS n FROM codes GROUP BY ALL),
 br AS (SELECT company, year, round(least(greatest(log2(sum(n)) - sum(n * log2(n)) / sum(n), 0) / log2(greatest(count(*), 16)), 1), 4) AS breadth, count(*) AS categories_used FROM cn GROUP BY ALL),
 f AS (SELECT company, year, any_value(industry) AS industry, count(*) AS total_refs, CAST(sum(pages) AS BIGINT) AS total_pages,
-  round(coalesce(avg(semantic_score) FILTER (semantic_score > 0), 0), 4) AS depth,
+  round(coalesce(avg(semantic_score) FILTER (semantic_score > 0), 0) + 1e-9, 4) AS depth,
   round(coalesce(sum(CASE sentiment WHEN 'positive' THEN 1.0 WHEN 'negative' THEN 0.0 ELSE 0.5 END * CASE WHEN sentiment_score > 0 THEN sentiment_score ELSE 0.5 END) FILTER (sentiment <> 'pending')
-    / sum(CASE WHEN sentiment_score > 0 THEN sentiment_score ELSE 0.5 END) FILTER (sentiment <> 'pending'), 0.5)::DOUBLE, 4) AS tone,
+    / sum(CASE WHEN sentiment_score > 0 THEN sentiment_score ELSE 0.5 END) FILTER (sentiment <> 'pending'), 0.5)::DOUBLE + 1e-9, 4) AS tone,
   round(least((2 * count(*) FILTER (strength = 'strong') + count(*) FILTER (strength = 'medium')) / (2 * count(*)), 1)::DOUBLE, 4) AS specificity,
   round(count(*) FILTER (regexp_matches(text, '{FORWARD}')) / count(*), 4) AS forward_looking, round(count(*) FILTER (regexp_matches(text, '{SALIENT}')) / count(*), 4) AS salience FROM refs GROUP BY company, year),
 ix AS (SELECT f.*, CASE WHEN total_pages > 0 THEN round(tanh(total_refs / total_pages), 4) ELSE 0 END AS volume, breadth, categories_used FROM f JOIN br USING (company, year)),
-cx AS (SELECT *, round(volume * 0.15::DOUBLE + depth * 0.2::DOUBLE + breadth * 0.15::DOUBLE + tone * 0.15::DOUBLE + specificity * 0.15::DOUBLE + forward_looking * 0.1::DOUBLE + salience * 0.1::DOUBLE, 4) AS disclosure_index FROM ix)"""
+cx AS (SELECT *, round(volume * 0.15::DOUBLE + depth * 0.2::DOUBLE + breadth * 0.15::DOUBLE + tone * 0.15::DOUBLE + specificity * 0.15::DOUBLE + forward_looking * 0.1::DOUBLE + salience * 0.1::DOUBLE + 1e-9, 4) AS disclosure_index FROM ix)"""
 
 
 def _index(spark, sf):
@@ -41,10 +41,10 @@ def _index(spark, sf):
     return index.composite(f), refs
 
 
-@query(f"WITH {INDEX_SQL} SELECT company, year, total_refs, categories_used, round(volume, 2) AS volume, round(depth, 2) AS depth, round(breadth, 2) AS breadth, round(tone, 2) AS tone, round(specificity, 2) AS specificity, round(forward_looking, 2) AS forward_looking, round(salience, 2) AS salience, round(disclosure_index, 2) AS disclosure_index FROM cx")
+@query(f"WITH {INDEX_SQL} SELECT company, year, total_refs, categories_used, volume, depth, breadth, tone, specificity, forward_looking, salience, disclosure_index FROM cx")
 def idx_composite(spark, sf):
     c, _ = _index(spark, sf)
-    return c.select("company", "year", "total_refs", "categories_used", *[F.round(x, 2).alias(x) for x in (*index.FACTORS, "disclosure_index")])
+    return c.select("company", "year", "total_refs", "categories_used", *index.FACTORS, "disclosure_index")
 
 
 @query(f"WITH {INDEX_SQL} SELECT company, year, breadth, categories_used FROM br")
@@ -59,15 +59,15 @@ def idx_rank_in_year(spark, sf):
 
 
 @query(
-    f"""WITH {INDEX_SQL}, g AS (SELECT industry, year, round(avg(disclosure_index), 3) AS industry_index, count(*) AS num_companies, CAST(sum(total_refs) AS BIGINT) AS total_refs, round(min(disclosure_index), 3) AS min_index,
-  round(max(disclosure_index), 3) AS max_index, round(stddev_pop(disclosure_index), 3) AS std_deviation, array_to_string(list_sort(list(CAST(company AS VARCHAR))), ', ') AS companies_list FROM cx GROUP BY ALL)
+    f"""WITH {INDEX_SQL}, g AS (SELECT industry, year, round(avg(disclosure_index) + 1e-9, 4) AS industry_index, count(*) AS num_companies, CAST(sum(total_refs) AS BIGINT) AS total_refs, min(disclosure_index) AS min_index,
+  max(disclosure_index) AS max_index, round(stddev_pop(disclosure_index) + 1e-9, 4) AS std_deviation, array_to_string(list_sort(list(CAST(company AS VARCHAR))), ', ') AS companies_list FROM cx GROUP BY ALL)
 SELECT * FROM g"""
 )
 def idx_industry_rollup(spark, sf):
     c, refs = _index(spark, sf)
     industry = refs.groupBy("company", "year").agg(F.first("industry").alias("industry"))
     g = index.by_industry(c.join(industry, ["company", "year"]))
-    return g.select("industry", "year", *[F.round(x, 3).alias(x) for x in ("industry_index", "min_index", "max_index", "std_deviation")], "num_companies", "total_refs", "companies_list")
+    return g.select("industry", "year", "industry_index", "min_index", "max_index", "std_deviation", "num_companies", "total_refs", "companies_list")
 
 
 @query(
