@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fathomline.operators import rules, windows
 
 
-def arriving(spark: SparkSession, folder: str, schema: str, files_at_once: int = 100) -> DataFrame:
+def arriving(spark: SparkSession, folder: str, schema: str | StructType, files_at_once: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
 
