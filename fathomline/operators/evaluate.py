@@ -47,11 +47,16 @@ def stratified(df: DataFrame, reason: str, key: str, size: int, seed: int) -> Da
     return ranked.where(F.col("__r") <= quota).drop("__r", "__n", "__t")
 
 
-def gold_labels(df: DataFrame, first: str, second: str) -> DataFrame:
-    """Labels of two reviewers: their agreement, or the only one that is stated; rows on which they differ go."""
-    a, b = F.nullif(F.trim(F.lower(first)), F.lit("")), F.nullif(F.trim(F.lower(second)), F.lit(""))
-    label = F.coalesce(F.when(a == b, a), F.when(a.isNull(), b), F.when(b.isNull(), a))
-    return df.withColumn("label", F.when(label.isin("fp", "1", "yes"), 1).when(label.isin("tp", "0", "no"), 0)).where("label is not null")
+def gold_labels(df: DataFrame, first: str, second: str, flag: str) -> DataFrame:
+    """Labels of two reviewers (1: a false positive; 0 where either says Positive).
+
+    A row with one review alone goes, and so does one that either finds unclear. Without any review ``flag`` decides.
+    """
+    a, b = F.trim(F.coalesce(first, F.lit(""))), F.trim(F.coalesce(second, F.lit("")))
+    unclear = a.isin("??", "?", "Borderline") | b.isin("??", "?", "Borderline")
+    reviewed = F.when((a == "") | (b == "") | (a == "None") | (b == "None") | unclear, F.lit(None)).otherwise(F.when((a == "Positive") | (b == "Positive"), 0).otherwise(1))
+    own = F.when(F.lower(F.coalesce(flag, F.lit("true"))).isin("true", "1", "yes"), 1).otherwise(0)
+    return df.withColumn("label", F.when((a == "") & (b == ""), own).otherwise(reviewed)).where("label is not null")
 
 
 def worst(df: DataFrame, label: int, predicted: int, n: int, order: list[str], label_col: str = "label", predicted_col: str = "predicted") -> DataFrame:

@@ -12,7 +12,7 @@ SILENT_YEARS = 2
 
 def granularity(product: Column, vendor: Column) -> Column:
     p, v = F.nullif(F.trim(product), F.lit("")), F.nullif(F.trim(vendor), F.lit(""))
-    return F.when(v == "Internal", "INTERNAL").when(p.isNotNull(), "SPECIFIC").when(v.isNotNull(), "VENDOR_ONLY").otherwise("CATEGORY_ONLY")
+    return F.when(p.isNotNull(), "SPECIFIC").when(v.isNotNull(), "VENDOR_ONLY").otherwise("CATEGORY_ONLY")
 
 
 def combos(refs: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -21,15 +21,21 @@ def first_filled(value: str, order: str) -> Column:
     return F.min_by(F.col(value), F.when(F.col(value) != "", F.col(order)))
 
 
+def latest_filled(value: str, order: str) -> Column:
+    """The last value that is neither null nor empty."""
+    return F.max_by(F.col(value), F.when(F.col(value) != "", F.col(order)))
+
+
 def merged_references(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row for each key: occurrences, latest scores, latest known strength, highest confidence, first filled codes."""
+    """One row for each key: occurrences, latest scores, latest known strength, highest confidences, first filled codes, latest filled reasons and dimensions."""
     return df.groupBy(*keys).agg(
         F.count("*").alias("occurrence_count"),
         latest("sentiment_score", order).alias("sentiment_score"),
         latest("semantic_score", order).alias("semantic_score"),
         F.min_by("sentiment", order).alias("sentiment"),
         latest_known("strength", order).alias("strength"),
-        F.max("confidence").alias("confidence"),
+        *[F.max(c).alias(c) for c in ("confidence", "confidence_a", "confidence_b")],
+        *[latest_filled(c, order).alias(c) for c in ("reasons", "dimensions")],
         first_filled("category_a", order).alias("category_a"),
         first_filled("category_b", order).alias("category_b"),
     )

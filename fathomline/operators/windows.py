@@ -10,7 +10,8 @@ from fathomline.functions import text as tx
 
 WINDOW, OVERLAP = 500, 100
 MIN_PAGE, MIN_WINDOW = 100, 30
-#: Reversed words that show a mirrored page, and how many of them do.
+# Reversed words that show a mirrored page, and how many of them do.
+MIRRORED = ("noitcurtsnoC", "noillim", "sraey", "gnireenignE", "dnoB", "etaroproC", "tnempoleveD", "noitazinagrO")
 MIRROR_HITS = 2
 SCANNED_CHARS = 50
 
@@ -34,11 +35,14 @@ def mirror_hits(c: Column, markers: list[str]) -> Column:
     return sum((F.contains(c, F.lit(m)).cast("int") for m in markers), F.lit(0))
 
 
-def blank_mirrored(df: DataFrame, keys: list[str], markers: list[str], text: str = "page_text") -> DataFrame:
-    """Pages with MIRROR_HITS markers are blanked in documents that have as many at all."""
-    every = F.sum("__hits").over(Window.partitionBy(*keys))
-    out = df.withColumn("__hits", mirror_hits(F.col(text), markers)).withColumn("__all", every)
-    return out.withColumn(text, F.when((F.col("__all") >= MIRROR_HITS) & (F.col("__hits") >= MIRROR_HITS), F.lit("")).otherwise(F.col(text))).drop("__hits", "__all")
+def blank_mirrored(df: DataFrame, markers: list[str], text: str = "page_text") -> DataFrame:
+    """Pages with MIRROR_HITS markers are blanked. (A document that has such a page has as many markers itself.)"""
+    return df.withColumn(text, F.when(mirror_hits(F.col(text), markers) >= MIRROR_HITS, F.lit("")).otherwise(F.col(text)))
+
+
+def mirror_status(df: DataFrame, keys: list[str], text: str = "page_text") -> DataFrame:
+    """The status of documents after blanking: mirrored_all_stripped where no page has text left."""
+    return df.groupBy(*keys).agg(F.when(F.max(F.length(F.trim(text))) > 0, "valid").otherwise("mirrored_all_stripped").alias("text_status"))
 
 
 def char_windows(df: DataFrame, text: str = "text", size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:

@@ -196,7 +196,7 @@ def traj_pair(spark, sf):
     return trajectory.pair_trajectory(trajectory.year_pairs(links, a, b))
 
 
-TPDI_SQL = f"""{MEM_SQL}, rows_ AS (SELECT company, product, category_b, unnest(range(first_seen_year, least(last_confirmed_year, coalesce(discontinued_year - 1, last_confirmed_year)) + 1)) AS year FROM pb),
+DIFFUSION_SQL = f"""{MEM_SQL}, rows_ AS (SELECT company, product, category_b, unnest(range(first_seen_year, least(last_confirmed_year, coalesce(discontinued_year - 1, last_confirmed_year)) + 1)) AS year FROM pb),
 ad AS (SELECT company, product, min(year) AS fy, max(year) AS ly, arg_min(category_b, (year, category_b)) AS category_b FROM rows_ GROUP BY company, product),
 used AS (SELECT company, product, category_b, CAST(y AS INTEGER) AS year, y - fy >= 5 AS mature FROM (SELECT *, unnest(range(fy, (SELECT max(year) FROM refs) + 1)) AS y FROM ad))"""
 
@@ -208,8 +208,8 @@ def _used(spark, sf):
     return diffusion.adopters(diffusion.adoptions(rows).crossJoin(F.broadcast(last)), F.col("top"))
 
 
-@query(f"WITH {TPDI_SQL} SELECT product, year, count(*) AS n FROM rows_ GROUP BY ALL")
-def tpdi_expand(spark, sf):
+@query(f"WITH {DIFFUSION_SQL} SELECT product, year, count(*) AS n FROM rows_ GROUP BY ALL")
+def diffusion_expand(spark, sf):
     return diffusion.yearly(st.portfolio_b(references(spark, sf))).groupBy("product", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"))
 
 
@@ -217,30 +217,30 @@ def _scores_sql(unit: str) -> str:
     return f"(SELECT {unit}, year, count(DISTINCT company) AS adopter_count, count(DISTINCT company) FILTER (mature) AS mature_count, count(DISTINCT company) + 2 * count(DISTINCT company) FILTER (mature) AS points FROM used GROUP BY ALL)"
 
 
-@query(f"WITH {TPDI_SQL} SELECT * FROM {_scores_sql('product')}")
-def tpdi_score(spark, sf):
+@query(f"WITH {DIFFUSION_SQL} SELECT * FROM {_scores_sql('product')}")
+def diffusion_score(spark, sf):
     return diffusion.scores(_used(spark, sf), "product")
 
 
-@query(f"WITH {TPDI_SQL} SELECT * FROM {_scores_sql('category_b')}")
-def tpdi_category(spark, sf):
+@query(f"WITH {DIFFUSION_SQL} SELECT * FROM {_scores_sql('category_b')}")
+def diffusion_category(spark, sf):
     return diffusion.scores(_used(spark, sf), "category_b")
 
 
 YEARS = list(range(1995, 2002))
 
 
-@query(f"""WITH {TPDI_SQL}, s AS {_scores_sql("product")} SELECT product, {", ".join(f'coalesce(sum(points) FILTER (year = {y}), 0)::BIGINT AS "{y}"' for y in YEARS)} FROM s GROUP BY product""")
-def tpdi_matrix(spark, sf):
+@query(f"""WITH {DIFFUSION_SQL}, s AS {_scores_sql("product")} SELECT product, {", ".join(f'coalesce(sum(points) FILTER (year = {y}), 0)::BIGINT AS "{y}"' for y in YEARS)} FROM s GROUP BY product""")
+def diffusion_matrix(spark, sf):
     return diffusion.matrix(diffusion.scores(_used(spark, sf), "product"), "product", YEARS)
 
 
 @query(
-    f"""WITH {TPDI_SQL}, s AS {_scores_sql("product")}, n AS (SELECT count(DISTINCT company) AS n FROM ad), c AS (
+    f"""WITH {DIFFUSION_SQL}, s AS {_scores_sql("product")}, n AS (SELECT count(DISTINCT company) AS n FROM ad), c AS (
   SELECT product, arg_max(adopter_count, year) AS adopters_latest, arg_max(points, year) AS points_latest, round(least(arg_max(points, year) / (any_value(n.n) * 3), 1), 6) AS score, round(max(adopter_count) / any_value(n.n), 6) AS max_penetration FROM s CROSS JOIN n GROUP BY product)
 SELECT *, CASE WHEN max_penetration < 0.05 THEN 'emerging' WHEN max_penetration >= 0.5 OR score >= 0.6 THEN 'mature' WHEN max_penetration >= 0.2 OR score >= 0.3 THEN 'growth' ELSE 'declining' END AS stage FROM c WHERE adopters_latest >= 3"""
 )
-def tpdi_curve(spark, sf):
+def diffusion_curve(spark, sf):
     used = _used(spark, sf)
     n = used.agg(F.count_distinct("company").alias("companies"))
     s = diffusion.scores(used, "product").crossJoin(F.broadcast(n))

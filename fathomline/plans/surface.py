@@ -96,11 +96,12 @@ def join_cache(spark, sf):
 
 @query(
     """SELECT user_id, event_type, count(*) AS occurrence_count, arg_max(value, event_id) AS sentiment_score, arg_max(value, event_id) AS semantic_score, arg_min(props, event_id) AS sentiment,
-  arg_max(CASE WHEN event_id % 3 = 0 THEN props END, CASE WHEN event_id % 3 = 0 THEN event_id END) AS strength, max(value) AS confidence,
+  arg_max(CASE WHEN event_id % 3 = 0 THEN props END, CASE WHEN event_id % 3 = 0 THEN event_id END) AS strength, max(value) AS confidence, max(value + 1) AS confidence_a, max(value + 2) AS confidence_b,
+  arg_max(CASE WHEN value > 20 THEN props ELSE '' END, CASE WHEN value > 20 THEN event_id END) AS reasons, arg_max(props, event_id) AS dimensions,
   arg_min(CASE WHEN value > 10 THEN props ELSE '' END, CASE WHEN value > 10 THEN event_id END) AS category_a, arg_min(event_type, event_id) AS category_b FROM events GROUP BY user_id, event_type"""
 )
 def store_upsert_merge(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("value").alias("sentiment_score"), F.col("value").alias("semantic_score"), F.col("props").alias("sentiment"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("strength"), F.col("value").alias("confidence"), F.when(F.col("value") > 10, F.col("props")).otherwise("").alias("category_a"), F.col("event_type").alias("category_b"))
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("value").alias("sentiment_score"), F.col("value").alias("semantic_score"), F.col("props").alias("sentiment"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("strength"), F.col("value").alias("confidence"), (F.col("value") + 1).alias("confidence_a"), (F.col("value") + 2).alias("confidence_b"), F.when(F.col("value") > 20, F.col("props")).otherwise("").alias("reasons"), F.col("props").alias("dimensions"), F.when(F.col("value") > 10, F.col("props")).otherwise("").alias("category_a"), F.col("event_type").alias("category_b"))
     return store.merged_references(e, ["user_id", "event_type"], "event_id")
 
 
@@ -253,11 +254,14 @@ def eval_misses(spark, sf):
 
 
 @query(
-    "WITH x AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'fp' WHEN 'view' THEN 'tp' ELSE '' END AS a, CASE event_id % 3 WHEN 0 THEN 'FP' WHEN 1 THEN 'tp' END AS b FROM events), y AS (SELECT event_id, nullif(lower(trim(a)), '') AS a, nullif(lower(trim(b)), '') AS b FROM x), z AS (SELECT event_id, CASE WHEN a = b THEN a WHEN a IS NULL THEN b WHEN b IS NULL THEN a END AS l FROM y) SELECT event_id, CASE l WHEN 'fp' THEN 1 ELSE 0 END AS label FROM z WHERE l IS NOT NULL"
+    """WITH x AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'Positive' WHEN 'view' THEN 'Negative' WHEN 'error' THEN '??' ELSE '' END AS a, CASE event_id % 4 WHEN 0 THEN 'Negative' WHEN 1 THEN 'Positive' ELSE '' END AS b FROM events)
+SELECT event_id, CASE WHEN a = '' AND b = '' THEN CAST(event_id % 7 = 0 AS INTEGER) WHEN a = 'Positive' OR b = 'Positive' THEN 0 ELSE 1 END AS label FROM x WHERE (a = '' AND b = '') OR (a <> '' AND b <> '' AND a <> '??')"""
 )
 def eval_gold_labels(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "click", "fp").when(F.col("event_type") == "view", "tp").otherwise("").alias("a"), F.when(F.col("event_id") % 3 == 0, "FP").when(F.col("event_id") % 3 == 1, "tp").alias("b"))
-    return evaluate.gold_labels(e, "a", "b").select("event_id", "label")
+    k = F.col("event_id")
+    a = F.when(F.col("event_type") == "click", "Positive").when(F.col("event_type") == "view", "Negative").when(F.col("event_type") == "error", "??").otherwise("")
+    e = table(spark, sf, "events").select("event_id", a.alias("a"), F.when(k % 4 == 0, "Negative").when(k % 4 == 1, "Positive").otherwise("").alias("b"), (k % 7 == 0).cast("string").alias("f"))
+    return evaluate.gold_labels(e, "a", "b", "f").select("event_id", "label")
 
 
 # Products and translation --------------------------------------------------------------------------------
@@ -328,7 +332,7 @@ FILES = ["257. Edeka Zentrale - 2024 - annual report.pdf", "265. Tsingshan Holdi
 
 
 @query(
-    """SELECT * FROM (VALUES ('Edeka Zentrale', 2024, 'Annual Report', 257), ('Tsingshan Holding Group - Rept Battero', 2024, 'Sustainability', 265), ('Walmart', 2023, 'Proxy', 1), ('Microsoft', 2022, 'Annual Report', 0)) v(company, year, doc_type, position)"""
+    """SELECT * FROM (VALUES ('Edeka Zentrale', 2024, 'Annual Report', 257), ('Tsingshan Holding Group', 2024, 'Sustainability', 265), ('Walmart', 2023, 'Proxy', 1), ('Microsoft', 2022, 'Annual Report', 0)) v(company, year, doc_type, position)"""
 )
 def src_filename_meta(spark, sf):
     f = spark.createDataFrame([(x,) for x in FILES], "name string")

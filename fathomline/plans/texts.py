@@ -173,7 +173,7 @@ SELECT doc_id, count(*) AS pages, count(*) FILTER (s >= 2 AND h >= 2) AS blanked
 )
 def txt_mirrored(spark, sf):
     p = windows.pages(table(spark, sf, "documents").select("doc_id", "text")).where("page_text <> ''")
-    return windows.blank_mirrored(p, ["doc_id"], MIRROR).groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.col("page_text") == "").alias("blanked"))
+    return windows.blank_mirrored(p, MIRROR).groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.col("page_text") == "").alias("blanked"))
 
 
 @query(

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds of documents by words in file names, in this order.
-DOC_TYPES = (("annual report", "Annual Report"), ("annual", "Annual Report"), ("sustainability", "Sustainability"), ("esg", "Sustainability"), ("proxy", "Proxy"), ("10-k", "10-K"), ("10k", "10-K"))
+DOC_TYPES = (
+    ("annual", "Annual Report"), ("sustainability", "Sustainability"), ("proxy", "Proxy"), ("quarterly", "Quarterly Report"), ("10k", "Annual Report"),
+    ("10q", "Quarterly Report"), ("def14a", "Proxy"), ("esg", "Sustainability"), ("csr", "Sustainability"),
+)
 
 
 def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
@@ -71,18 +74,17 @@ def columns_of_words(words: pd.DataFrame, width: float, gap: float = 0.03, line:
 
 
 def file_facts(name: Column) -> dict[str, Column]:
-    """company, year, doc_type and position from a file name like ``12. Name - 2024 - annual report.pdf``."""
+    """company, year (0: none), doc_type and position from a file name like ``12. Name - 2024 - annual report.pdf``."""
     stem = F.regexp_replace(name, r"(?i)\.pdf$", "")
     position = F.coalesce(F.regexp_extract(stem, r"^(\d{1,3})\.", 1).try_cast("int"), F.lit(0))
     rest = F.regexp_replace(stem, r"^\d{1,3}\.\s*", "")
     parts = F.split(rest, r"\s+-\s+")
     years = F.filter(parts, lambda p: p.rlike(r"^\s*20(1[5-9]|2[0-5])\s*$"))
-    year = F.coalesce(F.trim(F.get(years, F.lit(0))).try_cast("int"), F.regexp_extract(rest, r"(20(?:1[5-9]|2[0-5]))", 1).try_cast("int"))
+    year = F.coalesce(F.trim(F.get(years, F.lit(0))).try_cast("int"), F.regexp_extract(rest, r"(20(?:1[5-9]|2[0-5]))", 1).try_cast("int"), F.lit(0))
     kind = F.lit("Annual Report")
     for word, value in reversed(DOC_TYPES):
         kind = F.when(F.contains(F.lower(rest), F.lit(word)), value).otherwise(kind)
-    names = F.filter(parts, lambda p: ~p.rlike(r"^\s*20(1[5-9]|2[0-5])\s*$"))
-    company = F.when(F.size(names) > 1, F.array_join(F.slice(names, F.lit(1), F.size(names) - 1), " - ")).otherwise(F.get(names, F.lit(0)))
+    company = F.trim(F.regexp_replace(F.get(parts, F.lit(0)), r"^\d+\.\s*", ""))
     return {"company": company, "year": year, "doc_type": kind, "position": position}
 
 

@@ -136,7 +136,7 @@ def test_memory_over_years(spark):
     p = {x["category_b"]: (x["first_seen_year"], x["last_confirmed_year"], x["status"], x["discontinued_year"]) for x in memory.portfolio(r, ["category_b", "product"], years).collect()}
     assert p == {"B4": (2022, 2023, "DISCONTINUED", 2025), "B7": (2022, 2022, "DISCONTINUED", 2025), "B8": (2022, 2022, "DISCONTINUED", 2025)}
     assert memory.links(r).where("category_b = 'B4'").first()["years"] == [2022, 2023]
-    assert one(spark, memory.granularity(F.col("p"), F.col("v")), p="", v="Internal") == "INTERNAL"
+    assert one(spark, memory.granularity(F.col("p"), F.col("v")), p="", v="Acme") == "VENDOR_ONLY"
 
 
 def test_event_trajectory_of_one_company(spark):
