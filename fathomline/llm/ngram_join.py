@@ -107,7 +107,13 @@ def max_difference(total: int, percent: int) -> int:
 
 
 def part_hashes(s: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of which two sets share one at least if they can be linked and are not equal."""
+    """Hashes of which two sets share one at least if they can be linked and are not equal.
+
+    For a pair of size classes a set is dealt into more parts than two linked sets may differ in, and some to
+    spare. Of a set with no more empty parts than there are to spare, one part that holds something is
+    untouched by the differences, whatever the other set is. A set with more of them adds the prefix that any
+    two linked sets share a shingle of; if both sets of a pair do, they meet there.
+    """
     n, out = len(s), []
     if not n:
         return np.zeros(0, np.uint64)
@@ -115,21 +121,37 @@ def part_hashes(s: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
     spread = mix64(s ^ _ODD[2])
     with np.errstate(over="ignore"):
         for g in (c, c + 1):
-            k = max_difference(2 * int(bounds[g + 1] - 1), percent) + 1
-            if k == 1:
+            differ = max_difference(2 * int(bounds[g + 1] - 1), percent)
+            if not differ:
                 continue
-            part = (s >> np.uint64(11)) % np.uint64(k)
+            spare = 2 + differ // 16
+            k = differ + 1 + spare
+            part = ((s >> np.uint64(11)) % np.uint64(k)).astype(np.int64)
             sums, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
-            np.add.at(sums, part.astype(np.int64), spread)
-            filled[part.astype(np.int64)] = True
+            np.add.at(sums, part, spread)
+            filled[part] = True
             name = mix64(np.arange(k, dtype=np.uint64) * _ODD[3] + np.uint64(g))
             out.append(mix64(sums[filled] + name[filled]))
-            if not filled.all():
+            if k - int(filled.sum()) > spare:
                 prefix = s[: n - -(-percent * n // 100) + 1]
-                out.append(mix64((prefix[None, :] + mix64(name[~filled] ^ _ODD[4])[:, None]).ravel()))
+                out.append(mix64(prefix + mix64(np.uint64(g) ^ _ODD[4])))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+#: Classes go by 40 bits of their key where places of possible links are looked for, and hashes of parts by 32 bits
+#: besides their bucket's: an accidental meeting only makes a place larger.
+_WHO = (1 << 40) - 1
+
+
+def _packed(who: np.ndarray) -> bytes:
+    return (who & 0xFFFFFFFF).astype("<u4").tobytes() + (who >> 32).astype(np.uint8).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, "<u4", n).astype(np.int64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64) << 32
+
+
 def _ties(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, least member of each, tie a, tie b): rows that share a hash are tied to the least of them."""
     order = np.lexsort((who, sig))
@@ -168,7 +190,8 @@ def _map_side(spec: JoinSpec, bits: int) -> Callable:
             bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
             at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
             ends = np.append(at, len(sig))[1:]
-            rows = [(int(bucket[i]), sig[i:j].tobytes(), who[i:j].tobytes(), b"", b"") for i, j in zip(at, ends, strict=True)]
+            low = (sig >> np.uint64(32 - bits)).astype("<u4")
+            rows = [(int(bucket[i]), low[i:j].tobytes(), _packed(who[i:j]), b"", b"") for i, j in zip(at, ends, strict=True)]
             table = np.array(docs, np.int64).reshape(-1, 5).tobytes()
             anywhere = int(mix64(np.uint64(len(table) + waiting)) % np.uint64(1 << bits))
             rows.append((anywhere, b"", b"", np.stack([a, b], 1).astype(np.int64).tobytes(), table))
@@ -185,7 +208,7 @@ def _map_side(spec: JoinSpec, bits: int) -> Callable:
                     h = part_hashes(s, bounds, spec.percent)
                     if len(h):
                         sigs.append(h)
-                        whos.append(np.full(len(h), a, np.int64))
+                        whos.append(np.full(len(h), a & _WHO, np.int64))
                         waiting += len(h)
                 if waiting >= 1_000_000 or len(docs) >= 50_000:
                     yield flush()
@@ -206,7 +229,7 @@ def _reduce_side(batches):
     now, sig, who = None, [], []
 
     def close():
-        _, _, a, b = _ties(np.frombuffer(b"".join(sig), np.uint64), np.frombuffer(b"".join(who), np.int64))
+        _, _, a, b = _ties(np.frombuffer(b"".join(sig), "<u4"), np.concatenate([_unpacked(w) for w in who]))
         return rows(1, a, b)
 
     for pdf in batches:
@@ -341,7 +364,7 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     classes = sized.where("n_shingles > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"))
     classes = classes.withColumn("cid", _cid("ka", "kb"))
     places = connected_components(base.where("kind = 1").select("a", "b"))
-    found = cut(classes.join(places, F.col("ka") == F.col("node")).select("ka", "kb", "cid", "rep", "size", "root"))
+    found = cut(classes.join(places, F.col("ka").bitwiseAND(F.lit(_WHO)) == F.col("node")).select("ka", "kb", "cid", "rep", "size", "root"))
     widths = found.groupBy("root").agg(F.sum("size").alias("width")).withColumn("blocks", F.ceil(F.col("width") / spec.block_shingles).cast("int"))
     found = found.join(widths.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
 

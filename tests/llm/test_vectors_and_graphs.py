@@ -151,13 +151,23 @@ def test_ngram_join_keeps_one_of_each(spark):
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
 
 
-def test_part_hashes_meet_whenever_sets_can_be_linked():
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_part_hashes_meet_whenever_sets_can_be_linked(percent):
     rng = np.random.default_rng(5)
-    bounds = ngram_join.size_bounds(90)
-    for _ in range(300):
-        n = int(rng.integers(1, 120))
+    bounds = ngram_join.size_bounds(percent)
+    met = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 160))
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        b = np.unique(np.concatenate([a[int(rng.integers(0, 4)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 4)), dtype=np.uint64)]))
+        drop = int(rng.integers(0, max(1, n // 4)))
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 4))), dtype=np.uint64)]))
         o = len(np.intersect1d(a, b))
-        if len(b) and 100 * o >= 90 * (len(a) + len(b) - o) and o < max(len(a), len(b)):
-            assert len(np.intersect1d(ngram_join.part_hashes(a, bounds, 90), ngram_join.part_hashes(b, bounds, 90)))
+        if len(b) and 100 * o >= percent * (len(a) + len(b) - o) and o < max(len(a), len(b)):
+            met += 1
+            assert len(np.intersect1d(ngram_join.part_hashes(a, bounds, percent), ngram_join.part_hashes(b, bounds, percent)))
+    assert met > 50
+
+
+def test_packed_classes():
+    who = np.array([0, 1, (1 << 40) - 1, 1 << 33], np.int64)
+    assert (ngram_join._unpacked(ngram_join._packed(who)) == who).all()
