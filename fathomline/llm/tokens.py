@@ -15,7 +15,7 @@ from collections.abc import Iterator
 END_ID = 0
 _MARKS = frozenset(".,;:!?")
 #: Words that a worker remembers; on overflow it forgets all and starts again.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 
 _loaded: dict[str, WordEncoder] = {}
 
