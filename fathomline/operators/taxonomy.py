@@ -128,3 +128,20 @@ def from_sheets(name: str, categories: list[dict], keywords: list[dict], pattern
         fps.setdefault(row["fp_category"], []).append(row["pattern"])
     meta = meta or {}
     return Taxonomy(meta.get("taxonomy_name") or name, tuple((d, tuple(c)) for d, c in dims.items()), str(meta.get("version") or "1"), tuple((g, tuple(p)) for g, p in fps.items()), weights=Weights(0.7, (0.8, 0.6, 0.4)), lower_case=False)
+
+
+def read_sheets(folder: str) -> Taxonomy:
+    """A taxonomy from CSV files named after their sheets; header names are stripped and lower-cased, empty rows left out."""
+    import csv
+    import os
+
+    def rows(name: str) -> list[dict]:
+        path = os.path.join(folder, f"{name}.csv")
+        if not os.path.exists(path):
+            return []
+        with open(path, newline="", encoding="utf-8-sig") as f:
+            found = [{(k or "").strip().lower(): (v or "").strip() for k, v in r.items()} for r in csv.DictReader(f)]
+        return [r for r in found if any(r.values())]
+
+    meta = rows("Taxonomy_Meta")
+    return from_sheets(os.path.basename(folder.rstrip("/")), rows("Categories"), rows("Keywords"), rows("Patterns"), rows("FP_Patterns"), meta[0] if meta else None)

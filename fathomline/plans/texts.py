@@ -321,3 +321,27 @@ def dedup_clusters(spark, sf):
 def dedup_cosine(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("confidence", (F.col("vec_id") % 10).cast("double"))
     return dedup.greedy_cosine(e, ["label"], "vec_id", "embedding", "confidence", 0.5)
+
+
+def _pages(spark, sf):
+    return windows.pages(table(spark, sf, "documents").select("doc_id", "source", "text"))
+
+
+@query()
+def detect_references(spark, sf):
+    import dataclasses
+
+    from fathomline.operators import references
+
+    t = dataclasses.replace(SAMPLE, hard_triggers="license", soft_triggers=r"\b(los|der|les)\b", anchors=("the license of the", "und der die"), false_positives=FALSE_POSITIVES[:2])
+    refs = references.detect(_pages(spark, sf), t, ["doc_id"])
+    return references.with_sentiment(references.deduplicated(refs, ["doc_id"]), governance="(?i)license")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id) SELECT doc_id, 'en' AS language FROM n"""
+)
+def txt_document_language(spark, sf):
+    from fathomline.operators import references
+
+    return references.document_language(_pages(spark, sf), ["doc_id"])

@@ -64,3 +64,35 @@ def write_years(df: DataFrame, path: str, keys: tuple[str, ...] = ("year",)) ->
 
 def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
+
+
+def write_evaluation(report: DataFrame, predictions: DataFrame, folder: str) -> None:
+    write_json(report, f"{folder}/report.json")
+    write_csv(predictions, f"{folder}/predictions.csv")
+
+
+def append_audit(rows: DataFrame, path: str, dry_run: bool = False) -> None:
+    """Appends translation records; nothing on a dry run."""
+    if not dry_run:
+        rows.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def taxonomy_template(folder: str) -> list[str]:
+    """Empty sheets of a taxonomy, as CSV files with a row of examples each."""
+    import csv
+    import os
+
+    sheets = {
+        "Categories": (["dimension", "code", "name", "description"], ["A", "A1", "Example", "What it covers"]),
+        "Keywords": (["code", "keyword", "tier"], ["A1", "example word", "1"]),
+        "Patterns": (["code", "pattern"], ["A1", r"\bexample\b"]),
+        "FP_Patterns": (["fp_category", "pattern"], ["not_meant", r"\bfor example\b"]),
+        "Taxonomy_Meta": (["taxonomy_name", "display_name", "version", "description"], ["example", "Example", "1.0", ""]),
+    }
+    out = []
+    for name, (header, row) in sheets.items():
+        path = os.path.join(folder, f"{name}.csv")
+        with open(path, "w", newline="", encoding="utf-8") as f:
+            csv.writer(f).writerows([header, row])
+        out.append(path)
+    return out

@@ -247,3 +247,46 @@ def test_evaluation_guards_empty_ratios(spark):
 def test_coverage_has_totals(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "r string, c string")
     assert sorted(map(tuple, charts.coverage(df, "r", "c", ["x", "y"]).collect()), key=str) == [("a", 1, 0), ("b", 0, 1), (None, 1, 1)]
+
+
+def test_detection_of_a_small_document(spark):
+    import dataclasses
+
+    from fathomline.operators import references
+    from fathomline.operators.taxonomy import COOCCUR, Code, Taxonomy
+
+    t = Taxonomy("t", (("A", (Code("A1", patterns=("fraud detection",)), Code("D1", patterns=("supplier portal",), gate=COOCCUR))), ("B", (Code("B4", keywords=(("chatgpt", 1),), patterns=("chatgpt",)),))), false_positives=(("art", ("claude monet",)),), hard_triggers=r"\b(ChatGPT|AI)\b", soft_triggers=r"\b(model|portal)\b", actors=("supplier",))
+    pad = " We report on the year as a whole and on what we did in all our markets."
+    pages = spark.createDataFrame([(1, 1, "We deployed ChatGPT for customer support." + pad * 2), (1, 2, "Claude Monet used an AI portal." + pad * 2), (1, 3, "Our fraud detection runs on AI." + pad * 2), (1, 4, "short AI"), (2, 1, "Nothing to see here." + pad * 3), (3, 1, "A supplier portal went live for AI."  + pad * 2)], "doc_id int, page int, page_text string")
+    refs = references.with_sentiment(references.deduplicated(references.detect(pages, t, ["doc_id"]), ["doc_id"]))
+    got = sorted((r["doc_id"], r["page"], r["text"], r["category"], r["method"], r["sentiment"]) for r in refs.collect())
+    assert got == [(1, 1, "ChatGPT", "B4", "pattern_hard", "neutral"), (1, 3, "AI", "A1", "pattern_hard", "neutral"), (3, 1, "AI", "D1", "pattern_hard", "neutral")]
+    r = refs.where("page = 1 and doc_id = 1").first()
+    assert ">>>ChatGPT<<<" in r["context"] and json.loads(r["dimensions"]) == {"B": ["B4", "0.9"]}
+    both = references.for_taxonomies(pages, [t, dataclasses.replace(t, name="u", anchors=("ChatGPT for customer support",))], ["doc_id"])
+    assert {r["taxonomy"] for r in both.collect()} == {"t", "u"}
+
+
+def test_document_language_takes_spaced_pages(spark):
+    from fathomline.operators import references
+
+    ja = "私たちは人工知能を導入しました。" * 3
+    pages = spark.createDataFrame([(1, i, ja if i in (1, 3) else "plain words of a report page") for i in range(1, 12)] + [(2, 1, ja)], "doc_id int, page int, page_text string")
+    assert {r["doc_id"]: r["language"] for r in references.document_language(pages, ["doc_id"]).collect()} == {1: "en", 2: "ja"}
+
+
+def test_priority_terms(spark):
+    from fathomline.operators import references
+
+    r = one(spark, references.first_priority_term(F.col("t"), (r"\bgenerative ai\b", r"\bai\b")), t="Our AI and Generative AI")
+    assert (r["term"], r["marked"]) == ("Generative AI", "Our AI and >>>Generative AI<<<")
+
+
+def test_taxonomy_sheets_and_command_line(spark, tmp_path, capsys):
+    from fathomline.__main__ import main
+
+    assert main(["template", str(tmp_path)]) == 0
+    t = taxonomy.read_sheets(str(tmp_path))
+    assert t.name == "example" and t.codes()["A1"].patterns == (r"\bexample\b",) and not t.lower_case
+    assert main(["queries"]) == 0
+    assert "flagship_volume_rank" in capsys.readouterr().out
