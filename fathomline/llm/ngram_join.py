@@ -1,15 +1,16 @@
 """Exact n-gram Jaccard join: T-occurrence search over inverted lists.
 
 A document is the set of its distinct word shingles. Documents are linked when 100 * intersection >= percent *
-union. Three steps keep all work linear in the input and every task bounded:
+union. All steps are linear in the input, and every task is bounded:
 
 1. Equal sets are one class; one of its documents stands for it.
-2. Sets that can be linked differ in few shingles. A set is dealt into more parts than it may differ in, so two
-   linked sets agree on a part as a whole: sets that share the hash of a part are tied, and connected
-   components over these ties are the only places where links can be. (An empty part says nothing; there the
-   shingles of the usual prefix filter take its place.) No pair within a group is written out: a group of n
-   sets gives n - 1 ties.
-3. Each component is searched by itself, in blocks of bounded size: inverted lists over its sets, for each
+2. A set can be linked only if enough of its shingles occur in other sets too. One pass over all shingles counts,
+   in slots, which do (a shared slot may count too much, never too little); most documents end here.
+3. Of the rest, two linked sets share a shingle among the first few of each, whatever order shingles have. The
+   order puts frequent ones last (a bounded table holds the most frequent), so that a passage which many documents
+   quote ties none of them. Sets that share such a first shingle are tied, a group of n by n - 1 ties, and
+   connected components over ties are the only places where links can be. No pair within a group is written out.
+4. Each component is searched by itself, in blocks of bounded size: inverted lists over its sets, for each
    query set the short lists merged and the long ones probed by binary search (DivideSkip), and sets that
    reach the overlap which the threshold requires are linked. Sets already connected need no second link.
 """
@@ -37,13 +38,15 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 @dataclass(frozen=True)
 class JoinSpec:
     """words: of a shingle; percent: of the union that linked sets share; block_shingles: shingles in a block at most (about,
-    a block holds one set at least); chunk_bytes: of text that are shingled at a time; skip: DivideSkip's tuning constant."""
+    a block holds one set at least); chunk_bytes: of text that are shingled at a time; skip: DivideSkip's tuning constant;
+    frequent: shingles whose frequency is known, at most (the order of others is that of their hashes)."""
 
     words: int = 3
     percent: int = 90
     block_shingles: int = 1_500_000
-    chunk_bytes: int = 1_000_000
+    chunk_bytes: int = 600_000
     skip: float = 0.005
+    frequent: int = 200_000
 
 
 def _inverse_odd(r: int) -> int:
@@ -93,49 +96,9 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in pair)
 
 
-def size_bounds(percent: int, top: int = 1 << 40) -> np.ndarray:
-    """Lower bounds of size classes such that sizes of linked sets are in the same or in neighbouring classes."""
-    out = [1]
-    while out[-1] < top:
-        out.append(max(out[-1] + 1, -(-out[-1] * 100 // percent)))
-    return np.array(out, np.int64)
-
-
-def max_difference(total: int, percent: int) -> int:
-    """How many shingles two linked sets with ``total`` shingles together may not share, at most: from 100 o >= percent (total - o)."""
-    return total * (100 - percent) // (100 + percent)
-
-
-def part_hashes(s: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of which two sets share one at least if they can be linked and are not equal.
-
-    For a pair of size classes a set is dealt into more parts than two linked sets may differ in, and some to
-    spare. Of a set with no more empty parts than there are to spare, one part that holds something is
-    untouched by the differences, whatever the other set is. A set with more of them adds the prefix that any
-    two linked sets share a shingle of; if both sets of a pair do, they meet there.
-    """
-    n, out = len(s), []
-    if not n:
-        return np.zeros(0, np.uint64)
-    c = int(np.searchsorted(bounds, n, side="right")) - 1
-    spread = mix64(s ^ _ODD[2])
-    with np.errstate(over="ignore"):
-        for g in (c, c + 1):
-            differ = max_difference(2 * int(bounds[g + 1] - 1), percent)
-            if not differ:
-                continue
-            spare = 2 + differ // 16
-            k = differ + 1 + spare
-            part = ((s >> np.uint64(11)) % np.uint64(k)).astype(np.int64)
-            sums, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
-            np.add.at(sums, part, spread)
-            filled[part] = True
-            name = mix64(np.arange(k, dtype=np.uint64) * _ODD[3] + np.uint64(g))
-            out.append(mix64(sums[filled] + name[filled]))
-            if k - int(filled.sum()) > spare:
-                prefix = s[: n - -(-percent * n // 100) + 1]
-                out.append(mix64(prefix + mix64(np.uint64(g) ^ _ODD[4])))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def needed(n: int | np.ndarray, percent: int):
+    """The least overlap of a set of ``n`` shingles with any set that it is linked with."""
+    return -(-percent * n // 100)
 
 
 #: Classes go by 40 bits of their key where places of possible links are looked for, and hashes of parts by 32 bits
@@ -175,62 +138,179 @@ def _texts_in_chunks(ids: Iterator, texts: Iterator, most: int):
         yield held
 
 
-def _map_side(spec: JoinSpec, bits: int) -> Callable:
-    """Texts to rows of packed arrays: ties found here, and for each bucket of hashes (hash, least member)."""
+def _count_side(spec: JoinSpec, bits: int) -> Callable:
+    """Texts to packed rows: for each bucket of hashes, slots (16 bits) and documents (their number in the flush), and the flush's documents."""
 
     def run(batches):
-        bounds = size_bounds(spec.percent)
-        sigs: list[np.ndarray] = []
-        whos: list[np.ndarray] = []
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        sets: list[np.ndarray] = []
         docs: list[tuple] = []
-        waiting = 0
+        first: dict[tuple, int] = {}
+        total = made = 0
 
         def flush():
-            sig, who, a, b = _ties(np.concatenate(sigs) if sigs else np.zeros(0, np.uint64), np.concatenate(whos) if whos else np.zeros(0, np.int64))
-            bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
-            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            ends = np.append(at, len(sig))[1:]
-            low = (sig >> np.uint64(32 - bits)).astype("<u4")
-            rows = [(int(bucket[i]), low[i:j].tobytes(), _packed(who[i:j]), b"", b"") for i, j in zip(at, ends, strict=True)]
-            table = np.array(docs, np.int64).reshape(-1, 5).tobytes()
-            anywhere = int(mix64(np.uint64(len(table) + waiting)) % np.uint64(1 << bits))
-            rows.append((anywhere, b"", b"", np.stack([a, b], 1).astype(np.int64).tobytes(), table))
-            sigs.clear()
-            whos.clear()
+            flush_id = part << 32 | made
+            rows = [(1, int(mix64(np.uint64(flush_id)) >> np.uint64(64 - bits)), flush_id, np.array(docs, np.int64).tobytes(), b"")]
+            if any(len(x) for _, x in sets):
+                who = np.repeat(np.array([w for w, _ in sets], np.uint16), [len(x) for _, x in sets])
+                h = np.concatenate([x for _, x in sets])
+                order = np.argsort(h)
+                h, who = h[order], who[order]
+                bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+                slot = (h >> np.uint64(48 - bits)).astype(np.uint16)
+                ends = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(h))
+                rows += [(0, int(bucket[i]), flush_id, slot[i:j].tobytes(), who[i:j].tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            sets.clear()
             docs.clear()
-            return pd.DataFrame(rows, columns=["bucket", "sig", "who", "ties", "docs"])
+            first.clear()
+            return pd.DataFrame(rows, columns=["kind", "bucket", "flush", "slot", "who"])
 
         for pdf in batches:
             for chunk in _texts_in_chunks(iter(pdf["doc_id"].astype("Int64")), iter(pdf["text"]), spec.chunk_bytes):
                 for (i, _), s in zip(chunk, shingle_sets([t for _, t in chunk], spec.words), strict=True):
                     a, b = class_key(s)
-                    docs.append((0 if i is pd.NA else int(i), int(i is not pd.NA), len(s), a, b))
-                    h = part_hashes(s, bounds, spec.percent)
-                    if len(h):
-                        sigs.append(h)
-                        whos.append(np.full(len(h), a & _WHO, np.int64))
-                        waiting += len(h)
-                if waiting >= 1_000_000 or len(docs) >= 50_000:
-                    yield flush()
-                    waiting = 0
+                    if (a, b) not in first:
+                        first[a, b] = len(docs)
+                        sets.append((len(docs), s))
+                        total += len(s)
+                    docs.append((0 if i is pd.NA else int(i), int(i is not pd.NA), len(s), a, b, first[a, b]))
+                    if total >= 1_500_000 or len(docs) >= 60_000:
+                        yield flush()
+                        total, made = 0, made + 1
         if docs:
             yield flush()
 
     return run
 
 
-def _reduce_side(batches):
-    """Rows sorted by bucket to (kind, a, b, c, d, known): 0 documents (id, size, class key), 1 ties."""
+def _shared_side(batches):
+    """Rows sorted by bucket: of each flush, the numbers of documents once for every shingle of theirs whose slot another one has too."""
+    now, held, out, waiting = None, [], {}, 0
+
+    def close():
+        nonlocal waiting
+        slots = [np.frombuffer(r.slot, np.uint16) for r in held]
+        twice = np.bincount(np.concatenate(slots), minlength=1 << 16) >= 2
+        for r, s in zip(held, slots, strict=True):
+            hit = np.frombuffer(r.who, np.uint16)[twice[s]]
+            if len(hit):
+                out.setdefault(r.flush, []).append(hit.tobytes())
+                waiting += len(hit)
+
+    def emit():
+        frame = pd.DataFrame([(0, f, b"".join(x)) for f, x in out.items()], columns=["kind", "flush", "data"])
+        out.clear()
+        return frame
+
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if r.kind == 1:
+                yield pd.DataFrame([(1, r.flush, r.slot)], columns=["kind", "flush", "data"])
+                continue
+            if r.bucket != now:
+                if held:
+                    close()
+                    held = []
+                    if waiting >= 2_000_000:
+                        yield emit()
+                        waiting = 0
+                now = r.bucket
+            held.append(r)
+    if held:
+        close()
+    if out:
+        yield emit()
+
+
+def _alive_side(spec: JoinSpec) -> Callable:
+    """Rows sorted by flush to documents: doc_id, n_shingles, class key, and whether enough of their shingles occur elsewhere."""
+
+    def run(batches):
+        for _, rows in _grouped(batches, ["flush"]):
+            docs = np.concatenate([np.frombuffer(r.data, np.int64) for r in rows if r.kind == 1]).reshape(-1, 6)
+            hits = [np.frombuffer(r.data, np.uint16) for r in rows if r.kind == 0]
+            n = np.bincount(np.concatenate(hits), minlength=len(docs)) if hits else np.zeros(len(docs), np.int64)
+            size = docs[:, 2]
+            alive = (size > 0) & (n[docs[:, 5]] >= needed(size, spec.percent))
+            ids = pd.array(docs[:, 0], "Int64")
+            ids[docs[:, 1] == 0] = pd.NA
+            yield pd.DataFrame({"doc_id": ids, "n_shingles": size, "ka": docs[:, 3], "kb": docs[:, 4], "alive": alive})
+
+    return run
+
+
+def _frequent_side(batches):
+    """(shingle, count) of shingles that several sets of a stretch of rows have."""
+    held, n = [], 0
+
+    def close():
+        v, c = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"h": v[c >= 4].view(np.int64), "n": c[c >= 4]})
+
+    for pdf in batches:
+        for sh in pdf["sh"]:
+            held.append(np.frombuffer(sh, np.uint64))
+            n += len(held[-1])
+            if n >= 3_000_000:
+                yield close()
+                held, n = [], 0
+    if held:
+        yield close()
+
+
+def first_shingles(s: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """So many shingles of ``s``, in the order of all shingles, that two linked sets share one of theirs: others by their hash, then frequent ones by rank."""
+    n = len(s) - int(needed(len(s), percent)) + 1
+    at = np.searchsorted(frequent, s)
+    known = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
+    rare = s[~known]
+    if len(rare) >= n:
+        return rare[:n]
+    often = s[known][np.argsort(rank[at[known]], kind="stable")]
+    return np.concatenate([rare, often[: n - len(rare)]])
 
-    def rows(kind, a, b, c=None, d=None, known=None):
-        zero = np.zeros(len(a), np.int64)
-        return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b, "c": zero if c is None else c, "d": zero if d is None else d, "known": np.ones(len(a), bool) if known is None else known})
 
+def _tie_side(spec: JoinSpec, bits: int, frequent: np.ndarray, rank: np.ndarray) -> Callable:
+    """Sets to packed rows: ties found here, and for each bucket of first shingles (hash, least class)."""
+
+    def run(batches):
+        sigs, whos, waiting = [], [], 0
+
+        def flush():
+            sig, who, a, b = _ties(np.concatenate(sigs), np.concatenate(whos))
+            bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
+            ends = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(sig))
+            low = (sig >> np.uint64(32 - bits)).astype("<u4")
+            rows = [(int(bucket[i]), low[i:j].tobytes(), _packed(who[i:j]), b"") for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            rows.append((int(bucket[0]), b"", b"", np.stack([a, b], 1).astype(np.int64).tobytes()))
+            sigs.clear()
+            whos.clear()
+            return pd.DataFrame(rows, columns=["bucket", "sig", "who", "ties"])
+
+        for pdf in batches:
+            for k, sh in zip(pdf["who"], pdf["sh"], strict=True):
+                h = first_shingles(np.frombuffer(sh, np.uint64), spec.percent, frequent, rank)
+                sigs.append(h)
+                whos.append(np.full(len(h), k, np.int64))
+                waiting += len(h)
+                if waiting >= 1_000_000:
+                    yield flush()
+                    waiting = 0
+        if sigs:
+            yield flush()
+
+    return run
+
+
+def _reduce_side(batches):
+    """Rows sorted by bucket to ties a, b."""
     now, sig, who = None, [], []
 
     def close():
         _, _, a, b = _ties(np.frombuffer(b"".join(sig), "<u4"), np.concatenate([_unpacked(w) for w in who]))
-        return rows(1, a, b)
+        return pd.DataFrame({"a": a, "b": b})
 
     for pdf in batches:
         for r in pdf.itertuples(index=False):
@@ -243,10 +323,7 @@ def _reduce_side(batches):
                 who.append(r.who)
             if r.ties:
                 t = np.frombuffer(r.ties, np.int64).reshape(-1, 2)
-                yield rows(1, t[:, 0], t[:, 1])
-            if r.docs:
-                t = np.frombuffer(r.docs, np.int64).reshape(-1, 5)
-                yield rows(0, t[:, 0], t[:, 2], t[:, 3], t[:, 4], t[:, 1] == 1)
+                yield pd.DataFrame({"a": t[:, 0], "b": t[:, 1]})
     if sig:
         yield close()
 
@@ -333,7 +410,7 @@ def _grouped(batches, keys: list[str]):
 def _search(spec: JoinSpec) -> Callable:
     def run(batches):
         for _, rows in _grouped(batches, ["root", "block"]):
-            rows = list({r.cid: r for r in rows}.values())
+            rows = list({r.cid: r for r in sorted(rows, key=lambda r: r.asks)}.values())
             sets = [np.frombuffer(r.sh, np.uint64) for r in rows]
             asks = np.array([r.asks for r in rows], bool)
             group = np.unique([r.grp for r in rows], return_inverse=True)[1]
@@ -357,16 +434,13 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = shuffle_partitions(docs.sparkSession)
-    bits = min(24, max(8, int(rows.count() / 64).bit_length()))
-    packed = rows.mapInPandas(_map_side(spec, bits), "bucket int, sig binary, who binary, ties binary, docs binary")
-    base = cut(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_reduce_side, "kind int, a long, b long, c long, d long, known boolean"))
-    sized = base.where("kind = 0").select(F.when(F.col("known"), F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("ka"), F.col("d").alias("kb"))
-    classes = sized.where("n_shingles > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"))
+    bits = min(24, max(8, 1 + int(rows.count() / 64).bit_length()))
+    counted = rows.mapInPandas(_count_side(spec, bits), "kind int, bucket int, flush long, slot binary, who binary")
+    shared = counted.repartition(parts, "bucket").sortWithinPartitions("bucket", "flush").mapInPandas(_shared_side, "kind int, flush long, data binary")
+    base = shared.repartition(parts, "flush").sortWithinPartitions("flush").mapInPandas(_alive_side(spec), "doc_id long, n_shingles long, ka long, kb long, alive boolean")
+    sized = cut(base)
+    classes = sized.where("n_shingles > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.max("alive").alias("alive"))
     classes = classes.withColumn("cid", _cid("ka", "kb"))
-    places = connected_components(base.where("kind = 1").select("a", "b"))
-    found = cut(classes.join(places, F.col("ka").bitwiseAND(F.lit(_WHO)) == F.col("node")).select("ka", "kb", "cid", "rep", "size", "root"))
-    widths = found.groupBy("root").agg(F.sum("size").alias("width")).withColumn("blocks", F.ceil(F.col("width") / spec.block_shingles).cast("int"))
-    found = found.join(widths.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
 
     def sets_of(batches):
         for pdf in batches:
@@ -375,10 +449,22 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
                 sets = shingle_sets(list(part["text"]), spec.words)
                 same = np.array([class_key(s) == (a, b) for s, a, b in zip(sets, part["ka"], part["kb"], strict=True)], bool)
                 kept = part[same]
-                yield pd.DataFrame({"root": kept["root"], "block": kept["block"], "blocks": kept["blocks"], "cid": kept["cid"], "sh": [s.tobytes() for s, k in zip(sets, same, strict=True) if k]})
-
-    texts = rows.join(found, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "ka", "kb", "cid", "root", "block", "blocks")
-    sets = texts.mapInPandas(sets_of, "root long, block int, blocks int, cid string, sh binary")
+                yield pd.DataFrame({"who": kept["ka"] & _WHO, "cid": kept["cid"], "size": kept["size"], "sh": [s.tobytes() for s, k in zip(sets, same, strict=True) if k]})
+
+    reps = classes.where("alive").select("ka", "kb", "cid", "rep", "size")
+    texts = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "ka", "kb", "cid", "size")
+    sets = cut(texts.mapInPandas(sets_of, "who long, cid string, size long, sh binary"))
+    often = sets.select("sh").mapInPandas(_frequent_side, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(spec.frequent).collect()
+    # Of the most frequent shingles, a bounded number: sorted by hash, with their rank from the rarest on.
+    frequent = np.array([r["h"] for r in often], np.int64).view(np.uint64)
+    by_hash = np.argsort(frequent)
+    frequent, rank = frequent[by_hash], (len(often) - by_hash).astype(np.int64)
+    tied = sets.select("who", "sh").mapInPandas(_tie_side(spec, bits, frequent, rank), "bucket int, sig binary, who binary, ties binary")
+    places = connected_components(tied.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_reduce_side, "a long, b long"))
+    widths = sets.select("who", "size").join(places, F.col("who") == F.col("node")).groupBy("root").agg(F.sum("size").alias("width"))
+    widths = widths.withColumn("blocks", F.ceil(F.col("width") / spec.block_shingles).cast("int"))
+    places = places.join(widths.select("root", "blocks"), "root")
+    sets = sets.join(places, F.col("who") == F.col("node")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select("root", "block", "blocks", "cid", "sh")
     search = lambda df: df.repartition(parts, "root", "block").sortWithinPartitions("root", "block").select("root", "block", "cid", "grp", "sh", "asks").mapInPandas(_search(spec), "a string, b string")
     widest = widths.agg(F.max("blocks")).first()[0] or 0
     if widest > 1:
@@ -415,8 +501,10 @@ def _between_blocks(sets: DataFrame, links: DataFrame, search: Callable) -> Data
             return links
         asked = ask if asked is None else cut(asked.union(ask))
         tagged = wide.join(heads.select("cid", "grp"), "cid")
-        going = tagged.join(ask, "cid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-        there = tagged.join(ask, "cid", "left_anti").withColumn("asks", F.lit(False))
+        # Every block of sets meets every block of those that ask: a task holds two blocks.
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        going = tagged.join(ask, "cid").withColumn("other", other).withColumn("block", F.col("other") * F.col("blocks") + F.col("block")).withColumn("asks", F.lit(True))
+        there = tagged.withColumn("other", other).withColumn("block", F.col("block") * F.col("blocks") + F.col("other")).withColumn("asks", F.lit(False))
         links = cut(links.union(search(going.unionByName(there))))
 
 

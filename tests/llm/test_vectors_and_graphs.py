@@ -152,22 +152,39 @@ def test_ngram_join_keeps_one_of_each(spark):
 
 
 @pytest.mark.parametrize("percent", [50, 80, 90])
-def test_part_hashes_meet_whenever_sets_can_be_linked(percent):
+def test_first_shingles_meet_whenever_sets_can_be_linked(percent):
     rng = np.random.default_rng(5)
-    bounds = ngram_join.size_bounds(percent)
     met = 0
     for _ in range(600):
         n = int(rng.integers(1, 160))
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         drop = int(rng.integers(0, max(1, n // 4)))
         b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 4))), dtype=np.uint64)]))
+        frequent = np.sort(rng.permutation(np.union1d(a, b))[: int(rng.integers(0, n + 1))])
+        rank = rng.permutation(len(frequent))
         o = len(np.intersect1d(a, b))
-        if len(b) and 100 * o >= percent * (len(a) + len(b) - o) and o < max(len(a), len(b)):
+        if len(b) and 100 * o >= percent * (len(a) + len(b) - o):
             met += 1
-            assert len(np.intersect1d(ngram_join.part_hashes(a, bounds, percent), ngram_join.part_hashes(b, bounds, percent)))
+            assert len(np.intersect1d(ngram_join.first_shingles(a, percent, frequent, rank), ngram_join.first_shingles(b, percent, frequent, rank)))
     assert met > 50
 
 
+def test_bounds_hold_and_prune_clustered_groups():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(3, 8)) * 1000
+    x = np.round(np.concatenate([c + rng.normal(size=(40, 8)) for c in centres]))
+    big = float((x**2).sum(1).max())
+    lift = lambda v, q: np.zeros(len(v)) if q else np.sqrt(np.maximum(big - (v**2).sum(1), 0))
+    pivots = np.concatenate([x[::40], lift(x[::40], False)[:, None]], 1)
+    d, q = knn._distances(x, lift(x, False), pivots), knn._distances(x, lift(x, True), pivots)
+    home, near = d.argmin(1), q.argmin(1)
+    radius = np.array([q[near == j, j].max() if (near == j).any() else np.nan for j in range(3)])
+    bound = knn.group_bounds(radius, [np.sort(d[home == j, j])[:6] for j in range(3)], pivots, 5)
+    for i in range(len(x)):
+        every = np.sort(np.sqrt(np.maximum((x[i] ** 2).sum() + big - 2 * x @ x[i], 0)))
+        assert every[5] <= bound[near[i]] + 1e-6
+
+
 def test_packed_classes():
     who = np.array([0, 1, (1 << 40) - 1, 1 << 33], np.int64)
     assert (ngram_join._unpacked(ngram_join._packed(who)) == who).all()
