@@ -340,14 +340,19 @@ def block_links(sets: list[np.ndarray], percent: int, skip: float, is_query: np.
     size = size[order]
     asks = np.ones(m, bool) if is_query is None else np.asarray(is_query, bool)[order]
     flat = np.concatenate([sets[i] for i in order]) if m else np.zeros(0, np.uint64)
-    _, token = np.unique(flat, return_inverse=True)
-    n_tokens = int(token.max()) + 1 if len(token) else 0
-    doc = np.repeat(np.arange(m), size)
+    by = np.argsort(flat, kind="stable").astype(np.int32)
+    flat = flat[by]
+    rank = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]]), dtype=np.int32) if len(flat) else np.zeros(0, np.int32)
+    del flat
+    n_tokens = int(rank[-1]) + 1 if len(rank) else 0
+    token = np.empty(len(rank), np.int32)
+    token[by] = rank
     of_doc = np.concatenate([[0], np.cumsum(size)])
-    by = np.argsort(token, kind="stable")
-    postings = doc[by]  # of each token, in the order of documents
-    first = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=n_tokens))])
-    place = token[by] * m + postings  # ascending: binary search in any list
+    postings = np.repeat(np.arange(m, dtype=np.int32), size)[by]  # of each token, in the order of documents
+    del by
+    first = np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=n_tokens))])
+    place = rank.astype(np.int64) * m + postings  # ascending: binary search in any list
+    del rank
     filled = np.zeros(n_tokens, np.int64)  # entries of each list that stand for documents before the current one
     label, links = np.arange(m) if group is None else np.asarray(group)[order], []
     for i in range(m):
@@ -371,13 +376,13 @@ def block_links(sets: list[np.ndarray], percent: int, skip: float, is_query: np.
             while len(near):
                 # The likeliest few of each group of connected sets: one link to each group is enough.
                 groups = label[near]
-                rank = np.empty(len(near), np.int64)
+                nth = np.empty(len(near), np.int64)
                 o = np.argsort(groups, kind="stable")
                 new = np.concatenate([[True], groups[o][1:] != groups[o][:-1]])
-                rank[o] = np.arange(len(o)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-                some = near[rank < 16]
+                nth[o] = np.arange(len(o)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+                some = near[nth < 16]
                 if n_long:
-                    want = long[None, :] * m + some[:, None]
+                    want = long[None, :].astype(np.int64) * m + some[:, None]
                     spot = np.minimum(np.searchsorted(place, want.ravel()), len(place) - 1)
                     both = seen[some] + (place[spot] == want.ravel()).reshape(want.shape).sum(1)
                 else:
@@ -387,7 +392,7 @@ def block_links(sets: list[np.ndarray], percent: int, skip: float, is_query: np.
                     if label[x] != label[i]:
                         links.append((int(order[x]), int(order[i])))
                         label[label == label[x]] = label[i]
-                near = near[(rank >= 16) & (label[near] != label[i])]
+                near = near[(nth >= 16) & (label[near] != label[i])]
         filled[mine] += 1
     return links
 
