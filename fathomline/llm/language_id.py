@@ -178,8 +178,8 @@ def fit_sample(docs: DataFrame, spec: FitSpec = FitSpec(), doc_id: str = "doc_id
     return fit([r["text"] for r in sample], [r["lang"] for r in sample], spec)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``. A null text, or one without a letter, is ``und`` with score 0; an empty table stays empty."""
+def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (or other ``names``), which replace columns of those names. A null text, or one without a letter, is ``und`` with score 0; an empty table stays empty."""
     active = np.flatnonzero(np.abs(model.weights).sum(1))
     packed = (model.languages, model.bits, model.sizes, model.idf.astype(np.float32), active, model.weights[active].astype(np.float32), model.bias, model.temperature)
     sent = docs.sparkSession.sparkContext.broadcast(packed)
@@ -195,6 +195,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         out, score = predict(loaded[0], list(texts))
         return pd.DataFrame({"lang_pred": out, "score": score})
 
-    names = docs.columns
-    both = docs.select(*[F.col(f"`{c}`") for c in names if c not in ("lang_pred", "score")], run(F.col(text)).alias("__p"))
-    return both.select(*[F.col(f"`{c}`") for c in names if c not in ("lang_pred", "score")], "__p.lang_pred", "__p.score")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    both = docs.select(*rest, run(F.col(text)).alias("__p"))
+    return both.select(*rest, F.col("__p.lang_pred").alias(names[0]), F.col("__p.score").alias(names[1]))
