@@ -70,3 +70,18 @@ def search(products: DataFrame, query: str) -> DataFrame:
 
 def statistics(products: DataFrame) -> DataFrame:
     return products.groupBy("category").agg(F.count("*").alias("products"), F.count_distinct("vendor").alias("vendors"))
+
+
+def with_facts(mentions: DataFrame, products: DataFrame, product: str = "product") -> DataFrame:
+    """Left join with the dictionary's vendor, category and release year; of entries with one name the first."""
+    one = products.groupBy(F.col("product").alias("__p")).agg(*[F.min_by(c, "ord").alias(f"known_{c}") for c in ("vendor", "category", "release_year")])
+    return mentions.join(F.broadcast(one), F.col(product) == F.col("__p"), "left").drop("__p")
+
+
+def tracked_unit(found: Column, defaults: dict[str, str], own: str = "Proprietary") -> Column:
+    """What diffusion follows: the product; one label for own solutions; for a vendor alone its default product, else its name and ``AI``."""
+    vendor = found["vendor"]
+    default = F.concat(vendor, F.lit(" AI"))
+    for v, p in defaults.items():
+        default = F.when(vendor == v, p).otherwise(default)
+    return F.when(found["granularity"] == "SPECIFIC", found["product"]).when(found["granularity"] == "INTERNAL", own).when(found["granularity"] == "VENDOR_ONLY", default)

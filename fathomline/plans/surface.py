@@ -343,3 +343,56 @@ def src_filename_meta(spark, sf):
 def src_company_list(spark, sf):
     s = table(spark, sf, "supplier").select(F.concat(F.lit("#"), F.col("s_suppkey").cast("string")).alias("RANK"), F.col("s_name").alias("NAME"), F.col("s_nationkey").cast("string").alias("Industry"), F.lit(" x ").alias("Country"))
     return readers.company_metadata(s).withColumn("sector", F.col("sector").cast("string"))
+
+
+# Counts --------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"WITH {REFS_SQL} SELECT count(*) AS refs, count(DISTINCT company) AS companies, count(DISTINCT year) AS years, min(year) AS first_year, max(year) AS last_year FROM refs"
+)
+def stats_session(spark, sf):
+    from fathomline.operators import stats
+
+    return stats.session(references(spark, sf))
+
+
+@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, round(avg(o_totalprice) + 1e-9, 3) AS mean, round(max(o_totalprice) + 1e-9, 3) AS most FROM orders GROUP BY 1")
+def stats_year(spark, sf):
+    from fathomline.operators import stats
+
+    return stats.by_year(table(spark, sf, "orders").withColumn("year", F.year("o_orderdate")), "o_totalprice")
+
+
+@query(
+    """WITH t AS (SELECT count(*) AS docs, CAST(sum(n_chars // 100) AS BIGINT) AS pages, CAST(sum(n_chars) AS BIGINT) AS words, CAST(sum(doc_id % 5) AS BIGINT) AS refs, CAST(sum(doc_id % 3) AS BIGINT) AS refs_kept FROM documents)
+SELECT *, round(pages / docs + 1e-9, 2) AS pages_per_doc, words // docs AS words_per_doc, round(refs / docs + 1e-9, 2) AS refs_per_doc, round(1000 * refs / words + 1e-9, 4) AS refs_per_1000_words, round(100 * (refs - refs_kept) / refs + 1e-9, 2) AS dedup_percent FROM t"""
+)
+def stats_run(spark, sf):
+    from fathomline.operators import stats
+
+    n, k = F.col("n_chars"), F.col("doc_id")
+    return stats.run_ratios(table(spark, sf, "documents").select(F.floor(n / 100).alias("pages"), n.alias("words"), (k % 5).alias("refs"), (k % 3).alias("refs_kept")))
+
+
+@query(
+    f"WITH {REFS_SQL}, m AS (SELECT *, CASE WHEN ref_id % 3 = 0 THEN 'semantic' ELSE 'pattern_hard' END AS method FROM refs) SELECT company, count(*) AS total, count(*) FILTER (method LIKE 'pattern%') AS by_pattern, count(*) FILTER (method = 'semantic') AS by_semantic, count(DISTINCT category_a) AS categories, "
+    + ", ".join(f"count(*) FILTER (sentiment = '{x}') AS n_{x}" for x in ("positive", "neutral", "negative", "pending"))
+    + " FROM m GROUP BY company"
+)
+def stats_counters(spark, sf):
+    from fathomline.operators import stats
+
+    r = references(spark, sf).withColumn("method", F.when(F.col("ref_id") % 3 == 0, "semantic").otherwise("pattern_hard"))
+    return stats.document_counters(r, "company", category="category_a")
+
+
+@query(
+    f"""WITH {REFS_SQL}, u AS (SELECT CASE WHEN regexp_matches(product, '(?i)green') THEN 'Proprietary' WHEN regexp_matches(product, '(?i)blue ring') AND year >= 1997 THEN 'Blue Ring' WHEN regexp_matches(product, '(?i)\\bring\\b') AND regexp_matches(product, '(?i)small') THEN 'Ring'
+  WHEN regexp_matches(product, '(?i)\\bbolt\\b') AND year >= 1999 THEN 'Bolt' WHEN regexp_matches(product, '(?i)widget') THEN 'Widget Works AI' WHEN regexp_matches(product, '(?i)gear') THEN 'Gear One' END AS unit FROM refs)
+SELECT unit, count(*) AS n, CASE unit WHEN 'Ring' THEN 'Ringco' WHEN 'Blue Ring' THEN 'Acme' WHEN 'Bolt' THEN 'Acme' END AS known_vendor FROM u WHERE unit IS NOT NULL GROUP BY unit"""
+)
+def prod_units(spark, sf):
+    r = references(spark, sf).withColumn("x", products.extracted(F.col("product"), F.col("year"), PRODUCTS, VENDORS, "green"))
+    u = r.select(products.tracked_unit(F.col("x"), {"Gearbox": "Gear One"}).alias("unit")).where("unit is not null").groupBy("unit").agg(F.count("*").alias("n"))
+    return products.with_facts(u, products.dictionary(spark, PRODUCTS), "unit").select("unit", "n", "known_vendor")
