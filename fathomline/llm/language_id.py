@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathomline.llm.shared import small_batches
+
 UNDEFINED = "und"
 
 
@@ -196,5 +198,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
         return pd.DataFrame({"lang_pred": out, "score": score})
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    both = docs.select(*rest, run(F.col(text)).alias("__p"))
+    both = small_batches(docs).select(*rest, run(F.col(text)).alias("__p"))
     return both.select(*rest, F.col("__p.lang_pred").alias(names[0]), F.col("__p.score").alias(names[1]))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fathomline.llm.shared import WORD, cut, mix64, shuffle_partitions
+from fathomline.llm.shared import WORD, cut, mix64, shuffle_partitions, small_batches
 
 
 @dataclass(frozen=True)
@@ -205,7 +205,7 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec(), doc_id: str = "d
     rows = placed.where("size > 0").select(*[F.col(c).alias(f"__{c}") for c in same], F.col("sid").alias("__sid"), F.col("at").alias("__at")).withColumn("__no", number(F.col("__at")))
     taken = runs.select(F.col("sid").alias("__s"), F.col("at").alias("__a"), F.col("pass").alias("__pass"), F.col("runs").alias("__runs"))
     taken = rows.join(taken, (F.col("__sid") == F.col("__s")) & (F.col("__at") == F.col("__a"))).drop("__s", "__a", "__sid", "__at")
-    texts = docs.withColumn("__doc_id", F.col(doc_id)).withColumn("__source", F.col(source).cast("string")).withColumn("__size", word_count(F.col(text))).withColumn("__no", number(F.xxhash64(text)))
+    texts = small_batches(docs).withColumn("__doc_id", F.col(doc_id)).withColumn("__source", F.col(source).cast("string")).withColumn("__size", word_count(F.col(text))).withColumn("__no", number(F.xxhash64(text)))
     keys = ["__doc_id", "__source", "__size", "__no"]
     on = [texts[k].eqNullSafe(taken[k]) for k in keys]
     both = texts.join(taken, on).select(*[texts[f"`{c}`"] for c in docs.columns], taken["__size"], taken["__runs"])

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.shared import connected_components, cut, mix64, shuffle_partitions
+from fathomline.llm.shared import connected_components, cut, mix64, shuffle_partitions, small_batches
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -43,7 +43,7 @@ class JoinSpec:
 
     words: int = 3
     percent: int = 90
-    block_shingles: int = 1_500_000
+    block_shingles: int = 4_000_000
     chunk_bytes: int = 600_000
     skip: float = 0.005
     frequent: int = 200_000
@@ -341,7 +341,7 @@ def block_links(sets: list[np.ndarray], percent: int, skip: float, is_query: np.
     asks = np.ones(m, bool) if is_query is None else np.asarray(is_query, bool)[order]
     flat = np.concatenate([sets[i] for i in order]) if m else np.zeros(0, np.uint64)
     by = np.argsort(flat, kind="stable").astype(np.int32)
-    flat = flat[by]
+    flat = flat[by]  # in order; equal shingles follow each other
     rank = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]]), dtype=np.int32) if len(flat) else np.zeros(0, np.int32)
     del flat
     n_tokens = int(rank[-1]) + 1 if len(rank) else 0
@@ -380,7 +380,8 @@ def block_links(sets: list[np.ndarray], percent: int, skip: float, is_query: np.
                 o = np.argsort(groups, kind="stable")
                 new = np.concatenate([[True], groups[o][1:] != groups[o][:-1]])
                 nth[o] = np.arange(len(o)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-                some = near[nth < 16]
+                now = np.flatnonzero(nth < 16)[:512]
+                some = near[now]
                 if n_long:
                     want = long[None, :].astype(np.int64) * m + some[:, None]
                     spot = np.minimum(np.searchsorted(place, want.ravel()), len(place) - 1)
@@ -392,7 +393,9 @@ def block_links(sets: list[np.ndarray], percent: int, skip: float, is_query: np.
                     if label[x] != label[i]:
                         links.append((int(order[x]), int(order[i])))
                         label[label == label[x]] = label[i]
-                near = near[(nth >= 16) & (label[near] != label[i])]
+                rest = np.ones(len(near), bool)
+                rest[now] = False
+                near = near[rest & (label[near] != label[i])]
         filled[mine] += 1
     return links
 
@@ -437,7 +440,7 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     its own doc_id. Rows that repeat a doc_id are documents of their own; a null doc_id is never the name of
     a component unless all its documents have none. An empty table gives an empty one.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = shuffle_partitions(docs.sparkSession)
     bits = min(24, max(8, 1 + int(rows.count() / 64).bit_length()))
     counted = rows.mapInPandas(_count_side(spec, bits), "kind int, bucket int, flush long, slot binary, who binary")

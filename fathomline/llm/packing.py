@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.llm.shared import cut
+from fathomline.llm.shared import cut, small_batches
 from fathomline.llm.tokens import default_tokenizer, encoded
 
 MAX_TOKENS = 1024
@@ -118,7 +118,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = MAX
                     at += k
             yield pd.DataFrame({"doc_id": pd.array(cols[0], "Int64"), "start": cols[1], "length": np.array(cols[2], np.int32), "ids_crc32": cols[3], "doc_tokens": cols[4]})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = MAX_TOKENS) -> DataFrame:

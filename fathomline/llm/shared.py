@@ -51,6 +51,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches of at most ``rows`` rows in its session: whole texts go to Python, and a batch of them is held several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name, "10000")) > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of unsigned 64-bit integers that spreads every bit (the finaliser of splitmix64)."""
     x = np.asarray(x, np.uint64)

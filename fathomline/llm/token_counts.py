@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm.shared import small_batches
+
 #: Pre-tokens whose counts a worker remembers; on overflow it forgets all.
 KNOWN_WORDS = 500_000
 
@@ -107,4 +109,4 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "
             n = np.array(both, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_words": n[:, 0], "n_tokens": n[:, 1]})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, n_words long, n_tokens long")

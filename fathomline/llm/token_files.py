@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fathomline.llm.shared import cut, shared_dir, shuffle_partitions
+from fathomline.llm.shared import cut, shared_dir, shuffle_partitions, small_batches
 from fathomline.llm.tokens import default_tokenizer, encoded
 
 #: Ids in a frame at most.
@@ -125,7 +125,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, frame
     their own and follow each other in the order of their texts' hashes. An empty table gives no frames.
     """
     n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
     dealt = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     # Partitions are ranges of doc_id, so (shard, frame) is the order of the whole.
     dealt.mapInPandas(_frames(tokenizer or default_tokenizer(), frame_ids), FRAMES).write.option("compression", "zstd").parquet(path)
