@@ -53,23 +53,46 @@ def _inverse_odd(r: int) -> int:
     return pow(r, -1, 1 << 64)
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of text whose words are hashed at a time, so that memory does not follow the length of a text.
+_STRETCH = 1 << 18
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse up to ``n``."""
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((int(_BASE), _inverse_odd(int(_BASE)))):
+            table = np.full(n + 1, base, np.uint64)
+            table[0] = 1
+            _powers[k] = np.cumprod(table, dtype=np.uint64)
+    return _powers
+
+
+def _word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, that of a polynomial over its bytes, whatever its place."""
+    h = np.empty(len(starts), np.uint64)
+    edges = np.append(np.searchsorted(starts, np.arange(0, len(buf), _STRETCH)), len(starts))
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        if i == j:
+            continue
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        power, back = _power_tables(max(_STRETCH, hi - lo))
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(power[: hi - lo] * (buf[lo:hi].astype(np.uint64) + np.uint64(1)), dtype=np.uint64)])
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        h[i:j] = mix64((run[e] - run[s]) * back[s] + (e - s).astype(np.uint64))
+    return h
+
+
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 64-bit hashes; A-Z in lower case; fewer words than a shingle has are one shingle."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter((len(b) + 1 for b in raw), np.int64, len(raw))
     buf = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
-    gap = _SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
+    del raw
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[buf], [True]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     with np.errstate(over="ignore"):
-        power = np.full(len(buf) + 1, _BASE, np.uint64)
-        power[0] = 1
-        power = np.cumprod(power, dtype=np.uint64)
-        run = np.concatenate([[np.uint64(0)], np.cumsum(power[:-1] * (buf.astype(np.uint64) + np.uint64(1)), dtype=np.uint64)])
-        back = np.full(len(buf) + 1, np.uint64(_inverse_odd(int(_BASE))), np.uint64)
-        back[0] = 1
-        back = np.cumprod(back, dtype=np.uint64)
-        h = mix64((run[ends] - run[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+        h = _word_hashes(buf, starts, ends)
         bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
         long = sum(((h[k : len(h) - words + 1 + k] if len(h) >= words else h[:0]) * _ODD[k % 5] ** np.uint64(1 + k // 5)) for k in range(words))
         long = mix64(np.asarray(long, np.uint64))
@@ -452,9 +475,11 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
 
     def sets_of(batches):
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
-                sets = shingle_sets(list(part["text"]), spec.words)
+            done = 0
+            for chunk in _texts_in_chunks(iter(pdf["cid"]), iter(pdf["text"]), spec.chunk_bytes):
+                part = pdf.iloc[done : done + len(chunk)]
+                done += len(chunk)
+                sets = shingle_sets([t for _, t in chunk], spec.words)
                 same = np.array([class_key(s) == (a, b) for s, a, b in zip(sets, part["ka"], part["kb"], strict=True)], bool)
                 kept = part[same]
                 yield pd.DataFrame({"who": kept["ka"] & _WHO, "cid": kept["cid"], "size": kept["size"], "sh": [s.tobytes() for s, k in zip(sets, same, strict=True) if k]})
@@ -478,7 +503,7 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     if widest > 1:
         sets = cut(sets)
     links = cut(search(sets.withColumn("asks", F.lit(True)).withColumn("grp", F.col("cid"))))
-    links = _between_blocks(sets, links, search) if widest > 1 else links
+    links = _between_blocks(sets, links, search, spec) if widest > 1 else links
     groups = connected_components(links)
     named = groups.join(classes.select("cid", "rep"), F.col("node") == F.col("cid"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
@@ -488,32 +513,33 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _between_blocks(sets: DataFrame, links: DataFrame, search: Callable) -> DataFrame:
+def _between_blocks(sets: DataFrame, links: DataFrame, search: Callable, spec: JoinSpec) -> DataFrame:
     """Links between blocks of components that fill more than one.
 
     Sets of the largest group found so far need not be compared with each other again: all others ask against
     all blocks, first with one set of each block's largest group, then whoever is still outside and has not asked.
+    Those that ask are dealt into blocks as well, usually one, and each meets every block of the component.
     """
     wide = sets.where("blocks > 1").select("root", "block", "blocks", "cid", "sh")
     asked = None
     while True:
         groups = connected_components(links).withColumnRenamed("root", "grp")
-        heads = wide.select("root", "block", "blocks", "cid").join(groups, F.col("cid") == F.col("node"), "left").select("root", "block", "blocks", "cid", F.coalesce("grp", "cid").alias("grp"))
+        heads = wide.select("root", "block", "cid", (F.length("sh") / 8).alias("w")).join(groups, F.col("cid") == F.col("node"), "left").select("root", "block", "cid", "w", F.coalesce("grp", "cid").alias("grp"))
         scope = ["root", "block"] if asked is None else ["root"]
         counts = heads.groupBy(*scope, "grp").agg(F.count("*").alias("n"), F.min("cid").alias("one"))
         top = counts.groupBy(*scope).agg(F.max(F.struct("n", "grp", "one")).alias("top")).select(*scope, F.col("top.grp").alias("top"), "top.one")
         out = heads.join(top, scope).where((F.col("grp") != F.col("top")) | (F.col("cid") == F.col("one")) if asked is None else F.col("grp") != F.col("top"))
-        ask = out.select("cid")
+        ask = out.select("root", "cid", "w")
         ask = cut(ask if asked is None else ask.join(asked, "cid", "left_anti"))
         if ask.isEmpty():
             return links
-        asked = ask if asked is None else cut(asked.union(ask))
-        tagged = wide.join(heads.select("cid", "grp"), "cid")
-        # Every block of sets meets every block of those that ask: a task holds two blocks.
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        going = tagged.join(ask, "cid").withColumn("other", other).withColumn("block", F.col("other") * F.col("blocks") + F.col("block")).withColumn("asks", F.lit(True))
-        there = tagged.withColumn("other", other).withColumn("block", F.col("block") * F.col("blocks") + F.col("other")).withColumn("asks", F.lit(False))
-        links = cut(links.union(search(going.unionByName(there))))
+        chunks = ask.groupBy("root").agg(F.ceil(F.sum("w") / spec.block_shingles).cast("int").alias("chunks"))
+        asked = ask.select("cid") if asked is None else cut(asked.union(ask.select("cid")))
+        tagged = wide.join(heads.select("cid", "grp"), "cid").join(chunks, "root")
+        place = F.col("other") * F.col("chunks") + F.col("chunk")
+        going = tagged.join(ask.select("cid"), "cid").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+        there = tagged.withColumn("other", F.col("block")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(False))
+        links = cut(links.union(search(going.withColumn("block", place).unionByName(there.withColumn("block", place), allowMissingColumns=True))))
 
 
 def one_of_each(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
