@@ -6,10 +6,10 @@ union. All steps are linear in the input, and every task is bounded:
 1. Equal sets are one class; one of its documents stands for it.
 2. A set can be linked only if enough of its shingles occur in other sets too. One pass over all shingles counts,
    in slots, which do (a shared slot may count too much, never too little); most documents end here.
-3. Of the rest, two linked sets share a shingle among the first few of each, whatever order shingles have. The
-   order puts frequent ones last (a bounded table holds the most frequent), so that a passage which many documents
-   quote ties none of them. Sets that share such a first shingle are tied, a group of n by n - 1 ties, and
-   connected components over ties are the only places where links can be. No pair within a group is written out.
+3. Of the rest, sets that can be linked differ in few shingles. A set is dealt into more parts than it may differ
+   in, so two linked sets agree on a part as a whole: sets that share the hash of a part are tied, a group of n
+   by n - 1 ties, and connected components over ties are the only places where links can be. A passage that many
+   documents quote ties few of them, as parts mix it with other shingles. No pair within a group is written out.
 4. Each component is searched by itself, in blocks of bounded size: inverted lists over its sets, for each
    query set the short lists merged and the long ones probed by binary search (DivideSkip), and sets that
    reach the overlap which the threshold requires are linked. Sets already connected need no second link.
@@ -38,15 +38,13 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 @dataclass(frozen=True)
 class JoinSpec:
     """words: of a shingle; percent: of the union that linked sets share; block_shingles: shingles in a block at most (about,
-    a block holds one set at least); chunk_bytes: of text that are shingled at a time; skip: DivideSkip's tuning constant;
-    frequent: shingles whose frequency is known, at most (the order of others is that of their hashes)."""
+    a block holds one set at least); chunk_bytes: of text that are shingled at a time; skip: DivideSkip's tuning constant."""
 
     words: int = 3
     percent: int = 90
     block_shingles: int = 4_000_000
     chunk_bytes: int = 600_000
     skip: float = 0.005
-    frequent: int = 200_000
 
 
 def _inverse_odd(r: int) -> int:
@@ -124,6 +122,51 @@ def needed(n: int | np.ndarray, percent: int):
     return -(-percent * n // 100)
 
 
+def size_bounds(percent: int, top: int = 1 << 40) -> np.ndarray:
+    """Lower bounds of size classes such that sizes of linked sets are in the same or in neighbouring classes."""
+    out = [1]
+    while out[-1] < top:
+        out.append(max(out[-1] + 1, -(-out[-1] * 100 // percent)))
+    return np.array(out, np.int64)
+
+
+def max_difference(total: int, percent: int) -> int:
+    """How many shingles two linked sets with ``total`` shingles together may not share, at most: from 100 o >= percent (total - o)."""
+    return total * (100 - percent) // (100 + percent)
+
+
+def part_hashes(s: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of which two sets share one at least if they can be linked and are not equal.
+
+    For a pair of size classes a set is dealt into more parts than two linked sets may differ in, and some to
+    spare. Of a set with no more empty parts than there are to spare, one part that holds something is
+    untouched by the differences, whatever the other set is. A set with more of them adds the prefix that any
+    two linked sets share a shingle of; if both sets of a pair do, they meet there.
+    """
+    n, out = len(s), []
+    if not n:
+        return np.zeros(0, np.uint64)
+    c = int(np.searchsorted(bounds, n, side="right")) - 1
+    spread = mix64(s ^ _ODD[2])
+    with np.errstate(over="ignore"):
+        for g in (c, c + 1):
+            differ = max_difference(2 * int(bounds[g + 1] - 1), percent)
+            if not differ:
+                continue
+            spare = 2 + differ // 16
+            k = differ + 1 + spare
+            part = ((s >> np.uint64(11)) % np.uint64(k)).astype(np.int64)
+            sums, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
+            np.add.at(sums, part, spread)
+            filled[part] = True
+            name = mix64(np.arange(k, dtype=np.uint64) * _ODD[3] + np.uint64(g))
+            out.append(mix64(sums[filled] + name[filled]))
+            if k - int(filled.sum()) > spare:
+                prefix = s[: n - -(-percent * n // 100) + 1]
+                out.append(mix64(prefix + mix64(np.uint64(g) ^ _ODD[4])))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 #: Classes go by 40 bits of their key where places of possible links are looked for, and hashes of parts by 32 bits
 #: besides their bucket's: an accidental meeting only makes a place larger.
 _WHO = (1 << 40) - 1
@@ -264,41 +307,11 @@ def _alive_side(spec: JoinSpec) -> Callable:
     return run
 
 
-def _frequent_side(batches):
-    """(shingle, count) of shingles that several sets of a stretch of rows have."""
-    held, n = [], 0
-
-    def close():
-        v, c = np.unique(np.concatenate(held), return_counts=True)
-        return pd.DataFrame({"h": v[c >= 4].view(np.int64), "n": c[c >= 4]})
-
-    for pdf in batches:
-        for sh in pdf["sh"]:
-            held.append(np.frombuffer(sh, np.uint64))
-            n += len(held[-1])
-            if n >= 3_000_000:
-                yield close()
-                held, n = [], 0
-    if held:
-        yield close()
-
-
-def first_shingles(s: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """So many shingles of ``s``, in the order of all shingles, that two linked sets share one of theirs: others by their hash, then frequent ones by rank."""
-    n = len(s) - int(needed(len(s), percent)) + 1
-    at = np.searchsorted(frequent, s)
-    known = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
-    rare = s[~known]
-    if len(rare) >= n:
-        return rare[:n]
-    often = s[known][np.argsort(rank[at[known]], kind="stable")]
-    return np.concatenate([rare, often[: n - len(rare)]])
-
-
-def _tie_side(spec: JoinSpec, bits: int, frequent: np.ndarray, rank: np.ndarray) -> Callable:
-    """Sets to packed rows: ties found here, and for each bucket of first shingles (hash, least class)."""
+def _tie_side(spec: JoinSpec, bits: int) -> Callable:
+    """Sets to packed rows: ties found here, and for each bucket of hashes of parts (hash, least class)."""
 
     def run(batches):
+        bounds = size_bounds(spec.percent)
         sigs, whos, waiting = [], [], 0
 
         def flush():
@@ -314,7 +327,9 @@ def _tie_side(spec: JoinSpec, bits: int, frequent: np.ndarray, rank: np.ndarray)
 
         for pdf in batches:
             for k, sh in zip(pdf["who"], pdf["sh"], strict=True):
-                h = first_shingles(np.frombuffer(sh, np.uint64), spec.percent, frequent, rank)
+                h = part_hashes(np.frombuffer(sh, np.uint64), bounds, spec.percent)
+                if not len(h):
+                    continue
                 sigs.append(h)
                 whos.append(np.full(len(h), k, np.int64))
                 waiting += len(h)
@@ -487,12 +502,7 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     reps = classes.where("alive").select("ka", "kb", "cid", "rep", "size")
     texts = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "ka", "kb", "cid", "size")
     sets = cut(texts.mapInPandas(sets_of, "who long, cid string, size long, sh binary"))
-    often = sets.select("sh").mapInPandas(_frequent_side, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(spec.frequent).collect()
-    # Of the most frequent shingles, a bounded number: sorted by hash, with their rank from the rarest on.
-    frequent = np.array([r["h"] for r in often], np.int64).view(np.uint64)
-    by_hash = np.argsort(frequent)
-    frequent, rank = frequent[by_hash], (len(often) - by_hash).astype(np.int64)
-    tied = sets.select("who", "sh").mapInPandas(_tie_side(spec, bits, frequent, rank), "bucket int, sig binary, who binary, ties binary")
+    tied = sets.select("who", "sh").mapInPandas(_tie_side(spec, bits), "bucket int, sig binary, who binary, ties binary")
     places = connected_components(tied.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_reduce_side, "a long, b long"))
     widths = sets.select("who", "size").join(places, F.col("who") == F.col("node")).groupBy("root").agg(F.sum("size").alias("width"))
     widths = widths.withColumn("blocks", F.ceil(F.col("width") / spec.block_shingles).cast("int"))
