@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathomline.llm import tokens
 from fathomline.llm.shared import small_batches
 
 UNDEFINED = "und"
@@ -190,6 +191,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
         if 0 not in loaded:
+            tokens.forget()
             languages, bits, sizes, idf, at, w, bias, temperature = sent.value
             weights = np.zeros((1 << bits, len(languages)))
             weights[at] = w

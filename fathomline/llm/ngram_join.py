@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm import tokens
 from fathomline.llm.shared import connected_components, cut, mix64, shuffle_partitions, small_batches
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -210,6 +211,7 @@ def _count_side(spec: JoinSpec, bits: int) -> Callable:
     def run(batches):
         from pyspark import TaskContext
 
+        tokens.forget()
         part = TaskContext.get().partitionId()
         sets: list[np.ndarray] = []
         docs: list[tuple] = []

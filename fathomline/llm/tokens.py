@@ -100,6 +100,12 @@ def encoder(path: str) -> WordEncoder:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drops the words that this worker remembers: workers outlive a stage, and the next operator needs the memory."""
+    for e in _loaded.values():
+        e.known.clear()
+
+
 def encoded(path: str, texts: Iterator[str | None]) -> Iterator[bytes]:
     """The ids of each text (null: none) followed by END_ID, in the order given."""
     encode, end = encoder(path).encode, _bytes([END_ID])
