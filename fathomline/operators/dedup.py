@@ -29,19 +29,38 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """Pairs with a token Jaccard of ``threshold`` or more.
+    """Pairs with a token Jaccard of ``threshold`` or more."""
+    return _pairs_of_sets(df.select(F.col(key).alias("id"), tokens(F.col(text)).alias("set")).where("size(set) > 0"), threshold)
 
-    Prefix filter: a pair must share one of the rarest tokens of either side, so that the join is an equality on
-    tokens and only candidates are compared.
+
+def similar_classes(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """As similar_pairs, with rows of equal token sets as one class, named by its smallest key.
+
+    Rows are the pairs of similar classes, and each further row of a class beside the class's name (Jaccard 1): a pair
+    is similar if its classes are equal or paired. A group of copies takes as many rows as it has members.
+    """
+    sets = df.where(F.col(text).rlike(r"\S")).select(F.col(key).alias("id"), tokens(F.col(text)).alias("set"))
+    named = sets.select("id", F.sha2(F.array_join(F.array_sort("set"), " "), 256).alias("class"))
+    first = named.groupBy("class").agg(F.min("id").alias("id_a"))
+    one_each = sets.groupBy(F.sha2(F.array_join(F.array_sort("set"), " "), 256).alias("class")).agg(F.min("id").alias("id"), F.first("set").alias("set"))
+    copies = named.withColumnRenamed("id", "id_b").join(first, "class").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("jaccard"))
+    return _pairs_of_sets(one_each.select("id", "set"), threshold).unionByName(copies)
+
+
+def _pairs_of_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """Prefix filter: a pair must share one of the rarest tokens of either side, so that the join is an equality on
+    tokens and only candidates are compared; the places of the first shared token bound what can be shared after it.
+    Tokens are hashed up to there: two of one hash can only add candidates.
     """
-    sets = df.select(F.col(key).alias("id"), tokens(F.col(text)).alias("set")).where("size(set) > 0")
-    one = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("token"))
+    low = threshold - 1e-6  # Jaccards are rounded to six places
+    one = sets.select("id", F.size("set").alias("n"), F.explode(F.transform("set", lambda t: F.xxhash64(t))).alias("token"))
     rare = one.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "token")
-    prefix = one.join(rare, "token").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("token", "id", "n")
+    prefix = one.join(rare, "token").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(low) * F.col("n")) + 1).select("token", "id", "n", "r")
     a, b = prefix.alias("a"), prefix.alias("b")
-    cond = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n"))
-    cand = a.join(b, cond).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    near = (F.col("a.n") >= F.lit(low) * F.col("b.n")) & (F.col("b.n") >= F.lit(low) * F.col("a.n"))
+    enough = F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) + 1 >= F.lit(low / (1 + low)) * (F.col("a.n") + F.col("b.n"))
+    cand = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & near & enough).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
     left = sets.select(F.col("id").alias("id_a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("id_b"), F.col("set").alias("sb"))
     out = cand.join(left, "id_a").join(right, "id_b").withColumn("jaccard", F.round(jaccard(F.col("sa"), F.col("sb")), 6))

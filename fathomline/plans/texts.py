@@ -311,6 +311,16 @@ def dedup_jaccard_pairs(spark, sf):
     return dedup.similar_pairs(table(spark, sf, "documents").where("lang = 'es'"), "doc_id", "text", 0.7)
 
 
+@query(
+    r"""WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))) AS s FROM documents),
+c AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS id FROM t WHERE len(s) > 0), o AS (SELECT id, len(s) AS n, unnest(s) AS token FROM c WHERE doc_id = id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard FROM o a JOIN o b ON a.token = b.token AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b, jaccard FROM p WHERE jaccard >= 0.7 UNION ALL SELECT id, doc_id, 1.0::DOUBLE FROM c WHERE doc_id > id"""
+)
+def dedup_jaccard_all(spark, sf):
+    return dedup.similar_classes(table(spark, sf, "documents"), "doc_id", "text", 0.7)
+
+
 @query()
 def dedup_clusters(spark, sf):
     d = table(spark, sf, "documents").withColumn("confidence", (F.col("n_chars") % 100).cast("double"))

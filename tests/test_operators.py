@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import text as tx
 from fathomline.operators import charts, dedup, diffusion, evaluate, index, memory, products, relational, rules, store, taxonomy, trajectory, translate, windows
+from fathomline.plans import catalogue
 from fathomline.plans.texts import SAMPLE
 from fathomline.sources import readers, writers
 
@@ -173,6 +174,28 @@ def test_index_bounds(spark):
     assert all(0 <= r[f] <= 1 for f in (*index.FACTORS, "disclosure_index")) and r["tone"] == 1.0 and r["depth"] == 0.4 and r["specificity"] == 0.5 and r["breadth"] == 0.25
 
 
+def test_similar_classes_are_all_pairs_of_all_languages(spark, tmp_path):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(5, 20))] for _ in range(12)]
+    texts = [" ".join(w if rng.random() > 0.1 else f"x{rng.randrange(9)}" for w in rng.choice(base)) for _ in range(120)]
+    texts += [t.upper() for t in texts[:30]] + ["same again"] * 20 + ["", " ", None]
+    rows = [(i, t, ("en", "fr", "de", "es", None)[i % 5]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id int, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["id_a"], r["id_b"], r["jaccard"]) for r in catalogue.QUERIES["dedup_jaccard_all"](spark, str(tmp_path)).collect()]
+    sets = {i: frozenset(t.lower().split()) for i, t, _ in rows if t and t.strip()}
+    first = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    heads = sorted(first.values())
+    want = [(first[s], i, 1.0) for i, s in sets.items() if first[s] < i]
+    want += [(a, b, j) for a in heads for b in heads if a < b and (j := round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) >= 0.7]
+    assert sorted(got) == sorted(want) and len(want) > len(sets) - len(heads)
+    paired = {(a, b) for a, b, _ in got} | {(a, a) for a in heads}
+    alike = {(a, b) for a in sets for b in sets if a < b and round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) >= 0.7}
+    name = {i: first[s] for i, s in sets.items()}
+    assert alike == {(a, b) for a in sets for b in sets if a < b and tuple(sorted((name[a], name[b]))) in paired}
+    lang = {i: x for i, _, x in rows}
+    assert any(lang[a] != lang[b] for a, b, _ in got) and any(lang[a] is None for a, _, _ in got)
+
+
 def test_greedy_clusters_equal_a_plain_loop(spark):
     rng = random.Random(2)
     rows = [(g, i, " ".join(rng.choice("abcdef") for _ in range(4)), rng.choice([0.1, 0.5, 0.9])) for g in "xy" for i in range(60)]
