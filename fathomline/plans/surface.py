@@ -137,7 +137,17 @@ def json_dims(spark, sf):
     f"""WITH {REFS_SQL} SELECT company, year, text, sentiment, strength, category_a AS A, 0.5::DOUBLE AS "A Confidence", CASE WHEN pages > 25 THEN category_b END AS B, CASE WHEN pages > 25 THEN 0.25::DOUBLE END AS "B Confidence", CAST(pages AS VARCHAR) AS pages_identified, 0 AS occurrences, industry, product AS context FROM refs WHERE company < 20"""
 )
 def export_sheet(spark, sf):
-    r = references(spark, sf).where("company < 20")
+    return _sheet(references(spark, sf).where("company < 20"))
+
+
+@query(
+    f"""WITH {REFS_SQL} SELECT company, year, text, sentiment, strength, category_a AS A, 0.5::DOUBLE AS "A Confidence", CASE WHEN pages > 25 THEN category_b END AS B, CASE WHEN pages > 25 THEN 0.25::DOUBLE END AS "B Confidence", CAST(pages AS VARCHAR) AS pages_identified, 0 AS occurrences, industry, product AS context FROM refs"""
+)
+def export_sheet_all(spark, sf):
+    return _sheet(references(spark, sf))
+
+
+def _sheet(r):
     dims = writers.dimension_json([("A", F.col("category_a"), F.lit(0.5)), ("B", F.when(F.col("pages") > 25, F.col("category_b")), F.lit(0.25))])
     return writers.reference_sheet(r.select("company", "year", "industry", "sentiment", "strength", "text", F.col("product").alias("context"), F.col("pages").alias("page"), dims.alias("dimensions")), ["A", "B"])
 

@@ -241,6 +241,12 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.gold_fragments(spark.createDataFrame([("t",)], "text string")).first()["label"] == 1
 
 
+def test_export_takes_all_references(spark):
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES["export_sheet_all"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() and got.where("company >= 20").count() > 0
+
+
 def test_translation(spark):
     df = spark.createDataFrame([("hallo", "de"), ("", "de"), (None, "fr")], "t string, l string")
 
