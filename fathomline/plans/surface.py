@@ -63,7 +63,19 @@ def join_missing_in_any(spark, sf):
 )
 def join_latest_backfill(spark, sf):
     e = table(spark, sf, "events")
-    t = e.where("value < 5").select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("props"))
+    return _backfilled(e.where("value < 5"), e)
+
+
+@query(
+    "WITH s AS (SELECT user_id, event_type, arg_max(props, event_id) AS props FROM events GROUP BY ALL), t AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 2 = 0 THEN props END AS props FROM events) SELECT event_id, coalesce(t.props, s.props) AS props FROM t LEFT JOIN s USING (user_id, event_type)"
+)
+def join_latest_backfill_all(spark, sf):
+    e = table(spark, sf, "events")
+    return _backfilled(e, e)
+
+
+def _backfilled(t, e):
+    t = t.select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("props"))
     return relational.backfilled(t, e, ["user_id", "event_type"], "event_id", "props").select("event_id", "props")
 
 

@@ -267,6 +267,14 @@ def test_joins_and_stores_with_nulls(spark):
     assert (r["l"], r["lk"], r["f"]) == (None, "b", "b")
 
 
+def test_backfill_takes_all_events(spark):
+    sf = "/root/testdata/sf0.001"
+    e = {r["event_id"]: r for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    latest = {(r["user_id"], r["event_type"]): r["props"] for _, r in sorted(e.items()) if r["props"] is not None}
+    got = {r["event_id"]: r["props"] for r in catalogue.QUERIES["join_latest_backfill_all"](spark, sf).collect()}
+    assert got == {i: r["props"] if i % 2 == 0 and r["props"] is not None else latest.get((r["user_id"], r["event_type"])) for i, r in e.items()}
+
+
 def test_evaluation_guards_empty_ratios(spark):
     df = spark.createDataFrame([(0, 0)], "label int, predicted int")
     r = evaluate.confusion(df, "label", "predicted").first()
