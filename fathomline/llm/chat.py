@@ -21,9 +21,10 @@ from pyspark.sql import types as T
 class Layout:
     """Where the canonical parts of a record are.
 
-    items: the path of an array of turns, or None. role, text: fields of a turn. fixed: (role, path) pairs
-    for records with one field for each turn; further paths in a tuple are joined by a blank line, empty ones left
-    out. roles: renames of roles.
+    paths: those that a record must have; it may have others. items: the path of an array of turns, or None.
+    role, text: fields of a turn. fixed: (role, path) pairs for records with one field for each turn; further paths
+    in a tuple are joined by a blank line, empty ones left out. roles: renames of roles. turn: for records that are
+    one turn each, the field with its place.
     """
 
     name: str
@@ -33,6 +34,7 @@ class Layout:
     text: str = "content"
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
+    turn: str | None = None
 
 
 #: Layouts known at the start; callers may pass more.
@@ -43,9 +45,14 @@ LAYOUTS = (
     Layout("instruction_only", ("instruction", "output"), fixed=(("user", ("instruction",)), ("assistant", ("output",)))),
     Layout("messages", ("messages[].content", "messages[].role"), items="messages"),
     Layout("conversations", ("conversations[].from", "conversations[].value"), items="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"))),
+    Layout("row", ("role", "text", "turn"), text="text", turn="turn"),
 )
 
 
+#: Fingerprints that a worker remembers.
+MOST_KNOWN = 10_000
+
+
 def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
     """A hash of the set of field paths, whatever their order."""
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
@@ -60,8 +67,28 @@ def field_paths(value: object, prefix: str = "") -> list[str]:
     return [prefix]
 
 
+def _fits(layout: Layout, paths: set[str]) -> bool:
+    """All of the layout's paths are there and are leaves, and its items are objects."""
+    if not paths.issuperset(layout.paths) or any(p.startswith((f"{q}.", f"{q}[")) for p in paths for q in layout.paths):
+        return False
+    return layout.items is None or all(p.startswith(f"{layout.items}[].") for p in paths if p == layout.items or p.startswith(f"{layout.items}["))
+
+
+def layout_of(paths: list[str], layouts: tuple[Layout, ...], known: dict[str, Layout | None]) -> Layout | None:
+    """The layout of these paths' fingerprint: of those that fit the one with the most paths, then the first. ``known`` remembers fingerprints."""
+    mark = fingerprint(paths)
+    if mark not in known:
+        if len(known) >= MOST_KNOWN:
+            known.clear()
+        known[mark] = max((x for x in layouts if _fits(x, set(paths))), key=lambda x: len(x.paths), default=None)
+    return known[mark]
+
+
 def _turns(record: dict, layout: Layout) -> list[tuple[str, str]]:
     rename = dict(layout.roles)
+    if layout.turn is not None:
+        role, said = (str(record.get(x) or "") for x in (layout.role, layout.text))
+        return [(rename.get(role, role), said)]
     if layout.items is not None:
         return [(rename.get(t.get(layout.role) or "", t.get(layout.role) or ""), t.get(layout.text) or "") for t in record.get(layout.items) or []]
     return [(role, "\n\n".join(str(record.get(p) or "") for p in paths if record.get(p) or len(paths) == 1)) for role, paths in layout.fixed]
@@ -71,11 +98,11 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, c
     """conv_id, turn, role, text of records that are JSON texts of any known layout.
 
     A null or malformed record, one that is no object, and one of no known layout give no turn; they can be
-    counted with :func:`unmapped`. Null fields are empty texts.
+    counted with :func:`unmapped`. Null fields are empty texts; fields that the layout does not name are ignored.
     """
-    known = {fingerprint(x.paths): x for x in layouts}
 
     def run(batches):
+        known: dict[str, Layout | None] = {}
         for pdf in batches:
             rows = []
             for cid, text in zip(pdf["conv_id"].astype("Int64"), pdf["record"], strict=True):
@@ -83,27 +110,44 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, c
                     value = json.loads(text) if text else None
                 except ValueError:
                     value = None
-                layout = known.get(fingerprint(field_paths(value))) if isinstance(value, dict) else None
+                layout = layout_of(field_paths(value), layouts, known) if isinstance(value, dict) else None
                 if layout:
-                    rows += [(cid, i, r, t) for i, (r, t) in enumerate(_turns(value, layout))]
+                    at = value.get(layout.turn) if layout.turn is not None else 0
+                    first = int(at) if isinstance(at, int) else None
+                    rows += [(cid, first if first is None else first + i, r, t) for i, (r, t) in enumerate(_turns(value, layout))]
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
 
     return records.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(record).alias("record")).mapInPandas(run, "conv_id long, turn long, role string, text string")
 
 
+def table_turns(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, conv_id: str = "conv_id") -> DataFrame:
+    """conv_id, turn, role, text of a table with a row for each turn: its columns' fingerprint selects the layout, for all rows at once.
+
+    Null roles and texts stay null; a table that no layout of single turns fits is refused.
+    """
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    paths = [f"{x.name}[]" if isinstance(x.dataType, nested) else x.name for x in rows.schema if x.name != conv_id]
+    layout = layout_of(paths, tuple(x for x in layouts if x.turn is not None), {})
+    if layout is None:
+        raise ValueError(f"no layout fits the columns {', '.join(rows.columns)}")
+    role = F.col(layout.role)
+    renamed = F.coalesce(*[F.when(role == a, F.lit(b)) for a, b in layout.roles], role)
+    return rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(layout.turn).cast("long").alias("turn"), renamed.alias("role"), F.col(layout.text).alias("text"))
+
+
 def unmapped(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, record: str = "record") -> DataFrame:
     """The records that no layout fits, with their fingerprint (null where they are no objects)."""
-    known = {fingerprint(x.paths) for x in layouts}
+    known: dict[str, Layout | None] = {}
 
-    @F.udf("string")
+    @F.udf("fingerprint string, fits boolean")
     def print_of(text):
         try:
             value = json.loads(text) if text else None
         except ValueError:
             value = None
-        return fingerprint(field_paths(value)) if isinstance(value, dict) else None
+        return (fingerprint(paths := field_paths(value)), layout_of(paths, layouts, known) is not None) if isinstance(value, dict) else (None, False)
 
-    return records.withColumn("fingerprint", print_of(F.col(record))).where(F.col("fingerprint").isNull() | ~F.col("fingerprint").isin(list(known)))
+    return records.withColumn("fingerprint", print_of(F.col(record))).where("not fingerprint.fits").withColumn("fingerprint", F.col("fingerprint.fingerprint"))
 
 
 #: The template's control strings.

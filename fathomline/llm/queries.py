@@ -44,7 +44,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, f'{{"prompt": "{said}", "response": "{said}"}}')], "conv_id long, record string")
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(chat.canonical_turns(extra))
+    turns = chat.table_turns(_read(spark, sf_dir, "conversations")).union(chat.canonical_turns(extra))
     return chat.digest_segments(chat.format_turns(turns))
 
 

@@ -228,6 +228,24 @@ def test_layouts(spark):
     assert sorted(r["conv_id"] for r in chat.unmapped(df).collect()) == [6, 7, 8, 9]
 
 
+def test_layouts_ignore_other_fields_and_take_rows(spark):
+    rows = [
+        (1, '{"id": 7, "prompt": "p", "response": "r"}'), (2, '{"messages": [{"role": "user", "content": "c", "name": "n"}], "meta": {"a": [1]}}'), (3, '{"turn": 4, "role": "user", "text": "t", "extra": null}'),
+        (4, '{"messages": [{"role": "user", "content": [{"text": "x"}]}, {"role": "user", "content": "c"}]}'), (5, '{"messages": ["x", {"role": "user", "content": "c"}]}'), (6, '{"output": "o", "instruction": "i", "input": "n", "id": 1}'),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, record string")
+    got = sorted(tuple(r) for r in chat.canonical_turns(df).collect())
+    assert got == [(1, 0, "user", "p"), (1, 1, "assistant", "r"), (2, 0, "user", "c"), (3, 4, "user", "t"), (6, 0, "user", "i\n\nn"), (6, 1, "assistant", "o")]
+    assert sorted(r["conv_id"] for r in chat.unmapped(df).collect()) == [4, 5]
+    table = spark.createDataFrame([(1, 0, "human", "t", "x"), (None, None, None, None, None)], "conv_id long, turn int, role string, text string, more string")
+    assert sorted(map(tuple, chat.table_turns(table).collect()), key=str) == [(1, 0, "human", "t"), (None, None, None, None)]
+    other = chat.Layout("said", ("n", "who", "said"), role="who", text="said", turn="n", roles=(("human", "user"),))
+    renamed = table.toDF("conv_id", "n", "who", "said", "more")
+    assert {tuple(r) for r in chat.table_turns(renamed, (*chat.LAYOUTS, other)).collect()} == {(1, 0, "user", "t"), (None, None, None, None)}
+    with pytest.raises(ValueError, match="no layout"):
+        chat.table_turns(renamed)
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(10**9, None, "xx"), (10**9 + 1, "", "xx"), (10**9 + 2, "123 !?", None), (None, "the of and", None)], "doc_id long, text string, lang string")
