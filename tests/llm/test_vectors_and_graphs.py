@@ -87,6 +87,22 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_alias_links_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.org/a/b?q=1#f", "https://h.org", "http://h.org/a/b/"]
+    hrefs = ["/x", "//o.net/x?y", "x", "../x", "./x/../y/", "../../../x", "?z=1", "http://o.net/x", "/a/./b/..", "x?u=../v", "."]
+    rows = [(b, f"<LINK REL='alternate cAnonical' href='{h}'>") for b in bases for h in hrefs]
+    want = [(b, urljoin(b, h)) for b in bases for h in hrefs]
+    rows += [("http://h.org/1", '<link rel=canonical href=/2><link href="3" rel="canonical"/>'), ("http://h.org/4", '<META HTTP-EQUIV="rEfResh" content="0; URL=/5">'), ("http://h.org/6", '<base href="/deep/"><link rel="canonical" href="7">')]
+    want += [("http://h.org/1", "http://h.org/2"), ("http://h.org/1", "http://h.org/3"), ("http://h.org/4", "http://h.org/5"), ("http://h.org/6", "http://h.org/deep/7")]
+    rows += [("http://h.org/8", x) for x in ('<link rel="canonical-not" href="/9">', '<link rel="canonical" href="mailto:a@b">', '<link rel="canonical" href="#top">', '<link rel="icon" href="/canonical">')] + [("no scheme", '<link rel="canonical" href="/9">')]
+    got = url_filter.alias_links(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    page = spark.createDataFrame([(1, "http://b.org/1", '<link rel="canonical" href="//b.net/z">')], "page_id long, url string, html string")
+    assert url_filter.judge_urls(page, [url_filter.UrlRule("block", "net")]).first()["verdict"] == "block"
+
+
 def sets_of(text, words):
     w = [] if text is None else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     import re
