@@ -555,6 +555,12 @@ def _between_blocks(sets: DataFrame, links: DataFrame, search: Callable, spec: J
 
 
 def one_of_each(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, the one that names it; rows of equal doc_id are all kept or all dropped."""
+    """``docs`` with one row of each component, one with its smallest doc_id (null last); rows that repeat a doc_id are documents of their own."""
+    if not docs.groupBy(doc_id).count().where("count > 1").isEmpty():
+        rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+        of = jaccard_components(rows, spec, "__row", text).select(F.col("doc_id").alias("__row"), "component_id")
+        named = rows.select("__row", F.col(doc_id).cast("long").alias("__id")).join(of, "__row")
+        first = named.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first"))
+        return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     kept = jaccard_components(docs, spec, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi")

@@ -167,6 +167,14 @@ def test_ngram_join_keeps_one_of_each(spark):
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_ngram_join_keeps_one_of_each_where_ids_repeat(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (2, "p q r s t"), (7, "p q r s t"), (1, "p q r s t"), (None, "z z"), (None, "z z"), (3, None), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit("x")).repartition(3)
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, "a b c d e"), (1, "p q r s t"), (None, "z z"), (3, None), (3, None)], key=str)
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90])
 def test_part_hashes_meet_whenever_sets_can_be_linked(percent):
     rng = np.random.default_rng(5)
