@@ -33,6 +33,7 @@ class KnnSpec:
     group_queries: int = 2048
     chunk_rows: int = 8192
     scale: float = 64.0
+    max_lengths: int = 4096
 
 
 def grid_vectors(df: DataFrame, spec: KnnSpec, vec_id: str, embedding: str) -> DataFrame:
@@ -89,12 +90,16 @@ def top_k(df: DataFrame, is_query: Column, spec: KnnSpec = KnnSpec(), vec_id: st
     """query_id, rank (from 1), vec_id, score: the k best rows for each query row, ties to the smaller vec_id.
 
     ``is_query`` is a condition on ``vec_id``. A query finds only vectors of its own length, never itself;
-    where fewer than k take part, all are returned. No query, or an empty table, gives no row.
+    where fewer than k take part, all are returned. No query, or an empty table, gives no row. Queries of more
+    than ``max_lengths`` different lengths are refused, as each length is a search of its own.
     """
     spark = df.sparkSession
     vectors = cut(grid_vectors(df, spec, vec_id, embedding).withColumn("is_query", F.coalesce(is_query, F.lit(False))))
+    dims = vectors.where("is_query").select("dim").distinct().limit(spec.max_lengths + 1).collect()
+    if len(dims) > spec.max_lengths:
+        raise ValueError(f"queries of more than {spec.max_lengths} lengths")
     out = None
-    for (dim,) in vectors.where("is_query").select("dim").distinct().limit(4097).collect():
+    for (dim,) in dims:
         part = _top_k_of(vectors.where(F.col("dim") == dim), spec)
         out = part if out is None else out.union(part)
     if out is None:

@@ -45,6 +45,13 @@ def test_knn_large_components_and_empty(spark):
     assert knn.top_k(spark.createDataFrame([], VEC), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_knn_refuses_queries_of_too_many_lengths(spark):
+    df = spark.createDataFrame([(20 * n + i, [1.0] * (n + 1)) for n in range(4) for i in range(2)], VEC)
+    assert {r["query_id"] for r in knn.top_k(df, F.col("vec_id") % 20 == 0, knn.KnnSpec(max_lengths=4)).collect()} == {0, 20, 40, 60}
+    with pytest.raises(ValueError, match="3 lengths"):
+        knn.top_k(df, F.col("vec_id") % 20 == 0, knn.KnnSpec(max_lengths=3))
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(5, 5), (7, 6), (None, 3)]
