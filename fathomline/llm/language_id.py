@@ -24,7 +24,7 @@ UNDEFINED = "und"
 
 @dataclass(frozen=True)
 class FitSpec:
-    """max_rows: labelled rows that the fit uses at most, in equal parts for each language; max_languages: languages at most (the most frequent);
+    """max_rows: labelled rows that the fit uses at most, in equal parts for each language; max_languages: documents of more languages are refused, as the model's table grows with them;
     bits: of the hashed feature space; sizes: lengths of the n-grams; alpha, beta, l1, l2: of FTRL-proximal;
     held: every so-manieth row of the sample is left out of the training and used for the temperature."""
 
@@ -169,12 +169,13 @@ def fit_sample(docs: DataFrame, spec: FitSpec = FitSpec(), doc_id: str = "doc_id
     """Fits on at most ``max_rows`` documents, as many of each language where there are, those with the smallest hashes of their ids, none held out."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
     ids = rows.select(F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("h"))
-    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(spec.max_languages).collect()
+    counts = ids.select("lang").distinct().limit(spec.max_languages + 1).collect()
+    if len(counts) > spec.max_languages:
+        raise ValueError(f"more than {spec.max_languages} languages")
     # Ids alone are ranked; texts are read for the chosen ones.
     per_language = max(1, spec.max_rows // max(1, len(counts)))
-    picked = ids.where(F.col("lang").isin([r["lang"] for r in counts])) if counts else ids.limit(0)
     w = Window.partitionBy("lang").orderBy("h")
-    edges = picked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()
+    edges = ids.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()
     wanted = functools.reduce(lambda a, b: a | b, [(F.col(lang) == e["lang"]) & (F.xxhash64(doc_id) <= e["h"]) for e in edges], F.lit(False))
     sample = rows.where(wanted).select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang")).limit(2 * spec.max_rows).collect()
     sample.sort(key=lambda r: (r["h"], r["lang"], r["text"]))

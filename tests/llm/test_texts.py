@@ -262,6 +262,13 @@ def test_language_id(spark):
     assert language_id.identify(both.limit(5), empty).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_more_languages_than_can_be_learned_are_refused(spark):
+    docs = spark.createDataFrame([(i, "a text", f"l{i % 5}") for i in range(100)], "doc_id long, text string, lang string")
+    assert len(language_id.fit_sample(docs, language_id.FitSpec(max_languages=5)).languages) == 5
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        language_id.fit_sample(docs, language_id.FitSpec(max_languages=4))
+
+
 def test_ngrams_of_long_texts_are_counted_once():
     text = " ".join(random.Random(1).choice(["abc", "xy", "ü"]) for _ in range(500))
     whole, parts = language_id.ngram_counts(text, 12, (1, 2, 3)), language_id.ngram_counts(text, 12, (1, 2, 3), step=37)
