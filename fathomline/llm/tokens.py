@@ -2,12 +2,15 @@
 
 A byte-level BPE splits at every single space or line feed that stands between two other characters: what
 lies on either side is encoded independently. So a text whose only white space is of that kind is encoded
-word by word, and each distinct word once per worker; any other text is encoded as a whole. The ids are
-those of the library on the whole text either way (tests compare them).
+word by word, and each distinct word once per worker; any other text is encoded as a whole, and so are texts
+that hold a string of an added token, and all texts where the file describes another kind of tokenizer. The ids
+are those of the library on the whole text either way (tests compare them with a fresh object of the library);
+strings of added tokens get the ids that the file gives them, as in the library's own defaults.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 from array import array
 from collections.abc import Iterator
@@ -64,6 +67,14 @@ class _Known(dict):
         return out
 
 
+def splits_at_plain_spaces(description: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE without normalisation, whose pieces never cross a single space or line feed."""
+    pre, model = description.get("pre_tokenizer") or {}, description.get("model") or {}
+    byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return bool(byte_level and plain) and description.get("normalizer") is None
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -74,7 +85,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.by_word = splits_at_plain_spaces(json.load(f))
+        self.added = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
         self.known = _Known(self.lib)
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -90,7 +103,7 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        u = self.units(text)
+        u = self.units(text) if self.by_word and not any(x in text for x in self.added) else None
         return self.whole([text])[0] if u is None else b"".join(map(self.known.__getitem__, u))
 
 

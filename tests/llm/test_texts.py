@@ -128,13 +128,27 @@ def test_word_encoder_equals_the_library():
     rng = random.Random(4)
     parts = ["a", "B", " ", "\n", " 's", "'s", "'ll", "é", "1", "23", "!", "..", ",", "\t", "\xa0", "\x1c", "漢", "<|endoftext|>", "\x85", "  ", "\r\n", "🎉", "I'm", "word", "ſ", "́"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)] + ["", "plain words here, and there.\nNext line"]
-    enc = encoder(default_tokenizer())
-    assert list(encoded(default_tokenizer(), iter(texts))) == [x + b"\0\0\0\0" for x in enc.whole(texts)]
+    texts += ["hello <|endoftext|> x", "a<|endoftext|>b c", "one <|endoftext|>\ntwo <|endoftext", "<|endoftext|>" * 3]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoded(default_tokenizer(), iter(texts))] == whole_ids(texts)
+    assert 50256 in whole_ids(texts[-4:-3])[0]
+
+
+def test_other_kinds_of_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Plain words here, and there.\nNext line", "", "A  B"]
+    assert not encoder(path).by_word and encoder(default_tokenizer()).by_word
+    assert [np.frombuffer(encoder(path).encode(t), "<u4").tolist() for t in texts] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def whole_ids(texts):
-    enc = encoder(default_tokenizer())
-    return [np.frombuffer(x, "<u4").tolist() + [0] for x in enc.whole([t or "" for t in texts])]
+    """By the library alone, as an object of its own."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(default_tokenizer())
+    return [lib.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
 
 
 @pytest.mark.parametrize("frame_ids", [1 << 20, 50])
