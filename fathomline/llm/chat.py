@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -55,50 +56,81 @@ MOST_KNOWN = 10_000
 
 def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
     """A hash of the set of field paths, whatever their order."""
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-def field_paths(value: object, prefix: str = "") -> list[str]:
-    """The paths of all leaves of a parsed record; ``[]`` stands for the items of an array."""
-    if isinstance(value, dict):
-        return [p for k, v in value.items() for p in field_paths(v, f"{prefix}.{k}" if prefix else k)]
-    if isinstance(value, list):
-        return [p for v in value for p in field_paths(v, f"{prefix}[]")]
-    return [prefix]
+def field_paths(value: object) -> list[str]:
+    """The paths of all leaves of a parsed record; ``[]`` stands for the items of an array, ``[0]`` for one without any, ``{}`` for an object without fields.
+
+    Walked with a stack of its own, so that nesting of any depth is read.
+    """
+    out, open_ = [], [("", value)]
+    while open_:
+        prefix, v = open_.pop()
+        if isinstance(v, dict) and v:
+            open_ += [(f"{prefix}.{k}" if prefix else k, x) for k, x in v.items()]
+        elif isinstance(v, list) and v:
+            open_ += [(f"{prefix}[]", x) for x in v]
+        else:
+            out.append(prefix + ("[0]" if isinstance(v, list) else "{}" if isinstance(v, dict) else ""))
+    return out
 
 
 def _fits(layout: Layout, paths: set[str]) -> bool:
-    """All of the layout's paths are there and are leaves, and its items are objects."""
-    if not paths.issuperset(layout.paths) or any(p.startswith((f"{q}.", f"{q}[")) for p in paths for q in layout.paths):
+    """All of the layout's paths are there and are leaves, and its items are objects; an empty array of items fits as well."""
+    if layout.items is not None and {p for p in paths if p == layout.items or p.startswith((f"{layout.items}[", f"{layout.items}."))} == {f"{layout.items}[0]"}:
+        return True
+    if not paths.issuperset(layout.paths) or any(p.startswith((f"{q}.", f"{q}[", f"{q}{{")) for p in paths for q in layout.paths):
         return False
     return layout.items is None or all(p.startswith(f"{layout.items}[].") for p in paths if p == layout.items or p.startswith(f"{layout.items}["))
 
 
 def layout_of(paths: list[str], layouts: tuple[Layout, ...], known: dict[str, Layout | None]) -> Layout | None:
-    """The layout of these paths' fingerprint: of those that fit the one with the most paths, then the first. ``known`` remembers fingerprints."""
+    """The layout of these paths' fingerprint: of those that fit one with turns, then the one with the most paths, then the first. ``known`` remembers fingerprints."""
     mark = fingerprint(paths)
     if mark not in known:
         if len(known) >= MOST_KNOWN:
             known.clear()
-        known[mark] = max((x for x in layouts if _fits(x, set(paths))), key=lambda x: len(x.paths), default=None)
+        known[mark] = max((x for x in layouts if _fits(x, set(paths))), key=lambda x: (set(paths).issuperset(x.paths), len(x.paths)), default=None)
     return known[mark]
 
 
+def _said(value: object) -> str:
+    """A leaf as text: null is empty, numbers and truth values are as in JSON, half of a surrogate pair is U+FFFD."""
+    if value is None:
+        return ""
+    out = value if isinstance(value, str) else json.dumps(value)
+    return out if out.isascii() else out.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def _turns(record: dict, layout: Layout) -> list[tuple[str, str]]:
     rename = dict(layout.roles)
     if layout.turn is not None:
-        role, said = (str(record.get(x) or "") for x in (layout.role, layout.text))
+        role, said = _said(record.get(layout.role)), _said(record.get(layout.text))
         return [(rename.get(role, role), said)]
     if layout.items is not None:
-        return [(rename.get(t.get(layout.role) or "", t.get(layout.role) or ""), t.get(layout.text) or "") for t in record.get(layout.items) or []]
-    return [(role, "\n\n".join(str(record.get(p) or "") for p in paths if record.get(p) or len(paths) == 1)) for role, paths in layout.fixed]
+        both = [(_said(t.get(layout.role)), _said(t.get(layout.text))) for t in record.get(layout.items) or []]
+        return [(rename.get(role, role), said) for role, said in both]
+    # Behind the first part empty ones are left out; a single part stays as it is.
+    return [(role, "\n\n".join(x for x in (_said(record.get(p)) for p in paths) if x)) for role, paths in layout.fixed]
+
+
+def _parsed(text: str | None) -> object:
+    """The JSON value of ``text``; None where it is none, or is nested deeper than the parser goes."""
+    try:
+        return json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
 
 
 def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, conv_id: str = "conv_id", record: str = "record") -> DataFrame:
     """conv_id, turn, role, text of records that are JSON texts of any known layout.
 
-    A null or malformed record, one that is no object, and one of no known layout give no turn; they can be
-    counted with :func:`unmapped`. Null fields are empty texts; fields that the layout does not name are ignored.
+    Null fields are empty texts, numbers and truth values their JSON text, fields that the layout does not name are
+    ignored; a turn that is no 64-bit whole number is null. A record without turns (an empty array), a null or
+    malformed one, one that is no object, one that is nested deeper than the parser goes, and one of no known layout
+    give no turn: :func:`unmapped` lists the last four kinds. Repeated records are turned into turns one by one; an
+    empty table gives an empty one; further columns are ignored.
     """
 
     def run(batches):
@@ -106,16 +138,14 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, c
         for pdf in batches:
             rows = []
             for cid, text in zip(pdf["conv_id"].astype("Int64"), pdf["record"], strict=True):
-                try:
-                    value = json.loads(text) if text else None
-                except ValueError:
-                    value = None
+                value = _parsed(text)
                 layout = layout_of(field_paths(value), layouts, known) if isinstance(value, dict) else None
                 if layout:
                     at = value.get(layout.turn) if layout.turn is not None else 0
-                    first = int(at) if isinstance(at, int) else None
+                    first = at if isinstance(at, int) and not isinstance(at, bool) and -(1 << 63) <= at < 1 << 63 else None
                     rows += [(cid, first if first is None else first + i, r, t) for i, (r, t) in enumerate(_turns(value, layout))]
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pd.DataFrame({"conv_id": pd.array(cols[0], "Int64"), "turn": pd.array(cols[1], "Int64"), "role": pd.Series(cols[2], dtype=object), "text": pd.Series(cols[3], dtype=object)})
 
     return records.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(record).alias("record")).mapInPandas(run, "conv_id long, turn long, role string, text string")
 
@@ -136,18 +166,23 @@ def table_turns(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, conv_id:
 
 
 def unmapped(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, record: str = "record") -> DataFrame:
-    """The records that no layout fits, with their fingerprint (null where they are no objects)."""
-    known: dict[str, Layout | None] = {}
+    """The records that no layout fits, with their fingerprint (null where they are no objects, or cannot be parsed).
 
-    @F.udf("fingerprint string, fits boolean")
-    def print_of(text):
-        try:
-            value = json.loads(text) if text else None
-        except ValueError:
-            value = None
-        return (fingerprint(paths := field_paths(value)), layout_of(paths, layouts, known) is not None) if isinstance(value, dict) else (None, False)
+    A column ``fingerprint`` of ``records`` is replaced.
+    """
+
+    @F.pandas_udf("fingerprint string, fits boolean")
+    def print_of(texts: pd.Series) -> pd.DataFrame:
+        known: dict[str, Layout | None] = {}
+        rows = []
+        for text in texts:
+            value = _parsed(text)
+            paths = field_paths(value) if isinstance(value, dict) else None
+            rows.append((None, False) if paths is None else (fingerprint(paths), layout_of(paths, layouts, known) is not None))
+        return pd.DataFrame(rows, columns=["fingerprint", "fits"])
 
-    return records.withColumn("fingerprint", print_of(F.col(record))).where("not fingerprint.fits").withColumn("fingerprint", F.col("fingerprint.fingerprint"))
+    judged = records.withColumn("fingerprint", print_of(F.col(record)))
+    return judged.where("not fingerprint.fits").withColumn("fingerprint", F.col("fingerprint.fingerprint"))
 
 
 #: The template's control strings.
@@ -173,50 +208,82 @@ def escaped(text: Column, control: tuple[str, ...] = CONTROL) -> Column:
 
 def unescape(text: str) -> str:
     """The inverse of :func:`escaped`."""
-    import re
-
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
 def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """The formatted text, a segment for each turn: conv_id, seq, formatted, loss_start, loss_end.
+    """The formatted text, a segment for each turn: conv_id, turn, formatted, loss_start, loss_end.
 
-    The segments of a conversation, joined in the order of seq, are its text; ``loss_start`` and ``loss_end``
-    (code points within the segment, equal where nothing counts) are the loss mask. Turns are in the order of
-    turn (null first), then of role and text, so ties have a defined order; a null role or text is empty; a
-    null conv_id is a conversation of its own; repeated rows are turns of their own.
+    The segments of a conversation, joined in the order of turn (null first), then of role and text, are its text; ``loss_start`` and ``loss_end`` (code points within the segment, equal where
+    nothing counts) are the loss mask. A null role or text is empty; a null conv_id is a conversation of its own;
+    repeated rows are turns of their own; an empty table gives an empty one; further columns are ignored.
     """
-    head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(BODY))
-    one = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    one = one.select("conv_id", F.struct("turn", "role", "text").alias("seq"), head.alias("__head"), escaped(F.col("text")).alias("__body"), F.col("role").isin(*loss_roles).alias("__loss"))
+    one = turns.select("conv_id", "turn", F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(BODY)).alias("__head"), escaped(F.col("text")).alias("__body"), F.coalesce(F.col("role").isin(*loss_roles), F.lit(False)).alias("__loss"))
     start = F.length("__head")
-    return one.select("conv_id", F.struct("seq.turn", "seq.role", "seq.text").alias("seq"), F.concat("__head", "__body", F.lit(END + "\n")).alias("formatted"), start.alias("loss_start"), (start + F.when(F.col("__loss"), F.length("__body")).otherwise(0)).alias("loss_end"))
+    return one.select("conv_id", "turn", F.concat("__head", "__body", F.lit(END + "\n")).alias("formatted"), start.alias("loss_start"), (start + F.when(F.col("__loss"), F.length("__body")).otherwise(0)).alias("loss_end"))
+
+
+#: A turn within a conversation's text: control strings cannot occur in roles and texts, so the next END ends it.
+_SEGMENT = re.compile(re.escape(TURN) + "(.*?)" + re.escape(BODY) + "(.*?)" + re.escape(END) + "\n", re.DOTALL)
+
+
+def parse_text(text: str, done: bool = True) -> tuple[list[tuple[str, str, int, int]], int]:
+    """The turns of a conversation's text, by its marks alone, and how many characters they take.
 
+    Each is (role, text, start and end of its escaped text). What is left over is refused if the text is ``done``.
+    """
+    out, at = [], 0
+    while m := _SEGMENT.match(text, at):
+        out.append((unescape(m[1]), unescape(m[2]), m.start(2), m.end(2)))
+        at = m.end()
+    if done and at < len(text):
+        raise ValueError("not a text of this template")
+    return out, at
+
+
+class _Digest:
+    """Digests of one conversation, read from its text as that grows."""
 
-SEGMENTS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("formatted", T.StringType()), T.StructField("loss_start", T.IntegerType()), T.StructField("loss_end", T.IntegerType())])
+    def __init__(self):
+        self.turns, self.said, self.loss_chars, self.loss, self.chars = 0, hashlib.sha256(), 0, hashlib.sha256(), 0
 
+    def read(self, text: str, mask: list[tuple[int, int]]) -> None:
+        """``text``: some whole turns; ``mask``: stretches of it under the loss mask, in order."""
+        for role, said, *_ in parse_text(text)[0]:
+            self.turns += 1
+            self.said.update(f"{role}\n{said}\n".encode())
+        for a, b in mask:
+            under = unescape(text[a:b])
+            self.loss_chars += len(under)
+            self.loss.update(under.encode())
+        self.chars += len(text)
 
-def parse_segment(formatted: str, loss_start: int, loss_end: int) -> tuple[str, str, str]:
-    """(role, text, text under the loss mask) of one segment."""
-    body = formatted.index(BODY)
-    role = unescape(formatted[len(TURN) : body])
-    text = unescape(formatted[body + len(BODY) : -len(END) - 1])
-    return role, text, unescape(formatted[loss_start:loss_end])
+
+#: Characters of a conversation's text that are joined before they are parsed, at least one turn.
+JOIN_CHARS = 1 << 20
 
 
 def digest_segments(segments: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted text alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """Per conversation, from its text and mask alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Segments are sorted by conversation and turn and streamed; digests are updated turn by turn, so that a
-    conversation of any length needs the memory of one batch.
+    Segments are sorted by conversation and turn and joined to the conversation's text, which is then parsed at its
+    marks, whatever segments it came from; stretches of ``JOIN_CHARS`` at a time, so that a conversation of any length
+    needs the memory of one batch. Turns of one number are in the order of role and text, which the sort reads from
+    the segments themselves, so that each text is shuffled once.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches):
-        now, state = object(), None
+        now, state, held, size, mask = object(), None, [], 0, []
+
+        def close():
+            nonlocal held, size, mask
+            if held:
+                state.read("".join(held), mask)
+            held, size, mask = [], 0, []
 
         def row():
-            return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+            return (now, state.turns, state.said.hexdigest(), state.loss_chars, state.loss.hexdigest(), state.chars)
 
         for pdf in batches:
             rows = []
@@ -224,19 +291,26 @@ def digest_segments(segments: DataFrame) -> DataFrame:
                 cid = None if cid is pd.NA else int(cid)
                 if state is None or cid != now:
                     if state is not None:
+                        close()
                         rows.append(row())
-                    now, state = cid, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, said, loss = parse_segment(text, a, b)
-                state[0] += 1
-                state[1].update(f"{role}\n{said}\n".encode())
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-                state[4] += len(text)
+                    now, state = cid, _Digest()
+                held.append(text)
+                if b > a:
+                    mask.append((size + a, size + b))
+                size += len(text)
+                if size >= JOIN_CHARS:
+                    close()
             yield _digests(rows)
         if state is not None:
+            close()
             yield _digests([row()])
 
-    return segments.select("conv_id", "seq", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "seq").select("conv_id", "formatted", "loss_start", "loss_end").mapInPandas(run, schema)
+    text = F.col("formatted")
+    body = F.instr(text, BODY)
+    role, said = F.substring(text, len(TURN) + 1, body - len(TURN) - 1), F.substring(text, body + len(BODY), F.length(text) - body - len(BODY) - len(END))
+    unescaped = lambda x: F.regexp_replace(x, r"\\(\\?)", "$1")
+    rows = segments.select("conv_id", "turn", "formatted", "loss_start", "loss_end")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", unescaped(role), unescaped(said)).select("conv_id", "formatted", "loss_start", "loss_end").mapInPandas(run, schema)
 
 
 def _digests(rows: list[tuple]) -> pd.DataFrame:

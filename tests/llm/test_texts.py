@@ -260,6 +260,36 @@ def test_layouts_ignore_other_fields_and_take_rows(spark):
         chat.table_turns(renamed)
 
 
+def test_hostile_records(spark):
+    deep = '{"messages": ' + "[" * 5000 + "]" * 5000 + "}"
+    rows = [
+        (1, '{"messages":[{"role":"user","content":5}, {"role":null,"content":true}]}'), (2, deep), (3, '{"prompt": "a\\ud800b", "response": "\\ud83c\\udf89"}'), (4, '{"messages": []}'), (5, '{"messages": [null]}'),
+        (6, '{"messages": {}}'), (7, '{"prompt": {}, "response": "r"}'), (8, '{"messages": [], "conversations": [{"from": "human", "value": "h"}]}'), (9, '{"turn": 9223372036854775807, "role": "user", "text": "x"}'), (9, '{"turn": true, "role": 1.5, "text": ""}'),
+        (None, '{"prompt": "p", "response": ""}'), (10, "{}"), (11, ""), (12, '{"prompt": "' + "x" * 300000 + '", "response": [1]}'),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, record string").withColumn("fingerprint", F.lit("clash")).withColumn("turn", F.lit("clash"))
+    got = sorted(map(tuple, chat.canonical_turns(df).collect()), key=str)
+    assert got == sorted([(1, 0, "user", "5"), (1, 1, "", "true"), (3, 0, "user", "a\ufffdb"), (3, 1, "assistant", "🎉"), (8, 0, "user", "h"), (9, 2**63 - 1, "user", "x"), (9, None, "1.5", ""), (None, 0, "user", "p"), (None, 1, "assistant", "")], key=str)
+    assert sorted(r["conv_id"] for r in chat.unmapped(df).collect()) == [2, 5, 6, 7, 10, 11, 12]
+    assert chat.canonical_turns(df.limit(0)).count() == 0 and chat.unmapped(df.limit(0)).count() == 0
+
+
+def test_digests_read_joined_texts(spark, monkeypatch):
+    turns = [("user", "a<|end|>\nb"), ("x<|turn|>", "\\"), ("assistant", "</s><|text|>")]
+    segments = ["".join([chat.TURN, e(r), chat.BODY, e(t), chat.END, "\n"]) for r, t in turns for e in [lambda s: spark.range(1).select(chat.escaped(F.lit(s))).first()[0]]]
+    text = "".join(segments)
+    assert [(r, t) for r, t, *_ in chat.parse_text(text)[0]] == turns
+    with pytest.raises(ValueError):
+        chat.parse_text(text + "more")
+    monkeypatch.setattr(chat, "JOIN_CHARS", 1)
+    one, many = chat._Digest(), chat._Digest()
+    mask = [x[2:] for x in chat.parse_text(text)[0] if x[0] == "assistant"]
+    one.read(text, mask)
+    for s in segments:
+        many.read(s, [(a, b) for r, _, a, b in chat.parse_text(s)[0] if r == "assistant"])
+    assert (one.said.hexdigest(), one.loss.hexdigest(), one.turns, one.chars) == (many.said.hexdigest(), many.loss.hexdigest(), 3, len(text))
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(10**9, None, "xx"), (10**9 + 1, "", "xx"), (10**9 + 2, "123 !?", None), (None, "the of and", None)], "doc_id long, text string, lang string")
