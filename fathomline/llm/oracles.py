@@ -54,6 +54,7 @@ WITH d AS (
     CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
     len(list_filter(ws, lambda x: lower(rtrim(x, '.,;:!?')) IN ({", ".join(_text(x) for x in dict.fromkeys(y for v in STOP_WORDS.values() for y in v))}))) AS n_stop_words,
+    CASE WHEN 2 * strlen(t) <= 3 * length(t) THEN len(ws) ELSE 0 END AS n_listed_words,
     length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS n_upper
   FROM w LEFT JOIN covered USING (rid)
 ), j AS (

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.shared import WORD_BREAKS
+from fathomline.llm.shared import WORD
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -19,6 +19,9 @@ STOP_WORDS = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "he", "this", "are", "or", "his", "from", "at", "which", "but", "have", "an", "had", "they", "you", "were", "their", "a"),
     "fr": ("le", "la", "les", "de", "des", "du", "et", "un", "une", "est", "que", "qui", "dans", "en", "pour", "par", "sur", "pas", "au", "ce", "il", "se", "ne", "plus", "avec"),
     "de": ("der", "die", "das", "und", "in", "den", "von", "zu", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es", "an", "er"),
+    "it": ("il", "lo", "gli", "di", "del", "della", "che", "non", "per", "con", "una", "sono", "è", "ma", "come", "nel"),
+    "pt": ("o", "os", "as", "do", "da", "dos", "das", "em", "um", "uma", "não", "com", "para", "por", "mais", "ao", "na"),
+    "nl": ("het", "een", "van", "dat", "op", "te", "voor", "niet", "met", "zijn", "aan", "ook", "maar", "bij", "om"),
     "es": ("el", "la", "los", "las", "de", "y", "que", "en", "un", "una", "por", "con", "no", "para", "es", "se", "del", "al", "lo", "como", "su"),
 }
 
@@ -52,73 +55,91 @@ THRESHOLDS = (
     Rule("symbols", "n_symbols", "n_words", high=0.1),
     Rule("repeated_words", "n_repeat_words", "n_words", high=0.5),
     Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.6),
-    Rule("stop_words", "n_stop_words", "n_words", low=0.04),
+    Rule("stop_words", "n_stop_words", "n_listed_words", low=0.04),
     Rule("shouting", "n_upper", "n_letters", high=0.4),
 )
 
 
-def _squeezed(text: Column) -> Column:
-    return F.translate(text, WORD_BREAKS, "")
+def _own_prefix(names: list[str]) -> str:
+    """What no column's name begins with."""
+    out = "__m"
+    while any(n.lower().startswith(out) for n in names):
+        out += "_"
+    return out
 
 
-def text_measures(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] | None = None, mark: str | None = None) -> DataFrame:
+def text_measures(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] | None = None, hashed: str = "xxhash64") -> DataFrame:
     """``df`` with the counts that rules speak about, as long columns.
 
-    n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, n_stop_words,
-    n_letters and n_upper. A null text counts as an empty one: all counts are 0. Columns of these names
-    in ``df`` are replaced. Words are split at space, tab, line feed, vertical tab, form feed and carriage
-    return only; the whole text counts, whatever its length.
+    n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, n_stop_words, n_listed_words
+    (n_words where the text has at most one and a half bytes for a code point, as in alphabets that the stop words are
+    written in, else 0), n_letters and n_upper. A null text
+    counts as an empty one: all counts are 0. Columns of these names in ``df`` are replaced, all others stay, whatever
+    their names. Words are split at space, tab, line feed, vertical tab, form feed and carriage return only; the whole
+    text counts, whatever its length. ``hashed``: the SQL function of three words that finds equal windows; any one
+    gives the same counts.
     """
     if stop_words is None:
         stop_words = tuple(dict.fromkeys(w for words in STOP_WORDS.values() for w in words))
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     names = df.columns
+    pre = _own_prefix(names)
+    t, w, l, n, b, m, h, s, q = (f"{pre}{x}" for x in "twlnbmhsq")
     one = F.expr
     step = df.select(
         *[F.col(f"`{c}`") for c in names],
-        t.alias("__t"),
-        F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "").alias("__w"),
-        F.filter(F.split(t, "\n"), lambda x: F.length(_squeezed(x)) > 0).alias("__l"),
+        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(t),
     )
-    # Every window of three words with its hash first, so that sorting mostly compares numbers; equality is
-    # decided on the words themselves.
-    step = step.withColumn("__n", F.size("__w"))
-    window = "struct(xxhash64(x, get(__w, i + 1), get(__w, i + 2)) as h, x as a, get(__w, i + 1) as b, get(__w, i + 2) as c, i as p)"
-    step = step.withColumn("__s", F.when(F.col("__n") > 3, one(f"sort_array(transform(slice(__w, 1, __n - 2), (x, i) -> {window}))")))
-    same = "(get(__s, {0}).h <=> x.h and get(__s, {0}).a <=> x.a and get(__s, {0}).b <=> x.b and get(__s, {0}).c <=> x.c)"
-    step = step.withColumn("__r", one(f"sort_array(transform(filter(__s, (x, i) -> {same.format('i - 1')} or {same.format('i + 1')}), x -> x.p))"))
+    step = step.withColumn(w, F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "")).withColumn(l, F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
+    # Windows of three words by their hashes. Most texts have no window twice: they end at the first count. In others
+    # a hash gives up its highest bits for the window's place, so that sorting compares numbers alone.
+    step = step.withColumn(n, F.size(w)).withColumn(b, F.length(F.bin(n)))
+    step = step.withColumn(m, one(f"shiftleft(1L, {b}) - 1")).withColumn(h, one(f"case when {n} > 3 then transform(slice({w}, 1, {n} - 2), (x, i) -> {hashed}(x, get({w}, i + 1), get({w}, i + 2))) end"))
+    step = step.withColumn(s, one(f"case when size(array_distinct({h})) < {n} - 2 then sort_array(transform({h}, (x, i) -> shiftleft(x, {b}) + i)) end"))
+    key = lambda of, i: f"shiftright(get({of}, {i}), {b})"
+    step = step.withColumn(q, one(f"filter({s}, (x, i) -> shiftright(x, {b}) <=> {key(s, 'i - 1')} or shiftright(x, {b}) <=> {key(s, 'i + 1')})"))
+    # Equality is decided on the words: where neighbours agree in the hash alone, the windows themselves are sorted.
+    word = lambda at, k: f"get({w}, cast({at} & {m} as int) + {k})"
+    alike = " and ".join(f"{word('x', k)} <=> {word(f'get({q}, i - 1)', k)}" for k in range(3))
+    met = f"size(filter({q}, (x, i) -> shiftright(x, {b}) <=> {key(q, 'i - 1')} and not ({alike}))) > 0"
+    window = f"struct(x as a, get({w}, i + 1) as b, get({w}, i + 2) as c, i as p)"
+    sorted_ = f"sort_array(transform(slice({w}, 1, {n} - 2), (x, i) -> {window}))"
+    near = " or ".join("(get(y, {0}).a <=> x.a and get(y, {0}).b <=> x.b and get(y, {0}).c <=> x.c)".format(i) for i in ("i - 1", "i + 1"))
+    slow = f"sort_array(transform(flatten(transform(array({sorted_}), y -> filter(y, (x, i) -> {near}))), x -> x.p))"
+    step = step.withColumn(f"{pre}r", one(f"case when size({q}) <= 0 then null when {met} then {slow} else sort_array(transform({q}, x -> cast(x & {m} as int))) end"))
     # A window at p covers p, p + 1, p + 2; what the next one covers too is not counted twice.
-    covered = one("aggregate(__r, named_struct('to', 0, 'n', 0L), (s, p) -> named_struct('to', p + 3, 'n', s.n + p + 3 - greatest(s.to, p)), s -> s.n)")
-    squeezed = _squeezed(F.col("__t"))
+    covered = one(f"aggregate({pre}r, named_struct('to', 0, 'n', 0L), (s, p) -> named_struct('to', p + 3, 'n', s.n + p + 3 - greatest(s.to, p)), s -> s.n)")
+    t_, l_ = F.col(t), F.col(l)
     new = {
-        "n_words": F.col("__n").cast("long"),
-        "word_chars": F.length(squeezed).cast("long"),
-        "n_symbols": (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long"),
-        "n_lines": F.size("__l").cast("long"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
+        "n_words": F.col(n).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": F.regexp_count(t_, F.lit(f"[{SYMBOLS}]")).cast("long"),
+        "n_lines": F.size(l_).cast("long"),
+        "n_dup_lines": (F.size(l_) - F.size(F.array_distinct(l_))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-        "n_stop_words": _members(stop_words).cast("long"),
-        "n_letters": F.length(F.regexp_replace("__t", r"[^\p{L}]++", "")).cast("long"),
-        "n_upper": F.length(F.regexp_replace("__t", r"[^\p{Lu}]++", "")).cast("long"),
+        "n_stop_words": _members(stop_words, w).cast("long"),
+        "n_letters": F.length(F.regexp_replace(t_, r"[^\p{L}]++", "")).cast("long"),
+        "n_upper": F.length(F.regexp_replace(t_, r"[^\p{Lu}]++", "")).cast("long"),
+        "n_listed_words": F.when(2 * F.octet_length(t_) <= 3 * F.length(t_), F.col(n)).otherwise(0).cast("long"),
     }
-    if mark:
-        new[mark] = F.monotonically_increasing_id()
-    return step.select(*[F.col(f"`{c}`") for c in names if c not in new], *[v.alias(k) for k, v in new.items()])
+    # A generator of one row: the optimizer does not push filters on its columns below it, which would repeat the
+    # expressions of all steps for each use of a column.
+    return step.select(*[F.col(f"`{c}`") for c in names if c not in new], F.inline(F.array(F.struct(*[v.alias(k) for k, v in new.items()]))))
 
 
-def _members(stop_words: tuple[str, ...]) -> Column:
+def _members(stop_words: tuple[str, ...], of: str) -> Column:
     words = ", ".join("'" + w.replace("'", "\\'") + "'" for w in stop_words)
-    return F.expr(f"size(filter(__w, x -> lower(rtrim('.,;:!?', x)) in ({words})))")
+    return F.expr(f"size(filter({of}, x -> lower(rtrim('.,;:!?', x)) in ({words})))")
 
 
-def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS, mark: str | None = None) -> DataFrame:
+def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
     """``df`` with the measures of its texts, ``base_failed``, ``broken`` (names of broken rules) and ``kept``.
 
     base_failed: under 50 words, or more than half of them in repeated windows of three. kept is false
-    there, and else true where no rule is broken. Null and empty texts have no words and fail. An empty
-    table gives an empty one; repeated rows are judged one by one.
+    there, and else true where no rule is broken. Null and empty texts have no words and fail; texts count in
+    whole, whatever their length. An empty table gives an empty one; repeated rows are judged one by one; nothing is
+    ordered, so there are no ties. Columns with the names of the results are replaced, all others stay.
     """
-    out = text_measures(df, text, mark=mark)
+    out = text_measures(df, text)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     broken = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]))
     out = out.withColumn("base_failed", base).withColumn("broken", broken)
@@ -126,8 +147,8 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THR
 
 
 def kept_documents(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
-    """The rows of ``df`` that all rules keep, with the columns of ``df``."""
+    """The rows of ``df`` that all rules keep, with the columns of ``df``, whatever their names."""
     names = df.columns
     flagged = df.select(*[F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("__text"))
-    good = apply_rules(flagged, "__text", rules, mark="__row").where(F.col("kept") & (F.col("__row") >= 0))
+    good = apply_rules(flagged, "__text", rules).where("kept")
     return good.select(*[F.col(f"__in_{i}").alias(c) for i, c in enumerate(names)])

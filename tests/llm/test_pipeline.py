@@ -51,7 +51,7 @@ def python_verdict(text):
     stops = {w for v in quality_rules.STOP_WORDS.values() for w in v}
     m = {
         "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": sum(bool(WORD.search(x)) for x in t.split("\n")),
-        "n_stop_words": sum(w.rstrip(".,;:!?").lower() in stops for w in WORD.findall(t)), "n_letters": sum(c.isalpha() for c in t), "n_upper": sum(c.isupper() for c in t),
+        "n_stop_words": sum(w.rstrip(".,;:!?").lower() in stops for w in WORD.findall(t)), "n_listed_words": n if 2 * len(t.encode()) <= 3 * len(t) else 0, "n_letters": sum(c.isalpha() for c in t), "n_upper": sum(c.isupper() for c in t),
     }
     for r in quality_rules.THRESHOLDS:
         under = m[r.denominator] if r.denominator else 1
