@@ -53,6 +53,27 @@ def test_quality_base_columns(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_measures_do_not_depend_on_the_hash_or_on_names(spark):
+    rows = sample(60, 9) + [(900, "a b c x a b c y b c z " * 9, "en", "a"), (901, " ".join(random.Random(3).choice("pqr") * random.Random(4).randrange(1, 3) for _ in range(40)), "en", "a")]
+    df = frame(spark, rows)
+    for c in ("__t", "__w", "__l", "__n", "__s", "__r", "__m", "__mt", "kept", "broken"):
+        df = df.withColumn(c, F.lit("clash"))
+    want = sorted(base_measures(t)[4] for _, t, *_ in rows)
+    for hashed in ("xxhash64", "crc_of_nothing"):
+        expr = "xxhash64" if hashed == "xxhash64" else "0L * hash"  # all windows meet
+        assert sorted(r["n_repeat_words"] for r in quality_rules.text_measures(df, hashed=expr).collect()) == want
+    got = quality_rules.apply_rules(df)
+    assert {"__t", "__mt", "__r"} <= set(got.columns) and got.select("__t", "__mt").distinct().collect() == [("clash", "clash")]
+    assert quality_rules.kept_documents(df).columns == df.columns
+
+
+def test_quality_leaves_stop_words_of_other_alphabets_alone(spark):
+    words = "река берег окно письмо город зима дорога сад капитан бумага вечер утро".split()
+    text = " ".join(random.Random(7).choice(words) + str(i) for i in range(80))
+    r = quality_rules.apply_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["kept"] and r["n_listed_words"] == 0 and r["n_words"] == 80
+
+
 def test_quality_keeps_prose_and_drops_junk(spark):
     rng = random.Random(2)
     stop, other = ["the", "of", "and", "to", "in", "is"], ["harbour", "winter", "letter", "window", "garden", "river", "summer", "paper", "captain", "market"]
@@ -306,11 +327,66 @@ def test_language_id(spark):
     assert language_id.identify(both.limit(5), empty).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
-def test_more_languages_than_can_be_learned_are_refused(spark):
-    docs = spark.createDataFrame([(i, "a text", f"l{i % 5}") for i in range(100)], "doc_id long, text string, lang string")
-    assert len(language_id.fit_sample(docs, language_id.FitSpec(max_languages=5)).languages) == 5
-    with pytest.raises(ValueError, match="more than 4 languages"):
-        language_id.fit_sample(docs, language_id.FitSpec(max_languages=4))
+def test_all_languages_are_learned(spark):
+    rng = random.Random(11)
+    alphabets = [[chr(0x61 + (7 * k + j) % 26) + chr(0x3B1 + k % 20) for j in range(4)] + [f"q{k}"] for k in range(260)]
+    rows = [(260 * j + k, " ".join(rng.choice(alphabets[k]) for _ in range(30)), f"l{k}") for k in range(260) for j in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("__p", F.lit("clash"))
+    model = language_id.fit_sample(docs, language_id.FitSpec(max_cells=1 << 20))
+    assert len(model.languages) == 260 and model.bits == 11
+    got = language_id.identify(docs, model).toPandas()
+    assert (got["lang"] == got["lang_pred"]).mean() > 0.8 and (got["__p"] == "clash").all()
+    few = language_id.fit_sample(docs.withColumn("lang", F.when(F.col("lang") == "l7", "l8").otherwise(F.col("lang"))), language_id.FitSpec(max_rows=5, epochs=1))
+    assert len(few.languages) == 5 and "l8" in few.languages  # a row for each of the most frequent
+
+
+def test_the_sample_is_bounded_in_rows_and_in_ngrams(spark, monkeypatch):
+    rows = [(i, "abc " * (50 if i % 3 else 3000) + f"w{i}", "ab"[i % 2]) for i in range(600)] + [(7, "repeated", "a"), (7, "repeated", "a"), (None, "no id", "b"), (None, None, "a"), (601, "12", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "fit_counts", lambda grams, labels, bits, spec: seen.append((list(grams), list(labels))))
+    language_id.fit_sample(docs, language_id.FitSpec(max_rows=40))
+    language_id.fit_sample(docs, language_id.FitSpec(max_rows=40, max_grams=sum(len(a) for a, _ in seen[0][0]) // 2))
+    language_id.fit_sample(docs.limit(0), language_id.FitSpec(max_rows=40))
+    (first, labels), (half, fewer) = seen[:2]
+    assert sorted(labels) == ["a"] * 13 + ["b"] * 13 and 8 <= len(fewer) < 20 and abs(fewer.count("a") - fewer.count("b")) <= 1
+    assert {x[0].tobytes() for x in half} < {x[0].tobytes() for x in first}
+
+
+def test_ftrl_equals_a_plain_one():
+    rng = random.Random(5)
+    spec = language_id.FitSpec(bits=6, sizes=(1, 2), epochs=2, held=4)
+    texts = ["".join(rng.choice("ab c" if i % 3 else "xyz c") for _ in range(30)) for i in range(24)]
+    labels = [f"l{i % 3}" for i in range(24)]
+    model = language_id.fit(texts, labels, spec)
+    grams = [dict(zip(*map(list, language_id.ngram_counts(t, 6, (1, 2))), strict=True)) for t in texts]
+    idf = [math.log(25 / (1 + sum(f in g for g in grams))) + 1 for f in range(64)]
+    rows = []
+    for g in grams:
+        x = {f: (1 + math.log(n)) * idf[f] for f, n in g.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        rows.append({f: float(np.float32(v / norm)) for f, v in x.items()} | {64: 1.0})
+    z, n2 = [[0.0] * 3 for _ in range(65)], [[0.0] * 3 for _ in range(65)]
+
+    def weight(f, k):
+        l1 = 0.0 if f == 64 else spec.l1
+        if abs(z[f][k]) <= l1:
+            return 0.0
+        return -(z[f][k] - math.copysign(l1, z[f][k])) / ((spec.beta + math.sqrt(n2[f][k])) / spec.alpha + spec.l2)
+
+    order = np.random.Generator(np.random.PCG64(7)).permutation(24).tolist()
+    for _ in range(2):
+        for i in (i for k, i in enumerate(order) if k % 4):
+            w = {f: [weight(f, k) for k in range(3)] for f in rows[i]}
+            s = [math.exp(sum(v * w[f][k] for f, v in rows[i].items())) for k in range(3)]
+            p = [v / sum(s) - (k == i % 3) for k, v in enumerate(s)]
+            for f, v in rows[i].items():
+                for k in range(3):
+                    g = v * p[k]
+                    z[f][k] += g - (math.sqrt(n2[f][k] + g * g) - math.sqrt(n2[f][k])) / spec.alpha * w[f][k]
+                    n2[f][k] += g * g
+    want = np.array([[weight(f, k) for k in range(3)] for f in range(64)])
+    assert np.allclose(model.weights, want, atol=1e-5) and np.abs(want).max() > 0.1
 
 
 def test_ngrams_of_long_texts_are_counted_once():
