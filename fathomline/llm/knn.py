@@ -4,8 +4,10 @@ An inner product becomes a distance when data vectors get one more component, sq
 zero there: |q - x|^2 = |q|^2 + M^2 - 2 q.x. In that space queries and data are grouped by their nearest
 pivot. Summaries of the groups (count, radius, the smallest distances to the pivot) bound, for each query
 group, how far its k-th neighbour can be; a data vector is sent to a query group only if the triangle
-inequality allows it to be nearer than that. Query groups and data chunks are bounded, so a task never
-holds more than one of each, and each task solves its share exactly; the best of all tasks are merged.
+inequality allows it to be nearer than that, and a query only to the data groups that hold such vectors.
+Query groups and data groups are bounded, so a task never holds more than one of each, and each task solves
+its share exactly; the best of all tasks are merged. Vectors of different lengths have pivots and groups of
+their own, all in one plan.
 """
 
 from __future__ import annotations
@@ -20,33 +22,34 @@ from pyspark.sql.window import Window
 
 from fathomline.llm.shared import cut
 
-#: Slack for rounding in distances, relative to their size: only ever sends more.
-SLACK = 1e-9
+#: Slack for rounding in distances, relative to their size: only ever sends more. A distance is the root of a
+#: difference of squares, so its error is the root of theirs.
+SLACK = 1e-6
 #: Sums below this are exact in double precision.
 EXACT = float(1 << 53)
 
 
 @dataclass(frozen=True)
 class KnnSpec:
+    """k: neighbours; pivots: for each length the root of its number of vectors, at most this many (a table that every task
+    holds); group_queries, chunk_rows: queries and vectors that a task holds at most (about); scale: of the grid."""
+
     k: int = 20
-    pivots: int = 64
-    group_queries: int = 2048
-    chunk_rows: int = 8192
+    pivots: int = 2048
+    group_queries: int = 4096
+    chunk_rows: int = 16384
     scale: float = 64.0
-    max_lengths: int = 4096
 
 
 def grid_vectors(df: DataFrame, spec: KnnSpec, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id, dim and vec (components turned into floor(scale * x)) of the rows that take part.
+    """vec_id, dim and vec (components turned into floor(scale * x)) of the rows that take part, each with a number of its own, ``row``.
 
-    Left out: a null id, a null vector, and a vector with a null, NaN or infinite component. Of rows that
-    share an id the one with the least vector stands, so exact repeats count once.
+    Left out: a null id, a null vector, and a vector with a null, NaN or infinite component.
     """
     e = F.col(embedding)
     fine = e.isNotNull() & F.col(vec_id).isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    grid = F.transform(F.col("e"), lambda x: F.rint(x)).alias("vec")
-    rows = df.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(e, lambda x: _floor(x.cast("double") * spec.scale)).alias("e"))
-    return rows.select("vec_id", grid).groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    rows = df.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(e, lambda x: _floor(x.cast("double") * spec.scale)).alias("vec"))
+    return rows.withColumn("dim", F.size("vec")).withColumn("row", F.monotonically_increasing_id())
 
 
 def _floor(x: Column) -> Column:
@@ -75,36 +78,34 @@ def _scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Places of the k best by (score descending, id); ids ascend."""
-    open_ = np.flatnonzero(ids != own)
+def _best(ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, own: int, k: int) -> np.ndarray:
+    """Places of the k best by (score descending, id), without the row ``own``."""
+    open_ = np.flatnonzero(rows != own)
     s = scores[open_]
     if len(s) > k:
         kth = np.partition(s, len(s) - k)[len(s) - k]
         open_ = open_[s >= kth]
         s = scores[open_]
-    return open_[np.lexsort((ids[open_], -s))][:k]
+    return open_[np.lexsort((rows[open_], ids[open_], -s))][:k]
 
 
 def top_k(df: DataFrame, is_query: Column, spec: KnnSpec = KnnSpec(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows for each query row, ties to the smaller vec_id.
 
-    ``is_query`` is a condition on ``vec_id``. A query finds only vectors of its own length, never itself;
-    where fewer than k take part, all are returned. No query, or an empty table, gives no row. Queries of more
-    than ``max_lengths`` different lengths are refused, as each length is a search of its own.
+    ``is_query`` is a condition on ``vec_id``. A query finds only vectors of its own length, and every row but its own:
+    rows that repeat an id, or a whole row, are vectors and queries of their own. Where fewer than k take part, all are
+    returned. Scores beyond 64 bits stop at the ends of the range. No query, or an empty table, gives no row; further
+    columns are ignored.
     """
     spark = df.sparkSession
     vectors = cut(grid_vectors(df, spec, vec_id, embedding).withColumn("is_query", F.coalesce(is_query, F.lit(False))))
-    dims = vectors.where("is_query").select("dim").distinct().limit(spec.max_lengths + 1).collect()
-    if len(dims) > spec.max_lengths:
-        raise ValueError(f"queries of more than {spec.max_lengths} lengths")
-    out = None
-    for (dim,) in dims:
-        part = _top_k_of(vectors.where(F.col("dim") == dim), spec)
-        out = part if out is None else out.union(part)
-    if out is None:
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    # A row for each length: as many as the longest vector is long, at most.
+    lengths = vectors.groupBy("dim").agg(F.max(norm).alias("big"), F.count("*").alias("n"), F.max("is_query").alias("asked")).where("asked").orderBy("dim").collect()
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = _solved(vectors, {r["dim"]: (float(r["big"]), int(r["n"])) for r in lengths}, spec)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -114,115 +115,171 @@ def group_bounds(radius: np.ndarray, smallest: list[np.ndarray], pivots: np.ndar
     radius: of the query groups (NaN: none). smallest: for each data group its k + 1 smallest distances to
     its pivot. A query of group i is at most radius[i] + |p_i p_j| + d from a vector of group j at distance d.
     """
-    between = _distances(pivots[:, :-1], pivots[:, -1], pivots)
+    between = _between(pivots)
     near = np.concatenate([np.asarray(s, float) for s in smallest]) if len(smallest) else np.zeros(0)
     of = np.concatenate([np.full(len(s), j) for j, s in enumerate(smallest)]).astype(int) if len(smallest) else np.zeros(0, int)
     out = np.full(len(radius), np.inf)
-    for i in np.flatnonzero(~np.isnan(radius)):
-        reach = np.sort(radius[i] + between[i, of] + near)
-        if len(reach) > k:  # one of them may be the query itself
-            out[i] = reach[k]
+    if len(near) > k:  # one of them may be the query itself
+        for i in np.flatnonzero(~np.isnan(radius)):
+            reach = np.partition(radius[i] + between[i, of] + near, k)[k]
+            out[i] = np.inf if np.isnan(reach) else reach
     return out
 
 
-def _top_k_of(vectors: DataFrame, spec: KnnSpec) -> DataFrame:
-    k = spec.k
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    top = vectors.agg(F.max(norm), F.count("*")).first()
-    big, n_rows = float(top[0]), int(top[1])
-    # Pivots: the rows with the smallest hashes of their ids, a bounded number.
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(spec.pivots).select("vec").toPandas()
-    base = _matrix(chosen["vec"])
-    pivots = np.concatenate([base, np.sqrt(np.maximum(big - (base**2).sum(1), 0.0))[:, None]], axis=1)
+def _between(pivots: np.ndarray) -> np.ndarray:
+    return _distances(pivots[:, :-1], pivots[:, -1], pivots)
 
-    def lifted(x: np.ndarray, query: np.ndarray) -> np.ndarray:
-        return np.where(query, 0.0, np.sqrt(np.maximum(big - (x**2).sum(1), 0.0)))
+
+def gathered(size: np.ndarray, between: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Groups of neighbouring pivots with at most ``most`` members in all: (first group, number of groups) of each pivot, and how many there are.
+
+    A pivot with more members is split into groups of its own; one without any gets none.
+    """
+    first, split, groups = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), 0
+    left = size > 0
+    for i in np.flatnonzero(left):
+        if not left[i]:
+            continue
+        left[i] = False
+        first[i], split[i] = groups, -(-int(size[i]) // most)
+        if split[i] == 1:
+            others = np.flatnonzero(left)
+            total = int(size[i])
+            for j in others[np.argsort(between[i, others], kind="stable")]:
+                if total + int(size[j]) <= most:
+                    first[j], split[j], left[j] = groups, 1, False
+                    total += int(size[j])
+        groups += int(split[i])
+    return first, split, groups
+
+
+@dataclass
+class _Cells:
+    """What tasks know about the vectors of one length. Groups are numbered over all lengths."""
+
+    offset: int  # of its pivots
+    pivots: np.ndarray
+    big: float
+    limit: np.ndarray  # for each pivot: how far from it a vector may be that one of its queries can need
+    blocks: list[tuple[int, int, np.ndarray]]  # query groups: first, how many, pivots
+    block_of: np.ndarray
+    block_split: np.ndarray
+    chunk_of: np.ndarray
+    chunk_split: np.ndarray
+    asks: list[np.ndarray]  # for each query group's first: the chunks that hold what it can need
+
+    def lifted(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.big - (x**2).sum(1), 0.0))
+
+
+def _parts(pdf: pd.DataFrame):
+    """(length, places, matrix) of the rows of each length."""
+    dims = pdf["dim"].to_numpy(np.int64)
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        yield int(dim), at, _matrix(pdf["vec"].iloc[at]).reshape(len(at), int(dim))
+
+
+def _solved(vectors: DataFrame, lengths: dict[int, tuple[float, int]], spec: KnnSpec) -> DataFrame:
+    """query (a row), query_id, row, vec_id, score: for each query the best of each task, its k best among them."""
+    k, sc = spec.k, vectors.sparkSession.sparkContext
+    wanted = {dim: max(1, min(spec.pivots, int(np.ceil(np.sqrt(n))))) for dim, (_, n) in lengths.items()}
+    known = vectors.sparkSession.createDataFrame(sorted(wanted.items()), "__dim int, __pivots int")
+    vectors = vectors.join(F.broadcast(known), F.col("dim") == F.col("__dim")).drop("__dim")
+    # Pivots: of each share of a length's rows the one with the smallest hash.
+    drawn = vectors.groupBy("dim", F.pmod(F.xxhash64("row"), F.col("__pivots")).alias("share")).agg(F.min(F.struct(F.xxhash64("row", F.lit(1)), "vec")).alias("p"))
+    chosen = drawn.select("dim", "share", F.col("p.vec").alias("vec")).orderBy("dim", "share").toPandas()
+    pivots, offset = {}, {}
+    for dim, (big, _) in lengths.items():
+        drawn = chosen.loc[chosen["dim"] == dim, "vec"]
+        base = _matrix(drawn).reshape(len(drawn), dim)
+        offset[dim] = sum(map(len, pivots.values()))
+        pivots[dim] = np.concatenate([base, np.sqrt(np.maximum(big - (base**2).sum(1), 0.0))[:, None]], axis=1)
+    placing = sc.broadcast({dim: _Cells(offset[dim], pivots[dim], lengths[dim][0], *[None] * 7) for dim in lengths})
 
     def assign(batches):
         for pdf in batches:
-            x = _matrix(pdf["vec"])
-            if not len(x):
-                continue
-            for flag in (False, True):
-                at = np.flatnonzero(pdf["is_query"].to_numpy(bool)) if flag else np.arange(len(pdf))
-                if len(at):
-                    d = _distances(x[at], lifted(x[at], np.full(len(at), flag)), pivots)
-                    near = d.argmin(1)
-                    yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[at], "q": flag, "pivot": near.astype(np.int32), "dist": d[np.arange(len(at)), near]})
-
-    placed = vectors.select("vec_id", "vec", "is_query").mapInPandas(assign, "vec_id long, q boolean, pivot int, dist double")
+            for dim, at, x in _parts(pdf):
+                c = placing.value[dim]
+                rows, asks = pdf["row"].to_numpy(np.int64)[at], pdf["is_query"].to_numpy(bool)[at]
+                for flag in (False, True):
+                    of = np.flatnonzero(asks) if flag else np.arange(len(at))
+                    if len(of):
+                        d = _distances(x[of], np.zeros(len(of)) if flag else c.lifted(x[of]), c.pivots)
+                        near = d.argmin(1)
+                        yield pd.DataFrame({"row": rows[of], "q": flag, "pivot": (near + c.offset).astype(np.int32), "dist": d[np.arange(len(of)), near]})
+
+    placed = vectors.select("row", "dim", "vec", "is_query").mapInPandas(assign, "row long, q boolean, pivot int, dist double")
     # Summaries: for each group its size and radius, for data also the k + 1 smallest distances, merged salt by salt.
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    ranked = placed.withColumn("salt", salt).withColumn("r", F.row_number().over(Window.partitionBy("pivot", "q", "salt").orderBy("dist")))
+    ranked = placed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("pivot", "q", "salt").orderBy("dist")))
     few = ranked.groupBy("pivot", "q", "salt").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.collect_list(F.when((F.col("r") <= k + 1) & ~F.col("q"), F.col("dist"))).alias("near"))
     summary = few.groupBy("pivot", "q").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
-    size, radius, nearest = np.zeros(len(pivots), np.int64), np.full(len(pivots), np.nan), [np.zeros(0)] * len(pivots)
+    total = sum(map(len, pivots.values()))
+    asked, held, reach, spread, nearest = np.zeros(total, np.int64), np.zeros(total, np.int64), np.full(total, np.nan), np.zeros(total), [np.zeros(0)] * total
     for r in summary:
         if r["q"]:
-            size[r["pivot"]], radius[r["pivot"]] = r["n"], r["radius"]
+            asked[r["pivot"]], reach[r["pivot"]] = r["n"], np.inf if np.isnan(r["radius"]) else r["radius"]
         else:
-            nearest[r["pivot"]] = np.asarray(r["near"], float)
-    bound = group_bounds(radius, nearest, pivots, k)
-    # Query groups of neighbouring pivots are joined up to a bounded number of queries; larger ones are split.
-    order, groups, blocks = np.flatnonzero(size), [], 0
-    group_of, split_of = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64)
-    left = list(order)
-    while left:
-        i = left.pop(0)
-        if size[i] > spec.group_queries:
-            split_of[i] = -(-size[i] // spec.group_queries)
-            members = [i]
-        else:
-            members, total = [i], int(size[i])
-            for j in sorted(left, key=lambda j: float(((pivots[i] - pivots[j]) ** 2).sum())):
-                if total + size[j] <= spec.group_queries:
-                    members.append(j)
-                    total += int(size[j])
-            left = [j for j in left if j not in members]
-        for j in members:
-            group_of[j] = blocks
-        groups.append((blocks, int(split_of[i]), members))
-        blocks += int(split_of[i])
-    chunks = max(1, -(-n_rows // spec.chunk_rows))
-    slack = SLACK * (1.0 + np.sqrt(big))
+            held[r["pivot"]], spread[r["pivot"]], nearest[r["pivot"]] = r["n"], np.inf if np.isnan(r["radius"]) else r["radius"], np.asarray(r["near"], float)
+    cells, blocks, chunks = {}, 0, 0
+    for dim, (big, _) in lengths.items():
+        here = slice(offset[dim], offset[dim] + len(pivots[dim]))
+        between = np.nan_to_num(_between(pivots[dim]), nan=np.inf)
+        limit = reach[here] + group_bounds(reach[here], nearest[here], pivots[dim], k) + SLACK * (1.0 + np.sqrt(big))
+        limit = np.where(np.isnan(limit), np.inf, limit)
+        block_of, block_split, n_blocks = gathered(asked[here], between, spec.group_queries)
+        chunk_of, chunk_split, n_chunks = gathered(held[here], between, spec.chunk_rows)
+        units, asks = [], []
+        for first in np.unique(block_of[block_split > 0]):
+            members = np.flatnonzero((block_of == first) & (block_split > 0))
+            units.append((int(first) + blocks, int(block_split[members[0]]), members))
+            # A vector of a group is at least as far from a pivot as the pivots are, less its group's radius.
+            needs = np.flatnonzero((held[here] > 0) & ~(between[members] - spread[here][None, :] > limit[members][:, None]).all(0))
+            asks.append(np.unique(np.concatenate([np.arange(chunk_of[j], chunk_of[j] + chunk_split[j]) for j in needs] or [np.zeros(0, np.int64)])) + chunks)
+        cells[dim] = _Cells(offset[dim], pivots[dim], big, limit, units, block_of + blocks, block_split, chunk_of + chunks, chunk_split, asks)
+        blocks, chunks = blocks + n_blocks, chunks + n_chunks
+    sending = sc.broadcast(cells)
 
     def send(batches):
         for pdf in batches:
-            x, ids = _matrix(pdf["vec"]), pdf["vec_id"].to_numpy(np.int64)
-            if not len(x):
-                continue
-            spread = pd.util.hash_array(ids)
-            d = _distances(x, lifted(x, np.zeros(len(x), bool)), pivots)
-            raw = [r.tobytes() for r in x]
-            chunk = (spread % np.uint64(chunks)).astype(np.int32)
-            for first, split, members in groups:
-                near = (d[:, members] <= (radius[members] + bound[members])[None, :] + slack).any(1)
-                at = np.flatnonzero(near)
-                for b in range(first, first + split):
-                    if len(at):
-                        yield pd.DataFrame({"block": np.int32(b), "chunk": chunk[at], "vec_id": ids[at], "q": False, "raw": [raw[i] for i in at]})
-            at = np.flatnonzero(pdf["is_query"].to_numpy(bool))
-            if len(at):
-                mine = _distances(x[at], np.zeros(len(at)), pivots).argmin(1)
-                block = group_of[mine] + ((spread[at] >> np.uint64(20)) % split_of[mine].astype(np.uint64)).astype(np.int64)
-                for c in range(chunks):
-                    yield pd.DataFrame({"block": block.astype(np.int32), "chunk": np.int32(c), "vec_id": ids[at], "q": True, "raw": [raw[i] for i in at]})
+            for dim, at, x in _parts(pdf):
+                c = sending.value[dim]
+                rows, ids = pdf["row"].to_numpy(np.int64)[at], pdf["vec_id"].to_numpy(np.int64)[at]
+                deal = pd.util.hash_array(rows)
+                raw = np.array([v.tobytes() for v in x], object)
+                d = _distances(x, c.lifted(x), c.pivots)
+                home = d.argmin(1)
+                chunk = c.chunk_of[home] + (deal % np.maximum(c.chunk_split[home], 1).astype(np.uint64)).astype(np.int64)
+                for first, split, members in c.blocks:
+                    go = np.flatnonzero(~(d[:, members] > c.limit[members][None, :]).all(1))
+                    for b in range(first, first + split):
+                        if len(go):
+                            yield pd.DataFrame({"block": np.int32(b), "chunk": chunk[go].astype(np.int32), "row": rows[go], "vec_id": ids[go], "dim": np.int32(dim), "q": False, "raw": raw[go]})
+                asks = np.flatnonzero(pdf["is_query"].to_numpy(bool)[at])
+                if not len(asks):
+                    continue
+                mine = _distances(x[asks], np.zeros(len(asks)), c.pivots).argmin(1)
+                block = c.block_of[mine] + ((deal[asks] >> np.uint64(20)) % np.maximum(c.block_split[mine], 1).astype(np.uint64)).astype(np.int64)
+                for (first, split, _), to in zip(c.blocks, c.asks, strict=True):
+                    go = np.flatnonzero((block >= first) & (block < first + split))
+                    for j in to if len(go) else ():
+                        yield pd.DataFrame({"block": block[go].astype(np.int32), "chunk": np.int32(j), "row": rows[asks[go]], "vec_id": ids[asks[go]], "dim": np.int32(dim), "q": True, "raw": raw[asks[go]]})
 
     def solve(pdf):
-        q, d = pdf[pdf["q"]], pdf[~pdf["q"]].sort_values("vec_id")
-        ids = d["vec_id"].to_numpy(np.int64)
-        out = {"query_id": [], "vec_id": [], "score": []}
+        q, d = pdf[pdf["q"]], pdf[~pdf["q"]]
+        out = {"query": [], "query_id": [], "row": [], "vec_id": [], "score": []}
         if len(q) and len(d):
-            dm = np.frombuffer(b"".join(d["raw"]), np.float64).reshape(len(d), -1)
+            dim = int(pdf["dim"].iloc[0])
+            ids, rows = d["vec_id"].to_numpy(np.int64), d["row"].to_numpy(np.int64)
+            dm = np.frombuffer(b"".join(d["raw"]), np.float64).reshape(len(d), dim)
             for lo in range(0, len(q), 256):
                 part = q.iloc[lo : lo + 256]
-                s = _scores(np.frombuffer(b"".join(part["raw"]), np.float64).reshape(len(part), -1), dm)
-                for own, row in zip(part["vec_id"].to_numpy(np.int64), s, strict=True):
-                    best = _best(ids, row, own, k)
-                    out["query_id"].append(np.full(len(best), own))
-                    out["vec_id"].append(ids[best])
-                    out["score"].append(row[best])
+                s = _scores(np.frombuffer(b"".join(part["raw"]), np.float64).reshape(len(part), dim), dm)
+                for own, own_id, row in zip(part["row"].to_numpy(np.int64), part["vec_id"].to_numpy(np.int64), s, strict=True):
+                    best = _best(ids, rows, row, own, k)
+                    for c, v in (("query", np.full(len(best), own)), ("query_id", np.full(len(best), own_id)), ("row", rows[best]), ("vec_id", ids[best]), ("score", row[best])):
+                        out[c].append(v)
         return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()})
 
-    sent = vectors.select("vec_id", "vec", "is_query").mapInPandas(send, "block int, chunk int, vec_id long, q boolean, raw binary")
-    return sent.groupBy("block", "chunk").applyInPandas(solve, "query_id long, vec_id long, score long")
+    sent = vectors.select("row", "vec_id", "dim", "vec", "is_query").mapInPandas(send, "block int, chunk int, row long, vec_id long, dim int, q boolean, raw binary")
+    return sent.groupBy("block", "chunk").applyInPandas(solve, "query long, query_id long, row long, vec_id long, score long")

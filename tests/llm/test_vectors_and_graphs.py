@@ -13,17 +13,18 @@ VEC = "vec_id long, embedding array<float>"
 
 
 def brute_top_k(rows, k):
-    good = {}
+    """Every row is a candidate but the query's own, whatever ids repeat."""
+    good = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        g = [float(np.floor(64.0 * float(np.float32(x)))) for x in v]
-        good[i] = min(good.get(i, g), g)
+        good.append((i, [float(np.floor(64.0 * float(np.float32(x)))) for x in v]))
     out = []
-    for q in sorted(i for i in good if i % 20 == 0):
-        s = [(-int(sum(int(a) * int(b) for a, b in zip(good[q], v, strict=True))), i) for i, v in good.items() if i != q and len(v) == len(good[q])]
-        out += [(q, r + 1, i, -n) for r, (n, i) in enumerate(sorted(s)[:k])]
-    return out
+    for at, (q, w) in enumerate(good):
+        if q % 20 == 0:
+            s = [(-int(sum(int(a) * int(b) for a, b in zip(w, v, strict=True))), i) for j, (i, v) in enumerate(good) if j != at and len(v) == len(w)]
+            out += [(q, r + 1, i, -n) for r, (n, i) in enumerate(sorted(s)[:k])]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("spec", [knn.KnnSpec(), knn.KnnSpec(k=3, pivots=5, group_queries=2, chunk_rows=40), knn.KnnSpec(k=7, pivots=1, chunk_rows=7)])
@@ -32,10 +33,9 @@ def test_knn_matches_brute_force(spark, spec):
     centres = rng.normal(size=(4, 6)) * 3
     rows = [(i, [float(x) for x in (centres[i % 4] + rng.normal(size=6) * 0.1)]) for i in range(200)]
     rows += [(200 + i, list(rows[0][1])) for i in range(30)]  # ties
-    rows += [(20, [9.0] * 6), (None, [1.0] * 6), (300, None), (301, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (320, [float("nan")] * 6), (340, [float("inf")] + [0.0] * 5), (360, [1.0, 2.0]), (361, [1.0, 2.0]), (380, []), (rows[7][0], list(rows[7][1]))]
+    rows += [(20, [9.0] * 6), (None, [1.0] * 6), (300, None), (301, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (320, [float("nan")] * 6), (340, [float("inf")] + [0.0] * 5), (360, [1.0, 2.0]), (361, [1.0, 2.0]), (380, []), (380, []), (rows[7][0], list(rows[7][1])), (rows[40][0], list(rows[40][1])), (400, [1.0]), (420, [2.0] * 3)]
     df = spark.createDataFrame(rows, VEC).withColumn("rank", F.lit(1)).repartition(3)
-    got = [tuple(r) for r in knn.top_k(df, F.col("vec_id") % 20 == 0, spec).orderBy("query_id", "rank").collect()]
-    assert got == brute_top_k(rows, spec.k)
+    assert sorted(map(tuple, knn.top_k(df, F.col("vec_id") % 20 == 0, spec).collect())) == brute_top_k(rows, spec.k)
 
 
 def test_knn_large_components_and_empty(spark):
@@ -45,11 +45,21 @@ def test_knn_large_components_and_empty(spark):
     assert knn.top_k(spark.createDataFrame([], VEC), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_knn_refuses_queries_of_too_many_lengths(spark):
-    df = spark.createDataFrame([(20 * n + i, [1.0] * (n + 1)) for n in range(4) for i in range(2)], VEC)
-    assert {r["query_id"] for r in knn.top_k(df, F.col("vec_id") % 20 == 0, knn.KnnSpec(max_lengths=4)).collect()} == {0, 20, 40, 60}
-    with pytest.raises(ValueError, match="3 lengths"):
-        knn.top_k(df, F.col("vec_id") % 20 == 0, knn.KnnSpec(max_lengths=3))
+def test_knn_takes_any_number_of_lengths(spark):
+    rows = [(20 * n + i, [float(i + n % 5)] * (n + 1)) for n in range(300) for i in range(2)]
+    got = sorted(map(tuple, knn.top_k(spark.createDataFrame(rows, VEC), F.col("vec_id") % 20 == 0).collect()))
+    assert got == brute_top_k(rows, 20) and len(got) == 300
+
+
+def test_knn_sends_queries_only_where_they_can_find_something(spark):
+    rng = np.random.default_rng(2)
+    centres = np.eye(6) * 1000
+    rows = [(i, [float(x) for x in centres[i % 6] + rng.normal(size=6)]) for i in range(600)]
+    spec = knn.KnnSpec(k=5, pivots=12, group_queries=3, chunk_rows=50)
+    assert sorted(map(tuple, knn.top_k(spark.createDataFrame(rows, VEC), F.col("vec_id") % 20 == 0, spec).collect())) == brute_top_k(rows, 5)
+    between = np.abs(np.arange(5.0)[:, None] - np.arange(5.0)[None, :])
+    first, split, n = knn.gathered(np.array([3, 0, 2, 9, 1]), between, 4)
+    assert split.tolist() == [1, 0, 1, 3, 1] and n == 5 and first[0] == first[4] != first[2]
 
 
 def test_connected_components(spark):
