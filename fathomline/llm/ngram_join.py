@@ -39,13 +39,15 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 @dataclass(frozen=True)
 class JoinSpec:
     """words: of a shingle; percent: of the union that linked sets share; block_shingles: shingles in a block at most (about,
-    a block holds one set at least); chunk_bytes: of text that are shingled at a time; skip: DivideSkip's tuning constant."""
+    a block holds one set at least); chunk_bytes: of text that are shingled at a time; skip: DivideSkip's tuning constant; most_bits: of the number of
+    buckets in which shared shingles are counted, beyond which slots are 32 bits wide instead of 16."""
 
     words: int = 3
     percent: int = 90
     block_shingles: int = 4_000_000
     chunk_bytes: int = 600_000
     skip: float = 0.005
+    most_bits: int = 24
 
 
 def _inverse_odd(r: int) -> int:
@@ -205,8 +207,14 @@ def _texts_in_chunks(ids: Iterator, texts: Iterator, most: int):
         yield held
 
 
-def _count_side(spec: JoinSpec, bits: int) -> Callable:
-    """Texts to packed rows: for each bucket of hashes, slots (16 bits) and documents (their number in the flush), and the flush's documents."""
+def _count_side(spec: JoinSpec, bits: int, wide: bool) -> Callable:
+    """Texts to packed rows: for each bucket of hashes the slots (16 bits, or 32 if ``wide``) that one document of the flush has,
+    with its number, and those that several have, without; and the flush's documents, with how many slots of theirs the flush itself shares.
+
+    A shingle that many documents have is so one entry of a flush, however many there are.
+    """
+    low = 32 if wide else 16
+    kind = np.uint32 if wide else np.uint16
 
     def run(batches):
         from pyspark import TaskContext
@@ -220,30 +228,37 @@ def _count_side(spec: JoinSpec, bits: int) -> Callable:
 
         def flush():
             flush_id = part << 32 | made
-            rows = [(1, int(mix64(np.uint64(flush_id)) >> np.uint64(64 - bits)), flush_id, np.array(docs, np.int64).tobytes(), b"")]
+            rows, here = [], np.zeros(len(docs), np.int64)
             if any(len(x) for _, x in sets):
                 who = np.repeat(np.array([w for w, _ in sets], np.uint16), [len(x) for _, x in sets])
-                h = np.concatenate([x for _, x in sets])
+                h = np.concatenate([x for _, x in sets]) >> np.uint64(64 - bits - low)
                 order = np.argsort(h)
                 h, who = h[order], who[order]
-                bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
-                slot = (h >> np.uint64(48 - bits)).astype(np.uint16)
+                new = np.concatenate([[True], h[1:] != h[:-1], [True]])
+                single = new[:-1] & new[1:]
+                here = np.bincount(who[~single], minlength=len(docs))
+                lead = np.flatnonzero(new[:-1])
+                h, who, single = h[lead], who[lead], single[lead]
+                bucket, slot = (h >> np.uint64(low)).astype(np.int64), h.astype(kind)
                 ends = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(h))
-                rows += [(0, int(bucket[i]), flush_id, slot[i:j].tobytes(), who[i:j].tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                for i, j in zip(ends[:-1], ends[1:], strict=True):
+                    one = single[i:j]
+                    rows.append((0, int(bucket[i]), flush_id, slot[i:j][one].tobytes(), who[i:j][one].tobytes(), slot[i:j][~one].tobytes()))
+            rows.append((1, int(mix64(np.uint64(flush_id)) >> np.uint64(64 - bits)), flush_id, np.column_stack([np.array(docs, np.int64), here]).tobytes(), b"", b""))
             sets.clear()
             docs.clear()
             first.clear()
-            return pd.DataFrame(rows, columns=["kind", "bucket", "flush", "slot", "who"])
+            return pd.DataFrame(rows, columns=["kind", "bucket", "flush", "slot", "who", "several"])
 
         for pdf in batches:
-            for chunk in _texts_in_chunks(iter(pdf["doc_id"].astype("Int64")), iter(pdf["text"]), spec.chunk_bytes):
-                for (i, _), s in zip(chunk, shingle_sets([t for _, t in chunk], spec.words), strict=True):
+            for chunk in _texts_in_chunks(zip(pdf["doc_id"].astype("Int64"), pdf["th"], strict=True), iter(pdf["text"]), spec.chunk_bytes):
+                for ((i, th), _), s in zip(chunk, shingle_sets([t for _, t in chunk], spec.words), strict=True):
                     a, b = class_key(s)
                     if (a, b) not in first:
                         first[a, b] = len(docs)
                         sets.append((len(docs), s))
                         total += len(s)
-                    docs.append((0 if i is pd.NA else int(i), int(i is not pd.NA), len(s), a, b, first[a, b]))
+                    docs.append((0 if i is pd.NA else int(i), int(i is not pd.NA), len(s), a, b, first[a, b], int(th)))
                     if total >= 1_500_000 or len(docs) >= 60_000:
                         yield flush()
                         total, made = 0, made + 1
@@ -253,58 +268,69 @@ def _count_side(spec: JoinSpec, bits: int) -> Callable:
     return run
 
 
-def _shared_side(batches):
+def _shared_slots(single: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """Which of ``single`` occur in it twice, or in ``several`` as well."""
+    if single.dtype == np.uint16:
+        n = np.bincount(single, minlength=1 << 16)
+        n[several] = 2
+        return n[single] >= 2
+    order = np.argsort(single, kind="stable")
+    new = np.concatenate([[True], single[order][1:] != single[order][:-1], [True]])
+    out = np.empty(len(single), bool)
+    out[order] = ~(new[:-1] & new[1:])
+    return out | np.isin(single, several)
+
+
+def _shared_side(wide: bool) -> Callable:
     """Rows sorted by bucket: of each flush, the numbers of documents once for every shingle of theirs whose slot another one has too."""
-    now, held, out, waiting = None, [], {}, 0
+    slot_type = np.uint32 if wide else np.uint16
 
-    def close():
-        nonlocal waiting
-        slots = [np.frombuffer(r.slot, np.uint16) for r in held]
-        twice = np.bincount(np.concatenate(slots), minlength=1 << 16) >= 2
-        for r, s in zip(held, slots, strict=True):
-            hit = np.frombuffer(r.who, np.uint16)[twice[s]]
-            if len(hit):
-                out.setdefault(r.flush, []).append(hit.tobytes())
-                waiting += len(hit)
-
-    def emit():
-        frame = pd.DataFrame([(0, f, b"".join(x)) for f, x in out.items()], columns=["kind", "flush", "data"])
-        out.clear()
-        return frame
+    def run(batches):
+        out, waiting = {}, 0
+
+        def emit():
+            frame = pd.DataFrame([(0, f, b"".join(x)) for f, x in out.items()], columns=["kind", "flush", "data"])
+            out.clear()
+            return frame
+
+        for _, rows in _grouped(batches, ["bucket"]):
+            held = [r for r in rows if r.kind == 0]
+            for r in rows:
+                if r.kind == 1:
+                    yield pd.DataFrame([(1, r.flush, r.slot)], columns=["kind", "flush", "data"])
+            if held:
+                slots = [np.frombuffer(r.slot, slot_type) for r in held]
+                several = np.frombuffer(b"".join(r.several for r in held), slot_type)
+                twice = _shared_slots(np.concatenate(slots), several)
+                at = 0
+                for r, x in zip(held, slots, strict=True):
+                    hit = np.frombuffer(r.who, np.uint16)[twice[at : at + len(x)]]
+                    at += len(x)
+                    if len(hit):
+                        out.setdefault(r.flush, []).append(hit.tobytes())
+                        waiting += len(hit)
+                if waiting >= 2_000_000:
+                    yield emit()
+                    waiting = 0
+        if out:
+            yield emit()
 
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            if r.kind == 1:
-                yield pd.DataFrame([(1, r.flush, r.slot)], columns=["kind", "flush", "data"])
-                continue
-            if r.bucket != now:
-                if held:
-                    close()
-                    held = []
-                    if waiting >= 2_000_000:
-                        yield emit()
-                        waiting = 0
-                now = r.bucket
-            held.append(r)
-    if held:
-        close()
-    if out:
-        yield emit()
+    return run
 
 
 def _alive_side(spec: JoinSpec) -> Callable:
-    """Rows sorted by flush to documents: doc_id, n_shingles, class key, and whether enough of their shingles occur elsewhere."""
+    """Rows sorted by flush to documents: doc_id, n_shingles, class key, text hash, and whether enough of their shingles occur elsewhere."""
 
     def run(batches):
         for _, rows in _grouped(batches, ["flush"]):
-            docs = np.concatenate([np.frombuffer(r.data, np.int64) for r in rows if r.kind == 1]).reshape(-1, 6)
+            docs = np.concatenate([np.frombuffer(r.data, np.int64) for r in rows if r.kind == 1]).reshape(-1, 8)
             hits = [np.frombuffer(r.data, np.uint16) for r in rows if r.kind == 0]
-            n = np.bincount(np.concatenate(hits), minlength=len(docs)) if hits else np.zeros(len(docs), np.int64)
+            n = docs[:, 7] + (np.bincount(np.concatenate(hits), minlength=len(docs)) if hits else 0)
             size = docs[:, 2]
             alive = (size > 0) & (n[docs[:, 5]] >= needed(size, spec.percent))
             ids = pd.array(docs[:, 0], "Int64")
             ids[docs[:, 1] == 0] = pd.NA
-            yield pd.DataFrame({"doc_id": ids, "n_shingles": size, "ka": docs[:, 3], "kb": docs[:, 4], "alive": alive})
+            yield pd.DataFrame({"doc_id": ids, "n_shingles": size, "ka": docs[:, 3], "kb": docs[:, 4], "th": docs[:, 6], "alive": alive})
 
     return run
 
@@ -394,7 +420,21 @@ def block_links(sets: list[np.ndarray], percent: int, skip: float, is_query: np.
     place = rank.astype(np.int64) * m + postings  # ascending: binary search in any list
     del rank
     filled = np.zeros(n_tokens, np.int64)  # entries of each list that stand for documents before the current one
-    label, links = np.arange(m) if group is None else np.asarray(group)[order], []
+    label, links = np.arange(m) if group is None else np.asarray(group)[order].copy(), []
+    joined = np.argsort(label, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], label[joined][1:] != label[joined][:-1]])) if m else np.zeros(0, int)
+    members = {int(label[x[0]]): [x] for x in np.split(joined, heads[1:])} if m else {}
+    count = {k: len(v[0]) for k, v in members.items()}
+
+    def unite(a: int, b: int) -> None:
+        """The smaller group takes the label of the larger one, so that no set is labelled anew more than log2(m) times."""
+        if count[a] > count[b]:
+            a, b = b, a
+        for x in members[a]:
+            label[x] = b
+        members[b] += members.pop(a)
+        count[b] += count.pop(a)
+
     for i in range(m):
         mine = token[of_doc[i] : of_doc[i + 1]]
         s = int(size[i])
@@ -407,12 +447,19 @@ def block_links(sets: list[np.ndarray], percent: int, skip: float, is_query: np.
             short, long = used[: len(used) - n_long], used[len(used) - n_long :]
             n = filled[short]
             at = np.repeat(first[short] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-            seen = np.bincount(postings[at], minlength=i)
-            near = np.flatnonzero(seen >= least - n_long)
-            near = near[(100 * size[near] >= percent * s) & (label[near] != label[i])]
+            if len(at) * 4 > i:
+                seen = np.bincount(postings[at], minlength=i)
+                near = np.flatnonzero(seen >= least - n_long)
+                seen = seen[near]
+            else:  # few entries: no table over all sets
+                near, seen = np.unique(postings[at], return_counts=True)
+                near, seen = near[seen >= least - n_long], seen[seen >= least - n_long]
+            fits = (100 * size[near] >= percent * s) & (label[near] != label[i])
             if not asks[i]:
-                near = near[asks[near]]
-            near = near[np.argsort(-seen[near], kind="stable")]
+                fits &= asks[near]
+            near, seen = near[fits], seen[fits]
+            likely = np.argsort(-seen, kind="stable")
+            near, seen = near[likely], seen[likely]
             while len(near):
                 # The likeliest few of each group of connected sets: one link to each group is enough.
                 groups = label[near]
@@ -425,17 +472,17 @@ def block_links(sets: list[np.ndarray], percent: int, skip: float, is_query: np.
                 if n_long:
                     want = long[None, :].astype(np.int64) * m + some[:, None]
                     spot = np.minimum(np.searchsorted(place, want.ravel()), len(place) - 1)
-                    both = seen[some] + (place[spot] == want.ravel()).reshape(want.shape).sum(1)
+                    both = seen[now] + (place[spot] == want.ravel()).reshape(want.shape).sum(1)
                 else:
-                    both = seen[some]
+                    both = seen[now]
                 good = some[(100 + percent) * both >= percent * (s + size[some])]
                 for x in good:
                     if label[x] != label[i]:
                         links.append((int(order[x]), int(order[i])))
-                        label[label == label[x]] = label[i]
-                rest = np.ones(len(near), bool)
+                        unite(int(label[x]), int(label[i]))
+                rest = label[near] != label[i]
                 rest[now] = False
-                near = near[rest & (label[near] != label[i])]
+                near, seen = near[rest], seen[rest]
         filled[mine] += 1
     return links
 
@@ -480,18 +527,23 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     its own doc_id. Rows that repeat a doc_id are documents of their own; a null doc_id is never the name of
     a component unless all its documents have none. An empty table gives an empty one.
     """
-    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     parts = shuffle_partitions(docs.sparkSession)
-    bits = min(24, max(8, 1 + int(rows.count() / 64).bit_length()))
-    counted = rows.mapInPandas(_count_side(spec, bits), "kind int, bucket int, flush long, slot binary, who binary")
-    shared = counted.repartition(parts, "bucket").sortWithinPartitions("bucket", "flush").mapInPandas(_shared_side, "kind int, flush long, data binary")
-    base = shared.repartition(parts, "flush").sortWithinPartitions("flush").mapInPandas(_alive_side(spec), "doc_id long, n_shingles long, ka long, kb long, alive boolean")
+    bits = min(spec.most_bits, max(8, 1 + int(rows.count() / 64).bit_length()))
+    wide = bits == spec.most_bits
+    counted = rows.mapInPandas(_count_side(spec, bits, wide), "kind int, bucket int, flush long, slot binary, who binary, several binary")
+    shared = counted.repartition(parts, "bucket").sortWithinPartitions("bucket", "flush").mapInPandas(_shared_side(wide), "kind int, flush long, data binary")
+    base = shared.repartition(parts, "flush").sortWithinPartitions("flush").mapInPandas(_alive_side(spec), "doc_id long, n_shingles long, ka long, kb long, th long, alive boolean")
     sized = cut(base)
-    classes = sized.where("n_shingles > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.max("alive").alias("alive"))
-    classes = classes.withColumn("cid", _cid("ka", "kb"))
+    # A class goes by its smallest doc_id; its text is that of a row which has this id and, as ids can repeat, this hash.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least")
+    classes = sized.where("n_shingles > 0").groupBy("ka", "kb").agg(least, F.min("n_shingles").alias("size"), F.max("alive").alias("alive"))
+    classes = classes.select("ka", "kb", F.col("least.doc_id").alias("rep"), F.col("least.th").alias("rep_th"), "size", "alive").withColumn("cid", _cid("ka", "kb"))
 
     def sets_of(batches):
+        found: set[str] = set()  # classes of this task: rows that repeat both id and text meet here
         for pdf in batches:
+            pdf = pdf[~pdf.duplicated(["cid", "text"]) & ~pdf["cid"].isin(found)]
             done = 0
             for chunk in _texts_in_chunks(iter(pdf["cid"]), iter(pdf["text"]), spec.chunk_bytes):
                 part = pdf.iloc[done : done + len(chunk)]
@@ -499,10 +551,11 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
                 sets = shingle_sets([t for _, t in chunk], spec.words)
                 same = np.array([class_key(s) == (a, b) for s, a, b in zip(sets, part["ka"], part["kb"], strict=True)], bool)
                 kept = part[same]
+                found.update(kept["cid"])
                 yield pd.DataFrame({"who": kept["ka"] & _WHO, "cid": kept["cid"], "size": kept["size"], "sh": [s.tobytes() for s, k in zip(sets, same, strict=True) if k]})
 
-    reps = classes.where("alive").select("ka", "kb", "cid", "rep", "size")
-    texts = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "ka", "kb", "cid", "size")
+    reps = classes.where("alive").select("ka", "kb", "cid", "rep", "rep_th", "size")
+    texts = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))).select("text", "ka", "kb", "cid", "size")
     sets = cut(texts.mapInPandas(sets_of, "who long, cid string, size long, sh binary"))
     tied = sets.select("who", "sh").mapInPandas(_tie_side(spec, bits), "bucket int, sig binary, who binary, ties binary")
     places = connected_components(tied.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_reduce_side, "a long, b long"))

@@ -177,6 +177,50 @@ def test_ngram_join_matches_brute_force(spark, words, percent, block, seed):
     assert got == brute_components(rows, words, percent)
 
 
+def test_ngram_join_with_wide_slots_and_repeated_ids(spark):
+    rows = [(i % 7 if i % 3 else None, t) for i, t in corpus(6, 120)]
+    rows += [(1, "same id same text " * 4)] * 5 + [(None, "no id same text " * 4)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in ngram_join.jaccard_components(df, ngram_join.JoinSpec(most_bits=8, chunk_bytes=2000)).collect()), key=str)
+    assert got == brute_components(rows, 3, 90)
+
+
+def test_slots_are_shared_from_the_second_on():
+    for kind in (np.uint16, np.uint32):
+        got = ngram_join._shared_slots(np.array([5, 7, 5, 9, 65535, 0], kind), np.array([9, 11], kind))
+        assert got.tolist() == [True, False, True, True, False, False]
+        assert not len(ngram_join._shared_slots(np.zeros(0, kind), np.zeros(0, kind)))
+
+
+@pytest.mark.parametrize(("percent", "grouped"), [(50, False), (80, True), (90, False)])
+def test_block_links_connect_what_links_connect(percent, grouped):
+    rng = np.random.default_rng(percent)
+    base = [np.unique(rng.integers(0, 1 << 40, rng.integers(1, 40), dtype=np.uint64)) for _ in range(12)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.1], rng.integers(0, 1 << 40, 1, dtype=np.uint64)])) for b in base for _ in range(12)]
+    group = rng.integers(0, 100, len(sets)) if grouped else None
+    parent = list(range(len(sets) + 100))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)) if grouped else ():
+        parent[find(i)] = find(len(sets) + int(group[i]))
+    link = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (o := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - o)]
+    start = list(parent)
+    for i, j in link:
+        parent[find(i)] = find(j)
+    want = {frozenset(k for k in range(len(sets)) if find(k) == find(i)) for i in range(len(sets))}
+    parent = start
+    found = ngram_join.block_links(sets, percent, 0.005, None, group)
+    assert {(max(x), min(x)) for x in found} <= set(link)
+    for i, j in found:
+        assert find(i) != find(j)  # a forest
+        parent[find(i)] = find(j)
+    assert {frozenset(k for k in range(len(sets)) if find(k) == find(i)) for i in range(len(sets))} == want
+
+
 def test_ngram_join_keeps_one_of_each(spark):
     rows = [(1, "a b c d e"), (2, "a b c d e"), (3, "z"), (4, None), (5, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit("x"))
