@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathomline.llm import tokens
-from fathomline.llm.shared import cut, small_batches
+from fathomline.llm.shared import cut, own_prefix, small_batches
 
 UNDEFINED = "und"
 
@@ -262,8 +262,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
         return pd.DataFrame({"lang_pred": out, "score": score})
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    own = "__p"
-    while own in docs.columns:
-        own += "_"
+    own = own_prefix(docs.columns)
     both = small_batches(docs).select(*rest, run(F.col(text)).alias(own))
     return both.select(*rest, F.col(f"{own}.lang_pred").alias(names[0]), F.col(f"{own}.score").alias(names[1]))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.shared import WORD
+from fathomline.llm.shared import WORD, own_prefix
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -60,14 +60,6 @@ THRESHOLDS = (
 )
 
 
-def _own_prefix(names: list[str]) -> str:
-    """What no column's name begins with."""
-    out = "__m"
-    while any(n.lower().startswith(out) for n in names):
-        out += "_"
-    return out
-
-
 def text_measures(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] | None = None, hashed: str = "xxhash64") -> DataFrame:
     """``df`` with the counts that rules speak about, as long columns.
 
@@ -82,7 +74,7 @@ def text_measures(df: DataFrame, text: str = "text", stop_words: tuple[str, ...]
     if stop_words is None:
         stop_words = tuple(dict.fromkeys(w for words in STOP_WORDS.values() for w in words))
     names = df.columns
-    pre = _own_prefix(names)
+    pre = own_prefix(names)
     t, w, l, n, b, m, h, s, q = (f"{pre}{x}" for x in "twlnbmhsq")
     one = F.expr
     step = df.select(

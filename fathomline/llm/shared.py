@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not where and sc._jsc.sc().getCheckpointDir().isDefined():
         where = sc._jsc.sc().getCheckpointDir().get()
     if not where:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # not local-cluster, whose executors are processes of their own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="fathomline-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -47,6 +48,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_prefix(names: list[str]) -> str:
+    """What no column's name begins with, for columns of an operator's own beside those of its input."""
+    out = "__m"
+    while any(n.lower().startswith(out) for n in names):
+        out += "_"
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the Parquet tables in the shared folder that ``df`` reads (see :func:`written`), on any file system that Spark reaches."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    root = shared_dir(df.sparkSession).removeprefix("file:").lstrip("/")
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root in path:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -68,20 +87,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph, without collecting any part of it.
 
     ``edges`` has two columns of one orderable type, ``a`` and ``b``. Returns ``node`` and ``root``, the
     smallest node of the component, for every node that has an edge to another one. Rows that hold a null
     and loops are left out, repeated edges count once. Alternating large-star and small-star steps
-    (Kiveris and others, 2014) need O(log^2 n) rounds; minima are taken by partial aggregates and joined
+    (Kiveris and others, 2014) need O(log^2 n) rounds and go on until nothing changes; minima are taken by partial aggregates and joined
     back, so that a hub's edges are never gathered in one task (adaptive execution splits the join).
     """
     edges = edges.select(F.col("a").alias("a"), F.col("b").alias("b"))
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = cut(now)
     before = None
-    for _ in range(max_rounds):
+    while True:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not sums[0]:
             break
@@ -97,7 +116,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         tied = big.join(low, big.a == low.u)
         now = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m")).where("a <> b").distinct()
         now = cut(now)
-    else:
-        raise RuntimeError("connected components did not settle")
     stars = now.groupBy("a").agg(F.min("b").alias("root"))
     return stars.select(F.col("a").alias("node"), "root").union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -118,6 +118,34 @@ def test_mixing(spark):
     assert mixing.mixed_sizes(df.limit(0), spec).count() == 0
 
 
+def test_mixing_any_number_of_sources(spark):
+    rows = [(i, "w " * (1 + i % 40), "en", f"s{i % 900:04d}" if i % 901 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, brute_targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 3), strict=True))
+    spec = mixing.MixSpec(block_words=4, shards=7, group_sources=50, sent_sources=10, run_slots=8)
+    got = mixing.mixed_sizes(df, spec).toPandas()
+    by = got.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"))
+    assert len(got) == 3000 and (got["taken"] <= 3 * got["size"]).all()
+    for s, r in zip([None if x != x else x for x in by.index], by.itertuples(), strict=True):
+        assert np.isclose(r.target, want[s]) and r.taken <= 3 * sizes[s]
+    assert abs(by["taken"].sum() - sum(sizes.values())) < 0.03 * sum(sizes.values())
+    for w in (5, 2, 1):
+        of = [s for i, s in enumerate(order) if (5, 2, 1)[i % 3] == w]
+        assert abs(sum(by["taken"][by.index.isna() if s is None else by.index == s].sum() for s in of) / sum(want[s] for s in of) - 1) < 0.05
+
+
+def test_draws_add_up_and_keep_to_what_there_is():
+    owed, most = np.array([50.5, 30.0, 0.0, 3.5]), np.array([51, 90, 9, 3])
+    wanted = mixing.shard_slots(84, 5)
+    out = mixing.draw_shards(owed, most, wanted, 1)
+    assert out.sum(1).tolist() == wanted.tolist() and wanted.sum() == 84 and (out.sum(0) <= most).all()
+    assert abs(out.sum(0) - owed).max() <= 8
+
+
 def test_mixed_documents_hold_the_words_that_are_taken(spark):
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(random.Random(i).choice([0, 1, 7, 40, 100]))), "en", "ab"[i % 2]) for i in range(60)]
     rows += [(60, "twin text", "en", "a"), (60, "twin text", "en", "a")]
