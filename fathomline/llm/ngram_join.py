@@ -525,7 +525,8 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
 
     A null or empty text, or one of white space alone, has no shingle and is linked with nothing: its component is
     its own doc_id. Rows that repeat a doc_id are documents of their own; a null doc_id is never the name of
-    a component unless all its documents have none. An empty table gives an empty one.
+    a component unless all its documents have none. Texts count in whole, a stretch at a time. An empty table gives an
+    empty one; further columns are ignored.
     """
     rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     parts = shuffle_partitions(docs.sparkSession)

@@ -125,7 +125,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = M
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Sequences are numbered from 0 without gaps; in each, offsets run from 0 without gaps. Rows that repeat a
-    doc_id are documents of their own. An empty table gives an empty one.
+    doc_id are documents of their own, a null doc_id is none's; long texts are packed in whole. Pieces of one length are
+    in the order of doc_id, start and checksum, so ties change places among equals alone. An empty table gives an empty
+    one; further columns are ignored.
     """
     pieces = cut(token_pieces(docs, tokenizer, limit))
     # At most ``limit`` rows, whatever the input.

@@ -59,9 +59,10 @@ def own_prefix(names: list[str]) -> str:
 def dropped(df: DataFrame) -> None:
     """Deletes the Parquet tables in the shared folder that ``df`` reads (see :func:`written`), on any file system that Spark reaches."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    root = shared_dir(df.sparkSession).removeprefix("file:").lstrip("/")
+    bare = lambda path: path.removeprefix("file:").lstrip("/")
+    root = bare(shared_dir(df.sparkSession)) + "/"
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root in path:
+        if bare(path).startswith(root):
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
 

@@ -122,7 +122,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, frame
     """Writes the ids of all documents to ``path`` as frames, in ascending order of doc_id (null first).
 
     A null text counts as an empty one; every document ends with id 0. Rows with one doc_id are documents of
-    their own and follow each other in the order of their texts' hashes. An empty table gives no frames.
+    their own and follow each other in the order of their texts' hashes. Long texts go on over several frames. An
+    empty table gives no frames; further columns are ignored.
     """
     n = shuffle_partitions(docs.sparkSession)
     rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))

@@ -42,6 +42,8 @@ def test_language_stage(spark, docs):
     pred, score = language_id.predict(model, [r["text"] for r in every])
     want = [(r["doc_id"], r["text"]) for r, p, s in zip(every, pred, score, strict=True) if p != "und" and s >= corpus_pipeline.MIN_LANGUAGE_SCORE]
     assert rows_of(out) == sorted(want, key=str) and len(want) >= 200
+    lang = {(r["doc_id"], r["text"]): r["lang"] or p for r, p in zip(every, pred, strict=True)}
+    assert all(r["lang"] == lang[r["doc_id"], r["text"]] is not None for r in out.collect())
     assert corpus_pipeline.language(spark, docs.limit(0), "").count() == 0
 
 
@@ -96,3 +98,17 @@ def test_whole_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) and (out.groupby("sequence_id")["length"].sum() <= 1024).all()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_duplicates", "mixture", "packing"]
+
+
+def test_tables_of_former_stages_go(spark, docs):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from fathomline.llm.shared import dropped, written
+
+    one, two = written(docs, "one"), written(docs.limit(3), "two")
+    here = [Path(urlparse(t.inputFiles()[0]).path).parent for t in (one, two)]
+    dropped(one)
+    assert [p.exists() for p in here] == [False, True] and two.count() == 3
+    dropped(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))  # not in the shared folder: stays
+    assert Path("/root/testdata/sf0.001/region.parquet").exists()

@@ -351,6 +351,9 @@ def test_language_id(spark):
     held = got[got["held"] & got["lang"].notna() & (got["doc_id"] < 10**9)]
     assert all((zlib.crc32(str(int(d)).encode()) % 4 == 2) == h for d, h in zip(got["doc_id"].fillna(0), got["held"], strict=True) if d == d)
     assert (held["lang"] == held["lang_pred"]).mean() > 0.95
+    assert language_id.identify(both.limit(0), model).count() == 0
+    twice = language_id.identify(both.limit(3).union(both.limit(3)), model).collect()
+    assert sorted(map(str, twice[:3])) == sorted(map(str, twice[3:]))
     empty = language_id.fit_sample(both.limit(0))
     assert language_id.identify(both.limit(5), empty).select("lang_pred").distinct().collect()[0][0] == "und"
 
@@ -442,6 +445,7 @@ def test_token_counts(spark):
         seen = {x: brute_tokens(b" " + x.encode(), pieces) for x in set(w)}
         want.append((str(i), len(w), sum(seen[x] for x in w)))
     assert got == sorted(want)
+    assert token_counts.count_tokens(frame(spark, rows).limit(0)).count() == 0
     small = {b"a": -1.0, b"ab": -1.5, b"b": -1.0, b"abc": math.log(0.5)}
     counter = token_counts.TrieCounter(small)
     counter.learn([b"abc", b"ab", b"abd", b"", b"zz"])

@@ -92,13 +92,16 @@ def test_url_filter(spark):
         (1, "https://Example.COM/en/7?x#y", ""), (2, "http://a.example.com/en/8", None), (3, "http://com/en/", ""), (4, "http://notcom/en/", ""), (5, None, "x"), (6, "no scheme/en/", ""),
         (7, "http://x.org/1", page.format("http://b.net/z")), (8, "http://x.org/2#f", turn.format("http://x.org/1")), (9, "http://x.org/2", ""), (10, "http://x.org/3", page.format("http://example.com/en/77")), (11, "http://net", ""),
         (12, "http://x.org/4", page.format("http://x.org/3")), (13, "http://b.net/q", page.format("http://x.org/3")), (13, "http://b.net/q", page.format("http://x.org/3")),
+        (14, None, page.format("http://b.net/z")), (None, None, None), (15, "", "x" * 1_000_000),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rule", F.lit("clash"))
-    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, rules).collect())
+    every = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, rules).collect()]
+    assert (None, "", "", None, "allow") in every and len(every) == len(rows)
+    got = sorted(x for x in every if x[0] is not None)
     verdicts = [(i, rule_, v) for i, _, _, rule_, v in got]
     assert verdicts == [
         (1, "example.com/en/7", "allow"), (2, "com/en/", "block"), (3, "com/en/", "block"), (4, None, "allow"), (5, None, "allow"), (6, None, "allow"), (7, None, "block"), (8, None, "block"), (9, None, "block"),
-        (10, None, "allow"), (11, None, "allow"), (12, None, "allow"), (13, "net/", "block"), (13, "net/", "block"),
+        (10, None, "allow"), (11, None, "allow"), (12, None, "allow"), (13, "net/", "block"), (13, "net/", "block"), (14, None, "allow"), (15, None, "allow"),
     ]
     assert got[0][1:3] == ("example.com", "/en/7") and got[4][1:3] == ("", "") and got[5][1:3] == ("", "")
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
