@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as tx
-from fathomline.operators import dedup, rules, score, windows
+from fathomline.operators import dedup, rules, score, vocabulary, windows
 from fathomline.operators.taxonomy import NONE, Taxonomy
 from fathomline.sources.writers import dimension_json
 
@@ -29,10 +29,14 @@ class DetectConfig:
     relational_roots: tuple[str, ...] = ("D", "T")
 
 
+#: Characters on either side of a page that gates and contexts may read.
+SURROUNDINGS = 2000
+
+
 def _flags(df: DataFrame, taxonomy: Taxonomy, cfg: DetectConfig) -> DataFrame:
     n = F.length("trigger")
-    near = windows.around(F.col("page_text"), F.col("at_page"), n, cfg.gate_radius)
-    close = windows.around(F.col("page_text"), F.col("at_page"), n, cfg.marker_radius)
+    near = windows.around(F.col("surroundings"), F.col("place"), n, cfg.gate_radius)
+    close = windows.around(F.col("surroundings"), F.col("place"), n, cfg.marker_radius)
     out = df.withColumn("actor", rules.holds_any(near, taxonomy.actors)).withColumn("verb", rules.holds_any(near, taxonomy.verbs))
     return out.withColumn("marker", rules.holds_any(close, taxonomy.markers))
 
@@ -40,15 +44,16 @@ def _flags(df: DataFrame, taxonomy: Taxonomy, cfg: DetectConfig) -> DataFrame:
 def candidates(pages: DataFrame, taxonomy: Taxonomy, keys: list[str], cfg: DetectConfig = DetectConfig()) -> DataFrame:
     """Windows that a trigger hits, that are no false positives and pass the gates; the first of each kind in a document.
 
-    pages: ``keys``, page, page_text. Places and gate windows are those of the page.
+    pages: ``keys``, page, page_text. Gate windows and contexts are those of the document, whose pages are joined by
+    line feeds: ``surroundings`` is the page with SURROUNDINGS characters of the document on either side, ``place``
+    (from 1) where the trigger stands in it.
     """
-    p = windows.long_pages(pages, least=cfg.min_page)
+    p = windows.long_pages(windows.with_surroundings(pages.select(*keys, "page", "page_text"), keys, max(SURROUNDINGS, cfg.gate_radius, cfg.marker_radius)), least=cfg.min_page)
     w = windows.useful_windows(windows.text_windows(p, "page_text", cfg.window, cfg.overlap), cfg.min_window)
-    w = rules.triggered(w, taxonomy.hard_triggers, taxonomy.soft_triggers)
+    w = rules.triggered(w, *rules.trigger_patterns(taxonomy))
     fp = rules.first_false_positive(F.concat_ws(" ", "trigger", "window"), taxonomy.false_positives, taxonomy.catch_all, taxonomy.subject_context, taxonomy.lower_case)
     w = w.where(fp.isNull())
-    head = F.get(tx.sentences(F.col("window")), F.lit(0))
-    w = w.withColumn("at_page", F.greatest(F.lit(1), F.instr(F.col("page_text"), F.coalesce(head, F.col("window")))) + F.col("at") - 1)
+    w = w.withColumn("place", F.length("before") + F.col("offset") + F.col("at")).withColumn("surroundings", F.concat("before", "page_text", "after"))
     w = _flags(w, taxonomy, cfg)
     order = ["page", "window_no"]
     codes = [(c, any_hit) for c in taxonomy.codes().values() if c.patterns for any_hit in [F.col("window").rlike("(?i)" + "|".join(f"(?:{x})" for x in c.patterns))]]
@@ -97,7 +102,7 @@ def detect(pages: DataFrame, taxonomy: Taxonomy, keys: list[str], encoder: score
     kept = c.where(rules.accepted(*a) | (F.lit(not taxonomy.anchors) & F.col("is_hard")))
     out = rules.classified(kept, taxonomy)
     out = out.withColumn("confidence", rules.confidence(*a)).withColumn("strength", rules.strength(F.col("confidence"))).withColumn("method", rules.method(*a)).withColumn("reasons", rules.reasons(*a))
-    out = out.withColumn("context", F.substring(windows.context_sentences(F.col("page_text"), F.col("at_page"), F.col("trigger")), 1, 2000))
+    out = out.withColumn("context", F.substring(windows.context_sentences(F.col("surroundings"), F.col("place"), F.col("trigger")), 1, 2000))
     dims = [d for d, _ in taxonomy.dimensions]
     out = out.withColumn("dimensions", dimension_json([(d, F.col(f"code_{d}"), F.col(f"conf_{d}")) for d in dims]))
     ab = [F.coalesce(F.col(f"code_{dims[i]}"), F.lit("")) if i < len(dims) else F.lit("") for i in (0, 1)]
@@ -106,13 +111,14 @@ def detect(pages: DataFrame, taxonomy: Taxonomy, keys: list[str], encoder: score
 
 def deduplicated(refs: DataFrame, keys: list[str], threshold: float = 0.6) -> DataFrame:
     """Within a document: exact repeats of a page go, then each reference joins the first similar, more confident one."""
-    order = F.col("page") * 100000 + F.col("window_no")
+    # A place in the document as one long: windows of a page are fewer than 2^32.
+    order = F.shiftleft(F.col("page").cast("long"), 32) + F.col("window_no")
     one = dedup.exact(refs.withColumn("seq", order), [*keys, "page"], "text", "confidence", "seq")
     clusters = dedup.greedy_jaccard(one.select(*keys, "seq", "text", "confidence"), keys, "seq", "text", "confidence", threshold)
     return one.join(clusters.where("seq = cluster").select(*keys, "seq"), [*keys, "seq"], "left_semi").drop("seq")
 
 
-def with_sentiment(refs: DataFrame, scorer: score.Scorer = score.lexicon_scorer, governance: str | None = None) -> DataFrame:
+def with_sentiment(refs: DataFrame, scorer: score.Scorer = score.lexicon_scorer, governance: str | None = vocabulary.GOVERNANCE) -> DataFrame:
     """Pending references with label and probability; governance contexts turn negative into neutral."""
     out = score.compound(refs, scorer)
     label = rules.sentiment_label(F.col("compound"))
@@ -143,7 +149,7 @@ def document_language(pages: DataFrame, keys: list[str], sample: int = 5, text:
     return one.groupBy(*keys).agg(F.max_by("lang", F.struct("c", (-F.col("f")).alias("f"))).alias("language"))
 
 
-def first_priority_term(c, patterns: tuple[str, ...]):
+def first_priority_term(c, patterns: tuple[str, ...] = vocabulary.PRIORITY_TERMS):
     """(term, marked text) of the first pattern in order that hits, else the first 50 characters and the text as it is."""
     found = F.coalesce(*[F.nullif(F.regexp_extract(c, f"(?i){p}", 0), F.lit("")) for p in patterns])
     return F.struct(F.coalesce(found, F.substring(c, 1, 50)).alias("term"), F.when(found.isNotNull(), tx.marked(c, found)).otherwise(c).alias("marked"))

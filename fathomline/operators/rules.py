@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathomline.operators import vocabulary
 from fathomline.operators.taxonomy import COOCCUR, COOCCUR_VERB, SOFT, Taxonomy
 
 # Thresholds.
 SEMANTIC, SEMANTIC_STRICT, SEMANTIC_FLOOR = 0.28, 0.50, 0.20
 
 
+def trigger_patterns(taxonomy: Taxonomy) -> tuple[str, str]:
+    """The hard and the soft trigger of a taxonomy: its own, else those of its subject, which a code's first letter shows."""
+    digital = any(c.startswith(vocabulary.DIGITAL_ROOTS) for c in taxonomy.codes())
+    hard, soft = (vocabulary.DIGITAL_HARD, vocabulary.DIGITAL_SOFT) if digital else (vocabulary.AI_HARD, vocabulary.AI_SOFT)
+    return taxonomy.hard_triggers or hard, taxonomy.soft_triggers or soft
+
+
 def triggered(df: DataFrame, hard: str, soft: str, text: str = "window") -> DataFrame:
     """Rows that a hard or else a soft trigger hits, with the first match, its place (from 1) and whether it was hard."""
     h, s = F.regexp_extract(text, f"(?i){hard}", 0), F.regexp_extract(text, f"(?i){soft}", 0)
     is_hard = h != ""
     out = df.withColumn("is_hard", is_hard).withColumn("trigger", F.when(is_hard, h).otherwise(s)).where("trigger <> ''")
-    return out.withColumn("at", F.instr(F.col(text), F.col("trigger")))
+    place = lambda pattern: F.regexp_instr(text, F.lit(f"(?i){pattern}"))
+    return out.withColumn("at", F.when(F.col("is_hard"), place(hard)).otherwise(place(soft)))
 
 
 def first_false_positive(text: Column, groups: tuple[tuple[str, tuple[str, ...]], ...], catch_all: tuple[str, ...] = (), subject: str | None = None, lower: bool = True) -> Column:
@@ -56,34 +67,41 @@ def earlier_hit(hit: Column, keys: list[str], order: list[str], with_current: bo
     return F.coalesce(F.max(hit.cast("int")).over(w), F.lit(0)) == 1
 
 
-def dimension_scores(text: Column, taxonomy: Taxonomy) -> list[tuple[str, Column]]:
-    """For each dimension, an array of (score, has_pattern, -order, code) of the codes with a score, uncapped."""
-    t = F.lower(text) if taxonomy.lower_case else text
-    out = []
-    for dim, codes in taxonomy.dimensions:
-        rows = []
-        for k, c in enumerate(codes):
-            by_pattern = sum((F.when(t.rlike(f"(?i){p}"), taxonomy.weights.pattern).otherwise(0.0) for p in c.patterns), F.lit(0.0))
-            by_word = sum((F.when(F.contains(F.lower(text), F.lit(w.lower())), taxonomy.weights.tiers[tier - 1]).otherwise(0.0) for w, tier in c.keywords), F.lit(0.0))
-            rows.append(F.struct((by_pattern + by_word).alias("score"), (by_pattern > 0).alias("pattern"), F.lit(-k).alias("ord"), F.lit(c.code).alias("code")))
-        out.append((dim, F.filter(F.array(*rows), lambda x: x["score"] > 0)))
-    return out
-
-
 def classified(df: DataFrame, taxonomy: Taxonomy, text: str = "window") -> DataFrame:
     """With ``code_<dim>`` and ``conf_<dim>`` for each dimension and ``combined`` (codes joined by ``|``).
 
     The best code has the highest sum of weights; of equals, one with a pattern hit, then the first. Its
-    confidence is capped at 1. A native projection: no shuffle, no user function.
+    confidence is capped at 1. Three native projections, no shuffle, no user function: every pattern and keyword is
+    looked for once, then each dimension has its best code, then code and confidence are read from it.
     """
-    out = df
-    names = []
-    for dim, scored in dimension_scores(F.col(text), taxonomy):
-        best = F.array_max(scored)
-        out = out.withColumn(f"code_{dim}", best["code"]).withColumn(f"conf_{dim}", F.round(F.least(best["score"], F.lit(1.0)), 3))
-        names.append(f"code_{dim}")
-    joined = F.concat_ws("|", *names)
-    return out.withColumn("combined", F.when(joined == "", F.lit("UNCLASSIFIED")).otherwise(joined))
+    names = df.columns
+    own = "__r" + "_" * max((len(c) for c in names), default=0)
+    low, hits = f"{own}l", f"{own}h"
+    looks: dict[tuple[str, str], int] = {}
+    for _, codes in taxonomy.dimensions:
+        for c in codes:
+            for kind, terms in (("pattern", c.patterns), ("keyword", [w.lower() for w, _ in c.keywords])):
+                for x in terms:
+                    looks.setdefault((kind, x), len(looks))
+    read = F.col(low) if taxonomy.lower_case else F.col(text)
+    found = [F.coalesce(read.rlike(f"(?i){x}") if kind == "pattern" else F.contains(F.col(low), F.lit(x)), F.lit(False)) for kind, x in looks]
+    out = df.withColumn(low, F.lower(text)).withColumn(hits, F.array(*found) if found else F.array().cast("array<boolean>"))
+    weight = lambda kind, x, w: F.when(F.get(F.col(hits), F.lit(looks[kind, x])), w).otherwise(0.0)
+    best = {}
+    for d, (_, codes) in enumerate(taxonomy.dimensions):
+        rows = []
+        for k, c in enumerate(codes):
+            by_pattern = sum((weight("pattern", p, taxonomy.weights.pattern) for p in c.patterns), F.lit(0.0))
+            by_word = sum((weight("keyword", w.lower(), taxonomy.weights.tiers[tier - 1]) for w, tier in c.keywords), F.lit(0.0))
+            any_pattern = F.exists(F.array(*[F.get(F.col(hits), F.lit(looks["pattern", p])) for p in c.patterns]), lambda x: x) if c.patterns else F.lit(False)
+            rows.append(F.struct((by_pattern + by_word).alias("score"), any_pattern.alias("pattern"), F.lit(-k).alias("ord"), F.lit(c.code).alias("code")))
+        best[f"{own}b{d}"] = F.array_max(F.filter(F.array(*rows), lambda x: x["score"] > 0))
+    out = out.withColumns(best)
+    codes = [F.col(f"{own}b{d}")["code"] for d in range(len(taxonomy.dimensions))]
+    confs = [F.round(F.least(F.col(f"{own}b{d}")["score"], F.lit(1.0)), 3) for d in range(len(taxonomy.dimensions))]
+    joined = F.concat_ws("|", *codes)
+    made = [x for (dim, _), c, p in zip(taxonomy.dimensions, codes, confs, strict=True) for x in (c.alias(f"code_{dim}"), p.alias(f"conf_{dim}"))]
+    return out.select(*[F.col(f"`{c}`") for c in names], *made, F.when(joined == "", F.lit("UNCLASSIFIED")).otherwise(joined).alias("combined"))
 
 
 def vendor_gated(code: Column, conf: Column, ambiguous: Column, vendor_context: Column, code_to_doubt: str, fallback: str) -> tuple[Column, Column]:
@@ -120,13 +138,29 @@ def accepted(score: Column, hard: Column, patterns: Column) -> Column:
     return (score >= SEMANTIC_FLOOR) & ((score >= F.when(hard, SEMANTIC).otherwise(SEMANTIC_STRICT)) | (hard & (patterns >= 1)))
 
 
+#: Anchors that one row may be compared with: they are a literal of the plan.
+MOST_ANCHORS = 10_000
+
+
 def max_similarity(df: DataFrame, anchors: DataFrame, vector: str = "embedding", anchor: str = "anchor") -> DataFrame:
-    """The highest cosine to any anchor. Anchors are few by nature; they travel with each row as one array of a single-row aggregate."""
-    few = anchors.agg(F.collect_list(F.col(anchor).cast("array<double>")).alias("__anchors"))
+    """The highest cosine to any anchor.
+
+    Anchors are phrases of a taxonomy: few. They are brought to unit length once and become a literal; more than
+    ``MOST_ANCHORS`` are refused. A row's own length is computed once.
+    """
+    rows = anchors.select(F.col(anchor).cast("array<double>").alias("a")).limit(MOST_ANCHORS + 1).collect()
+    if len(rows) > MOST_ANCHORS:
+        raise ValueError(f"more than {MOST_ANCHORS} anchors")
+    units = []
+    for r in rows:
+        n = math.sqrt(sum(x * x for x in r["a"]))
+        units.append([x / n for x in r["a"]] if n else [float("nan")] * len(r["a"]))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = F.col(vector).cast("array<double>")
-    cosine = lambda a: dot(v, a) / (F.sqrt(dot(v, v)) * F.sqrt(dot(a, a)))
-    return df.crossJoin(F.broadcast(few)).withColumn("max_cosine", F.array_max(F.transform("__anchors", cosine))).drop("__anchors")
+    own = "__v" + "_" * max((len(c) for c in df.columns), default=0)
+    out = df.withColumn(own, F.col(vector).cast("array<double>")).withColumn(f"{own}n", F.sqrt(dot(F.col(own), F.col(own))))
+    few = F.lit(units) if units else F.array().cast("array<array<double>>")
+    best = F.array_max(F.transform(few, lambda a: dot(F.col(own), a)))
+    return out.withColumn("max_cosine", best / F.col(f"{own}n")).drop(own, f"{own}n")
 
 
 def sentiment_label(compound: Column) -> Column:

@@ -56,32 +56,57 @@ def char_windows(df: DataFrame, text: str = "text", size: int = WINDOW, overlap:
 def sentence_windows(df: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
     """Groups of sentences of about ``size`` characters; the last sentence of a group begins the next.
 
-    A fold over the sentences of a row, native: no shuffle and no user function. Texts of one sentence have
-    none here (see text_windows).
+    Columns of ``df``, window_no, window, and offset (from 0): where the window begins if each sentence is followed by
+    one separator; the sentence that a window shares with the one before counts as if it had none. A fold over the
+    lengths of a row's sentences finds where windows begin, native: no shuffle, no user function, and no text is copied
+    before its window is cut out. Texts of one sentence have none here (see text_windows).
     """
-    sents = tx.sentences(F.col(text))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+    own = "__w" + "_" * max((len(c) for c in df.columns), default=0)
+    s, cuts = f"{own}s", f"{own}c"
+    start = F.struct(F.array().cast("array<struct<i:int,o:int>>").alias("cuts"), *[F.lit(0).alias(c) for c in ("n", "at", "i", "last")])
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] + F.length(x) > size) & (F.size(s["now"]) > 0)
-        last = F.slice(s["now"], -1, 1)
-        now = F.when(full, F.concat(last, F.array(x))).otherwise(F.concat(s["now"], F.array(x)))
-        n = F.when(full, F.length(last[0]) + F.length(x)).otherwise(s["n"] + F.length(x))
-        done = F.when(full, F.concat(s["done"], F.array(F.array_join(s["now"], " ")))).otherwise(s["done"])
-        return F.struct(done.alias("done"), now.alias("now"), n.cast("int").alias("n"))
+    def step(a: Column, x: Column) -> Column:
+        full = (a["n"] + x > size) & (a["i"] > 0)
+        begun = F.concat(a["cuts"], F.array(F.struct(a["i"].alias("i"), (a["at"] - a["last"]).alias("o"))))
+        return F.struct(F.when(full, begun).otherwise(a["cuts"]).alias("cuts"), F.when(full, a["last"] + x).otherwise(a["n"] + x).alias("n"), (a["at"] + x + 1).alias("at"), (a["i"] + 1).alias("i"), x.alias("last"))
 
-    finish = lambda s: F.concat(s["done"], F.array(F.array_join(s["now"], " ")))
-    rows = df.withColumn("__s", sents).where((F.length(text) >= 20) & (F.size("__s") > 1)).withColumn("__w", F.aggregate("__s", start, step, finish))
-    return rows.select(*df.columns, F.posexplode("__w").alias("window_no", "window"))
+    first = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("o")))
+    rows = df.withColumn(s, tx.sentences(F.col(text))).where((F.length(text) >= 20) & (F.size(s) > 1))
+    rows = rows.withColumn(cuts, F.aggregate(F.transform(s, lambda x: F.length(x)), start, step, lambda a: F.concat(first, a["cuts"])))
+
+    def window(c: Column, k: Column) -> Column:
+        begin = F.greatest(c["i"] - 1, F.lit(0))
+        end = F.coalesce(F.get(F.col(cuts), k + 1)["i"], F.size(s))
+        return F.struct(F.array_join(F.slice(s, begin + 1, end - begin), " ").alias("window"), c["o"].alias("offset"))
+
+    rows = rows.select(*df.columns, F.posexplode(F.transform(cuts, window)).alias("window_no", own))
+    return rows.select(*df.columns, "window_no", F.col(own)["window"].alias("window"), F.col(own)["offset"].alias("offset"))
 
 
 def text_windows(df: DataFrame, text: str = "text", size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """Sentence windows where a text has two sentences or more, else character windows; numbered within the row."""
+    """Sentence windows where a text has two sentences or more, else character windows; numbered within the row, with their offset."""
     single = df.where(F.size(tx.sentences(F.col(text))) <= 1)
-    chars = char_windows(single, text, size, overlap).withColumn("window_no", (F.col("offset") / (size - overlap)).cast("int")).select(*df.columns, "window_no", "window")
+    chars = char_windows(single, text, size, overlap).withColumn("window_no", (F.col("offset") / (size - overlap)).cast("int")).select(*df.columns, "window_no", "window", "offset")
     return sentence_windows(df, text, size).unionByName(chars)
 
 
+def with_surroundings(pages: DataFrame, keys: list[str], radius: int, page: str = "page", text: str = "page_text") -> DataFrame:
+    """``pages`` with ``before`` and ``after``: what the document has next to the page, at most ``radius`` characters, pages being joined by line feeds.
+
+    A document's pages meet in one row, as they do in the document; a null text is an empty one.
+    """
+    rest = [c for c in pages.columns if c not in keys]
+    docs = pages.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(page, *[c for c in rest if c != page]))).alias("__p"))
+    said = lambda p: F.coalesce(p[text], F.lit(""))
+    none = F.struct(F.array().cast("array<string>").alias("all"), F.lit("").alias("now"))
+    grown = lambda a, now: F.struct(F.concat(a["all"], F.array(a["now"])).alias("all"), now.alias("now"))
+    ahead = F.aggregate("__p", none, lambda a, p: grown(a, F.right(F.concat(F.right(a["now"], F.lit(radius)), said(p), F.lit("\n")), F.lit(radius))), lambda a: a["all"])
+    behind = F.aggregate(F.reverse("__p"), none, lambda a, p: grown(a, F.left(F.concat(F.lit("\n"), F.left(said(p), F.lit(radius)), a["now"]), F.lit(radius))), lambda a: F.reverse(a["all"]))
+    zipped = F.arrays_zip(F.col("__p").alias("p"), ahead.alias("before"), behind.alias("after"))
+    out = docs.select(*keys, F.explode(zipped).alias("__z"))
+    return out.select(*keys, *[F.col(f"__z.p.{c}").alias(c) for c in rest], F.col("__z.before").alias("before"), F.col("__z.after").alias("after"))
+
+
 def useful_windows(df: DataFrame, least: int = MIN_WINDOW) -> DataFrame:
     return df.where(F.length(F.trim("window")) >= least)
 
@@ -96,10 +121,13 @@ def context_sentences(text: Column, at: Column, term: Column, before: int = 2, a
     """The sentence that holds the match at ``at`` (from 1) and its neighbours, the term marked, boilerplate blanked, at most ``most`` characters."""
     window = around(text, at, F.length(term), 2000)
     rel = at - F.greatest(F.lit(1), at - 2000)
-    sents = tx.sentences(window)
-    # The place of a sentence: the first one whose running length goes beyond the match.
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sents), F.lit(1))), lambda i: F.aggregate(F.slice(sents, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x) + 1))
-    target = F.size(F.filter(ends, lambda e: e <= rel))
+    # Sentences with the white space before them, so that their lengths add up to places in the window.
+    raw = F.split(F.regexp_replace(window, r"(?<=[.!?])(\s+)(?=[A-Z])", "\ue000$1"), "\ue000")
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    sents = F.filter(F.transform(raw, strip), lambda x: x != "")
+    step = lambda a, x: F.struct((a["end"] + F.length(x)).alias("end"), (a["n"] + F.when((a["end"] + F.length(x) <= rel) & (strip(x) != ""), 1).otherwise(0)).alias("n"))
+    # The sentence that holds the match has as many before it as end no later than the match begins.
+    target = F.least(F.aggregate(raw, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda a: a["n"]), F.greatest(F.size(sents) - 1, F.lit(0)))
     chosen = F.slice(sents, F.greatest(F.lit(1), target + 1 - before), F.least(target, F.lit(before)) + 1 + after)
     out = tx.without_boilerplate(tx.marked(F.array_join(chosen, " "), term))
     out = F.trim(F.regexp_replace(out, r"\s{2,}", " "))
