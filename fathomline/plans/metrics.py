@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathomline.operators import diffusion, index, memory, trajectory
+from fathomline.operators import diffusion, index, lineage, memory, trajectory
 from fathomline.plans import standins as st
-from fathomline.plans.standins import EVENTS_SQL, LAST_YEARS_SQL, PORTFOLIO_A_SQL, PORTFOLIO_B_SQL, REFS_SQL, references
+from fathomline.plans.standins import EVENTS_SQL, LAST_YEARS_SQL, PORTFOLIO_A_SQL, PORTFOLIO_B_SQL, REFS_SQL, references, shared_references
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FORWARD, SALIENT = "(HIGH|blue|green)", "(URGENT|ring|bolt)"
+#: What memory, trajectories and diffusion read of a reference.
+UNITS = ("ref_id", "company", "year", "category_a", "category_b", "product")
 
 
 def query(sql: str | None = None):
@@ -36,7 +38,7 @@ cx AS (SELECT *, round(volume * 0.15::DOUBLE + depth * 0.2::DOUBLE + breadth * 0
 
 
 def _index(spark, sf):
-    refs = references(spark, sf)
+    refs = shared_references(spark, sf, "company", "year", "category_a", "category_b", "industry", "semantic_score", "sentiment", "sentiment_score", "strength", "text", "pages")
     f = index.factors(refs, F.sum("pages"), FORWARD, SALIENT)
     return index.composite(f), refs
 
@@ -89,12 +91,12 @@ MEM_SQL = f"{REFS_SQL}, {LAST_YEARS_SQL}, {PORTFOLIO_A_SQL}, {PORTFOLIO_B_SQL},
 
 @query(f"WITH {MEM_SQL} SELECT * FROM ev")
 def mem_events(spark, sf):
-    return st.adoption_events(references(spark, sf)).drop("vendor")
+    return st.adoption_events(shared_references(spark, sf, *UNITS)).drop("vendor")
 
 
 @query(f"WITH {MEM_SQL} SELECT company, category_a, last_confirmed_year, discontinued_year FROM pa WHERE discontinued_year IS NOT NULL")
 def mem_discontinued(spark, sf):
-    r = references(spark, sf)
+    r = shared_references(spark, sf, *UNITS)
     return memory.discontinued(r, ["category_a"], st.years(r))
 
 
@@ -113,7 +115,7 @@ def mem_links(spark, sf):
 
 @query(f"WITH {MEM_SQL} SELECT company, category_a, first_seen_year, last_confirmed_year, array_to_string(linked, ',') AS linked, discontinued_year, CASE WHEN discontinued_year IS NULL THEN 'ACTIVE' ELSE 'DISCONTINUED' END AS status FROM pa")
 def mem_portfolio(spark, sf):
-    p = st.portfolio_a(references(spark, sf))
+    p = st.portfolio_a(shared_references(spark, sf, *UNITS))
     return p.withColumn("linked", F.array_join("linked", ","))
 
 
@@ -121,17 +123,17 @@ def mem_portfolio(spark, sf):
     f"WITH {MEM_SQL} SELECT company, count(*) AS entries, count(*) FILTER (status = 'ACTIVE') AS active, count(*) FILTER (status = 'DISCONTINUED') AS discontinued, min(first_seen_year) AS first_year FROM pb WHERE first_seen_year <= 1998 GROUP BY company"
 )
 def mem_snapshot(spark, sf):
-    return memory.snapshot(st.portfolio_b(references(spark, sf)), 1998)
+    return memory.snapshot(st.portfolio_b(shared_references(spark, sf, *UNITS)), 1998)
 
 
 @query(f"WITH {MEM_SQL} SELECT company, vendor, status, min(first_seen_year) AS first_year, max(last_confirmed_year) AS last_year FROM pb WHERE product ILIKE '%RING%' GROUP BY ALL")
 def mem_mentions(spark, sf):
-    return memory.mentions(st.portfolio_b(references(spark, sf)), "RING")
+    return memory.mentions(st.portfolio_b(shared_references(spark, sf, *UNITS)), "RING")
 
 
 @query(f"WITH {MEM_SQL}, b AS (SELECT DISTINCT company, category_b, year FROM refs WHERE category_b = 'PROMO' AND year BETWEEN 1996 AND 1998) SELECT b.company, b.category_b, b.year, pb.product, pb.status FROM b LEFT JOIN pb USING (company, category_b)")
 def mem_timeline(spark, sf):
-    r = references(spark, sf)
+    r = shared_references(spark, sf, *UNITS)
     return memory.timeline(r.select("company", "category_b", "year").distinct(), st.portfolio_b(r), "PROMO", 1996, 1998)
 
 
@@ -156,8 +158,8 @@ parts AS (
 
 @query(f"WITH {TRAJ_SQL} SELECT company, year, component, count(*) AS n, round(sum(points)::DOUBLE, 4) AS points FROM parts GROUP BY ALL")
 def traj_contributions(spark, sf):
-    r = references(spark, sf)
-    c = trajectory.contributions(st.adoption_events(r), st.portfolio_b(r), r.select("company", "year").distinct())
+    r = shared_references(spark, sf, *UNITS)
+    c = trajectory.contributions(lineage.kept(st.adoption_events(r)), lineage.kept(st.portfolio_b(r)), r.select("company", "year").distinct())
     return c.groupBy("company", "year", "component").agg(F.count("*").alias("n"), F.round(F.sum("points"), 4).alias("points"))
 
 
@@ -170,9 +172,9 @@ SELECT company, year, coalesce(delta_a, 0)::DOUBLE AS delta_a, coalesce(delta_b,
 FROM cy LEFT JOIN a USING (company, year) LEFT JOIN n USING (company, year)"""
 )
 def traj_event(spark, sf):
-    r = references(spark, sf)
+    r = shared_references(spark, sf, *UNITS, "text")
     cy = r.select("company", "year").distinct()
-    c = trajectory.contributions(st.adoption_events(r), st.portfolio_b(r), cy)
+    c = trajectory.contributions(lineage.kept(st.adoption_events(r)), lineage.kept(st.portfolio_b(r)), cy)
     n = r.groupBy("company", "year").agg(F.count_distinct("text").alias("n"))
     t = trajectory.event_trajectory(c, cy, n)
     return t.withColumn("depth", F.round("depth", 6)).withColumn("retirement_r", F.round("retirement_r", 4)).withColumn("breadth", F.round("breadth", 4))
@@ -189,7 +191,7 @@ m AS (SELECT *, round(least(2.0, continued_pairs * 0.1)::DOUBLE, 2) AS maturity
 SELECT *, round(sum(pair_points + maturity) OVER (PARTITION BY company ORDER BY year), 2) AS score FROM m"""
 )
 def traj_pair(spark, sf):
-    r = references(spark, sf)
+    r = shared_references(spark, sf, *UNITS, "sentiment")
     links = memory.links(r.where("sentiment <> 'pending'"))
     a = r.select("company", "year", F.col("category_a").alias("category"))
     b = r.select("company", "year", F.col("category_b").alias("category"))
@@ -202,15 +204,15 @@ used AS (SELECT company, product, category_b, CAST(y AS INTEGER) AS year, y - fy
 
 
 def _used(spark, sf):
-    r = references(spark, sf)
+    r = shared_references(spark, sf, *UNITS)
     last = r.agg(F.max("year").alias("top"))  # one row
     rows = diffusion.yearly(st.portfolio_b(r))
-    return diffusion.adopters(diffusion.adoptions(rows).crossJoin(F.broadcast(last)), F.col("top"))
+    return diffusion.adopters(diffusion.adoptions(rows).crossJoin(F.broadcast(last)), F.col("top"))  # ``last`` is one row
 
 
 @query(f"WITH {DIFFUSION_SQL} SELECT product, year, count(*) AS n FROM rows_ GROUP BY ALL")
 def diffusion_expand(spark, sf):
-    return diffusion.yearly(st.portfolio_b(references(spark, sf))).groupBy("product", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"))
+    return diffusion.yearly(st.portfolio_b(shared_references(spark, sf, *UNITS))).groupBy("product", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"))
 
 
 def _scores_sql(unit: str) -> str:
@@ -241,7 +243,7 @@ def diffusion_matrix(spark, sf):
 SELECT *, CASE WHEN max_penetration < 0.05 THEN 'emerging' WHEN max_penetration >= 0.5 OR score >= 0.6 THEN 'mature' WHEN max_penetration >= 0.2 OR score >= 0.3 THEN 'growth' ELSE 'declining' END AS stage FROM c WHERE adopters_latest >= 3"""
 )
 def diffusion_curve(spark, sf):
-    used = _used(spark, sf)
+    used = lineage.kept(_used(spark, sf))
     n = used.agg(F.count_distinct("company").alias("companies"))
     s = diffusion.scores(used, "product").crossJoin(F.broadcast(n))
     one = s.groupBy("product").agg(F.first("companies").alias("companies"))

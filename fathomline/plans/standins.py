@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.operators import memory
+from fathomline.operators import lineage, memory
 
 LAST_YEARS_SQL = "years AS (SELECT DISTINCT year FROM refs)"
 
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_references(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``columns`` of the references, computed once for all branches that read them."""
+    return lineage.kept(references(spark, sf_dir).select(*columns))
+
+
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o, p, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "customer"))
     sentiment = F.when(F.col("l_returnflag") == "A", "positive").when(F.col("l_returnflag") == "R", "negative").when(F.col("l_linestatus") == "O", "pending").otherwise("neutral")
@@ -80,7 +85,7 @@ PORTFOLIO_B_SQL = """pb AS (
 
 def adoption_events(refs: DataFrame) -> DataFrame:
     """company, year, dimension, category, product, vendor, event_type: new and confirmed units, and ended ones."""
-    y = years(refs)
+    y = lineage.kept(years(refs))
     a = memory.events(refs, ["category_a"]).select("company", "year", F.lit("A").alias("dimension"), F.col("category_a").alias("category"), F.lit("").alias("product"), F.lit("").alias("vendor"), "event_type")
     b = memory.events(refs, ["category_b", "product"]).select("company", "year", F.lit("B").alias("dimension"), F.col("category_b").alias("category"), "product", F.lit("").alias("vendor"), "event_type")
     end = lambda unit, d: memory.discontinued(refs, unit, y).select("company", F.col("discontinued_year").alias("year"), F.lit(d).alias("dimension"), F.col(unit[0]).alias("category"), (F.col(unit[1]) if len(unit) > 1 else F.lit("")).alias("product"), F.lit("").alias("vendor"), F.lit("DISCONTINUED").alias("event_type"))

@@ -58,24 +58,12 @@ def join_missing_in_any(spark, sf):
     return relational.missing_in_any(table(spark, sf, "documents").select("doc_id"), lb.select(F.col("quality").alias("target")), done, "doc_id")
 
 
-@query(
-    "WITH s AS (SELECT user_id, event_type, arg_max(props, event_id) AS props FROM events GROUP BY ALL), t AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 2 = 0 THEN props END AS props FROM events WHERE value < 5) SELECT event_id, coalesce(t.props, s.props) AS props FROM t LEFT JOIN s USING (user_id, event_type)"
-)
-def join_latest_backfill(spark, sf):
-    e = table(spark, sf, "events")
-    return _backfilled(e.where("value < 5"), e)
-
-
 @query(
     "WITH s AS (SELECT user_id, event_type, arg_max(props, event_id) AS props FROM events GROUP BY ALL), t AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 2 = 0 THEN props END AS props FROM events) SELECT event_id, coalesce(t.props, s.props) AS props FROM t LEFT JOIN s USING (user_id, event_type)"
 )
-def join_latest_backfill_all(spark, sf):
+def join_latest_backfill(spark, sf):
     e = table(spark, sf, "events")
-    return _backfilled(e, e)
-
-
-def _backfilled(t, e):
-    t = t.select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("props"))
+    t = e.select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("props"))
     return relational.backfilled(t, e, ["user_id", "event_type"], "event_id", "props").select("event_id", "props")
 
 
@@ -145,17 +133,10 @@ def json_dims(spark, sf):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k"), F.count_if(F.col("k").isNull()).alias("bad"))
 
 
-@query(
-    f"""WITH {REFS_SQL} SELECT company, year, text, sentiment, strength, category_a AS A, 0.5::DOUBLE AS "A Confidence", CASE WHEN pages > 25 THEN category_b END AS B, CASE WHEN pages > 25 THEN 0.25::DOUBLE END AS "B Confidence", CAST(pages AS VARCHAR) AS pages_identified, 0 AS occurrences, industry, product AS context FROM refs WHERE company < 20"""
-)
-def export_sheet(spark, sf):
-    return _sheet(references(spark, sf).where("company < 20"))
-
-
 @query(
     f"""WITH {REFS_SQL} SELECT company, year, text, sentiment, strength, category_a AS A, 0.5::DOUBLE AS "A Confidence", CASE WHEN pages > 25 THEN category_b END AS B, CASE WHEN pages > 25 THEN 0.25::DOUBLE END AS "B Confidence", CAST(pages AS VARCHAR) AS pages_identified, 0 AS occurrences, industry, product AS context FROM refs"""
 )
-def export_sheet_all(spark, sf):
+def export_sheet(spark, sf):
     return _sheet(references(spark, sf))
 
 

@@ -75,12 +75,12 @@ def txt_counts(spark, sf):
 
 
 @query(
-    r"""SELECT doc_id, round((length(text) - length(replace(text, ' ', ''))) / length(text), 6) AS ratio,
-  length(text) >= 20 AND (length(text) - length(replace(text, ' ', ''))) / length(text) < 0.08 AS deficient FROM documents WHERE length(text) > 0"""
+    r"""SELECT doc_id, CASE WHEN length(text) > 0 THEN round((length(text) - length(replace(text, ' ', ''))) / length(text), 6) END AS ratio,
+  coalesce(length(text) >= 20 AND (length(text) - length(replace(text, ' ', ''))) / length(text) < 0.08, false) AS deficient FROM documents"""
 )
 def txt_space_deficient(spark, sf):
     c = F.col("text")
-    return table(spark, sf, "documents").where(F.length(c) > 0).select("doc_id", F.round(tx.space_ratio(c), 6).alias("ratio"), tx.is_space_deficient(c).alias("deficient"))
+    return table(spark, sf, "documents").select("doc_id", F.round(tx.space_ratio(c), 6).alias("ratio"), tx.is_space_deficient(c).alias("deficient"))
 
 
 @query(
@@ -302,22 +302,13 @@ def dedup_exact(spark, sf):
     return dedup.exact(table(spark, sf, "documents"), ["source"], "text", "n_chars", "doc_id").select("doc_id")
 
 
-@query(
-    r"""WITH t AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS s FROM documents WHERE lang = 'es'),
-p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.s, b.s)) AS o, len(a.s) AS n, len(b.s) AS m FROM t a JOIN t b ON a.id < b.id)
-SELECT id_a, id_b, round(o / (n + m - o), 6) AS jaccard FROM p WHERE n + m > 0 AND round(o / (n + m - o), 6) >= 0.7"""
-)
-def dedup_jaccard_pairs(spark, sf):
-    return dedup.similar_pairs(table(spark, sf, "documents").where("lang = 'es'"), "doc_id", "text", 0.7)
-
-
 @query(
     r"""WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))) AS s FROM documents),
 c AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS id FROM t WHERE len(s) > 0), o AS (SELECT id, len(s) AS n, unnest(s) AS token FROM c WHERE doc_id = id),
 p AS (SELECT a.id AS id_a, b.id AS id_b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard FROM o a JOIN o b ON a.token = b.token AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b, jaccard FROM p WHERE jaccard >= 0.7 UNION ALL SELECT id, doc_id, 1.0::DOUBLE FROM c WHERE doc_id > id"""
 )
-def dedup_jaccard_all(spark, sf):
+def dedup_jaccard_pairs(spark, sf):
     return dedup.similar_classes(table(spark, sf, "documents"), "doc_id", "text", 0.7)
 
 

@@ -181,7 +181,7 @@ def test_similar_classes_are_all_pairs_of_all_languages(spark, tmp_path):
     texts += [t.upper() for t in texts[:30]] + ["same again"] * 20 + ["", " ", None]
     rows = [(i, t, ("en", "fr", "de", "es", None)[i % 5]) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id int, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [(r["id_a"], r["id_b"], r["jaccard"]) for r in catalogue.QUERIES["dedup_jaccard_all"](spark, str(tmp_path)).collect()]
+    got = [(r["id_a"], r["id_b"], r["jaccard"]) for r in catalogue.QUERIES["dedup_jaccard_pairs"](spark, str(tmp_path)).collect()]
     sets = {i: frozenset(t.lower().split()) for i, t, _ in rows if t and t.strip()}
     first = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
     heads = sorted(first.values())
@@ -243,7 +243,7 @@ def test_readers_and_writers(spark, tmp_path):
 
 def test_export_takes_all_references(spark):
     sf = "/root/testdata/sf0.001"
-    got = catalogue.QUERIES["export_sheet_all"](spark, sf)
+    got = catalogue.QUERIES["export_sheet"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() and got.where("company >= 20").count() > 0
 
 
@@ -271,7 +271,7 @@ def test_backfill_takes_all_events(spark):
     sf = "/root/testdata/sf0.001"
     e = {r["event_id"]: r for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
     latest = {(r["user_id"], r["event_type"]): r["props"] for _, r in sorted(e.items()) if r["props"] is not None}
-    got = {r["event_id"]: r["props"] for r in catalogue.QUERIES["join_latest_backfill_all"](spark, sf).collect()}
+    got = {r["event_id"]: r["props"] for r in catalogue.QUERIES["join_latest_backfill"](spark, sf).collect()}
     assert got == {i: r["props"] if i % 2 == 0 and r["props"] is not None else latest.get((r["user_id"], r["event_type"])) for i, r in e.items()}
 
 
