@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from fathomline.operators.index import rounded
+
 
 def exact(df: DataFrame, keys: list[str], text: str, confidence: str, order: str) -> DataFrame:
     """Of rows that agree in ``keys`` and the first 100 characters (white space collapsed), the most confident, then the first."""
@@ -141,8 +143,8 @@ def summarised(df: DataFrame, keys: list[str], order: str) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_set("page")), lambda p: p.cast("string")), ",").alias("pages"),
         F.count_distinct("document").alias("doc_count"),
         F.count("*").alias("total_occurrences"),
-        F.round(F.avg(F.coalesce("sentiment_score", F.lit(0.0))), 4).alias("avg_sentiment"),
-        F.round(F.avg(F.coalesce("semantic_score", F.lit(0.0))), 4).alias("avg_semantic"),
+        rounded(F.avg(F.coalesce("sentiment_score", F.lit(0.0)))).alias("avg_sentiment"),
+        rounded(F.avg(F.coalesce("semantic_score", F.lit(0.0)))).alias("avg_semantic"),
         F.max("confidence").alias("max_confidence"),
         F.max_by("text", F.struct("confidence", (-F.col(order)).alias("o"))).alias("text"),
     )

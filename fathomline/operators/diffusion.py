@@ -54,14 +54,40 @@ def scores(used: DataFrame, unit: str) -> DataFrame:
     return out.withColumn("points", F.col("adopter_count") * BASE_POINTS + F.col("mature_count") * MATURE_POINTS)
 
 
+def ended(adopted: DataFrame, last_year: Column | int) -> DataFrame:
+    """company, product, vendor, category_b, year for every year from the stated end of an adoption (``ended_year``) on."""
+    a = adopted.where(F.col("ended_year").isNotNull() & (F.col("ended_year") <= last_year))
+    return a.select("company", "product", "vendor", "category_b", F.explode(F.sequence(F.col("ended_year"), F.lit(last_year))).alias("year"))
+
+
+def details(used: DataFrame, gone: DataFrame, unit: str) -> DataFrame:
+    """For each unit and year the sorted companies: adopters, mature ones, and those that gave up all they had of the unit.
+
+    Of a group of products a company that still uses one is no company that gave up. A unit without a name, and the
+    vendor ``Unknown``, have no row; a year in which nothing is used and nothing was given up has none either.
+    """
+    named = lambda df: df.where(F.col(unit).isNotNull() & (F.col(unit) != "") & (F.col(unit) != "Unknown"))
+    both = named(used).select(unit, "year", "company", F.lit(True).alias("on"), "mature").unionByName(named(gone).select(unit, "year", "company", F.lit(False).alias("on"), F.lit(False).alias("mature")))
+    who = lambda c: F.sort_array(F.collect_set(F.when(c, F.col("company"))))
+    out = both.groupBy(unit, "year").agg(who(F.col("on")).alias("adopters"), who(F.col("mature")).alias("mature_adopters"), who(~F.col("on")).alias("__off"))
+    out = out.withColumn("discontinued_by", F.array_except("__off", "adopters")).drop("__off")
+    return out.withColumn("points", F.size("adopters") * BASE_POINTS + F.size("mature_adopters") * MATURE_POINTS)
+
+
 def matrix(scored: DataFrame, unit: str, years: list[int]) -> DataFrame:
     return scored.groupBy(unit).pivot("year", years).agg(F.first("points")).na.fill(0)
 
 
+# The thresholds of the stages.
 def stage(penetration: Column, score: Column) -> Column:
     return F.when(penetration < 0.05, "emerging").when((penetration >= 0.5) | (score >= 0.6), "mature").when((penetration >= 0.2) | (score >= 0.3), "growth").otherwise("declining")
 
 
+def top_curves(curves_: DataFrame, unit: str, n: int = 10) -> DataFrame:
+    """The ``n`` curves with the highest scores, ties by name."""
+    return curves_.orderBy(F.desc("score"), unit).limit(n)
+
+
 def curves(scored: DataFrame, unit: str, companies: Column, least_adopters: int = 3) -> DataFrame:
     """For each unit with enough adopters in its latest year: score, highest penetration, life-cycle stage."""
     one = scored.groupBy(unit).agg(F.max_by("adopter_count", "year").alias("adopters_latest"), F.max_by("points", "year").alias("points_latest"), F.max("adopter_count").alias("most"))

@@ -37,6 +37,17 @@ def sweep(df: DataFrame, label: str, score: str, thresholds: list[float], rule:
     return confusion(df.withColumn("threshold", t).withColumn("__p", F.coalesce(hit, F.lit(False)).cast("int")), label, "__p", ["threshold"])
 
 
+def judged(gold: DataFrame, rule: Column, score: Column | None = None, threshold: float | None = None, name: str = "predicted") -> DataFrame:
+    """Labelled fragments with the verdict of the rules (1: a false positive), or of the rules and a score below ``threshold``.
+
+    ``rule`` is the name of a group of false positives, or null (see rules.first_false_positive).
+    """
+    hit = rule.isNotNull()
+    if score is not None and threshold is not None:
+        hit = hit | F.coalesce(score < threshold, F.lit(False))
+    return gold.withColumn("fp_group", rule).withColumn(name, hit.cast("int"))
+
+
 def stratified(df: DataFrame, reason: str, key: str, size: int, seed: int) -> DataFrame:
     """About ``size`` rows, each reason in proportion and once at least, chosen by a hash of key and seed."""
     n = df.groupBy(reason).agg(F.count("*").alias("__n"))

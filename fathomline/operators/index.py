@@ -76,6 +76,11 @@ def ranked(df: DataFrame, by: str = "disclosure_index", within: tuple[str, ...]
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(by), *tie)))
 
 
+def scan(df: DataFrame, year: int | None = None, rank: str = "rank_in_year") -> DataFrame:
+    """Index rows of a year or of all, in the order of year and rank."""
+    return (df.where(F.col("year") == year) if year else df).orderBy("year", rank)
+
+
 def top_of_each(df: DataFrame, n: int, by: str, within: tuple[str, ...], tie: tuple[str, ...]) -> DataFrame:
     return ranked(df, by, within, tie, "place").where(F.col("place") <= n)
 

@@ -15,6 +15,36 @@ def granularity(product: Column, vendor: Column) -> Column:
     return F.when(p.isNotNull(), "SPECIFIC").when(v.isNotNull(), "VENDOR_ONLY").otherwise("CATEGORY_ONLY")
 
 
+def unprocessed(refs: DataFrame, flag: str = "memory_processed") -> DataFrame:
+    """References that memory has not seen, a null flag included."""
+    return refs.where(~F.coalesce(F.col(flag).cast("boolean"), F.lit(False)))
+
+
+def enriched(refs: DataFrame, found: Column, product: str = "product", vendor: str = "vendor") -> DataFrame:
+    """References with the product and vendor that their text names, where they have neither and belong to a technology; a granularity that is missing follows from them.
+
+    ``found`` is a struct with product and vendor (see products.extracted).
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    own = "__e" + "_" * max(map(len, refs.columns))
+    open_ = blank(F.col(product)) & blank(F.col(vendor)) & ~blank(F.col("category_b"))
+    out = refs.withColumn(own, F.when(open_, found))
+    out = out.withColumn(product, F.coalesce(F.col(own)["product"], F.col(product))).withColumn(vendor, F.coalesce(F.col(own)["vendor"], F.col(vendor)))
+    return out.drop(own).withColumn("granularity", granularity(F.col(product), F.col(vendor)))
+
+
+def batch(refs: DataFrame, found: Column, unit: list[str], years: DataFrame, flag: str = "memory_processed") -> tuple[DataFrame, DataFrame]:
+    """One incremental run: the events of references that memory has not seen, judged against all references, and the portfolio after it.
+
+    Events are derived from all references, so a run that is repeated, or that follows a lost one, gives the same.
+    """
+    whole = enriched(refs, found)
+    new = unprocessed(whole, flag).select("company", *unit, "year").distinct()
+    on = ["company", *unit, "year"]
+    fresh = events(whole, unit).alias("e").join(new.alias("n"), [F.col(f"e.{c}").eqNullSafe(F.col(f"n.{c}")) for c in on], "left_semi")
+    return fresh, portfolio(whole, unit, years)
+
+
 def combos(refs: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first reference of each combination."""
     return refs.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__r = 1").drop("__r")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as tx
-from fathomline.operators import dedup, rules, score, vocabulary, windows
+from fathomline.operators import dedup, lineage, rules, score, vocabulary, windows
 from fathomline.operators.taxonomy import NONE, Taxonomy
 from fathomline.sources.writers import dimension_json
 
@@ -41,6 +41,12 @@ def _flags(df: DataFrame, taxonomy: Taxonomy, cfg: DetectConfig) -> DataFrame:
     return out.withColumn("marker", rules.holds_any(close, taxonomy.markers))
 
 
+def page_windows(pages: DataFrame, keys: list[str], cfg: DetectConfig = DetectConfig()) -> DataFrame:
+    """Windows of pages that are long enough, with the document around their page. pages: ``keys``, page, page_text."""
+    p = windows.long_pages(windows.with_surroundings(pages.select(*keys, "page", "page_text"), keys, max(SURROUNDINGS, cfg.gate_radius, cfg.marker_radius)), least=cfg.min_page)
+    return windows.useful_windows(windows.text_windows(p, "page_text", cfg.window, cfg.overlap), cfg.min_window)
+
+
 def candidates(pages: DataFrame, taxonomy: Taxonomy, keys: list[str], cfg: DetectConfig = DetectConfig()) -> DataFrame:
     """Windows that a trigger hits, that are no false positives and pass the gates; the first of each kind in a document.
 
@@ -48,9 +54,11 @@ def candidates(pages: DataFrame, taxonomy: Taxonomy, keys: list[str], cfg: Detec
     line feeds: ``surroundings`` is the page with SURROUNDINGS characters of the document on either side, ``place``
     (from 1) where the trigger stands in it.
     """
-    p = windows.long_pages(windows.with_surroundings(pages.select(*keys, "page", "page_text"), keys, max(SURROUNDINGS, cfg.gate_radius, cfg.marker_radius)), least=cfg.min_page)
-    w = windows.useful_windows(windows.text_windows(p, "page_text", cfg.window, cfg.overlap), cfg.min_window)
-    w = rules.triggered(w, *rules.trigger_patterns(taxonomy))
+    return passing(rules.triggered(page_windows(pages, keys, cfg), *rules.trigger_patterns(taxonomy)), taxonomy, keys, cfg)
+
+
+def passing(w: DataFrame, taxonomy: Taxonomy, keys: list[str], cfg: DetectConfig = DetectConfig()) -> DataFrame:
+    """Of triggered windows those that are no false positives and pass the gates; the first of each kind in a document."""
     fp = rules.first_false_positive(F.concat_ws(" ", "trigger", "window"), taxonomy.false_positives, taxonomy.catch_all, taxonomy.subject_context, taxonomy.lower_case)
     w = w.where(fp.isNull())
     w = w.withColumn("place", F.length("before") + F.col("offset") + F.col("at")).withColumn("surroundings", F.concat("before", "page_text", "after"))
@@ -89,8 +97,12 @@ def detect(pages: DataFrame, taxonomy: Taxonomy, keys: list[str], encoder: score
 
     Anchors of the taxonomy (few, by nature) are encoded on the driver once.
     """
-    c = candidates(pages, taxonomy, keys, cfg)
-    spark = pages.sparkSession
+    return referenced(candidates(pages, taxonomy, keys, cfg), taxonomy, keys, encoder)
+
+
+def referenced(c: DataFrame, taxonomy: Taxonomy, keys: list[str], encoder: score.Encoder = score.hashing_encoder) -> DataFrame:
+    """The references of candidates: scored, accepted, classified, with their context."""
+    spark = c.sparkSession
     if taxonomy.anchors:
         rows = [(v.tolist(),) for v in encoder(list(taxonomy.anchors))]
         anchors = spark.createDataFrame(rows, "anchor array<double>")
@@ -128,11 +140,25 @@ def with_sentiment(refs: DataFrame, scorer: score.Scorer = score.lexicon_scorer,
     return out.withColumn("sentiment_score", F.when(pending, rules.sentiment_probability(F.col("compound"))).otherwise(F.col("sentiment_score"))).withColumn("sentiment", F.when(pending, label).otherwise(F.col("sentiment"))).drop("compound")
 
 
-def for_taxonomies(pages: DataFrame, taxonomies: list[Taxonomy], keys: list[str], **options) -> DataFrame:
-    """The references of several taxonomies in one frame, told apart by ``taxonomy``; pages are read once if they are kept."""
+def for_taxonomies(pages: DataFrame, taxonomies: list[Taxonomy], keys: list[str], encoder: score.Encoder = score.hashing_encoder, cfg: DetectConfig = DetectConfig()) -> DataFrame:
+    """The references of several taxonomies in one frame, told apart by ``taxonomy``.
+
+    Pages are read and cut into windows once: every window is looked at for the triggers of all taxonomies in one
+    projection, and has a row for each that hits. Those rows, a small part of all, are kept for the taxonomies' own rules.
+    """
+    w = page_windows(pages, keys, cfg)
+    hits = []
+    for k, t in enumerate(taxonomies):
+        hard, soft = (f"(?i){p}" for p in rules.trigger_patterns(t))
+        is_hard = F.col("window").rlike(hard)
+        match = lambda f: F.when(is_hard, f(hard)).otherwise(f(soft))  # noqa: B023, E731
+        found = F.struct(F.lit(k).alias("k"), is_hard.alias("is_hard"), match(lambda p: F.regexp_extract("window", p, 0)).alias("trigger"), match(lambda p: F.regexp_instr("window", F.lit(p))).alias("at"))
+        hits.append(F.when(is_hard | F.col("window").rlike(soft), found))
+    rows = w.withColumn("__t", F.explode(F.array_compact(F.array(*hits))))
+    rows = lineage.kept(rows.select(*w.columns, "__t.k", "__t.is_hard", "__t.trigger", "__t.at"))
     out = None
-    for t in taxonomies:
-        part = detect(pages, t, keys, **options).withColumn("taxonomy", F.lit(t.name))
+    for k, t in enumerate(taxonomies):
+        part = referenced(passing(rows.where(F.col("k") == k).drop("k"), t, keys, cfg), t, keys, encoder).withColumn("taxonomy", F.lit(t.name))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -43,6 +43,23 @@ def lexicon_scorer(texts: list[str]) -> list[float]:
     return out
 
 
+def by_language(df: DataFrame, text: str, language: str, encoders: dict[str, Encoder], default: Encoder = hashing_encoder, name: str = "embedding") -> DataFrame:
+    """With the vector of each text by the encoder of its language; a language without one has ``default``. An encoder is made where it is first called."""
+
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, languages in parts:
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            kinds = languages.where(languages.isin(list(encoders)), "")
+            for kind in kinds.unique():
+                at = kinds.index[kinds == kind]
+                for i, v in zip(at, encoders.get(kind, default)(list(texts[at].fillna(""))), strict=True):
+                    out[i] = v
+            yield out
+
+    return df.withColumn(name, run(F.col(text), F.col(language)))
+
+
 def encoded(df: DataFrame, text: str, encoder: Encoder = hashing_encoder, name: str = "embedding") -> DataFrame:
     """With the vector of each text; a batch encodes each distinct text once."""
 

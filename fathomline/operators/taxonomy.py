@@ -10,9 +10,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.operators import vocabulary
+
 NONE, COOCCUR, COOCCUR_VERB, SOFT = "none", "cooccur", "cooccur_verb", "soft"
 
 
@@ -64,10 +69,13 @@ class Taxonomy:
         """The taxonomy without patterns that do not compile, and those patterns."""
         bad: list[str] = []
 
+        java = SparkContext._active_spark_context
+
         def good(p: str) -> bool:
             try:
-                re.compile(p)
-            except re.error:
+                # Java runs the patterns, so Java judges them where it is there; without a session Python does.
+                java._jvm.java.util.regex.Pattern.compile(p) if java else re.compile(p)
+            except (re.error, Py4JJavaError, IllegalArgumentException):
                 bad.append(p)
                 return False
             return True
@@ -82,6 +90,12 @@ class Taxonomy:
         return Taxonomy(**(self.__dict__ | {"dimensions": dims}))
 
 
+def current_code(c: Column) -> Column:
+    """The code of a category of the earlier list; any other stays as it is."""
+    known = F.create_map(*[F.lit(x) for pair in vocabulary.FORMER_CATEGORIES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, c), c)
+
+
 _registry: dict[str, Taxonomy] = {}
 
 

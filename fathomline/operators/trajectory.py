@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -81,6 +81,23 @@ def event_trajectory(contribs: DataFrame, years: DataFrame, dedup_counts: DataFr
     return out.withColumn("breadth", sum((F.col(c) for c in parts), F.lit(0.0)))
 
 
+def scores_of(trajectory: DataFrame, company=None, year: int | None = None) -> DataFrame:
+    """The scores of a company, a year, or both, the broadest of each year first."""
+    for name, value in (("company", company), ("year", year)):
+        trajectory = trajectory.where(F.col(name) == value) if value else trajectory
+    return trajectory.orderBy("year", F.desc("breadth"), "company")
+
+
+def contributions_of(contribs: DataFrame, company, year: int) -> DataFrame:
+    """What a company-year's score is made of, the heaviest parts first."""
+    return contribs.where((F.col("company") == company) & (F.col("year") == year)).orderBy(F.desc(F.abs("points")), "component", "category")
+
+
+def parameters(spark: SparkSession, params: TrajectoryParams = TrajectoryParams()) -> DataFrame:
+    """The parameters as rows (config_hash, name, value), to be kept beside the scores."""
+    return spark.createDataFrame([(params.config_hash(), k, float(v)) for k, v in asdict(params).items()], "config_hash string, name string, value double")
+
+
 def year_pairs(links: DataFrame, a_events: DataFrame, b_events: DataFrame) -> DataFrame:
     """Pairs of each year: linked ones, and applications or technologies without a partner in that year."""
     linked = links.select("company", F.coalesce(F.nullif("category_a", F.lit("")), F.lit("_NO_APP_")).alias("a"), F.coalesce(F.nullif("category_b", F.lit("")), F.lit("_NO_TECH_")).alias("b"), F.explode("years").alias("year")).distinct()

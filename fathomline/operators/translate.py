@@ -48,6 +48,24 @@ def translated(df: DataFrame, text: str, language: str, engines: list[tuple[str,
     return df.withColumn("__t", run(F.col(text), F.col(language))).select(*df.columns, "__t.translation", "__t.engine")
 
 
+def available(engines: dict[str, Callable[[], Callable[[str, str], str]]]) -> list[tuple[str, Callable[[str, str], str]]]:
+    """The engines that can be made here, in the order given: a factory that fails (a missing library or key) leaves its engine out."""
+    out = []
+    for name, make in engines.items():
+        try:
+            out.append((name, make()))
+        except Exception:  # noqa: BLE001  whatever an engine lacks, the others remain
+            continue
+    return out
+
+
+def by_engine(df: DataFrame, language: str, translated_: str, context: str, engine: str, engines: list[str]) -> DataFrame:
+    """For each language: fragments, translated and pending ones, translated contexts, and how many each engine translated."""
+    filled = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "")
+    g = df.groupBy(language).agg(F.count("*").alias("total"), filled(translated_).alias("translated"), filled(context).alias("context_translated"), *[F.count_if(F.col(engine) == e).alias(f"via_{e}") for e in engines])
+    return g.withColumn("pending", F.col("total") - F.col("translated"))
+
+
 def coverage(df: DataFrame, language: str, translated_: str) -> DataFrame:
     """Total, translated and pending fragments of each language but English."""
     g = df.where(F.coalesce(language, F.lit("en")) != "en").groupBy(language).agg(F.count("*").alias("total"), F.count_if(F.coalesce(F.trim(translated_), F.lit("")) != "").alias("translated"))

@@ -121,6 +121,22 @@ SALIENCE = (
     r"dedicated|committed|strategic"
     r")\b"
 )
+#: Names of an earlier list of categories and their codes.
+FORMER_CATEGORIES = {
+    "Product Development": "A1_Product_Innovation",
+    "Research & Innovation": "A1_Product_Innovation",
+    "Operational Implementation": "A2_Operational_Excellence",
+    "Customer Experience": "A3_Customer_Experience",
+    "Risk & Compliance": "A4_Risk_Compliance",
+    "Data & Analytics": "A5_Data_Analytics",
+    "Strategic Investment": "A6_Strategy_Investment",
+    "Explainability & AI Safety": "A7_Governance_Ethics",
+    "Talent & Workforce": "A8_Talent_Workforce",
+    "Generative AI & LLMs": "B4_GenAI_LLMs",
+    "AI Infrastructure & MLOps": "B7_Infrastructure_Platforms",
+    "AI Coding & Development": "B7_Infrastructure_Platforms",
+    "Agentic AI Systems": "B6_Robotics_Autonomous",
+}
 #: Terms that a reference found by meaning is marked at, the first that occurs.
 PRIORITY_TERMS = (
     r"\bgenerative AI\b", r"\bGenAI\b", r"\blarge language model(?:s)?\b",

@@ -320,15 +320,6 @@ def tr_backfill(spark, sf):
     return translate.with_english(d, "lang", "text", "t").select("doc_id", F.md5("t").alias("h"), "needs")
 
 
-@query()
-def tr_engines(spark, sf):
-    def fails(text, lang):
-        raise RuntimeError(lang)
-
-    d = table(spark, sf, "documents").where("lang <> 'en'").select("doc_id", "text", "lang")
-    return translate.translated(d, "text", "lang", [("first", fails), ("upper", lambda t, lang: t.upper())]).select("doc_id", "engine", F.length("translation").alias("n"))
-
-
 # Sources -------------------------------------------------------------------------------------------------
 
 FILES = ["257. Edeka Zentrale - 2024 - annual report.pdf", "265. Tsingshan Holding Group - Rept Battero - 2024 - sustainability report.pdf", "1. Walmart - 2023 - proxy.pdf", "Microsoft - 2022 - annual report.pdf"]

@@ -59,12 +59,6 @@ def txt_char_windows(spark, sf):
     return windows_of_documents(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("window")).alias("chars"), F.max(F.col("offset").cast("long")).alias("last"))
 
 
-@query()
-def txt_sentence_windows(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return windows.text_windows(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("window")).alias("longest"))
-
-
 @query(
     r"""SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(regexp_extract_all(text, '[^\s\x0B]+')) AS BIGINT) AS n_words,
   CAST(len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: length(trim(s, ' ')) > 10)) AS BIGINT) AS n_sentences FROM documents"""
@@ -92,11 +86,6 @@ def txt_joined_words(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(tx.joined_words(h)).cast("long").alias("joined"), (collapsed != h).alias("collapses"))
 
 
-@query()
-def txt_repair(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.length(tx.repaired(F.col("text"))).alias("n"), (tx.repaired(F.col("text")) != F.col("text")).alias("changed"))
-
-
 @query(
     """WITH s AS (SELECT source, lang, count(*) AS n FROM documents WHERE len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]')) <= 0.05 * length(text) GROUP BY 1, 2)
 SELECT source, arg_max(lang, (n, -ascii(lang))) AS lang, CAST(sum(n) AS BIGINT) AS docs FROM s GROUP BY source"""
@@ -184,12 +173,6 @@ def txt_neighbours(spark, sf):
     return c.select("conv_id", "turn", F.length("context").cast("long").alias("n"))
 
 
-@query()
-def txt_context_sentences(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text").withColumn("at", F.instr(F.lower("text"), "the")).where("at > 0")
-    return d.select("doc_id", windows.context_sentences(F.col("text"), F.col("at"), F.lit("the")).alias("context"))
-
-
 @query(
     f"""WITH {WINDOWS_SQL}, g AS (SELECT source, CASE {" ".join("WHEN regexp_matches(lower(\"window\"), '(?i)" + "|".join(f"(?:{p})" for p in ps) + f"') THEN '{g}'" for g, ps in FALSE_POSITIVES if g != "plain")}
   WHEN NOT regexp_matches(lower("window"), '(?i)token') AND regexp_matches(lower("window"), '{tx.word_of("was")}') THEN 'plain' END AS fp FROM w)
@@ -337,12 +320,3 @@ def detect_references(spark, sf):
     t = dataclasses.replace(SAMPLE, hard_triggers="license", soft_triggers=r"\b(los|der|les)\b", anchors=("the license of the", "und der die"), false_positives=FALSE_POSITIVES[:2])
     refs = references.detect(_pages(spark, sf), t, ["doc_id"])
     return references.with_sentiment(references.deduplicated(refs, ["doc_id"]), governance="(?i)license")
-
-
-@query(
-    """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id) SELECT doc_id, 'en' AS language FROM n"""
-)
-def txt_document_language(spark, sf):
-    from fathomline.operators import references
-
-    return references.document_language(_pages(spark, sf), ["doc_id"])

@@ -88,6 +88,11 @@ def file_facts(name: Column) -> dict[str, Column]:
     return {"company": company, "year": year, "doc_type": kind, "position": position}
 
 
+def in_positions(files: DataFrame, first: int, last: int, name: str = "name") -> DataFrame:
+    """Files whose name begins with a position from ``first`` to ``last``; those without one go."""
+    return files.where(F.regexp_extract(name, r"^(\d+)\.", 1).try_cast("int").between(first, last))
+
+
 def is_translated_file(name: Column) -> Column:
     return F.upper(name).rlike(r"[_-]CN(\.|$)")
 

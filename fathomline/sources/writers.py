@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from fathomline.functions import text as tx
 
@@ -27,12 +30,60 @@ def dimension_json(pairs: list[tuple[str, Column, Column]]) -> Column:
     return F.to_json(F.map_from_entries(entries))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV files with a header; texts are sanitised. With ``mark`` each file begins with a byte-order mark, which spreadsheets look for."""
+    plain = df.select(*[tx.sanitised(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() == "string" else F.col(f"`{f.name}`") for f in df.schema])
+    if mark:
+        # The header is part of the first name: Spark writes it at the top of each file.
+        plain = plain.toDF(*[("\ufeff" if not i else "") + c for i, c in enumerate(df.columns)])
+    plain.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """``df`` with null instead of NaN."""
+    return df.select(*[F.when(~F.isnan(f"`{f.name}`"), F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`") for f in df.schema])
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    without_nan(df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_json_document(df: DataFrame, path: str, meta: dict | None = None, name: str = "references") -> None:
+    """One JSON document ``{"meta": {...}, "<name>": [...]}`` as text files of ``path``, which joined in the order of their names are the document.
+
+    Rows are written by the executors, each with its comma; no row passes the driver.
+    """
+    rows = without_nan(df)
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+    one = rows.select(text.alias("value"), F.monotonically_increasing_id().alias("__n"))
+    first = one.agg(F.min("__n")).first()[0]
+    head = json.dumps({"meta": meta or {}}, ensure_ascii=False, default=str)[:-1] + f', "{name}": ['
+    spark = df.sparkSession
+    body = one.select(F.concat(F.when(F.col("__n") == first, "").otherwise(","), "value").alias("value"))
+    lines = spark.createDataFrame([(head,)], "value string").coalesce(1).union(body).union(spark.createDataFrame([("]}",)], "value string").coalesce(1))
+    lines.write.mode("overwrite").text(path)
+
+
+def workbook(folder: str, sheets: dict[str, DataFrame], write=write_csv) -> list[str]:
+    """A table for each sheet, in files of a folder; the paths."""
+    out = []
+    for name, df in sheets.items():
+        write(df, path := f"{folder}/{name}")
+        out.append(path)
+    return out
+
+
+def diffusion_workbook(folder: str, by_product: DataFrame, by_category: DataFrame, by_vendor: DataFrame, detail: DataFrame, log: DataFrame, write=write_csv) -> list[str]:
+    """The three matrices of points by year, the adopters behind them, and the log of exclusions."""
+    return workbook(folder, {"products": by_product, "categories": by_category, "vendors": by_vendor, "adopters": detail, "log": log}, write)
+
+
+def summary_records(curves: DataFrame, yearly: DataFrame, unit: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """A row for each curve (key, kind, score, highest penetration, stage, first and last year) and one for each of its years."""
+    span = yearly.groupBy(unit).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    one = curves.join(span, unit).select(F.col(unit).alias("key"), F.lit(kind).alias("kind"), F.round("score", 4).alias("score"), F.round("max_penetration", 4).alias("max_penetration"), F.col("stage").alias("lifecycle_stage"), "first_year", "last_year")
+    years = yearly.join(curves.select(unit), unit, "left_semi").select(F.col(unit).alias("key"), F.lit(kind).alias("kind"), "year", F.round(F.col("points").cast("double"), 4).alias("points"))
+    return one, years
 
 
 def write_excel(df: DataFrame, path: str, most: int = 1_000_000) -> None:
@@ -66,6 +117,20 @@ def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def migrated(old: DataFrame, schema: StructType | str, renamed: dict[str, str] | None = None) -> DataFrame:
+    """``old`` in another schema: columns renamed, cast, added as nulls or left out. Written to a new path, it takes the place of the old table."""
+    wanted = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    of = {new: was for was, new in (renamed or {}).items()}
+    have = set(old.columns)
+    pick = lambda f: F.col(f"`{of.get(f.name, f.name)}`") if of.get(f.name, f.name) in have else F.lit(None)
+    return old.select(*[pick(f).cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def replaced(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
+    """Deletes the rows of a partitioned table that share ``keys`` with ``df`` and writes those of ``df``, in one commit; other keys stay."""
+    write_years(df, path, keys)
+
+
 def write_evaluation(report: DataFrame, predictions: DataFrame, folder: str) -> None:
     write_json(report, f"{folder}/report.json")
     write_csv(predictions, f"{folder}/predictions.csv")
