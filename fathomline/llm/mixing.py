@@ -202,7 +202,8 @@ def mix_pieces(placed: DataFrame, slots: DataFrame, spec: MixSpec) -> DataFrame:
     parts = placed.where("size > 0").select("doc_id", "source", "sid", "size", "at", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))).alias("block"))
     lo, hi = F.greatest(F.col("at"), F.col("block") * b), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b)
     parts = parts.select("doc_id", "source", "sid", "block", "at", "size", (lo - F.col("at")).alias("first_word"), (hi - lo).alias("n_words"))
-    return slots.join(parts, ["sid", "block"])
+    # Slots come from a few rows that stand for many each: by the size of those they would be taken for a side to send.
+    return slots.join(parts.hint("merge"), ["sid", "block"])
 
 
 def mix_documents(docs: DataFrame, spec: MixSpec = MixSpec(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:

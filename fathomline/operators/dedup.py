@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from fathomline.operators.graph import connected_components
 from fathomline.operators.index import rounded
+from fathomline.operators.lineage import kept
 
 
 def exact(df: DataFrame, keys: list[str], text: str, confidence: str, order: str) -> DataFrame:
@@ -84,9 +86,22 @@ def _greedy(similar, n: int) -> list[int]:
 def greedy_jaccard(df: DataFrame, group: list[str], key: str, text: str, confidence: str, threshold: float) -> DataFrame:
     """key, cluster (the key of its representative): items of a group in order of confidence join the first similar representative.
 
-    Order-dependent by definition, so a group is one task's work; equal token sets are compared once.
+    Order-dependent by definition. What an item joins depends on similar items alone, so the order matters only within
+    a component of the group's graph of similar items: components are found first, by an equality join on rare tokens,
+    and each is one task's work. Items that are similar to none are their own clusters.
     """
     schema = T.StructType([*[df.schema[g] for g in group], df.schema[key], T.StructField("cluster", df.schema[key].dataType)])
+    node = F.struct(*[F.col(c) for c in (*group, key)])
+    # Tokens of a group are told apart from those of all others, so that items meet within their group alone.
+    mark = F.to_json(F.struct(*[F.col(c) for c in group]))
+    sets = df.select(node.alias("id"), F.transform(tokens(F.col(text)), lambda x: F.xxhash64(mark, x)).alias("set")).where("size(set) > 0")
+    sets = sets.withColumn("class", F.sha2(F.array_join(F.transform(F.array_sort("set"), lambda x: x.cast("string")), " "), 256))
+    first = kept(sets.groupBy("class").agg(F.min("id").alias("id"), F.min("set").alias("set")))
+    edges = _pairs_of_sets(first.select("id", "set"), threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    copies = sets.select("class", F.col("id").alias("b")).join(first.select("class", F.col("id").alias("a")), "class").where("a <> b").select("a", "b")
+    parts = connected_components(edges.unionByName(copies)).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    tied = df.select(*group, key, text, confidence, node.alias("__node")).join(parts, "__node").drop("__node")
+    alone = df.withColumn("__node", node).join(parts, "__node", "left_anti").select(*group, key, F.col(key).alias("cluster"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([confidence, key], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -112,11 +127,15 @@ def greedy_jaccard(df: DataFrame, group: list[str], key: str, text: str, confide
         res["cluster"] = pdf[key].to_numpy()[out]
         return res
 
-    return df.groupBy(*group).applyInPandas(run, schema)
+    return tied.groupBy(*group, "__root").applyInPandas(run, schema).unionByName(alone)
 
 
 def greedy_cosine(df: DataFrame, group: list[str], key: str, vector: str, confidence: str, threshold: float = 0.85) -> DataFrame:
-    """As greedy_jaccard, by cosine of vectors; one matrix product for each item against the representatives so far."""
+    """As greedy_jaccard, by cosine of vectors; one matrix product for each item against the representatives so far.
+
+    Nothing tells apart in advance which dense vectors cannot be similar, so a group is one task's work: for groups of
+    bounded size, such as the references of a document.
+    """
     schema = T.StructType([*[df.schema[g] for g in group], df.schema[key], T.StructField("cluster", df.schema[key].dataType)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

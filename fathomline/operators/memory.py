@@ -60,7 +60,10 @@ def events(refs: DataFrame, unit: list[str]) -> DataFrame:
 def discontinued(refs: DataFrame, unit: list[str], years: DataFrame, silent: int = SILENT_YEARS) -> DataFrame:
     """Units last seen ``silent`` years or more before a processed year: the event is in the first such year (years are few)."""
     last = refs.groupBy("company", *unit).agg(F.max("year").alias("last_confirmed_year"))
-    return last.join(F.broadcast(years.select("year").distinct()), F.col("year") >= F.col("last_confirmed_year") + silent).groupBy("company", *unit, "last_confirmed_year").agg(F.min("year").alias("discontinued_year"))
+    # One row: the processed years, of which there are as many as reports have.
+    every = years.agg(F.collect_set("year").alias("__years"))
+    found = last.crossJoin(F.broadcast(every)).withColumn("discontinued_year", F.array_min(F.filter("__years", lambda y: y >= F.col("last_confirmed_year") + silent)))
+    return found.where("discontinued_year is not null").drop("__years")
 
 
 def gap_events(refs: DataFrame, unit: list[str], silent: int = SILENT_YEARS) -> DataFrame:

@@ -75,7 +75,7 @@ def statistics(products: DataFrame) -> DataFrame:
 def with_facts(mentions: DataFrame, products: DataFrame, product: str = "product") -> DataFrame:
     """Left join with the dictionary's vendor, category and release year; of entries with one name the first."""
     one = products.groupBy(F.col("product").alias("__p")).agg(*[F.min_by(c, "ord").alias(f"known_{c}") for c in ("vendor", "category", "release_year")])
-    return mentions.join(F.broadcast(one), F.col(product) == F.col("__p"), "left").drop("__p")
+    return mentions.join(one, F.col(product) == F.col("__p"), "left").drop("__p")
 
 
 def tracked_unit(found: Column, defaults: dict[str, str], own: str = "Proprietary") -> Column:

@@ -35,7 +35,7 @@ def unprocessed(docs: DataFrame, processed: DataFrame, on: str) -> DataFrame:
 def missing_in_any(docs: DataFrame, targets: DataFrame, processed: DataFrame, on: str, target: str = "target") -> DataFrame:
     """Documents that some target has not processed: those with fewer distinct (document, target) pairs than targets."""
     n = targets.select(target).distinct().agg(F.count("*").alias("__n"))
-    done = processed.join(F.broadcast(targets.select(target).distinct()), target, "left_semi").select(on, target).distinct().groupBy(on).agg(F.count("*").alias("__done"))
+    done = processed.join(targets.select(target).distinct(), target, "left_semi").select(on, target).distinct().groupBy(on).agg(F.count("*").alias("__done"))
     return docs.join(done, on, "left").crossJoin(F.broadcast(n)).where(F.coalesce("__done", F.lit(0)) < F.col("__n")).drop("__done", "__n")
 
 
