@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as tx
-from fathomline.operators import charts, dedup, diffusion, evaluate, index, memory, products, relational, rules, store, taxonomy, trajectory, translate, windows
+from fathomline.operators import charts, dedup, diffusion, evaluate, index, memory, products, relational, rules, store, taxonomy, trajectory, translate, vocabulary, windows
 from fathomline.plans import catalogue
 from fathomline.plans.texts import SAMPLE
 from fathomline.sources import readers, writers
@@ -327,3 +327,82 @@ def test_taxonomy_sheets_and_command_line(spark, tmp_path, capsys):
     assert t.name == "example" and t.codes()["A1"].patterns == (r"\bexample\b",) and not t.lower_case
     assert main(["queries"]) == 0
     assert "flagship_volume_rank" in capsys.readouterr().out
+
+
+REPORTS = [
+    (1, "Acme", 2020, "retail", "We use machine learning and predictive analytics for fraud detection across all of our stores, and we plan to invest in generative AI. " * 3 + "\f" + "Our chatbot, built on a large language model, improves customer service for millions of shoppers every single day of the year. " * 2),
+    (2, "Acme", 2021, "retail", "The machine learning platform was deployed in logistics, where it is strong and successful, and we expect growth from it in the next year. " * 3),
+    (3, "Beta", 2021, "energy", "An offshore platform and its automation were repaired in the summer, and the weather was fine on most of the days of that summer too. " * 3),
+    (4, "Beta", 2020, "energy", "Deep learning and computer vision detect cracks in pipes; responsible AI and AI governance rules reduce the risk of failure in the field. " * 2),
+]
+
+
+def test_command_line_from_documents_to_curves(spark, tmp_path, capsys):
+    from fathomline.__main__ import main
+
+    store, docs = f"file://{tmp_path}/store", f"file://{tmp_path}/docs"
+    frame = spark.createDataFrame(REPORTS, "doc_id long, company string, year int, industry string, text string")
+    frame.where("doc_id < 4").write.parquet(docs)
+    (tmp_path / "c.json").write_text('{"store": "%s", "unknown": 1}' % store)
+    base = ["--config", str(tmp_path / "c.json")]
+    assert main([*base, "ingest", docs]) == 0
+    refs = spark.read.parquet(f"{store}/references")
+    first = refs.count()
+    assert first > 0 and {r["company"] for r in refs.collect()} == {"Acme"}
+    frame.write.mode("append").parquet(docs)
+    assert main([*base, "ingest", docs]) == 0  # what was read before is left out
+    refs = spark.read.parquet(f"{store}/references")
+    assert refs.count() > first and refs.groupBy("doc_id", "page", "window_no").count().where("count > 1").count() == 0
+    for command in (["dedupe"], ["sentiment", "--governance"], ["index"], ["memory"], ["diffusion"], ["status"], ["export", f"file://{tmp_path}/out", "--format", "csv", "--format", "json"]):
+        assert main([*base, *command]) == 0
+    assert {r["sentiment"] for r in spark.read.parquet(f"{store}/references").collect()} <= {"positive", "neutral", "negative"}
+    assert spark.read.parquet(f"{store}/indices").count() == 3 and spark.read.parquet(f"{store}/industries").count() == 3
+    assert spark.read.csv(f"file://{tmp_path}/out/references_dedup.csv", header=True, multiLine=True).count() == spark.read.parquet(f"{store}/deduplicated").count()
+    capsys.readouterr()
+    assert main([*base, "config", "--store", "elsewhere"]) == 0
+    assert '"store": "elsewhere"' in capsys.readouterr().out
+    with pytest.raises(SystemExit, match="run memory first"):
+        main([*base, "diffusion", "--store", f"file://{tmp_path}/none"])
+
+
+def test_builtin_taxonomies(spark):
+    from fathomline.operators import builtin
+
+    for t in (builtin.AI, builtin.DIGITAL):
+        assert t.checked()[1] == [] and rules.trigger_patterns(t)[0] in (vocabulary.AI_HARD, vocabulary.DIGITAL_HARD)
+        assert taxonomy.by_name(t.name) is t
+    df = spark.createDataFrame([("Our generative AI chatbot helps customer service",), ("A supplier portal connects partners",)], "window string")
+    assert [r["combined"] for r in rules.classified(df, builtin.AI).collect()][0] == "A3_Customer_Experience|B4_GenAI_LLMs"
+    assert rules.classified(df, builtin.DIGITAL).collect()[1]["code_D"] == "D1_Partner_Onboarding_Access"
+
+
+def test_segmentation_parts_lines_without_spaces(spark):
+    from fathomline.functions import segmentation
+
+    counts = {"we": 50, "use": 40, "deep": 10, "learning": 12, "for": 60, "all": 30, "reports": 8, "a": 90, "in": 80}
+    model = segmentation.Unigrams(counts)
+
+    def best(text):  # every way to part it
+        if not text:
+            return [(0.0, [])]
+        return [(s + model.of(text[:k]), [text[:k], *w]) for k in range(1, len(text) + 1) for s, w in [max(best(text[k:]))]]
+
+    for t in ("weuse", "deeplearn", "forallin"):
+        assert model.segment(t) == max(best(t))[1]
+    page = "weusedeeplearningforallreports\nOpenAI,forallreportsweusedeeplearning\n  a line with spaces is as it was"
+    got = one(spark, segmentation.segmented(model)(F.col("t")), t=page)
+    assert got.split("\n") == ["we use deep learning for all reports", "OpenAI for all reports we use deep learning", "  a line with spaces is as it was"]
+    assert one(spark, tx.repaired(F.col("t"), segmentation.segmented(model)), t="weusedeeplearningforallreports") == "we use deep learning for all reports"
+    assert one(spark, segmentation.segmented(model)(F.col("t")), t=None) is None
+
+
+def test_json_document_is_one_document(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(i, "x" if i % 2 else None, float("nan") if i == 3 else i / 2) for i in range(7)], "id long, t string, v double").repartition(3)
+    for rows, n in ((df, 7), (df.limit(0), 0)):
+        writers.write_json_document(rows, f"file://{tmp_path}/j{n}", {"title": "t"})
+        parts = sorted((tmp_path / f"j{n}").glob("part-*"))
+        found = json.loads("".join(p.read_text() for p in parts))
+        assert found["meta"] == {"title": "t"} and len(found["references"]) == n
+        assert all(r["v"] is None for r in found["references"] if r["id"] == 3) and all("t" in r for r in found["references"])
