@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,6 +70,16 @@ def gold_labels(df: DataFrame, first: str, second: str, flag: str) -> DataFrame:
     return df.withColumn("label", F.when((a == "") & (b == ""), own).otherwise(reviewed)).where("label is not null")
 
 
+def gold_workbook(spark: SparkSession, path: str, first: str, second: str, flag: str, sheet: int | str = 0) -> DataFrame:
+    """Labelled fragments from a workbook with two reviewers' columns, where a reader of workbooks is installed. Such sheets are made by hand: few rows."""
+    import pandas as pd
+
+    rows = pd.read_excel(path, sheet_name=sheet, dtype=str)
+    rows.columns = [str(c).strip() for c in rows.columns]
+    frame = spark.createDataFrame(rows.astype(object).where(rows.notna(), None), ", ".join(f"`{c}` string" for c in rows.columns))
+    return gold_labels(frame, first, second, flag)
+
+
 def worst(df: DataFrame, label: int, predicted: int, n: int, order: list[str], label_col: str = "label", predicted_col: str = "predicted") -> DataFrame:
     return df.where((F.col(label_col) == label) & (F.col(predicted_col) == predicted)).orderBy(*order).limit(n)
 

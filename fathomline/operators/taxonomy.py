@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
-from pyspark.errors import IllegalArgumentException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,18 +144,54 @@ def from_sheets(name: str, categories: list[dict], keywords: list[dict], pattern
     return Taxonomy(meta.get("taxonomy_name") or name, tuple((d, tuple(c)) for d, c in dims.items()), str(meta.get("version") or "1"), tuple((g, tuple(p)) for g, p in fps.items()), weights=Weights(0.7, (0.8, 0.6, 0.4)), lower_case=False)
 
 
-def read_sheets(folder: str) -> Taxonomy:
-    """A taxonomy from CSV files named after their sheets; header names are stripped and lower-cased, empty rows left out."""
+SHEETS = ("Categories", "Keywords", "Patterns", "FP_Patterns", "Taxonomy_Meta")
+
+
+def _clean(rows: list[dict]) -> list[dict]:
+    """Rows with stripped, lower-cased names and stripped texts, without empty ones."""
+    text = lambda v: "" if v is None or v != v else str(v).strip()
+    found = [{str(k or "").strip().strip("\ufeff").lower(): text(v) for k, v in r.items()} for r in rows]
+    return [r for r in found if any(r.values())]
+
+
+def _from_tables(name: str, tables: dict[str, list[dict]]) -> Taxonomy:
+    of = {k: _clean(tables.get(k, [])) for k in SHEETS}
+    return from_sheets(name, of["Categories"], of["Keywords"], of["Patterns"], of["FP_Patterns"], of["Taxonomy_Meta"][0] if of["Taxonomy_Meta"] else None)
+
+
+def read_sheets(folder: str, spark: SparkSession | None = None) -> Taxonomy:
+    """A taxonomy from CSV files named after their sheets; header names are stripped and lower-cased, empty rows left out.
+
+    With a session (the active one, if none is given) the folder may be on any file system that Spark reads. A
+    taxonomy's terms are few and end up in plans, so they are brought to the driver.
+    """
     import csv
     import os
 
+    spark = spark or SparkSession.getActiveSession()
+
     def rows(name: str) -> list[dict]:
-        path = os.path.join(folder, f"{name}.csv")
-        if not os.path.exists(path):
-            return []
-        with open(path, newline="", encoding="utf-8-sig") as f:
-            found = [{(k or "").strip().lower(): (v or "").strip() for k, v in r.items()} for r in csv.DictReader(f)]
-        return [r for r in found if any(r.values())]
-
-    meta = rows("Taxonomy_Meta")
-    return from_sheets(os.path.basename(folder.rstrip("/")), rows("Categories"), rows("Keywords"), rows("Patterns"), rows("FP_Patterns"), meta[0] if meta else None)
+        path = f"{folder.rstrip('/')}/{name}.csv"
+        if spark is None:
+            if not os.path.exists(path):
+                return []
+            with open(path, newline="", encoding="utf-8-sig") as f:
+                return list(csv.DictReader(f))
+        try:
+            return [r.asDict() for r in spark.read.csv(path, header=True, escape='"', multiLine=True).collect()]
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return []
+            raise
+
+    return _from_tables(os.path.basename(folder.rstrip("/")), {n: rows(n) for n in SHEETS})
+
+
+def read_workbook(path: str) -> Taxonomy:
+    """A taxonomy from a workbook with these sheets, where a reader of workbooks is installed."""
+    import os
+
+    import pandas as pd
+
+    book = pd.read_excel(path, sheet_name=None, dtype=str)
+    return _from_tables(os.path.splitext(os.path.basename(path))[0], {n: book[n].to_dict("records") for n in SHEETS if n in book})

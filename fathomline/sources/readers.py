@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.operators import windows
+
 #: Kinds of documents by words in file names, in this order.
 DOC_TYPES = (
     ("annual", "Annual Report"), ("sustainability", "Sustainability"), ("proxy", "Proxy"), ("quarterly", "Quarterly Report"), ("10k", "Annual Report"),
@@ -42,6 +44,74 @@ def extract_pages(files: DataFrame, extractor: Callable[[bytes], tuple[list[str]
     return files.select("path", "content").mapInPandas(run, "path string, status string, pages array<string>")
 
 
+#: Fewer characters a page than this on average: a scanned document.
+SCANNED_CHARS = 50
+
+
+def extract_documents(files: DataFrame, readers: list[Callable[[bytes], list[str]]], ocr: Callable[[bytes], list[str]] | None = None, markers: list[str] | None = None) -> DataFrame:
+    """path, text_status, pages: each file by the first of ``readers`` that reads it, scanned ones by ``ocr``, mirrored pages blanked.
+
+    text_status: corrupted_ocr_failed where no reader reads the file, or a scanned one is not recognised; else empty
+    where no page has text; else corrupted_ocr_success where it was recognised; else mirrored_all_stripped where all
+    pages were mirrored; else valid. A page that is null is an empty one. Contents are read by the executors; what a
+    reader does with them is its own.
+    """
+    first = list(readers)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                raw, pages, status = bytes(content or b""), None, "valid"
+                for read in first:
+                    try:
+                        pages = [x or "" for x in read(raw)]
+                        break
+                    except Exception:  # noqa: BLE001  a damaged file must not end the job; the next reader is tried
+                        continue
+                if pages is None:
+                    rows.append((path, "corrupted_ocr_failed", []))
+                    continue
+                if pages and sum(map(len, pages)) / len(pages) < SCANNED_CHARS:
+                    status = "corrupted_ocr_success"
+                    try:
+                        if ocr is None:
+                            raise ValueError("no recognition")
+                        pages = [x or "" for x in ocr(raw)]
+                    except Exception:  # noqa: BLE001
+                        status = "corrupted_ocr_failed"
+                rows.append((path, status, pages))
+            yield pd.DataFrame(rows, columns=["path", "text_status", "pages"])
+
+    out = files.select("path", "content").mapInPandas(run, "path string, text_status string, pages array<string>")
+    has_text = lambda pages: F.exists(pages, lambda x: F.trim(x) != "")
+    unreadable = F.col("text_status") == "corrupted_ocr_failed"
+    out = out.withColumn("text_status", F.when(~has_text(F.col("pages")) & ~(unreadable & (F.size("pages") == 0)), "empty").otherwise(F.col("text_status")))
+    blank = F.transform("pages", lambda x: F.when(windows.mirror_hits(x, list(markers or windows.MIRRORED)) >= windows.MIRROR_HITS, F.lit("")).otherwise(x))
+    out = out.withColumn("pages", F.when(F.col("text_status") == "valid", blank).otherwise(F.col("pages")))
+    return out.withColumn("text_status", F.when((F.col("text_status") == "valid") & ~has_text(F.col("pages")), "mirrored_all_stripped").otherwise(F.col("text_status")))
+
+
+def pdf_readers() -> list[Callable[[bytes], list[str]]]:
+    """Readers of PDF files by the libraries that are installed, the one that keeps columns first."""
+    import importlib.util
+    import io
+
+    def by_words(raw: bytes) -> list[str]:
+        import pdfplumber
+
+        with pdfplumber.open(io.BytesIO(raw)) as doc:
+            return [columns_of_words(pd.DataFrame(p.extract_words() or [], columns=["x0", "x1", "top", "text"]), float(p.width)) for p in doc.pages]
+
+    def plain(raw: bytes) -> list[str]:
+        import fitz
+
+        with fitz.open(stream=raw, filetype="pdf") as doc:
+            return [p.get_text() for p in doc]
+
+    return [f for name, f in (("pdfplumber", by_words), ("fitz", plain)) if importlib.util.find_spec(name)]
+
+
 def columns_of_words(words: pd.DataFrame, width: float, gap: float = 0.03, line: float = 5.0) -> str:
     """Reading order of word boxes (x0, x1, top, text): columns are parted where no word is over ``gap`` of the width."""
     bins = 200

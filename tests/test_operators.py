@@ -406,3 +406,36 @@ def test_json_document_is_one_document(spark, tmp_path):
         found = json.loads("".join(p.read_text() for p in parts))
         assert found["meta"] == {"title": "t"} and len(found["references"]) == n
         assert all(r["v"] is None for r in found["references"] if r["id"] == 3) and all("t" in r for r in found["references"])
+
+
+def test_documents_by_a_chain_of_readers(spark, tmp_path):
+    files = [("a", b"long enough " * 9), ("b", b"broken"), ("c", b"scan"), ("d", b"dud"), ("e", b"mirror"), ("f", b""), ("g", b"half")]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")
+    back = "noitcurtsnoC noillim and more of what is written " * 2
+
+    def strict(raw):
+        if raw.startswith((b"broken", b"half")):
+            raise ValueError
+        return {b"mirror": [back, back], b"scan": ["x"], b"dud": ["y"], b"": []}.get(raw, [raw.decode(), None])
+
+    def lenient(raw):
+        if raw == b"broken":
+            raise ValueError
+        return [back, "plain text " * 9]
+
+    def ocr(raw):
+        if raw == b"dud":
+            raise ValueError
+        return ["recognised"]
+
+    got = {r["path"]: (r["text_status"], r["pages"]) for r in readers.extract_documents(df, [strict, lenient], ocr).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": "valid", "b": "corrupted_ocr_failed", "c": "corrupted_ocr_success", "d": "corrupted_ocr_failed", "e": "mirrored_all_stripped", "f": "empty", "g": "valid"}
+    assert got["g"][1] == ["", "plain text " * 9] and got["e"][1] == ["", ""] and got["a"][1][1] == "" and got["c"][1] == ["recognised"]
+    assert all(callable(f) for f in readers.pdf_readers())
+
+
+def test_sheets_are_read_by_spark_and_without_it(spark, tmp_path, monkeypatch):
+    writers.taxonomy_template(str(tmp_path))
+    by_spark = taxonomy.read_sheets(str(tmp_path))
+    monkeypatch.setattr(taxonomy.SparkSession, "getActiveSession", staticmethod(lambda: None))
+    assert taxonomy.read_sheets(str(tmp_path)) == by_spark and by_spark.name == "example" and by_spark.codes()["A1"].keywords == (("example word", 1),)
