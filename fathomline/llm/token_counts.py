@@ -1,8 +1,9 @@
 """Token counts by a unigram model, with dynamic programming shared along a trie of pre-tokens.
 
-Distinct pre-tokens are visited in sorted order, which is the depth-first order of their trie: the forward
-scores of a prefix that a pre-token shares with the one before are kept, only its other characters are
-scored, and the count of its best segmentation is stored at its terminal node. Documents look their words up.
+Distinct pre-tokens are inserted into a trie. A node stands for a prefix and holds its forward score and the number
+of pieces of its best segmentation, which depend on the prefix alone: they are computed once, when the node is made,
+from those of the nodes above it, whatever number of pre-tokens go through it. The count at a pre-token's last node is
+its own. Documents look their words up.
 
 The vocabulary is that of an installed tokenizer file (nothing is trained): pieces are byte strings with a
 rank, and the score of a piece is -log(rank + 2), a Zipf law over the ranks.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.shared import small_batches
 
-#: Pre-tokens whose counts a worker remembers; on overflow it forgets all.
-KNOWN_WORDS = 500_000
+#: Nodes of a worker's trie; on overflow it forgets all and begins again.
+MOST_NODES = 1_500_000
 
 _loaded: dict[str, TrieCounter] = {}
 
@@ -40,43 +42,56 @@ def load_pieces(path: str) -> dict[bytes, float]:
 
 
 class TrieCounter:
+    """Nodes are numbers, in the order in which they are made; a child is found by its parent's number and its byte."""
+
     def __init__(self, pieces: dict[bytes, float]):
         self.pieces = pieces
         self.tails = {p[i:] for p in pieces for i in range(len(p))}  # what a piece can end with
+        self.forget()
+
+    def forget(self) -> None:
+        self.child: dict[int, int] = {}
+        self.score, self.count = array("d", [0.0]), array("q", [0])
         self.known: dict[bytes, int] = {}
 
+    @property
+    def nodes(self) -> int:
+        return len(self.score)
+
     def learn(self, words: list[bytes]) -> None:
-        """Stores the counts of ``words``. Of equal best scores the one with fewer pieces counts; a byte that no piece covers is one token with a very low score."""
-        pieces, tails, known = self.pieces, self.tails, self.known
-        score, count, last = [0.0], [0], b""
-        for word in sorted(words):
-            shared, most = 0, min(len(word), len(last))
-            while shared < most and word[shared] == last[shared]:
-                shared += 1
-            del score[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best, n = score[end - 1] - 1e3, count[end - 1] + 1
-                for start in range(end - 1, -1, -1):
-                    piece = word[start:end]
-                    if piece not in tails:
-                        break
-                    s = pieces.get(piece)
-                    if s is not None:
-                        s += score[start]
-                        if s > best or (s == best and count[start] + 1 < n):
-                            best, n = s, count[start] + 1
-                score.append(best)
-                count.append(n)
-            known[word] = count[-1]
-            last = word
+        """Inserts ``words`` and stores their counts. Of equal best scores the one with fewer pieces counts; a byte that no piece covers is one token with a very low score."""
+        pieces, tails, known, child, score, count = self.pieces, self.tails, self.known, self.child, self.score, self.count
+        for word in words:
+            path, node = [0], 0
+            for end, byte in enumerate(word, 1):
+                edge = node << 8 | byte
+                below = child.get(edge)
+                if below is None:
+                    best, n = score[node] - 1e3, count[node] + 1
+                    for start in range(end - 1, -1, -1):
+                        piece = word[start:end]
+                        if piece not in tails:
+                            break
+                        s = pieces.get(piece)
+                        if s is not None:
+                            before = path[start]
+                            s += score[before]
+                            if s > best or (s == best and count[before] + 1 < n):
+                                best, n = s, count[before] + 1
+                    below = child[edge] = len(score)
+                    score.append(best)
+                    count.append(n)
+                node = below
+                path.append(node)
+            known[word] = count[node]
 
     def totals(self, texts: list[bytes]) -> list[tuple[int, int]]:
         """(words, tokens) of each text; a word is counted with a space before it."""
         cut = [[b" " + w for w in t.split()] for t in texts]  # bytes.split: at the six ASCII separators alone
         new = {w for c in cut for w in c}
         missing = new - self.known.keys()
-        if len(self.known) + len(missing) > KNOWN_WORDS:
-            self.known.clear()
+        if self.nodes + sum(map(len, missing)) > MOST_NODES and self.nodes > 1:
+            self.forget()
             missing = new
         self.learn(list(missing))
         return [(len(c), sum(map(self.known.__getitem__, c))) for c in cut]

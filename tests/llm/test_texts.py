@@ -450,3 +450,17 @@ def test_token_counts(spark):
     counter = token_counts.TrieCounter(small)
     counter.learn([b"abc", b"ab", b"abd", b"", b"zz"])
     assert counter.known == {w: brute_tokens(w, small) for w in (b"abc", b"ab", b"abd", b"", b"zz")}
+
+
+def test_trie_shares_prefixes_and_forgets(monkeypatch):
+    small = {b"a": -1.0, b"ab": -1.5, b"b": -1.0, b" ": -1.0, b" a": -1.2}
+    counter = token_counts.TrieCounter(small)
+    counter.learn([b"abab", b"abb", b"ab"])
+    assert counter.nodes == 1 + len({w[:k] for w in (b"abab", b"abb") for k in range(1, len(w) + 1)})
+    made = counter.nodes
+    counter.learn([b"aba", b"abab"])
+    assert counter.nodes == made and counter.known[b"aba"] == brute_tokens(b"aba", small)
+    monkeypatch.setattr(token_counts, "MOST_NODES", 12)
+    texts = [b"a ab", b"b abab", b"abba " * 3, b"", b"abababababababab"]
+    want = [(len(t.split()), sum(brute_tokens(b" " + w, small) for w in t.split())) for t in texts]
+    assert [x for t in texts for x in counter.totals([t])] == want and counter.nodes < 30
