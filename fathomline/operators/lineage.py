@@ -29,6 +29,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, on any file system that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its lineage cut: branches read it instead of computing it again."""
     shared_dir(df.sparkSession)

@@ -424,13 +424,21 @@ def dedup_summary(spark, sf):
 # Sinks: written to the shared folder and read again ------------------------------------------------------
 
 
+def _read(df, *paths):
+    """``df``, which reads ``paths``, computed, and those deleted."""
+    out = lineage.kept(df)
+    for path in paths:
+        lineage.removed(df.sparkSession, path)
+    return out
+
+
 @query(f"WITH {REFS_SQL} SELECT company, year, n + CASE WHEN year = 1996 THEN 1 ELSE 0 END AS n FROM (SELECT company, year, count(*) AS n FROM refs GROUP BY ALL)")
 def sink_years(spark, sf):
     n = st.references(spark, sf).groupBy("company", "year").agg(F.count("*").alias("n"))
     path = lineage.scratch(spark, "years")
     writers.write_years(n, path)
     writers.replaced(n.where("year = 1996").withColumn("n", F.col("n") + 1), path, ("year",))
-    return spark.read.parquet(path).select("company", "year", "n")
+    return _read(spark.read.parquet(path).select("company", "year", "n"), path)
 
 
 @query("SELECT doc_id, CASE WHEN n_chars > 500 THEN lang END AS lang, CASE WHEN doc_id % 3 > 0 THEN n_chars / 7.0::DOUBLE END AS ratio, 'sample' AS title FROM documents")
@@ -439,19 +447,17 @@ def sink_json(spark, sf):
     path = lineage.scratch(spark, "json")
     writers.write_json_document(d, path, {"title": "sample"})
     # One document in parts: joined in the order of their names, it is read as a whole.
-    names = sorted(f for f in spark.read.text(path).inputFiles())
     lines = spark.read.text(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"), "value")
     whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "i", "value"))), lambda x: x["value"]), "").alias("j"))
     parsed = whole.select(F.from_json("j", "meta struct<title:string>, references array<struct<doc_id:long,lang:string,ratio:double>>").alias("x"))
-    assert names
-    return parsed.select("x.meta.title", F.explode("x.references").alias("r")).select("r.doc_id", "r.lang", "r.ratio", "title")
+    return _read(parsed.select("x.meta.title", F.explode("x.references").alias("r")).select("r.doc_id", "r.lang", "r.ratio", "title"), path)
 
 
 @query("SELECT page_id, url, md5(regexp_replace(replace(replace(replace(replace(translate(url, '–—“”‘’', '--\"\"'''''), '→', '->'), '…', '...'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\\s+|\\s+$', '', 'g')) AS h FROM pages")
 def sink_csv(spark, sf):
     path = lineage.scratch(spark, "csv")
     writers.write_csv(table(spark, sf, "pages").select("page_id", "url", F.col("url").alias("again")), path, mark=True)
-    return spark.read.csv(path, header=True, schema="page_id long, url string, again string", escape='"').select("page_id", "url", F.md5("again").alias("h"))
+    return _read(spark.read.csv(path, header=True, schema="page_id long, url string, again string", escape='"').select("page_id", "url", F.md5("again").alias("h")), path)
 
 
 @query("SELECT user_id AS who, CAST(count(*) AS INTEGER) AS n, CAST(NULL AS VARCHAR) AS note FROM events GROUP BY user_id")
@@ -459,7 +465,7 @@ def sink_migrated(spark, sf):
     path = lineage.scratch(spark, "old")
     table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("dropped")).write.parquet(path)
     writers.migrated(spark.read.parquet(path), "who long, n int, note string", {"user_id": "who"}).write.parquet(f"{path}-new")
-    return spark.read.parquet(f"{path}-new")
+    return _read(spark.read.parquet(f"{path}-new"), path, f"{path}-new")
 
 
 @query("SELECT lang, count(*) * 2 AS n FROM documents WHERE lang <> 'en' GROUP BY lang")
@@ -468,7 +474,7 @@ def sink_audit(spark, sf):
     rows = table(spark, sf, "documents").where("lang <> 'en'").select("doc_id", "lang")
     for dry in (False, True, False):
         writers.append_audit(rows, path, dry)
-    return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n"))
+    return _read(spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n")), path)
 
 
 @query(
@@ -483,7 +489,7 @@ def sink_diffusion_records(spark, sf):
     folder = lineage.scratch(spark, "records")
     writers.workbook(folder, {"summary": one, "yearly": years})
     read = lambda n, df: spark.read.csv(f"{folder}/{n}", header=True, schema=df.schema)
-    return read("summary", one).join(read("yearly", years), ["key", "kind"]).select("key", "kind", "first_year", "last_year", "year", "points")
+    return _read(read("summary", one).join(read("yearly", years), ["key", "kind"]).select("key", "kind", "first_year", "last_year", "year", "points"), folder)
 
 
 # Sources and scans ---------------------------------------------------------------------------------------
