@@ -98,7 +98,7 @@ def top_k(df: DataFrame, is_query: Column, spec: KnnSpec = KnnSpec(), vec_id: st
     columns are ignored.
     """
     spark = df.sparkSession
-    vectors = cut(grid_vectors(df, spec, vec_id, embedding).withColumn("is_query", F.coalesce(is_query, F.lit(False))))
+    vectors = grid_vectors(df, spec, vec_id, embedding).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     # A row for each length: as many as the longest vector is long, at most.
     lengths = vectors.groupBy("dim").agg(F.max(norm).alias("big"), F.count("*").alias("n"), F.max("is_query").alias("asked")).where("asked").orderBy("dim").collect()
@@ -200,16 +200,19 @@ def _solved(vectors: DataFrame, lengths: dict[int, tuple[float, int]], spec: Knn
     def assign(batches):
         for pdf in batches:
             for dim, at, x in _parts(pdf):
-                c = placing.value[dim]
-                rows, asks = pdf["row"].to_numpy(np.int64)[at], pdf["is_query"].to_numpy(bool)[at]
-                for flag in (False, True):
-                    of = np.flatnonzero(asks) if flag else np.arange(len(at))
-                    if len(of):
-                        d = _distances(x[of], np.zeros(len(of)) if flag else c.lifted(x[of]), c.pivots)
-                        near = d.argmin(1)
-                        yield pd.DataFrame({"row": rows[of], "q": flag, "pivot": (near + c.offset).astype(np.int32), "dist": d[np.arange(len(of)), near]})
-
-    placed = vectors.select("row", "dim", "vec", "is_query").mapInPandas(assign, "row long, q boolean, pivot int, dist double")
+                c, part = placing.value[dim], pdf.iloc[at]
+                out = {n: part[n] for n in ("row", "vec_id", "dim", "vec", "is_query")}
+                for kind, lifted in (("data", c.lifted(x)), ("query", np.zeros(len(x)))):
+                    d = _distances(x, lifted, c.pivots)
+                    near = d.argmin(1)
+                    out |= {f"{kind}_pivot": (near + c.offset).astype(np.int32), f"{kind}_dist": d[np.arange(len(x)), near]}
+                yield pd.DataFrame(out)
+
+    # Kept, as a vector must have one and the same group wherever it is asked for: of two pivots at nearly one distance,
+    # rounding may find either the nearer one.
+    vectors = cut(vectors.select("row", "vec_id", "dim", "vec", "is_query").mapInPandas(assign, "row long, vec_id long, dim int, vec array<double>, is_query boolean, data_pivot int, data_dist double, query_pivot int, query_dist double"))
+    of = lambda q, kind: F.struct(F.lit(q).alias("q"), F.col(f"{kind}_pivot").alias("pivot"), F.col(f"{kind}_dist").alias("dist"))
+    placed = vectors.select("row", F.explode(F.array_compact(F.array(of(False, "data"), F.when(F.col("is_query"), of(True, "query"))))).alias("x")).select("row", "x.q", "x.pivot", "x.dist")
     # Summaries: for each group its size and radius, for data also the k + 1 smallest distances, merged salt by salt.
     ranked = placed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("pivot", "q", "salt").orderBy("dist")))
     few = ranked.groupBy("pivot", "q", "salt").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.collect_list(F.when((F.col("r") <= k + 1) & ~F.col("q"), F.col("dist"))).alias("near"))
@@ -248,7 +251,7 @@ def _solved(vectors: DataFrame, lengths: dict[int, tuple[float, int]], spec: Knn
                 deal = pd.util.hash_array(rows)
                 raw = np.array([v.tobytes() for v in x], object)
                 d = _distances(x, c.lifted(x), c.pivots)
-                home = d.argmin(1)
+                home = pdf["data_pivot"].to_numpy(np.int64)[at] - c.offset
                 chunk = c.chunk_of[home] + (deal % np.maximum(c.chunk_split[home], 1).astype(np.uint64)).astype(np.int64)
                 for first, split, members in c.blocks:
                     go = np.flatnonzero(~(d[:, members] > c.limit[members][None, :]).all(1))
@@ -258,7 +261,7 @@ def _solved(vectors: DataFrame, lengths: dict[int, tuple[float, int]], spec: Knn
                 asks = np.flatnonzero(pdf["is_query"].to_numpy(bool)[at])
                 if not len(asks):
                     continue
-                mine = _distances(x[asks], np.zeros(len(asks)), c.pivots).argmin(1)
+                mine = pdf["query_pivot"].to_numpy(np.int64)[at][asks] - c.offset
                 block = c.block_of[mine] + ((deal[asks] >> np.uint64(20)) % np.maximum(c.block_split[mine], 1).astype(np.uint64)).astype(np.int64)
                 for (first, split, _), to in zip(c.blocks, c.asks, strict=True):
                     go = np.flatnonzero((block >= first) & (block < first + split))
@@ -281,5 +284,5 @@ def _solved(vectors: DataFrame, lengths: dict[int, tuple[float, int]], spec: Knn
                         out[c].append(v)
         return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()})
 
-    sent = vectors.select("row", "vec_id", "dim", "vec", "is_query").mapInPandas(send, "block int, chunk int, row long, vec_id long, dim int, q boolean, raw binary")
+    sent = vectors.select("row", "vec_id", "dim", "vec", "is_query", "data_pivot", "query_pivot").mapInPandas(send, "block int, chunk int, row long, vec_id long, dim int, q boolean, raw binary")
     return sent.groupBy("block", "chunk").applyInPandas(solve, "query long, query_id long, row long, vec_id long, score long")
