@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from fathomline.operators.graph import connected_components
+from fathomline.operators.lineage import kept, removed, shared_dir
+
+__all__ = ["connected_components", "cut", "dropped", "mix64", "own_prefix", "removed", "shared_dir", "shuffle_partitions", "small_batches", "written"]
 
 #: Code points that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_BREAKS = " \t\n\x0b\f\r"
@@ -16,29 +18,9 @@ WORD_BREAKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one of ``spark.checkpoint.dir``. Only where that is unset (a local session, as in tests)
-    a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not where and sc._jsc.sc().getCheckpointDir().isDefined():
-        where = sc._jsc.sc().getCheckpointDir().get()
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # not local-cluster, whose executors are processes of their own
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="fathomline-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return kept(df)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -57,14 +39,12 @@ def own_prefix(names: list[str]) -> str:
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes the Parquet tables in the shared folder that ``df`` reads (see :func:`written`), on any file system that Spark reaches."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    """Deletes the Parquet tables in the shared folder that ``df`` reads (see :func:`written`)."""
     bare = lambda path: path.removeprefix("file:").lstrip("/")
     root = bare(shared_dir(df.sparkSession)) + "/"
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if bare(path).startswith(root):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            removed(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -86,36 +66,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Connected components of an undirected graph, without collecting any part of it.
-
-    ``edges`` has two columns of one orderable type, ``a`` and ``b``. Returns ``node`` and ``root``, the
-    smallest node of the component, for every node that has an edge to another one. Rows that hold a null
-    and loops are left out, repeated edges count once. Alternating large-star and small-star steps
-    (Kiveris and others, 2014) need O(log^2 n) rounds and go on until nothing changes; minima are taken by partial aggregates and joined
-    back, so that a hub's edges are never gathered in one task (adaptive execution splits the join).
-    """
-    edges = edges.select(F.col("a").alias("a"), F.col("b").alias("b"))
-    now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = cut(now)
-    before = None
-    while True:
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not sums[0]:
-            break
-        if before == tuple(sums):
-            break
-        before = tuple(sums)
-        both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        # Large star: every neighbour above u is tied to the smallest node around u.
-        big = both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # Small star: u and its smaller neighbours are tied to the smallest of these.
-        low = big.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        tied = big.join(low, big.a == low.u)
-        now = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m")).where("a <> b").distinct()
-        now = cut(now)
-    stars = now.groupBy("a").agg(F.min("b").alias("root"))
-    return stars.select(F.col("a").alias("node"), "root").union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

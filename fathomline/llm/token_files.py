@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fathomline.llm.shared import cut, shared_dir, shuffle_partitions, small_batches
+from fathomline.llm.shared import cut, removed, shared_dir, shuffle_partitions, small_batches
 from fathomline.llm.tokens import default_tokenizer, encoded
 
 #: Ids in a frame at most.
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, frame
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Frames are decoded one by one. A document that goes on over several frames is put together from the
+    Frames are decoded one by one; what is returned no longer reads them. A document that goes on over several frames is put together from the
     checksums of its parts, in order, by one window over those parts alone.
     """
     frames = spark.read.schema(FRAMES).parquet(path)
@@ -144,7 +144,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     # One row for each shard: as many as partitions were written.
     shards = shards.select("shard", (F.sum("s").over(Window.orderBy("shard")) - F.col("s")).alias("before"))
     inside = heads.select("shard", "frame", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("frame")) - F.col("n_ids")).alias("inner"))
-    places = inside.join(shards, "shard").select("shard", "frame", (F.col("inner") + F.col("before")).alias("first"))
+    places = cut(inside.join(shards, "shard").select("shard", "frame", (F.col("inner") + F.col("before")).alias("first")))
     schema = "shard int, frame int, place int, goes_on boolean, last boolean, doc_id long, inner long, n long, crc long"
 
     def parts(batches):
@@ -206,9 +206,12 @@ def crc32_joined(parts: list[tuple[int, int]]) -> int:
     return crc
 
 
-def token_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Writes the ids of ``docs`` into the shared folder and reads the files back (see read_tokens)."""
+def token_files(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+    """Writes the ids of ``docs`` and reads the files back (see read_tokens). Without a ``path`` they are in the shared folder, and go when they have been read."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, tokenizer)
-    return read_tokens(spark, path)
+    where = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(docs, where, tokenizer)
+    out = read_tokens(spark, where)
+    if path is None:
+        removed(spark, where)
+    return out

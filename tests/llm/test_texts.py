@@ -214,6 +214,18 @@ def test_token_files_round_trip(spark, tmp_path, frame_ids):
         at += n
 
 
+def test_token_files_go_once_they_are_read(spark, tmp_path):
+    from pathlib import Path
+
+    from fathomline.llm.shared import shared_dir
+
+    rows = frame(spark, sample(20))
+    kept = token_files.token_files(rows, path=f"file://{tmp_path}/mine")
+    gone = token_files.token_files(rows)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, gone.collect()), key=str) and (tmp_path / "mine").exists()
+    assert not list(Path(shared_dir(spark).removeprefix("file:")).glob("tokens-*"))
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     token_files.write_tokens(frame(spark, sample()).limit(0), f"file://{tmp_path}/t")
     assert token_files.read_tokens(spark, f"file://{tmp_path}/t").count() == 0
