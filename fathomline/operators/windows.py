@@ -46,11 +46,23 @@ def mirror_status(df: DataFrame, keys: list[str], text: str = "page_text") -> Da
 
 
 def char_windows(df: DataFrame, text: str = "text", size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """Windows of ``size`` characters that overlap, with their offset; texts under 20 characters have none."""
-    t = F.col(text)
-    starts = F.sequence(F.lit(0), F.length(t) - 1, F.lit(size - overlap))
-    out = df.where(F.length(t) >= 20).withColumn("offset", F.explode(starts))
-    return out.withColumn("window", F.substring(t, F.col("offset") + 1, F.lit(size)))
+    """Windows of ``size`` characters that overlap, with their offset; texts under 20 characters have none.
+
+    A text is cut once into pieces as long as a window's step, and a window is a piece with the beginning of those
+    after it: places in a text need no counting from its start, so that a long text costs no more for each character.
+    """
+    step = size - overlap
+    if step < 1:
+        raise ValueError("windows must overlap by less than their size")
+    own = "__c" + "_" * max((len(c) for c in df.columns), default=0)
+    pieces = df.where(F.length(text) >= 20).withColumn(own, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
+
+    def window(p: Column, k: Column) -> Column:
+        tail = F.concat(*[F.coalesce(F.get(F.col(own), k + j), F.lit("")) for j in range(1, -(-overlap // step) + 1)]) if overlap else F.lit("")
+        return F.concat(p, F.left(tail, F.lit(overlap))) if overlap else p
+
+    out = pieces.select(*df.columns, F.posexplode(F.transform(own, window)).alias("offset", "window"))
+    return out.withColumn("offset", F.col("offset") * step)
 
 
 def sentence_windows(df: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:

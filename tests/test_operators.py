@@ -439,3 +439,13 @@ def test_sheets_are_read_by_spark_and_without_it(spark, tmp_path, monkeypatch):
     by_spark = taxonomy.read_sheets(str(tmp_path))
     monkeypatch.setattr(taxonomy.SparkSession, "getActiveSession", staticmethod(lambda: None))
     assert taxonomy.read_sheets(str(tmp_path)) == by_spark and by_spark.name == "example" and by_spark.codes()["A1"].keywords == (("example word", 1),)
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(500, 100), (7, 0), (10, 9), (10, 6)])
+def test_character_windows_of_any_overlap(spark, size, overlap):
+    texts = ["x" * 19, "ab🎉é\n" * 9, "".join(chr(0x41 + i % 50) for i in range(1234)), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "offset_ int, text string")
+    got = sorted((r["offset_"], r["offset"], r["window"]) for r in windows.char_windows(df, "text", size, overlap).collect())
+    assert got == sorted((i, k, t[k : k + size]) for i, t in enumerate(texts) if t and len(t) >= 20 for k in range(0, len(t), size - overlap))
+    with pytest.raises(ValueError):
+        windows.char_windows(df, "text", 5, 5)
