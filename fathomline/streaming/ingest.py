@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,7 +43,14 @@ def first_sightings(refs: DataFrame) -> DataFrame:
     return refs.groupBy("company", "category").applyInPandasWithState(step, "company long, category string, year int, event_type string", "first int", "append", "NoTimeout")
 
 
-def into(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], once: bool = True):
-    """Each micro-batch to ``write``, which must be idempotent for its batch number."""
-    out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def into(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], once: bool = True, progress: Callable[[int, float], None] | None = None):
+    """Each micro-batch to ``write``, which must be idempotent for its batch number; then its number and seconds to ``progress``."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        began = time.monotonic()
+        write(df, n)
+        if progress:
+            progress(n, time.monotonic() - began)
+
+    out = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()

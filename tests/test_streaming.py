@@ -12,10 +12,10 @@ def test_activity_and_windows_on_streams(spark, tmp_path):
     assert q.exception() is None
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     docs.write.parquet(f"{tmp_path}/docs")
-    rows = []
-    q = ingest.into(ingest.triggered_windows(ingest.arriving(spark, f"{tmp_path}/docs", "doc_id long, text string"), "license", "(the|der)"), f"{tmp_path}/cp2", lambda df, n: rows.append(df.count()))
+    rows, told = [], []
+    q = ingest.into(ingest.triggered_windows(ingest.arriving(spark, f"{tmp_path}/docs", "doc_id long, text string"), "license", "(the|der)"), f"{tmp_path}/cp2", lambda df, n: rows.append(df.count()), progress=lambda n, s: told.append((n, s >= 0)))
     q.awaitTermination(60)
-    assert sum(rows) > 0
+    assert sum(rows) > 0 and told == [(k, True) for k in range(len(rows))]
 
 
 def test_first_sightings_keep_state(spark, tmp_path):
