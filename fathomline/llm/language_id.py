@@ -263,5 +263,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     own = own_prefix(docs.columns)
-    both = small_batches(docs).select(*rest, run(F.col(text)).alias(own))
+    # Called non-deterministic, so that a filter on its results does not have it run twice.
+    both = small_batches(docs).select(*rest, run.asNondeterministic()(F.col(text)).alias(own))
     return both.select(*rest, F.col(f"{own}.lang_pred").alias(names[0]), F.col(f"{own}.score").alias(names[1]))

@@ -339,6 +339,7 @@ def _tie_side(spec: JoinSpec, bits: int) -> Callable:
     """Sets to packed rows: ties found here, and for each bucket of hashes of parts (hash, least class)."""
 
     def run(batches):
+        tokens.forget()
         bounds = size_bounds(spec.percent)
         sigs, whos, waiting = [], [], 0
 
@@ -504,6 +505,7 @@ def _grouped(batches, keys: list[str]):
 
 def _search(spec: JoinSpec) -> Callable:
     def run(batches):
+        tokens.forget()
         for _, rows in _grouped(batches, ["root", "block"]):
             rows = list({r.cid: r for r in sorted(rows, key=lambda r: r.asks)}.values())
             sets = [np.frombuffer(r.sh, np.uint64) for r in rows]
@@ -542,6 +544,7 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     classes = classes.select("ka", "kb", F.col("least.doc_id").alias("rep"), F.col("least.th").alias("rep_th"), "size", "alive").withColumn("cid", _cid("ka", "kb"))
 
     def sets_of(batches):
+        tokens.forget()
         found: set[str] = set()  # classes of this task: rows that repeat both id and text meet here
         for pdf in batches:
             pdf = pdf[~pdf.duplicated(["cid", "text"]) & ~pdf["cid"].isin(found)]

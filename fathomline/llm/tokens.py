@@ -10,11 +10,16 @@ strings of added tokens get the ids that the file gives them, as in the library'
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import sys
 from array import array
 from collections.abc import Iterator
 
+import pyarrow as pa
+
 END_ID = 0
 _MARKS = frozenset(".,;:!?")
 #: Words that a worker remembers; on overflow it forgets all and starts again.
@@ -114,9 +119,13 @@ def encoder(path: str) -> WordEncoder:
 
 
 def forget() -> None:
-    """Drops the words that this worker remembers: workers outlive a stage, and the next operator needs the memory."""
+    """Drops the words that this worker remembers, and gives memory that is free back to the system: workers outlive a stage, and the next operator needs it."""
     for e in _loaded.values():
         e.known.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def encoded(path: str, texts: Iterator[str | None]) -> Iterator[bytes]:

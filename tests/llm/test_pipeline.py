@@ -45,6 +45,7 @@ def test_language_stage(spark, docs):
     lang = {(r["doc_id"], r["text"]): r["lang"] or p for r, p in zip(every, pred, strict=True)}
     assert all(r["lang"] == lang[r["doc_id"], r["text"]] is not None for r in out.collect())
     assert corpus_pipeline.language(spark, docs.limit(0), "").count() == 0
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def python_verdict(text):
