@@ -26,6 +26,7 @@ class MixSpec:
     """weights: of the sources in the order of their code points, null last, again and again.
     cap: how often a source may be repeated at most. block_words: the length of a block.
     shards: output shards. bucket_rows: rows for which positions are summed in one window at most (about).
+    min_buckets: windows of a source at least, so that one source is summed by as many tasks.
     group_sources: sources whose draws one task makes (or the root of their number, where that is more).
     sent_sources: the table of sources is sent to all tasks if it has no more rows than that, else it is joined.
     run_slots: slots that one row stands for before they are written out, at most."""
@@ -36,6 +37,7 @@ class MixSpec:
     shards: int = 256
     seed: int = 20240229
     bucket_rows: int = 20_000
+    min_buckets: int = 64
     group_sources: int = 4096
     sent_sources: int = 10_000
     run_slots: int = 50_000
@@ -135,7 +137,7 @@ def mix_plan(docs: DataFrame, spec: MixSpec, doc_id: str = "doc_id", text: str =
     sources = sources.withColumn("target", F.when(share > most, most).otherwise(share)).withColumn("blocks", F.ceil(F.col("size") / spec.block_words).cast("long"))
     sources = sources.withColumn("owed", F.when(F.col("size") > 0, F.col("target") / F.col("size") * F.col("blocks")).otherwise(0.0))
     n_sources, n_rows = sources.agg(F.count("*"), F.sum("n")).first()
-    buckets = max(16, -(-int(n_rows or 0) // spec.bucket_rows))
+    buckets = max(spec.min_buckets, -(-int(n_rows or 0) // spec.bucket_rows))
     ids = sources.select("sid", F.col("source").alias("__s"), F.col("size").alias("source_size"), "target")
     ids = F.broadcast(ids) if n_sources <= spec.sent_sources else ids
     placed = sized.join(ids, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "th", F.lit(spec.seed)), F.lit(buckets)).cast("int"))

@@ -23,6 +23,8 @@ from fathomline.llm.tokens import default_tokenizer, encoded
 MAX_TOKENS = 1024
 #: Rows that one window ranks at most (about).
 RANK_ROWS = 20_000
+#: Buckets of a length at least, so that pieces of one length are ranked by as many tasks.
+MIN_BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -133,7 +135,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = M
     # At most ``limit`` rows, whatever the input.
     hist = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = slot_table(shortest_pack_first(hist, limit))
-    buckets = max(16, -(-sum(hist.values()) // RANK_ROWS))
+    buckets = max(MIN_BUCKETS, -(-sum(hist.values()) // RANK_ROWS))
     # Ranks within a length: a count for each (length, bucket), summed up, and a window within each of them.
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
