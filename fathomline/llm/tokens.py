@@ -22,8 +22,8 @@ import pyarrow as pa
 
 END_ID = 0
 _MARKS = frozenset(".,;:!?")
-#: Words that a worker remembers; on overflow it forgets all and starts again.
-CACHE_WORDS = 1_500_000
+#: Words that a worker remembers (about 200 MB); on overflow it forgets all and starts again.
+CACHE_WORDS = 600_000
 
 _loaded: dict[str, WordEncoder] = {}
 
