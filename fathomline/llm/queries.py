@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import chat, knn, language_id, mixing, ngram_join, oracles, packing, quality_rules, token_files, url_filter
+from fathomline.llm import chat, collocations, conversation_repair, knn, language_id, mixing, ngram_join, oracles, packing, quality_rules, secrets, token_files, url_filter
 
 URL_RULES = [
     url_filter.UrlRule("block", "com", "en/"),
@@ -69,6 +69,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_digest(_read(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_knn": op1_knn,
     "op2_mixing": op2_mixing,
@@ -80,6 +92,18 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_collocations": op11_collocations,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 #: The others mix by pseudorandom draws, learn a model, or need a tokenizer: tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_knn": oracles.OP1, "op3_quality_rules": oracles.OP3, "op4_url_filter": oracles.op4(URL_RULES), "op7_chat": oracles.OP7, "op10_ngram_join": oracles.OP10}
+ORACLE_SQL: dict[str, str] = {
+    "op1_knn": oracles.OP1,
+    "op3_quality_rules": oracles.OP3,
+    "op4_url_filter": oracles.op4(URL_RULES),
+    "op7_chat": oracles.OP7,
+    "op10_ngram_join": oracles.OP10,
+    "op11_collocations": oracles.op11(),
+    "op12_secret_scan": oracles.op12(),
+    "op13_conversation_repair": oracles.OP13,
+}
