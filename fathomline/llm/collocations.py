@@ -27,8 +27,9 @@ PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 NO_LANG = "und"
 #: Bytes of text that are taken at a time; a single longer word is still taken whole.
 SLICE = 4 << 20
-#: Rows of a sketch, cells of a block, and the least and most cells of a row. A row of bits has an eighth of this many bytes.
-ROWS, BLOCK_BITS, LEAST_BITS, MOST_BITS = 2, 16, 20, 28
+#: Rows of a sketch, blocks of a row (whatever its cells, so that a slice gives as many pieces at every size), and the least and most cells of a row, all as
+#: binary logarithms but the first. A row of bits has an eighth of as many bytes as cells.
+ROWS, BLOCKS, LEAST_BITS, MOST_BITS = 2, 9, 20, 28
 #: Hash buckets in which a language's phrases are ranked before they are ranked together.
 RANK_BUCKETS = 16
 
@@ -162,12 +163,29 @@ def _slices(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[_Slice]:
 
 
 def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary values that lie one behind the other in ``data``; ``ends`` are counts of its items."""
-    offsets = np.concatenate(([0], ends)) * data.itemsize
-    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    """Binary values that lie one behind the other in the bytes ``data``."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-_PIECES = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
+_PIECES = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("counts", pa.binary())])
+
+
+def _piece_rows(row: int, cells: np.ndarray, counts: np.ndarray, bits: int, dtype: np.dtype) -> pa.RecordBatch:
+    """A row of a sketch's piece for each block: steps from one cell to the next, low and high bytes apart, and counts. ``cells`` ascend; longer steps are taken in several, with counts of 0."""
+    block = (cells >> np.uint64(bits)).astype(np.int64)
+    low = (cells & np.uint64((1 << bits) - 1)).astype(np.int64)
+    change = np.flatnonzero(block[1:] != block[:-1]) + 1
+    before = np.concatenate(([-1], low[:-1]))
+    before[change] = -1
+    step = low - before
+    more = (step - 1) // 0xFFFF
+    ends = np.cumsum(more + 1)
+    steps, numbers = np.full(ends[-1], 0xFFFF, np.uint16), np.zeros(ends[-1], dtype)
+    steps[ends - 1], numbers[ends - 1] = step - more * 0xFFFF, counts
+    last = np.concatenate((change, [len(block)]))
+    to = ends[last - 1]
+    return pa.record_batch([pa.array(np.full(len(last), row, np.int32)), pa.array(block[last - 1].astype(np.int32)), _binary((steps & 0xFF).astype(np.uint8), to), _binary((steps >> 8).astype(np.uint8), to), _binary(numbers, to * dtype.itemsize)], schema=_PIECES)
 
 
 def _sketch_pieces(part: _Slice, bits: list, width: int, dtype: np.dtype) -> Iterator[pa.RecordBatch]:
@@ -182,11 +200,8 @@ def _sketch_pieces(part: _Slice, bits: list, width: int, dtype: np.dtype) -> Ite
             order = np.argsort(cells, kind="stable")
             cells, of = cells[order], counts[order]
             first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-            cells, of = cells[first], np.minimum(np.add.reduceat(of, first), np.iinfo(dtype).max).astype(dtype)
-            block = (cells >> np.uint64(BLOCK_BITS)).astype(np.int32)
-            last = np.concatenate((np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
-            low = (cells & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint16)
-            yield pa.record_batch([pa.array(np.full(len(last), row, np.int32)), pa.array(block[last - 1]), _binary(low, last), _binary(of, last)], schema=_PIECES)
+            of = np.minimum(np.add.reduceat(of, first), np.iinfo(dtype).max).astype(dtype)
+            yield _piece_rows(row, cells[first], of, width - BLOCKS, dtype)
 
 
 def _sketch(texts: DataFrame, bits: list, shared, width: int, min_count: int, max_words: int) -> np.ndarray:
@@ -199,26 +214,27 @@ def _sketch(texts: DataFrame, bits: list, shared, width: int, min_count: int, ma
             yield from _sketch_pieces(part, known, width, dtype)
 
     def merged(batches):
-        now, total = None, np.zeros(1 << BLOCK_BITS, np.uint64)
+        now, total = None, np.zeros(1 << width - BLOCKS, np.uint64)
 
         def row():
             packed = np.packbits(total >= min_count, bitorder="little").tobytes()
             return pa.record_batch([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([packed], pa.binary())], names=["row", "block", "bits"])
 
         for batch in batches:
-            for key in zip(batch["row"].to_pylist(), batch["block"].to_pylist(), batch["cells"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                if now != key[:2]:
+            for r, block, low, high, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (r, block):
                     if now is not None:
                         yield row()
-                    now = key[:2]
+                    now = (r, block)
                     total[:] = 0
-                total[np.frombuffer(key[2], np.uint16)] += np.frombuffer(key[3], dtype)
+                steps = np.frombuffer(low, np.uint8) + (np.frombuffer(high, np.uint8).astype(np.int64) << 8)
+                total[np.cumsum(steps) - 1] += np.frombuffer(counts, dtype)
         if now is not None:
             yield row()
 
     out = np.zeros((ROWS, 1 << width - 3), np.uint8)
-    parts = texts.mapInArrow(pieces, "row int, block int, cells binary, counts binary").repartition("row", "block").sortWithinPartitions("row", "block")
-    size = 1 << BLOCK_BITS - 3
+    parts = texts.mapInArrow(pieces, "row int, block int, low binary, high binary, counts binary").repartition("row", "block").sortWithinPartitions("row", "block")
+    size = 1 << width - BLOCKS - 3
     for r in parts.mapInArrow(merged, "row int, block int, bits binary").collect():
         out[r["row"], r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -266,8 +282,8 @@ def _counted(part: _Slice, bits: list) -> Iterator[pa.RecordBatch]:
 
 
 def sketch_bits(size: int) -> int:
-    """The binary logarithm of the cells of a sketch's row for texts of ``size`` bytes: about eight bytes for a cell, within the bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, (max(1, size // 8) - 1).bit_length()))
+    """The binary logarithm of the cells of a sketch's row for texts of ``size`` bytes: about sixteen bytes for a cell, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(1, size // 16) - 1).bit_length()))
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 10, max_words: int = 3, width: int | None = None) -> DataFrame:
