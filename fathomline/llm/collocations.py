@@ -26,10 +26,12 @@ PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: The language of texts that state none.
 NO_LANG = "und"
 #: Bytes of text that are taken at a time; a single longer word is still taken whole.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Rows of a sketch, blocks of a row (whatever its cells, so that a slice gives as many pieces at every size), and the least and most cells of a row, all as
 #: binary logarithms but the first. A row of bits has an eighth of as many bytes as cells.
 ROWS, BLOCKS, LEAST_BITS, MOST_BITS = 2, 9, 20, 28
+#: Hashes that a task holds before it gives them away as a piece of the sketch.
+MOST_HELD = 2_000_000
 #: Hash buckets in which a language's phrases are ranked before they are ranked together.
 RANK_BUCKETS = 16
 
@@ -188,13 +190,24 @@ def _piece_rows(row: int, cells: np.ndarray, counts: np.ndarray, bits: int, dtyp
     return pa.record_batch([pa.array(np.full(len(last), row, np.int32)), pa.array(block[last - 1].astype(np.int32)), _binary((steps & 0xFF).astype(np.uint8), to), _binary((steps >> 8).astype(np.uint8), to), _binary(numbers, to * dtype.itemsize)], schema=_PIECES)
 
 
-def _sketch_pieces(part: _Slice, bits: list, width: int, dtype: np.dtype) -> Iterator[pa.RecordBatch]:
+def _entering(part: _Slice, bits: list) -> np.ndarray:
+    """The hashes of a slice's phrases that enter the sketch behind those of ``bits``."""
     for n, h, ok in part.alive(bits):
-        if n <= len(bits):
-            continue
-        found, counts = np.unique(h[part.new(ok, n)], return_counts=True)
-        if not len(found):
-            return
+        if n > len(bits):
+            return h[part.new(ok, n)]
+    return np.zeros(0, np.uint64)
+
+
+def _sketch_pieces(hashes: Iterator[np.ndarray], width: int, dtype: np.dtype) -> Iterator[pa.RecordBatch]:
+    """Pieces of a sketch: equal hashes of a task are added up before, as far as they are held."""
+    found, counts, fresh, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        every, at = np.unique(np.concatenate((found, *fresh)), return_inverse=True)
+        weights = np.concatenate((counts, np.ones(len(at) - len(found), np.int64)))
+        return every, np.bincount(at, weights, len(every)).astype(np.int64)
+
+    def given() -> Iterator[pa.RecordBatch]:
         for row in range(ROWS):
             cells = _cells(found, row, width)
             order = np.argsort(cells, kind="stable")
@@ -203,6 +216,19 @@ def _sketch_pieces(part: _Slice, bits: list, width: int, dtype: np.dtype) -> Ite
             of = np.minimum(np.add.reduceat(of, first), np.iinfo(dtype).max).astype(dtype)
             yield _piece_rows(row, cells[first], of, width - BLOCKS, dtype)
 
+    for h in hashes:
+        fresh.append(h)
+        n += len(h)
+        if len(found) + n >= MOST_HELD:
+            found, counts = merged()
+            fresh, n = [], 0
+            if 2 * len(found) >= MOST_HELD:
+                yield from given()
+                found, counts = found[:0], counts[:0]
+    found, counts = merged()
+    if len(found):
+        yield from given()
+
 
 def _sketch(texts: DataFrame, bits: list, shared, width: int, min_count: int, max_words: int) -> np.ndarray:
     """The cells of the sketch of the next length that reach ``min_count``: bits, an array of bytes for each row."""
@@ -210,8 +236,7 @@ def _sketch(texts: DataFrame, bits: list, shared, width: int, min_count: int, ma
 
     def pieces(batches):
         known = [b.value for b in shared]
-        for part in _slices(batches, max_words - 1):
-            yield from _sketch_pieces(part, known, width, dtype)
+        return _sketch_pieces((_entering(part, known) for part in _slices(batches, max_words - 1)), width, dtype)
 
     def merged(batches):
         now, total = None, np.zeros(1 << width - BLOCKS, np.uint64)
@@ -240,17 +265,17 @@ def _sketch(texts: DataFrame, bits: list, shared, width: int, min_count: int, ma
     return out
 
 
-_COUNTS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+_COUNTS = pa.schema([("key", pa.string()), ("f", pa.int64())])
 
 
 def _counted(part: _Slice, bits: list) -> Iterator[pa.RecordBatch]:
-    """The phrases of a slice that may be frequent, with their counts there; a row of no words has the number of all words."""
+    """The phrases of a slice that may be frequent, behind their language and a line feed, with their counts there; an empty phrase has the number of all words."""
 
-    def batch(n: int, phrases: pa.Array, f: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([part.lang] * len(f), pa.string()), pa.array(np.full(len(f), n, np.int32)), phrases, pa.array(f.astype(np.int64))], schema=_COUNTS)
+    def batch(phrases: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pc.binary_join_element_wise(pa.scalar(part.lang), phrases, "\n"), pa.array(f.astype(np.int64))], schema=_COUNTS)
 
     if len(part) > part.old:
-        yield batch(0, pa.array([""]), np.array([len(part) - part.old]))
+        yield batch(pa.array([""]), np.array([len(part) - part.old]))
     ids = groups = words = None
     for n, _, ok in part.alive(bits):
         if n > len(bits) or not ok.any():
@@ -278,7 +303,7 @@ def _counted(part: _Slice, bits: list) -> Iterator[pa.RecordBatch]:
         mine = at[first[count > 0]]
         if len(mine):
             phrases = pc.binary_join_element_wise(*[words.take(pa.array(ids[mine + i])) for i in range(n)], " ") if n > 1 else words.take(pa.array(ids[mine]))
-            yield batch(n, phrases, count[count > 0])
+            yield batch(phrases, count[count > 0])
 
 
 def sketch_bits(size: int) -> int:
@@ -310,8 +335,11 @@ def phrase_counts(docs: DataFrame, min_count: int = 10, max_words: int = 3, widt
         for part in _slices(batches, max_words - 1):
             yield from _counted(part, known)
 
-    f = texts.mapInArrow(counted, "lang string, words int, phrase string, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-    out = cut(f.where((F.col("f") >= min_count) | (F.col("words") == 0)))
+    f = texts.mapInArrow(counted, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\n", -1)
+    f = f.withColumn("phrase", phrase).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    out = cut(f.select(F.left("key", F.length("key") - F.length("phrase") - 1).alias("lang"), words.alias("words"), "phrase", "f"))
     for b in shared:
         b.destroy()
     return out

@@ -79,10 +79,11 @@ def test_slices_count_each_phrase_once(monkeypatch, size):
     f, n = Counter(), 0
     for part in collocations._slices(iter([batch]), 2):
         for got in collocations._counted(part, everything):
-            for k, phrase, c in zip(got["words"].to_pylist(), got["phrase"].to_pylist(), got["f"].to_pylist(), strict=True):
-                n += c if k == 0 else 0
-                if k:
-                    f[("en", tuple(phrase.split(" ")))] += c
+            for key, c in zip(got["key"].to_pylist(), got["f"].to_pylist(), strict=True):
+                lang, phrase = key.split("\n")
+                n += 0 if phrase else c
+                if phrase:
+                    f[(lang, tuple(phrase.split(" ")))] += c
     want, total = plain_counts([(t, "en") for t in texts])
     collocations._powers.clear()
     assert f == want and n == total["en"]
