@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import tokens
-from fathomline.llm.shared import connected_components, cut, mix64, shuffle_partitions, small_batches
+from fathomline.llm.shared import connected_components, cut, mix64, own_prefix, shuffle_partitions, small_batches
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -612,12 +612,19 @@ def _between_blocks(sets: DataFrame, links: DataFrame, search: Callable, spec: J
 
 
 def one_of_each(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, one with its smallest doc_id (null last); rows that repeat a doc_id are documents of their own."""
+    """``docs`` with one row of each component, one with its smallest doc_id (null last); all columns stay, whatever their names.
+
+    Rows that repeat a doc_id are documents of their own. Null and empty texts are linked with nothing and stay; long
+    texts count in whole; of equal texts the smallest doc_id stays, of rows with equal ids any one; an empty table gives
+    an empty one.
+    """
+    own = own_prefix(docs.columns)
     if not docs.groupBy(doc_id).count().where("count > 1").isEmpty():
-        rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-        of = jaccard_components(rows, spec, "__row", text).select(F.col("doc_id").alias("__row"), "component_id")
-        named = rows.select("__row", F.col(doc_id).cast("long").alias("__id")).join(of, "__row")
-        first = named.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first"))
-        return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = jaccard_components(docs, spec, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi")
+        row, known = f"{own}row", f"{own}id"
+        rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        of = jaccard_components(rows, spec, row, text).select(F.col("doc_id").alias(row), "component_id")
+        named = rows.select(row, F.col(doc_id).cast("long").alias(known)).join(of, row)
+        first = named.groupBy("component_id").agg(F.min(F.struct(F.col(known).isNull(), known, row)).alias("first"))
+        return rows.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = jaccard_components(docs, spec, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{own}kept")).distinct()
+    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col(f"{own}kept")), "left_semi")

@@ -104,7 +104,8 @@ def cut_lengths(n: int, limit: int = MAX_TOKENS) -> list[int]:
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = MAX_TOKENS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of each document: uid (of the row), doc_id, start, length, ids_crc32, doc_tokens.
 
-    A null text counts as an empty one; a document ends with id 0 and so has one id at least.
+    A null text counts as an empty one; a document ends with id 0 and so has one id at least. Rows that repeat a doc_id
+    are documents of their own; long texts are cut in whole; an empty table gives an empty one.
     """
     path = tokenizer or default_tokenizer()
     schema = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
@@ -137,7 +138,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = M
     slots = slot_table(shortest_pack_first(hist, limit))
     buckets = max(MIN_BUCKETS, -(-sum(hist.values()) // RANK_ROWS))
     # Ranks within a length: a count for each (length, bucket), summed up, and a window within each of them.
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("base"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")

@@ -25,6 +25,8 @@ from fathomline.llm.shared import small_batches
 
 #: Nodes of a worker's trie; on overflow it forgets all and begins again.
 MOST_NODES = 1_500_000
+#: Bytes from which a word makes no nodes: hardly another one shares them, and a single word could fill a worker's memory.
+LONG_WORD = 4096
 
 _loaded: dict[str, TrieCounter] = {}
 
@@ -47,6 +49,7 @@ class TrieCounter:
     def __init__(self, pieces: dict[bytes, float]):
         self.pieces = pieces
         self.tails = {p[i:] for p in pieces for i in range(len(p))}  # what a piece can end with
+        self.longest = max(map(len, pieces), default=1)
         self.forget()
 
     def forget(self) -> None:
@@ -85,16 +88,37 @@ class TrieCounter:
                 path.append(node)
             known[word] = count[node]
 
+    def alone(self, word: bytes) -> int:
+        """The count of a word by the same recurrence, without nodes: only the scores that a piece can still reach are held, whatever the word's length."""
+        pieces, tails, width = self.pieces, self.tails, self.longest + 1
+        score, count = [0.0] * width, [0] * width
+        for end in range(1, len(word) + 1):
+            best, n = score[(end - 1) % width] - 1e3, count[(end - 1) % width] + 1
+            for start in range(end - 1, max(-1, end - width), -1):
+                piece = word[start:end]
+                if piece not in tails:
+                    break
+                s = pieces.get(piece)
+                if s is not None:
+                    s += score[start % width]
+                    m = count[start % width] + 1
+                    if s > best or (s == best and m < n):
+                        best, n = s, m
+            score[end % width], count[end % width] = best, n
+        return count[len(word) % width]
+
     def totals(self, texts: list[bytes]) -> list[tuple[int, int]]:
         """(words, tokens) of each text; a word is counted with a space before it."""
         cut = [[b" " + w for w in t.split()] for t in texts]  # bytes.split: at the six ASCII separators alone
-        new = {w for c in cut for w in c}
+        long = {w: self.alone(w) for w in {w for c in cut for w in c if len(w) >= LONG_WORD}}
+        new = {w for c in cut for w in c if len(w) < LONG_WORD}
         missing = new - self.known.keys()
         if self.nodes + sum(map(len, missing)) > MOST_NODES and self.nodes > 1:
             self.forget()
             missing = new
         self.learn(list(missing))
-        return [(len(c), sum(map(self.known.__getitem__, c))) for c in cut]
+        known = self.known
+        return [(len(c), sum(long[w] if len(w) >= LONG_WORD else known[w] for w in c)) for c in cut]
 
 
 def _counter(path: str) -> TrieCounter:
@@ -117,7 +141,7 @@ def _stretches(texts: Iterator[str | None], most: int = 1_000_000):
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens of each row of ``docs``, without a shuffle.
 
-    Null and empty texts have 0 of either; texts count in whole, a megabyte of them at a time. Of segmentations with
+    Null and empty texts have 0 of either; texts count in whole, a megabyte of them at a time, and words of any length, the long ones without nodes. Of segmentations with
     equal scores the one with fewer pieces counts. Repeated rows are counted one by one, a null doc_id stays null; an
     empty table gives an empty one; further columns are ignored.
     """

@@ -476,3 +476,30 @@ def test_trie_shares_prefixes_and_forgets(monkeypatch):
     texts = [b"a ab", b"b abab", b"abba " * 3, b"", b"abababababababab"]
     want = [(len(t.split()), sum(brute_tokens(b" " + w, small) for w in t.split())) for t in texts]
     assert [x for t in texts for x in counter.totals([t])] == want and counter.nodes < 30
+
+
+def test_long_words_count_as_short_ones_do(monkeypatch):
+    import random
+
+    from fathomline.llm import token_counts
+
+    r = random.Random(3)
+    pieces = {bytes(p): -float(i % 7) - 1 for i, p in enumerate({tuple(r.choice(b"abc ") for _ in range(r.randrange(1, 6))) for _ in range(60)})}
+    words = [b" " + bytes(r.choice(b"abcx") for _ in range(r.randrange(1, 200))) for _ in range(200)]
+    counter = token_counts.TrieCounter(pieces)
+    counter.learn(words)
+    assert [counter.alone(w) for w in words] == [counter.known[w] for w in words]
+    texts = [b"".join(words[i : i + 5]) for i in range(0, 200, 5)] + [b"", b"ab " * 10]
+    want = token_counts.TrieCounter(pieces).totals(texts)
+    monkeypatch.setattr(token_counts, "LONG_WORD", 50)
+    again = token_counts.TrieCounter(pieces)
+    assert again.totals(texts) == want and again.nodes < counter.nodes
+
+
+def test_a_very_long_word_makes_no_nodes(spark):
+    from fathomline.llm import token_counts
+
+    vocabulary = token_counts.load_pieces(token_counts.default_vocabulary())
+    counter = token_counts.TrieCounter(vocabulary)
+    ((words, tokens),) = counter.totals([b"the" * 400_000])
+    assert words == 1 and counter.nodes == 1 and tokens >= 400_000 // 8

@@ -275,3 +275,45 @@ def test_bounds_hold_and_prune_clustered_groups():
 def test_packed_classes():
     who = np.array([0, 1, (1 << 40) - 1, 1 << 33], np.int64)
     assert (ngram_join._unpacked(ngram_join._packed(who)) == who).all()
+
+
+@pytest.mark.parametrize(
+    ("html", "links"),
+    [
+        ('<link rel="canonical" href="/p?a=1&amp;b=2&#38;c=&#x33;&lt;&bogus;&#0;">', ["http://h.org/p?a=1&b=2&c=3<&bogus;&#0;"]),
+        ('<link title="a > b" rel="canonical" href="/q">', ["http://h.org/q"]),
+        ("<link title='rel=canonical' href=/no>", []),
+        ('<!-- <link rel="canonical" href="/no"> --><link rel="canonical" href="/yes">', ["http://h.org/yes"]),
+        ('<!-- open <link rel="canonical" href="/no">', []),
+        ('<script>var x = "<!--"; y = \'<link rel="canonical" href="/no">\';</script><link rel=canonical href=/yes>', ["http://h.org/yes"]),
+        ('<meta content="0; url=\'/turn?x=1&amp;y=2\'" http-equiv=refresh>', ["http://h.org/turn?x=1&y=2"]),
+        ('<link rel="canonical">', []),
+        ('<link rel="canonical" href>', []),
+        ('<link rel="alternate Canonical" href=" /spaced ">', ["http://h.org/spaced"]),
+        ('<link data-rel="canonical" href="/no"><link rel="canonical" data-href="/no" href="/yes" href="/second">', ["http://h.org/yes"]),
+        ('<base href="http://o.org/x/"><base href="/second/"><link rel="canonical" href="y">', ["http://o.org/x/y"]),
+        ('<link rel="canonical" href="&#128512;">', ["http://h.org/\U0001f600"]),
+        ("<link " + "a='b' " * 3000 + "rel=canonical href=/long>", ["http://h.org/long"]),
+        ("<link rel=canonical href='/never ends" + " x" * 3000, []),
+    ],
+)
+def test_links_of_every_form(spark, html, links):
+    df = spark.createDataFrame([("http://h.org/1", html, "t", 1)], "url string, html string, tag string, row int")
+    assert [x["b"] for x in url_filter.alias_links(df).collect()] == links
+
+
+def test_scheme_and_host_are_the_same_in_any_case(spark):
+    rows = [(1, "http://ok.com/z", ""), (2, "http://bad.org/es/1", '<link rel="canonical" href="HTTP://OK.com/z">'), (3, "http://OK.com/Z", "")]
+    got = {x["page_id"]: x["verdict"] for x in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), [url_filter.UrlRule("block", "org", "es/")]).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+
+
+@pytest.mark.parametrize("ids", [(1, 2, 3, 4), (1, 1, 2, None)])
+def test_near_duplicates_keep_columns_of_any_name(spark, ids):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(d, t, i, f"x{i}", 2.5) for i, (d, t) in enumerate(zip(ids, (text, text, text + " more", None), strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row long, __kept string, component_id double")
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns
+    kept = [tuple(x) for x in got.collect()]
+    assert all(x in rows for x in kept) and sorted(x[2] for x in kept)[-1] == 3 and len(kept) == 2
