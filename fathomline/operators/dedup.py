@@ -51,26 +51,69 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float) -> Dat
     return _pairs_of_sets(one_each.select("id", "set"), threshold).unionByName(copies)
 
 
-def _pairs_of_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """Prefix filter: a pair must share one of the rarest tokens of either side, so that the join is an equality on
-    tokens and only candidates are compared; the places of the first shared token bound what can be shared after it.
-    Tokens are hashed up to there: two of one hash can only add candidates.
+def _prefixes(sets: DataFrame, low: float) -> DataFrame:
+    """token, id, n, r: of each set the rarest tokens, of which a similar set must share one, with their places in the order of rarity.
+
+    Tokens are hashed: two of one hash can only add candidates.
     """
-    low = threshold - 1e-6  # Jaccards are rounded to six places
     one = sets.select("id", F.size("set").alias("n"), F.explode(F.transform("set", lambda t: F.xxhash64(t))).alias("token"))
     rare = one.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "token")
-    prefix = one.join(rare, "token").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(low) * F.col("n")) + 1).select("token", "id", "n", "r")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.n") >= F.lit(low) * F.col("b.n")) & (F.col("b.n") >= F.lit(low) * F.col("a.n"))
-    enough = F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) + 1 >= F.lit(low / (1 + low)) * (F.col("a.n") + F.col("b.n"))
-    cand = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & near & enough).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    # A token of one set alone ties nothing, but takes a place.
+    return one.join(rare, "token").withColumn("r", F.row_number().over(order)).where((F.col("r") <= F.col("n") - F.ceil(F.lit(low) * F.col("n")) + 1) & (F.col("df") > 1)).select("token", "id", "n", "r")
+
+
+def _may_agree(a: str, b: str, low: float) -> Column:
+    """Sizes are near enough, and behind the places of a shared token enough can be shared."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    enough = F.least(n - F.col(f"{a}.r"), m - F.col(f"{b}.r")) + 1 >= F.lit(low / (1 + low)) * (n + m)
+    return (n >= F.lit(low) * m) & (m >= F.lit(low) * n) & enough
+
+
+def _verified(cand: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left = sets.select(F.col("id").alias("id_a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("id_b"), F.col("set").alias("sb"))
     out = cand.join(left, "id_a").join(right, "id_b").withColumn("jaccard", F.round(jaccard(F.col("sa"), F.col("sb")), 6))
     return out.where(F.col("jaccard") >= threshold).select("id_a", "id_b", "jaccard")
 
 
+def _pairs_of_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """Prefix filter: a pair must share one of the rarest tokens of either side, so that the join is an equality on
+    tokens and only candidates are compared; the places of the first shared token bound what can be shared after it.
+    """
+    low = threshold - 1e-6  # Jaccards are rounded to six places
+    prefix = _prefixes(sets, low)
+    a, b = prefix.alias("a"), prefix.alias("b")
+    cand = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & _may_agree("a", "b", low)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    return _verified(cand, sets, threshold)
+
+
+def _ties_of_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """Ties a, b between similar sets, enough of them to have the components of all similar pairs, without all pairs.
+
+    First every set is compared with the first set of each of its rare tokens: a group of n near copies gives n - 1
+    ties for each. What these ties connect needs no further comparison. Of a token's sets those outside of its largest
+    component are then compared with all sets of the token that are in another component, so that a group is
+    never compared with itself again.
+    """
+    low = threshold - 1e-6
+    prefix = kept(_prefixes(sets, low))
+    head = prefix.groupBy("token").agg(F.min(F.struct("id", "n", "r")).alias("h")).select("token", F.col("h.id").alias("id"), F.col("h.n").alias("n"), F.col("h.r").alias("r"))
+    met = prefix.alias("a").join(head.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.id") > F.col("b.id")) & _may_agree("a", "b", low))
+    stars = kept(_verified(met.select(F.col("b.id").alias("id_a"), F.col("a.id").alias("id_b")).distinct(), sets, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    parts = connected_components(stars)
+    named = kept(prefix.join(parts, F.col("id") == F.col("node"), "left").select("token", "id", "n", "r", F.coalesce("root", "id").alias("part")))
+    sizes = named.groupBy("token", "part").agg(F.count("*").alias("size"))
+    top = sizes.groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    outside = named.join(top.select("token", "top"), "token").where("part <> top")
+    inside = named.join(top.select(F.col("token").alias("__t"), "top"), F.col("token") == F.col("__t")).select("token", "id", "n", "r", "part", "top")
+    # Two sets that are both outside meet once, a set outside meets every one of the largest component.
+    once = (F.col("b.part") == F.col("b.top")) | (F.col("a.id") < F.col("b.id"))
+    across = outside.alias("a").join(inside.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.part") != F.col("b.part")) & once & _may_agree("a", "b", low))
+    cand = across.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b")).distinct()
+    return stars.union(_verified(cand, sets, threshold).select("id_a", "id_b"))
+
+
 def _greedy(similar, n: int) -> list[int]:
     """For each item, in order, the first earlier representative that it is similar to, else itself."""
     heads: list[int] = []
@@ -96,10 +139,12 @@ def greedy_jaccard(df: DataFrame, group: list[str], key: str, text: str, confide
     mark = F.to_json(F.struct(*[F.col(c) for c in group]))
     sets = df.select(node.alias("id"), F.transform(tokens(F.col(text)), lambda x: F.xxhash64(mark, x)).alias("set")).where("size(set) > 0")
     sets = sets.withColumn("class", F.sha2(F.array_join(F.transform(F.array_sort("set"), lambda x: x.cast("string")), " "), 256))
-    first = kept(sets.groupBy("class").agg(F.min("id").alias("id"), F.min("set").alias("set")))
-    edges = _pairs_of_sets(first.select("id", "set"), threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    copies = sets.select("class", F.col("id").alias("b")).join(first.select("class", F.col("id").alias("a")), "class").where("a <> b").select("a", "b")
-    parts = connected_components(edges.unionByName(copies)).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    # Classes of equal sets are numbered, once for all branches.
+    first = kept(sets.groupBy("class").agg(F.min("id").alias("first"), F.min("set").alias("set")).withColumn("id", F.monotonically_increasing_id()))
+    of_class = connected_components(_ties_of_sets(first.select("id", "set"), threshold))
+    classes = first.select("class", "id").join(of_class, F.col("id") == F.col("node"), "left").select("class", F.coalesce("root", "id").alias("root"))
+    many = sets.select("id", "class").join(classes, "class").groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    parts = sets.select(F.col("id").alias("__node"), "class").join(classes.join(many, "root", "left_semi"), "class").select("__node", F.col("root").alias("__root"))
     tied = df.select(*group, key, text, confidence, node.alias("__node")).join(parts, "__node").drop("__node")
     alone = df.withColumn("__node", node).join(parts, "__node", "left_anti").select(*group, key, F.col(key).alias("cluster"))
 
@@ -130,29 +175,111 @@ def greedy_jaccard(df: DataFrame, group: list[str], key: str, text: str, confide
     return tied.groupBy(*group, "__root").applyInPandas(run, schema).unionByName(alone)
 
 
+#: Pivots of a group, and rows of either side that one task compares.
+MOST_PIVOTS, BLOCK_ROWS = 32, 2048
+
+
+def _cosine_ties(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Ties a, b between ids of vectors (grp, id, v: of length 1) whose cosine in their group is ``threshold`` or more: enough for the components of all such pairs.
+
+    The angle is a distance on the sphere, so the triangle inequality holds for it: a vector of the cell of pivot p
+    cannot be within the angle of any in the cell of q if its angle to q exceeds that to p by more than twice as much.
+    Every vector goes to its nearest pivot's cell and to the cells (of smaller number) where that does not rule it
+    out; the rows of a cell are dealt into blocks, and every two blocks are one task. A block's ties are a forest, not all pairs.
+    """
+    angle = float(np.arccos(min(1.0, threshold))) + 1e-6
+    hashed = vectors.withColumn("h", F.xxhash64("id", F.lit(7)))
+    first = Window.partitionBy("grp").orderBy("h", "id")
+    pivots = hashed.withColumn("pivot", F.row_number().over(first) - 1).where(F.col("pivot") < MOST_PIVOTS).select("grp", "pivot", "v")
+    chunks = vectors.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("chunks"))
+    dealt = vectors.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("grp", "chunk", "id", "v")
+    sent = pivots.join(chunks, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("grp", "chunk", "pivot", "v").toDF("of", "part", "pivot", "at")
+
+    def place(rows: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"grp": [], "cell": [], "home": [], "id": [], "v": []})
+        by = by.sort_values("pivot")
+        far = np.arccos(np.clip(np.stack(rows["v"].to_numpy()) @ np.stack(by["at"].to_numpy()).T, -1.0, 1.0))
+        near = far.argmin(axis=1)
+        visits = far - far[np.arange(len(far)), near][:, None] <= 2 * angle
+        visits &= np.arange(far.shape[1])[None, :] <= near[:, None]
+        visits[np.arange(len(far)), near] = True
+        at, cell = np.nonzero(visits)
+        out = rows.iloc[at][["grp", "id", "v"]].copy()
+        out["cell"], out["home"] = cell.astype(np.int32), near[at] == cell
+        return out[["grp", "cell", "home", "id", "v"]]
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    placed = kept(dealt.groupBy("grp", "chunk").cogroup(sent.groupBy("of", "part")).applyInPandas(place, f"grp string, cell int, home boolean, id {kind}, v array<double>"))
+    blocks = placed.groupBy("grp", "cell").agg(F.ceil(F.count_if("home") / BLOCK_ROWS).cast("int").alias("homes"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("all"))
+    rows = placed.join(blocks, ["grp", "cell"])
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = rows.where("home").withColumn("i", block("homes", 1)).withColumn("j", every("all")).withColumn("asks", F.lit(False))
+    asking = rows.where("homes > 0").withColumn("j", block("all", 2)).withColumn("i", every("homes")).withColumn("asks", F.lit(True))
+    cols = ["grp", "cell", "i", "j", "asks", "id", "v"]
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask, home = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(ask) or not len(home):
+            return pd.DataFrame({"a": [], "b": []})
+        names, ids = np.unique(np.concatenate((ask["id"].to_numpy(), home["id"].to_numpy())), return_inverse=True)
+        left, right = ids[: len(ask)], ids[len(ask) :]
+        near = np.stack(ask["v"].to_numpy()) @ np.stack(home["v"].to_numpy()).T >= threshold - 1e-9
+        up = np.arange(len(names))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for i, row in zip(left, near, strict=True):
+            # Those that share a root with the one before need no second look.
+            for j in np.unique(up[right[np.flatnonzero(row)]]):
+                a, b = root(int(i)), root(int(j))
+                up[max(a, b)] = min(a, b)
+        top = np.array([root(x) for x in range(len(names))])
+        tied = np.flatnonzero(top != np.arange(len(names)))
+        return pd.DataFrame({"a": names[top[tied]], "b": names[tied]})
+
+    return own.select(*cols).unionByName(asking.select(*cols)).groupBy("grp", "cell", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}")
+
+
 def greedy_cosine(df: DataFrame, group: list[str], key: str, vector: str, confidence: str, threshold: float = 0.85) -> DataFrame:
-    """As greedy_jaccard, by cosine of vectors; one matrix product for each item against the representatives so far.
+    """As greedy_jaccard, by cosine of vectors, with a ``threshold`` over 0.
 
-    Nothing tells apart in advance which dense vectors cannot be similar, so a group is one task's work: for groups of
-    bounded size, such as the references of a document.
+    What a vector joins depends on similar vectors alone, so the order matters within a component of a group's graph
+    of similar vectors: components come first (see :func:`_cosine_ties`), and each is one task's work; no task holds
+    a whole group unless all of it is similar. Vectors of different lengths are not similar, nor are null, empty and zero vectors to any: they are
+    clusters of their own. Of equal confidences the smaller key goes first; equal vectors join like others; a row that
+    repeats a key is judged as one vector of that key; an empty table gives an empty one.
     """
+    if threshold <= 0:
+        raise ValueError("the threshold of cosines is over 0")
     schema = T.StructType([*[df.schema[g] for g in group], df.schema[key], T.StructField("cluster", df.schema[key].dataType)])
+    norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda s, x: s + x * x))
+    rows = df.select(*group, key, confidence, F.col(vector).cast("array<double>").alias("__v")).withColumn("__n", norm)
+    rows = kept(rows.withColumn("__id", F.monotonically_increasing_id()))
+    unit = rows.where("__n > 0").select(F.to_json(F.struct(*group, F.size("__v").alias("__size"))).alias("grp"), F.col("__id").alias("id"), F.transform("__v", lambda x: x / F.col("__n")).alias("v"))
+    parts = connected_components(_cosine_ties(unit, threshold)).select(F.col("node").alias("__id"), F.col("root").alias("__root"))
+    tied = rows.join(parts, "__id")
+    alone = rows.join(parts, "__id", "left_anti").select(*group, key, F.col(key).alias("cluster"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([confidence, key], ascending=[False, True], kind="stable").reset_index(drop=True)
-        m = np.stack(pdf[vector].to_numpy()).astype(float)
+        m = np.stack(pdf["__v"].to_numpy()).astype(float)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
         def similar(i, heads):
-            s = m[heads] @ m[i]
-            hit = np.flatnonzero(s >= threshold)
+            hit = np.flatnonzero(m[heads] @ m[i] >= threshold)
             return heads[hit[0]] if len(hit) else None
 
         res = pdf[[*group, key]].copy()
         res["cluster"] = pdf[key].to_numpy()[_greedy(similar, len(pdf))]
         return res
 
-    return df.groupBy(*group).applyInPandas(run, schema)
+    return tied.groupBy("__root").applyInPandas(run, schema).unionByName(alone)
 
 
 def summarised(df: DataFrame, keys: list[str], order: str) -> DataFrame:

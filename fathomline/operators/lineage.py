@@ -39,3 +39,42 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its lineage cut: branches read it instead of computing it again."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, on any file system that Spark reaches; none where there is no such folder."""
+    where, fs = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    where, fs = _file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_new_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file under another name and renames it; False, and nothing is changed, if ``path`` is there already."""
+    where, fs = _file_system(spark, path)
+    if fs.exists(where):
+        return False
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs.mkdirs(where.getParent())
+    stream = fs.create(beside, False)
+    try:
+        stream.write(text.encode("utf-8"))
+    finally:
+        stream.close()
+    done = not fs.exists(where) and fs.rename(beside, where)
+    if not done:
+        fs.delete(beside, False)
+    return done

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.functions.names import own_name
+from fathomline.operators import automaton
+
 
 @dataclass(frozen=True)
 class Product:
@@ -27,31 +30,51 @@ def dictionary(spark: SparkSession, products: list[Product]) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, product string, vendor string, category string, release_year int, aliases array<string>")
 
 
-def extracted(text: Column, year: Column, products: list[Product], vendors: list[tuple[str, str]], internal: str | None = None) -> Column:
-    """(product, vendor, granularity): an own solution, else the first product in order that was released and has its context, else the first vendor."""
-    none = F.lit(None).cast("string")
-    out = F.struct(none.alias("product"), none.alias("vendor"), F.lit("CATEGORY_ONLY").alias("granularity"))
-    for name, pattern in reversed(vendors):
-        out = F.when(text.rlike(f"(?i){pattern}"), F.struct(none.alias("product"), F.lit(name).alias("vendor"), F.lit("VENDOR_ONLY").alias("granularity"))).otherwise(out)
-    for p in reversed(products):
-        hit = text.rlike(p.pattern())
-        if p.release_year is not None:
-            hit = hit & (year.isNull() | (year >= p.release_year))
-        if p.needs_context:
-            hit = hit & text.rlike(f"(?i){p.needs_context}")
-        out = F.when(hit, F.struct(F.lit(p.name).alias("product"), F.lit(p.vendor).alias("vendor"), F.lit("SPECIFIC").alias("granularity"))).otherwise(out)
-    if internal:
-        name = F.trim(F.regexp_extract(text, r"(?i)(?:called|named|dubbed)\s+[\"']?([A-Za-z][A-Za-z0-9\s]{2,20})[\"']?", 1))
-        own = F.struct(F.nullif(name, F.lit("")).alias("product"), F.lit("Internal").alias("vendor"), F.lit("INTERNAL").alias("granularity"))
-        out = F.when(text.rlike(f"(?i){internal}"), own).otherwise(out)
-    return out
+def _listed(products: list[Product], vendors: list[tuple[str, str]]) -> tuple[list[str], Column]:
+    """The patterns of products, then of vendors, and a constant array of what a match of each gives, in the same order."""
+    entries = [{"p": p.pattern(), "n": p.name, "v": p.vendor, "g": "SPECIFIC", "y": p.release_year, "c": f"(?i){p.needs_context}" if p.needs_context else None} for p in products]
+    entries += [{"p": f"(?i){pattern}", "n": None, "v": name, "g": "VENDOR_ONLY", "y": None, "c": None} for name, pattern in vendors]
+    return [e["p"] for e in entries], automaton.constant(entries, "p:string,n:string,v:string,g:string,y:int,c:string")
+
 
+def with_products(df: DataFrame, text: str, year: str, products: list[Product], vendors: list[tuple[str, str]], internal: str | None = None, out: str = "found", most_bytes: int = automaton.MOST_BYTES) -> DataFrame:
+    """``df`` with ``out``, a struct (product, vendor, granularity): an own solution, else the first product in order that was released and has its context, else the first vendor.
 
-def exclusions(df: DataFrame, text: str, year: str, products: list[Product]) -> DataFrame:
-    """Mentions of products before their release: product, vendor, release_year, year."""
-    hits = [F.when(F.col(text).rlike(p.pattern()) & (F.col(year) < p.release_year), F.struct(F.lit(p.name).alias("product"), F.lit(p.vendor).alias("vendor"), F.lit(p.release_year).alias("release_year"))) for p in products if p.release_year]
-    out = df.withColumn("__x", F.explode(F.array_compact(F.array(*hits))))
-    return out.select(F.col(year).alias("report_year"), "__x.product", "__x.vendor", "__x.release_year")
+    One automaton of all terms finds what a text may name; patterns are tried on these candidates alone, in the order of
+    the dictionary, so that a plan is as large for ten thousand products as for ten. Of entries that match, the first
+    counts, equal ones too; a null text names nothing; a null year is later than every release; repeated rows are
+    judged one by one; an empty table or dictionary gives no finds; a column ``out`` is replaced, all others stay.
+    """
+    rows = df.drop(out)
+    patterns, listed = _listed(products, vendors)
+    own = own_name([*rows.columns, out], "p")
+    found = automaton.with_candidates(rows, text, patterns, own, most_bytes)
+    said, of = F.col(text), F.col(year)
+
+    def named(i: Column) -> Column:
+        e = F.get(listed, i)
+        return F.rlike(said, e["p"]) & (e["y"].isNull() | of.isNull() | (of >= e["y"])) & (e["c"].isNull() | F.rlike(said, e["c"]))
+
+    first = F.get(listed, F.get(F.filter(own, named), F.lit(0)))
+    none = F.lit(None).cast("string")
+    result = F.struct(first["n"].alias("product"), first["v"].alias("vendor"), F.coalesce(first["g"], F.lit("CATEGORY_ONLY")).alias("granularity"))
+    if internal:
+        name = F.trim(F.regexp_extract(said, r"(?i)(?:called|named|dubbed)\s+[\"']?([A-Za-z][A-Za-z0-9\s]{2,20})[\"']?", 1))
+        solution = F.struct(F.nullif(name, F.lit("")).alias("product"), F.lit("Internal").alias("vendor"), F.lit("INTERNAL").alias("granularity"))
+        result = F.when(said.rlike(f"(?i){internal}"), solution).otherwise(result)
+    nothing = F.struct(none.alias("product"), none.alias("vendor"), F.lit("CATEGORY_ONLY").alias("granularity"))
+    return found.withColumn(out, F.when(said.isNotNull(), result).otherwise(nothing)).drop(own)
+
+
+def exclusions(df: DataFrame, text: str, year: str, products: list[Product], most_bytes: int = automaton.MOST_BYTES) -> DataFrame:
+    """Mentions of products before their release: report_year, vendor, product, release_year. Candidates are found as in :func:`with_products`."""
+    dated = [p for p in products if p.release_year]
+    patterns, listed = _listed(dated, [])
+    own = own_name(df.columns, "p")
+    found = automaton.with_candidates(df, text, patterns, own, most_bytes)
+    early = F.filter(own, lambda i: (F.get(listed, i)["y"] > F.col(year)) & F.rlike(F.col(text), F.get(listed, i)["p"]))
+    one = found.select(F.col(year).alias("report_year"), F.explode(F.transform(early, lambda i: F.get(listed, i))).alias("e"))
+    return one.select("report_year", F.col("e.n").alias("product"), F.col("e.v").alias("vendor"), F.col("e.y").alias("release_year"))
 
 
 def exclusion_report(ex: DataFrame) -> DataFrame:

@@ -317,7 +317,7 @@ def mem_enriched(spark, sf):
     k = F.col("ref_id")
     r = st.references(spark, sf).withColumn("said", F.col("product")).withColumn("vendor", F.when((k % 4 == 0) & (k % 8 != 0), F.col("vendor")).otherwise(""))
     r = r.withColumn("product", F.when(k % 4 == 0, "").otherwise(F.col("product")))
-    e = memory.enriched(r, products.extracted(F.col("said"), F.col("year"), PRODUCTS, VENDORS))
+    e = memory.enriched(products.with_products(r, "said", "year", PRODUCTS, VENDORS, out="found"), F.col("found")).drop("found")
     return e.groupBy((k % 3 == 0).alias("seen"), "granularity").agg(F.count("*").alias("n"), F.count_distinct("product").alias("products"), F.count_distinct("vendor").alias("vendors"))
 
 

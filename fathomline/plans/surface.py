@@ -284,7 +284,7 @@ VENDORS = [("Widget Works", r"widget"), ("Gearbox", r"gear")]
 SELECT split_part(k, '|', 1) AS vendor, split_part(k, '|', 2) AS granularity, split_part(k, '|', 3) AS product, count(*) AS n FROM x GROUP BY ALL"""
 )
 def prod_extract(spark, sf):
-    r = references(spark, sf).withColumn("x", products.extracted(F.col("product"), F.col("year"), PRODUCTS, VENDORS, "green"))
+    r = products.with_products(references(spark, sf), "product", "year", PRODUCTS, VENDORS, "green", "x")
     e = F.lit("")
     return r.groupBy(F.coalesce("x.vendor", e).alias("vendor"), F.col("x.granularity").alias("granularity"), F.coalesce("x.product", e).alias("product")).agg(F.count("*").alias("n"))
 
@@ -387,6 +387,6 @@ def stats_counters(spark, sf):
 SELECT unit, count(*) AS n, CASE unit WHEN 'Ring' THEN 'Ringco' WHEN 'Blue Ring' THEN 'Acme' WHEN 'Bolt' THEN 'Acme' END AS known_vendor FROM u WHERE unit IS NOT NULL GROUP BY unit"""
 )
 def prod_units(spark, sf):
-    r = references(spark, sf).withColumn("x", products.extracted(F.col("product"), F.col("year"), PRODUCTS, VENDORS, "green"))
+    r = products.with_products(references(spark, sf), "product", "year", PRODUCTS, VENDORS, "green", "x")
     u = r.select(products.tracked_unit(F.col("x"), {"Gearbox": "Gear One"}).alias("unit")).where("unit is not null").groupBy("unit").agg(F.count("*").alias("n"))
     return products.with_facts(u, products.dictionary(spark, PRODUCTS), "unit").select("unit", "n", "known_vendor")

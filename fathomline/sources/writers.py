@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from fathomline.functions import text as tx
+from fathomline.operators.lineage import kept
 
 
 def reference_sheet(df: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -55,7 +56,8 @@ def write_json_document(df: DataFrame, path: str, meta: dict | None = None, name
     """
     rows = without_nan(df)
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
-    one = rows.select(text.alias("value"), F.monotonically_increasing_id().alias("__n"))
+    # Computed once: numbers of rows are not the same in a second run where partitions differ.
+    one = kept(rows.select(text.alias("value"), F.monotonically_increasing_id().alias("__n")))
     first = one.agg(F.min("__n")).first()[0]
     head = json.dumps({"meta": meta or {}}, ensure_ascii=False, default=str)[:-1] + f', "{name}": ['
     spark = df.sparkSession

@@ -214,7 +214,7 @@ def test_greedy_clusters_equal_a_plain_loop(spark):
 def test_products(spark):
     known = [products.Product("Copilot", "Microsoft", "B4", (r"copilot",), 2023), products.Product("Gemini", "Google", "B4", (r"gemini",), None, r"\b(ai|model)\b")]
     df = spark.createDataFrame([("We deployed Copilot", 2024), ("We deployed Copilot", 2020), ("Gemini clinical trial", 2024), ("Gemini AI", 2024), ("Partnered with Anthropic", 2024), ("proprietary ML platform called DataBrain", 2024)], "t string, y int")
-    got = [tuple(r["x"]) for r in df.select(products.extracted(F.col("t"), F.col("y"), known, [("Anthropic", "anthropic")], "proprietary ml").alias("x")).collect()]
+    got = [tuple(r["x"]) for r in products.with_products(df, "t", "y", known, [("Anthropic", "anthropic")], "proprietary ml", "x").collect()]
     assert got == [("Copilot", "Microsoft", "SPECIFIC"), (None, None, "CATEGORY_ONLY"), (None, None, "CATEGORY_ONLY"), ("Gemini", "Google", "SPECIFIC"), (None, "Anthropic", "VENDOR_ONLY"), ("DataBrain", "Internal", "INTERNAL")]
 
 
