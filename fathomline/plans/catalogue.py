@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.plans import details, metrics, surface, texts
+from fathomline.plans import details, mechanisms, metrics, surface, texts
 
-QUERIES = texts.QUERIES | metrics.QUERIES | surface.QUERIES | details.QUERIES
-ORACLE_SQL = texts.ORACLE_SQL | metrics.ORACLE_SQL | surface.ORACLE_SQL | details.ORACLE_SQL
+QUERIES = texts.QUERIES | metrics.QUERIES | surface.QUERIES | details.QUERIES | mechanisms.QUERIES
+ORACLE_SQL = texts.ORACLE_SQL | metrics.ORACLE_SQL | surface.ORACLE_SQL | details.ORACLE_SQL | mechanisms.ORACLE_SQL

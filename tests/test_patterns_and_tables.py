@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.operators import automaton, dedup, memory, products, store
-from fathomline.sources import keyed
+from fathomline.operators import automaton, dedup, memory, products, stats, store
+from fathomline.sources import boxes, keyed, readers, writers
 
 
 @pytest.mark.parametrize(
@@ -256,3 +257,52 @@ def test_a_merge_reads_no_old_references(spark, tmp_path):
         f.unlink()
     s.merge(2, refs.withColumn("ref_id", F.lit(2).cast("long")).withColumn("year", F.lit(2018)))
     assert [(x["year"], x["ref_id"], x["event_type"]) for x in s.events().orderBy("year").collect()] == [(2018, 2, "NEW_ADOPTION"), (2020, 1, "CONFIRMED")]
+
+
+# -- layouts, boxes, running totals ------------------------------------------
+
+
+def test_a_scan_reads_only_files_of_its_ranges(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    df = spark.range(6000).select((F.col("id") % 6 + 2015).cast("int").alias("year"), (F.col("id") * 7919 % 1000).alias("company"), "id")
+    writers.write_clustered(df, path, ["year", "company"], 12)
+    every = writers.clustered_files(spark, path)
+    some = writers.clustered_files(spark, path, year=(2016, 2016), company=(0, 100))
+    assert len(every) >= 6 and 0 < len(some) <= 3
+    found = writers.clustered_scan(spark, path, year=(2016, 2016), company=(0, 100))
+    want = df.where("year = 2016 and company <= 100")
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() > 0
+    assert len(found.inputFiles()) == len(some)
+    assert {x["f"] for x in found.select(F.col("_metadata.file_name").alias("f")).distinct().collect()} <= set(some)
+    assert writers.clustered_scan(spark, path, year=(1900, 1901)).collect() == []
+    open_end = writers.clustered_scan(spark, path, year=(2019, None))
+    assert open_end.count() == df.where("year >= 2019").count()
+
+
+def test_boxes_read_as_columns_of_words_does(spark):
+    r = random.Random(11)
+    rows = []
+    for page in range(60):
+        columns = r.choice([[(0, 600)], [(0, 280), (320, 600)], [(5, 180), (210, 380), (420, 610)]])
+        for _ in range(r.randrange(1, 40)):
+            a, b = r.choice(columns)
+            x0 = r.uniform(a, b - 30)
+            rows.append((page, x0, x0 + r.uniform(5, 30), float(r.randrange(30)) + r.random() * 3, f"w{r.randrange(99)}", 612.0))
+    df = spark.createDataFrame([*rows, (99, None, 1.0, 1.0, "no", 612.0), (98, 1.0, 2.0, 1.0, None, 612.0)], "page int, x0 double, x1 double, top double, text string, width double")
+    got = {x["page"]: x["text"] for x in boxes.page_texts(df, ["page"]).collect()}
+    assert set(got) == set(range(60))
+    for page, text in got.items():
+        words = pd.DataFrame([x[1:5] for x in rows if x[0] == page], columns=["x0", "x1", "top", "text"])
+        assert text == readers.columns_of_words(words, 612.0)
+
+
+def test_running_totals(spark):
+    r = random.Random(12)
+    rows = [(r.randrange(50), i, r.choice([None, 1, 5, -2])) for i in range(500)]
+    df = spark.createDataFrame(rows, "t int, id int, v long").repartition(5)
+    got = {x["id"]: x["total"] for x in stats.running_totals(df, ["t", "id"], {"total": "v"}, 7).collect()}
+    total = 0
+    for _, i, v in sorted(rows):
+        total += v or 0
+        assert got[i] == total
+    assert len(got) == 500 and stats.running_totals(df.where("false"), ["t"], {"total": "v"}).collect() == []
