@@ -7,7 +7,9 @@ document, then the encoder on what is left, then classification of what is accep
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,9 +103,11 @@ def detect(pages: DataFrame, taxonomy: Taxonomy, keys: list[str], encoder: score
 
 
 def referenced(c: DataFrame, taxonomy: Taxonomy, keys: list[str], encoder: score.Encoder = score.hashing_encoder) -> DataFrame:
-    """The references of candidates: scored, accepted, classified, with their context."""
+    """The references of candidates: scored (unless they have a ``semantic_score``), accepted, classified, with their context."""
     spark = c.sparkSession
-    if taxonomy.anchors:
+    if "semantic_score" in c.columns:
+        pass
+    elif taxonomy.anchors:
         rows = [(v.tolist(),) for v in encoder(list(taxonomy.anchors))]
         anchors = spark.createDataFrame(rows, "anchor array<double>")
         c = rules.max_similarity(score.encoded(c, "window", encoder), anchors).withColumnRenamed("max_cosine", "semantic_score").drop("embedding")
@@ -156,11 +160,18 @@ def for_taxonomies(pages: DataFrame, taxonomies: list[Taxonomy], keys: list[str]
         hits.append(F.when(is_hard | F.col("window").rlike(soft), found))
     rows = w.withColumn("__t", F.explode(F.array_compact(F.array(*hits))))
     rows = lineage.kept(rows.select(*w.columns, "__t.k", "__t.is_hard", "__t.trigger", "__t.at"))
-    out = None
-    for k, t in enumerate(taxonomies):
-        part = referenced(passing(rows.where(F.col("k") == k).drop("k"), t, keys, cfg), t, keys, encoder).withColumn("taxonomy", F.lit(t.name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    passed = [passing(rows.where(F.col("k") == k).drop("k"), t, keys, cfg) for k, t in enumerate(taxonomies)]
+    anchored = [k for k, t in enumerate(taxonomies) if t.anchors]
+    if anchored:
+        # Every window that is left in any taxonomy is encoded once, and scored against all anchors at once.
+        passed = [lineage.kept(x) if k in anchored else x for k, x in enumerate(passed)]
+        distinct = reduce(DataFrame.union, [passed[k].select("window") for k in anchored]).distinct()
+        matrices = [np.asarray(encoder(list(taxonomies[k].anchors))) for k in anchored]
+        scores = lineage.kept(score.best_of_each(score.encoded(distinct, "window", encoder), matrices).select(F.md5("window").alias("__h"), "scores"))
+        for place, k in enumerate(anchored):
+            of = scores.select("__h", F.get("scores", F.lit(place)).alias("semantic_score"))
+            passed[k] = passed[k].withColumn("__h", F.md5("window")).join(of, "__h").drop("__h")
+    return reduce(DataFrame.unionByName, [referenced(x, t, keys, encoder).withColumn("taxonomy", F.lit(t.name)) for x, t in zip(passed, taxonomies, strict=True)])
 
 
 def document_language(pages: DataFrame, keys: list[str], sample: int = 5, text: str = "page_text") -> DataFrame:

@@ -73,6 +73,27 @@ def encoded(df: DataFrame, text: str, encoder: Encoder = hashing_encoder, name:
     return df.withColumn(name, run(F.col(text)))
 
 
+def best_of_each(df: DataFrame, anchors: list[np.ndarray], vector: str = "embedding", name: str = "scores") -> DataFrame:
+    """With the highest cosine of the vector to the anchors of each group, as an array in the order of the groups; null for a group without anchors.
+
+    ``anchors``: a matrix for each group; all of them are one product for a batch. A zero vector is at 0 to every anchor.
+    """
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    filled = [k for k, a in enumerate(anchors) if len(a)]
+    starts = np.cumsum([0, *(len(anchors[k]) for k in filled)])[:-1]
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        every = unit(np.concatenate([anchors[k] for k in filled]).astype(float)) if filled else None
+        for vectors in parts:
+            out = np.full((len(vectors), len(anchors)), np.nan)
+            if filled and len(vectors):
+                out[:, filled] = np.maximum.reduceat(unit(np.stack(vectors.to_numpy()).astype(float)) @ every.T, starts, axis=1)
+            yield pd.Series([[None if x != x else x for x in row] for row in out.tolist()], index=vectors.index, dtype=object)
+
+    return df.withColumn(name, run(F.col(vector)))
+
+
 def compound(df: DataFrame, scorer: Scorer = lexicon_scorer, text: str = "text", context: str = "context", name: str = "compound") -> DataFrame:
     """With the compound sentiment of text and context, cut to SENTIMENT_CHARS characters."""
 

@@ -120,9 +120,42 @@ def terms(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
     return spark.createDataFrame(rows, "dim string, dim_ord int, code string, code_ord int, kind string, term string, tier int, weight double")
 
 
+def sheet_terms(categories: DataFrame, keywords: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """The terms of sheets that are tables: dim, code, kind, term, tier. Categories(dimension, code), Keywords(code, keyword, tier), Patterns(code, pattern).
+
+    A keyword without a tier is of the second; terms of codes that the categories lack, and null ones, are left out;
+    of a term that a code has twice the lowest tier counts. The tables may be of any size: nothing comes to the driver.
+    """
+    dims = categories.where("code is not null").groupBy("code").agg(F.min("dimension").alias("dim"))
+    rows = keywords.select("code", F.lit("keyword").alias("kind"), F.col("keyword").alias("term"), F.coalesce(F.col("tier").try_cast("int"), F.lit(2)).alias("tier"))
+    if patterns is not None:
+        rows = rows.unionByName(patterns.select("code", F.lit("pattern").alias("kind"), F.col("pattern").alias("term"), F.lit(0).alias("tier")))
+    one = rows.where("term is not null").groupBy("code", "kind", "term").agg(F.min("tier").alias("tier"))
+    return one.join(dims, "code").select("dim", "code", "kind", "term", "tier")
+
+
+def merged_terms(terms: DataFrame, more: DataFrame, tier: int = 1) -> DataFrame:
+    """``terms`` with further keywords (code, term): those that a code has already stay as they are, those of unknown codes are left out."""
+    have = terms.where("kind = 'keyword'").select("code", "term")
+    fresh = more.select("code", "term").where("term is not null").distinct().join(have, ["code", "term"], "left_anti")
+    dims = terms.groupBy("code").agg(F.min("dim").alias("dim"))
+    return terms.select("dim", "code", "kind", "term", "tier").unionByName(fresh.join(dims, "code").select("dim", "code", F.lit("keyword").alias("kind"), "term", F.lit(tier).alias("tier")))
+
+
+def with_tiers(found: DataFrame, terms: DataFrame, code: str = "code", keyword: str = "keyword") -> DataFrame:
+    """``found`` with the tier of each keyword in its code: the second where the code does not have it."""
+    tiers = terms.where("kind = 'keyword'").groupBy(F.col("code").alias("__code"), F.col("term").alias("__term")).agg(F.min("tier").alias("__tier"))
+    met = found.join(tiers, (F.col(code) == F.col("__code")) & (F.col(keyword) == F.col("__term")), "left")
+    return met.withColumn("tier", F.coalesce("__tier", F.lit(2))).drop("__code", "__term", "__tier")
+
+
+def term_statistics(terms: DataFrame) -> DataFrame:
+    """By dimension: codes, keywords, patterns."""
+    return terms.groupBy("dim").agg(F.count_distinct("code").alias("codes"), F.count_if(F.col("kind") == "keyword").alias("keywords"), F.count_if(F.col("kind") == "pattern").alias("patterns"))
+
+
 def statistics(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
-    t = terms(spark, taxonomy)
-    return t.groupBy("dim").agg(F.count_distinct("code").alias("codes"), F.count_if(F.col("kind") == "keyword").alias("keywords"), F.count_if(F.col("kind") == "pattern").alias("patterns"))
+    return term_statistics(terms(spark, taxonomy))
 
 
 def from_sheets(name: str, categories: list[dict], keywords: list[dict], patterns: list[dict] = (), fp_patterns: list[dict] = (), meta: dict | None = None) -> Taxonomy:

@@ -347,9 +347,11 @@ def traj_contributions_of(spark, sf):
     return of.select("company", "year", "component", "category", "points", F.row_number().over(Window.orderBy(F.desc(F.abs("points")), "component", "category")).alias("place"))  # the parts of one company-year
 
 
-@query("SELECT * FROM (VALUES ('maturity_cap', 2.0::DOUBLE), ('inferred_penalty', -0.25), ('depth_divisor', 4.0)) v(name, value)")
+@query(f"WITH {REFS_SQL}, {st.LAST_YEARS_SQL} SELECT year, name, value FROM years, (VALUES ('maturity_cap', 2.0::DOUBLE), ('inferred_penalty', -0.25), ('depth_divisor', 4.0)) v(name, value)")
 def traj_parameters(spark, sf):
-    return trajectory.parameters(spark).where("name in ('maturity_cap', 'inferred_penalty', 'depth_divisor')").select("name", "value")
+    """The parameters that each scored year is kept with."""
+    one = F.broadcast(trajectory.parameters(spark).where("name in ('maturity_cap', 'inferred_penalty', 'depth_divisor')"))
+    return st.years(st.references(spark, sf)).crossJoin(one).select("year", "name", "value")
 
 
 @query(
@@ -583,21 +585,39 @@ def tr_engines(spark, sf):
 # Taxonomies and products ---------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('A', 3::BIGINT, 6::BIGINT, 3::BIGINT), ('B', 2, 3, 1)) v(dim, codes, keywords, patterns)")
+def _sheets(spark, sf):
+    """Sheets made of parts: types are codes, brands' first digits dimensions, names keywords, sizes tiers."""
+    p = table(spark, sf, "part")
+    categories = p.select(F.substring("p_type", 1, 1).alias("dimension"), F.col("p_type").alias("code"))
+    keywords = p.select(F.col("p_type").alias("code"), F.col("p_name").alias("keyword"), F.when(F.col("p_size") % 4 > 0, (F.col("p_size") % 4).cast("string")).alias("tier"))
+    patterns = p.where("p_size = 50").select(F.col("p_type").alias("code"), F.col("p_brand").alias("pattern"))
+    return categories, keywords, patterns
+
+
+_TERMS_SQL = """terms AS (SELECT substring(p_type, 1, 1) AS dim, p_type AS code, 'keyword' AS kind, p_name AS term, min(CASE WHEN p_size % 4 > 0 THEN p_size % 4 ELSE 2 END) AS tier FROM part GROUP BY ALL
+  UNION ALL SELECT DISTINCT substring(p_type, 1, 1), p_type, 'pattern', p_brand, 0 FROM part WHERE p_size = 50)"""
+
+
+@query(f"WITH {_TERMS_SQL} SELECT dim, count(DISTINCT code) AS codes, count(*) FILTER (kind = 'keyword') AS keywords, count(*) FILTER (kind = 'pattern') AS patterns FROM terms GROUP BY dim")
 def tax_statistics(spark, sf):
-    return taxonomy.statistics(spark, SAMPLE)
+    return taxonomy.term_statistics(taxonomy.sheet_terms(*_sheets(spark, sf)))
 
 
-@query("SELECT * FROM (VALUES ('A1', 'the', 1), ('A1', 'der', 2), ('A1', 'new word', 1), ('A3', 'token', 3), ('B2', '!!', 1)) v(code, term, tier)")
+@query(
+    f"""WITH {_TERMS_SQL}, more AS (SELECT DISTINCT p_type AS code, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS term FROM part UNION SELECT 'NO SUCH CODE', p_name FROM part)
+SELECT code, kind, term, tier FROM terms UNION ALL SELECT m.code, 'keyword', m.term, 1 FROM more m WHERE m.code IN (SELECT code FROM terms) AND NOT EXISTS (SELECT 1 FROM terms t WHERE t.kind = 'keyword' AND t.code = m.code AND t.term = m.term)"""
+)
 def tax_merged(spark, sf):
-    t = SAMPLE.merged({"A1": ("new word", "the")})
-    return taxonomy.terms(spark, t).where("kind = 'keyword' and (code = 'A1' or term in ('token', '!!'))").select("code", "term", "tier")
+    p = table(spark, sf, "part")
+    more = p.select(F.col("p_type").alias("code"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.col("p_brand")).alias("term"))
+    more = more.unionByName(p.select(F.lit("NO SUCH CODE").alias("code"), F.col("p_name").alias("term")))
+    return taxonomy.merged_terms(taxonomy.sheet_terms(*_sheets(spark, sf)), more).select("code", "kind", "term", "tier")
 
 
-@query("SELECT * FROM (VALUES ('the', 1), ('der', 2), ('token', 3), ('unknown', 2)) v(keyword, tier)")
+@query(f"WITH {REFS_SQL}, {_TERMS_SQL} SELECT r.category_b AS code, r.product AS keyword, coalesce(t.tier, 2) AS tier, count(*) AS n FROM refs r LEFT JOIN terms t ON t.kind = 'keyword' AND t.code = r.category_b AND t.term = r.product GROUP BY ALL")
 def tax_tiers(spark, sf):
-    of = {"the": "A1", "der": "A1", "token": "A3", "unknown": "A1"}
-    return spark.createDataFrame([(k, SAMPLE.keyword_tier(c, k)) for k, c in of.items() if k in (*SAMPLE.keywords(), "unknown")], "keyword string, tier int")
+    found = st.references(spark, sf).select(F.col("category_b").alias("code"), F.col("product").alias("keyword"))
+    return taxonomy.with_tiers(found, taxonomy.sheet_terms(*_sheets(spark, sf))).groupBy("code", "keyword", "tier").agg(F.count("*").alias("n"))
 
 
 @query("SELECT r_name, CASE r_regionkey % 3 WHEN 0 THEN 'A1_Product_Innovation' WHEN 1 THEN 'B6_Robotics_Autonomous' ELSE r_name END AS code FROM region")
@@ -618,11 +638,16 @@ def tax_priority_term(spark, sf):
     return d.select("doc_id", "x.term", F.contains("x.marked", F.lit(">>>")).alias("found"))
 
 
-@query("SELECT unit, vendor, category, CAST(year AS INTEGER) AS release_year FROM (VALUES ('Blue Ring', 'Acme', 'B4', 1997), ('Ring', 'Ringco', 'B4', NULL), ('Bolt', 'Acme', 'B2', 1999), ('Other', NULL, NULL, NULL)) v(unit, vendor, category, year)")
+@query(
+    f"""WITH {REFS_SQL}, d AS (SELECT p_name, arg_min(p_brand, p_partkey) AS vendor, arg_min(p_type, p_partkey) AS category, arg_min(1990 + p_size % 9, p_partkey) AS release_year FROM part WHERE p_size > 5 GROUP BY p_name)
+SELECT product AS unit, vendor, category, CAST(release_year AS INTEGER) AS release_year, count(*) AS n FROM (SELECT CASE WHEN ref_id % 5 = 0 THEN 'Other' ELSE product END AS product FROM refs) r LEFT JOIN d ON d.p_name = r.product GROUP BY ALL"""
+)
 def prod_facts(spark, sf):
-    twice = [*PRODUCTS, dataclasses.replace(PRODUCTS[0], vendor="Second")]  # of entries with one name the first counts
-    m = spark.createDataFrame([("Blue Ring",), ("Ring",), ("Bolt",), ("Other",)], "unit string")
-    return products.with_facts(m, products.dictionary(spark, twice), "unit").select("unit", F.col("known_vendor").alias("vendor"), F.col("known_category").alias("category"), F.col("known_release_year").alias("release_year"))
+    """References' products with the facts of a dictionary made of parts; of its entries with one name the first counts."""
+    m = st.references(spark, sf).select(F.when(F.col("ref_id") % 5 == 0, "Other").otherwise(F.col("product")).alias("unit"))
+    known = st.product_dictionary(spark, sf).where("p_size > 5")
+    out = products.with_facts(m, known, "unit").select("unit", F.col("known_vendor").alias("vendor"), F.col("known_category").alias("category"), F.col("known_release_year").alias("release_year"))
+    return out.groupBy("unit", "vendor", "category", "release_year").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -637,11 +662,12 @@ def eval_rules(spark, sf):
     return evaluate.confusion(both[0].unionByName(both[1]), "label", "predicted", ["method"]).select("method", "tp", "fn", "fp", "tn")
 
 
-@query(f"SELECT '{vocabulary.AI_ANCHORS[0]}' AS anchor, {len(vocabulary.AI_ANCHORS)}::BIGINT AS anchors, true AS alike")
+@query("SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'en' ELSE 'xx' END AS lang, count(*) AS texts, count(*) AS alike FROM supplier GROUP BY 1")
 def vec_encoders(spark, sf):
-    a = spark.createDataFrame([(x, "en" if i % 2 else "xx") for i, x in enumerate(vocabulary.AI_ANCHORS)], "anchor string, lang string")
-    two = score.by_language(score.encoded(a, "anchor"), "anchor", "lang", {"xx": lambda t: score.hashing_encoder([x.upper() for x in t])}, name="other")
-    return two.agg(F.min(F.when(F.col("anchor").startswith("artificial"), F.col("anchor"))).alias("anchor"), F.count("*").alias("anchors"), F.every(F.col("embedding") == F.col("other")).alias("alike"))
+    """An encoder for each language: that of one gets its texts in capitals, which the other takes for the same."""
+    a = table(spark, sf, "supplier").select("s_name", F.when(F.col("s_nationkey") % 2 == 0, "en").otherwise("xx").alias("lang"))
+    two = score.by_language(score.encoded(a, "s_name"), "s_name", "lang", {"xx": lambda t: score.hashing_encoder([x.upper() for x in t])}, name="other")
+    return two.groupBy("lang").agg(F.count("*").alias("texts"), F.count_if(F.col("embedding") == F.col("other")).alias("alike"))
 
 
 @query()

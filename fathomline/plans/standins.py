@@ -46,6 +46,12 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def product_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of products made of parts, in the form of ``products.dictionary``: brands are vendors, types categories, the halves of a name aliases."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("product"), F.col("p_brand").alias("vendor"), F.col("p_type").alias("category"), (F.col("p_size") % 9 + 1990).cast("int").alias("release_year"), F.split("p_brand", "#").alias("aliases"), "p_size")
+
+
 REFS_SQL = """refs AS (
   SELECT l_orderkey * 10 + l_linenumber AS ref_id, o_custkey AS company, CAST(year(o_orderdate) AS INTEGER) AS year,
     p_brand AS category_a, p_type AS category_b, p_name AS product, CAST(l_suppkey AS VARCHAR) AS vendor, c_mktsegment AS industry,

@@ -297,14 +297,14 @@ def prod_exclusions(spark, sf):
     return products.exclusion_report(products.exclusions(references(spark, sf), "product", "year", PRODUCTS))
 
 
-@query("SELECT 'Ring' AS product, 'name' AS match_type UNION ALL SELECT 'Blue Ring', 'name'")
+@query("SELECT p_partkey AS ord, p_name AS product, CASE WHEN contains(lower(p_name), 'd') THEN 'name' ELSE 'alias' END AS match_type FROM part WHERE contains(lower(p_name), 'd') OR contains(lower(p_brand), 'd')")
 def prod_search(spark, sf):
-    return products.search(products.dictionary(spark, PRODUCTS), "RING").select("product", "match_type")
+    return products.search(st.product_dictionary(spark, sf), "D").select("ord", "product", "match_type")
 
 
-@query("SELECT * FROM (VALUES ('B4', 2::BIGINT, 2::BIGINT), ('B2', 1, 1)) v(category, products, vendors)")
+@query("SELECT p_type AS category, count(*) AS products, count(DISTINCT p_brand) AS vendors FROM part GROUP BY 1")
 def prod_stats(spark, sf):
-    return products.statistics(products.dictionary(spark, PRODUCTS))
+    return products.statistics(st.product_dictionary(spark, sf))
 
 
 @query("SELECT lang, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS translated, count(*) FILTER (doc_id % 3 <> 0) AS pending FROM documents WHERE lang <> 'en' GROUP BY lang")
@@ -322,15 +322,18 @@ def tr_backfill(spark, sf):
 
 # Sources -------------------------------------------------------------------------------------------------
 
-FILES = ["257. Edeka Zentrale - 2024 - annual report.pdf", "265. Tsingshan Holding Group - Rept Battero - 2024 - sustainability report.pdf", "1. Walmart - 2023 - proxy.pdf", "Microsoft - 2022 - annual report.pdf"]
-
-
 @query(
-    """SELECT * FROM (VALUES ('Edeka Zentrale', 2024, 'Annual Report', 257), ('Tsingshan Holding Group', 2024, 'Sustainability', 265), ('Walmart', 2023, 'Proxy', 1), ('Microsoft', 2022, 'Annual Report', 0)) v(company, year, doc_type, position)"""
+    """SELECT s_suppkey, s_name AS company, CAST(CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE 2015 + s_nationkey % 11 END AS INTEGER) AS year, CASE s_suppkey % 4 WHEN 1 THEN 'Sustainability' WHEN 2 THEN 'Proxy' ELSE 'Annual Report' END AS doc_type,
+  CAST(CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE s_suppkey % 1000 END AS INTEGER) AS position FROM supplier"""
 )
 def src_filename_meta(spark, sf):
-    f = spark.createDataFrame([(x,) for x in FILES], "name string")
-    return f.select(*[c.alias(n) for n, c in readers.file_facts(F.col("name")).items()])
+    """Names of files made of suppliers: some without a place, some without a year."""
+    k = F.col("s_suppkey")
+    kind = F.when(k % 4 == 0, "annual report").when(k % 4 == 1, "sustainability report").when(k % 4 == 2, "proxy").otherwise("report")
+    year = F.when(k % 7 == 0, "n.d.").otherwise((F.col("s_nationkey") % 11 + 2015).cast("string"))
+    name = F.concat(F.when(k % 5 == 0, "").otherwise(F.concat((k % 1000).cast("string"), F.lit(". "))), "s_name", F.lit(" - "), year, F.lit(" - "), kind, F.lit(".pdf"))
+    f = table(spark, sf, "supplier").select("s_suppkey", name.alias("name"))
+    return f.select("s_suppkey", *[c.alias(n) for n, c in readers.file_facts(F.col("name")).items()])
 
 
 @query("SELECT lower(s_name) AS key, s_name AS name, CAST(s_suppkey AS INTEGER) AS position, CAST(s_nationkey AS VARCHAR) AS industry, CAST(NULL AS VARCHAR) AS sector, 'x' AS country FROM supplier")

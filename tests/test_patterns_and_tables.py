@@ -306,3 +306,35 @@ def test_running_totals(spark):
         total += v or 0
         assert got[i] == total
     assert len(got) == 500 and stats.running_totals(df.where("false"), ["t"], {"total": "v"}).collect() == []
+
+
+def test_windows_are_encoded_once_for_all_taxonomies(spark, tmp_path):
+    import dataclasses
+
+    from fathomline.operators import references, score
+    from fathomline.plans.texts import SAMPLE
+
+    log = f"{tmp_path}/encoded"
+
+    def encoder(texts):
+        with open(log, "a") as f:
+            f.writelines("x\n" for _ in texts)
+        return score.hashing_encoder(texts)
+
+    r = random.Random(3)
+    words = ["the", "license", "of", "new", "los", "und", "der", "systems", "company", "plans", "to", "grow"]
+    pages = [(d, p, " ".join(r.choice(words) for _ in range(60)) + ".") for d in range(6) for p in (1, 2)]
+    pages += [(9, 1, pages[0][2])]
+    df = spark.createDataFrame(pages, "doc_id long, page int, page_text string")
+    one = dataclasses.replace(SAMPLE, name="one", hard_triggers="license", soft_triggers=r"\blos\b", anchors=("the license of the company", "new systems"))
+    two = dataclasses.replace(one, name="two", hard_triggers="systems", anchors=("plans to grow",))
+    three = dataclasses.replace(one, name="three", anchors=())
+    together = references.for_taxonomies(df, [one, two, three], ["doc_id"], encoder)
+    got = sorted(map(str, together.drop("taxonomy", "reasons").collect()))
+    encoded = sum(1 for _ in open(log))
+    want = []
+    for t in (one, two, three):
+        want += [str(x) for x in references.detect(df, t, ["doc_id"], score.hashing_encoder).drop("reasons").collect()]
+    assert got == sorted(want) and len(got) > 5
+    windows_ = {x["window"] for t in (one, two) for x in references.candidates(df, t, ["doc_id"]).select("window").collect()}
+    assert encoded == len(windows_) + 3  # and the anchors
