@@ -136,11 +136,11 @@ def greedy_jaccard(df: DataFrame, group: list[str], key: str, text: str, confide
     schema = T.StructType([*[df.schema[g] for g in group], df.schema[key], T.StructField("cluster", df.schema[key].dataType)])
     node = F.struct(*[F.col(c) for c in (*group, key)])
     # Tokens of a group are told apart from those of all others, so that items meet within their group alone.
-    mark = F.to_json(F.struct(*[F.col(c) for c in group]))
-    sets = df.select(node.alias("id"), F.transform(tokens(F.col(text)), lambda x: F.xxhash64(mark, x)).alias("set")).where("size(set) > 0")
-    sets = sets.withColumn("class", F.sha2(F.array_join(F.transform(F.array_sort("set"), lambda x: x.cast("string")), " "), 256))
+    sets = df.select(node.alias("id"), F.transform(tokens(F.col(text)), lambda x: F.xxhash64(*group, x)).alias("set")).where("size(set) > 0")
+    # Texts are split once, whatever reads the sets.
+    sets = kept(sets.withColumn("class", F.sha2(F.array_join(F.transform(F.array_sort("set"), lambda x: x.cast("string")), " "), 256)))
     # Classes of equal sets are numbered, once for all branches.
-    first = kept(sets.groupBy("class").agg(F.min("id").alias("first"), F.min("set").alias("set")).withColumn("id", F.monotonically_increasing_id()))
+    first = kept(sets.groupBy("class").agg(F.first("set").alias("set")).withColumn("id", F.monotonically_increasing_id()))
     of_class = connected_components(_ties_of_sets(first.select("id", "set"), threshold))
     classes = first.select("class", "id").join(of_class, F.col("id") == F.col("node"), "left").select("class", F.coalesce("root", "id").alias("root"))
     many = sets.select("id", "class").join(classes, "class").groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
