@@ -105,18 +105,25 @@ def text_windows(df: DataFrame, text: str = "text", size: int = WINDOW, overlap:
 def with_surroundings(pages: DataFrame, keys: list[str], radius: int, page: str = "page", text: str = "page_text") -> DataFrame:
     """``pages`` with ``before`` and ``after``: what the document has next to the page, at most ``radius`` characters, pages being joined by line feeds.
 
-    A document's pages meet in one row, as they do in the document; a null text is an empty one.
+    A null text is an empty one; a null page number comes first; pages that share a number are in the order of the other
+    columns. Windows over a document's pages, so they stream through a task and are never one row: a running total gives
+    each page's place, and a page looks at the ends of those that lie within ``radius`` characters of its place.
     """
     rest = [c for c in pages.columns if c not in keys]
-    docs = pages.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(page, *[c for c in rest if c != page]))).alias("__p"))
-    said = lambda p: F.coalesce(p[text], F.lit(""))
-    none = F.struct(F.array().cast("array<string>").alias("all"), F.lit("").alias("now"))
-    grown = lambda a, now: F.struct(F.concat(a["all"], F.array(a["now"])).alias("all"), now.alias("now"))
-    ahead = F.aggregate("__p", none, lambda a, p: grown(a, F.right(F.concat(F.right(a["now"], F.lit(radius)), said(p), F.lit("\n")), F.lit(radius))), lambda a: a["all"])
-    behind = F.aggregate(F.reverse("__p"), none, lambda a, p: grown(a, F.left(F.concat(F.lit("\n"), F.left(said(p), F.lit(radius)), a["now"]), F.lit(radius))), lambda a: F.reverse(a["all"]))
-    zipped = F.arrays_zip(F.col("__p").alias("p"), ahead.alias("before"), behind.alias("after"))
-    out = docs.select(*keys, F.explode(zipped).alias("__z"))
-    return out.select(*keys, *[F.col(f"__z.p.{c}").alias(c) for c in rest], F.col("__z.before").alias("before"), F.col("__z.after").alias("after"))
+    own = "__s" + "_" * max(len(c) for c in pages.columns)
+    start, end, tail, head = (own + x for x in "beth")
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in (page, *[c for c in rest if c != page])]
+    group = Window.partitionBy(*keys)
+    w = group.orderBy(*order)
+    said = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    df = pages.withColumn(end, F.sum(F.length(said).cast("long") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(start, F.col(end) - F.length(said) - 1)
+    # A page carries the end of the page before it and the beginning of that after it, so that a frame of `radius` characters holds the page it cuts.
+    df = df.withColumn(tail, F.lag(F.concat(F.right(said, F.lit(radius)), F.lit("\n"))).over(w)).withColumn(head, F.lead(F.concat(F.lit("\n"), F.left(said, F.lit(radius)))).over(w))
+    near = lambda c, by, a, b: F.array_join(F.collect_list(c).over(group.orderBy(by).rangeBetween(a, b)), "")
+    reach = max(radius, 1) - 1
+    before = F.right(near(tail, start, -reach, 0), F.lit(radius))
+    after = F.left(near(head, end, 0, reach), F.lit(radius))
+    return df.select(*keys, *rest, before.alias("before"), after.alias("after"))
 
 
 def useful_windows(df: DataFrame, least: int = MIN_WINDOW) -> DataFrame:

@@ -448,11 +448,8 @@ def sink_json(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") > 500, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 3 > 0, F.col("n_chars") / 7).otherwise(F.lit(float("nan"))).alias("ratio"))
     path = lineage.scratch(spark, "json")
     writers.write_json_document(d, path, {"title": "sample"})
-    # One document in parts: joined in the order of their names, it is read as a whole.
-    lines = spark.read.text(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"), "value")
-    whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "i", "value"))), lambda x: x["value"]), "").alias("j"))
-    parsed = whole.select(F.from_json("j", "meta struct<title:string>, references array<struct<doc_id:long,lang:string,ratio:double>>").alias("x"))
-    return _read(parsed.select("x.meta.title", F.explode("x.references").alias("r")).select("r.doc_id", "r.lang", "r.ratio", "title"), path)
+    meta, rows = writers.read_json_document(spark, path, "doc_id long, lang string, ratio double")
+    return _read(rows.withColumn("title", F.lit(meta["title"])), path)
 
 
 @query("SELECT page_id, url, md5(regexp_replace(replace(replace(replace(replace(translate(url, '–—“”‘’', '--\"\"'''''), '→', '->'), '…', '...'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\\s+|\\s+$', '', 'g')) AS h FROM pages")

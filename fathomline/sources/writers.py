@@ -66,6 +66,32 @@ def write_json_document(df: DataFrame, path: str, meta: dict | None = None, name
     lines.write.mode("overwrite").text(path)
 
 
+def read_json_document(spark: SparkSession, path: str, schema: str, name: str = "references") -> tuple[dict, DataFrame]:
+    """``meta`` and the rows of a document that write_json_document has written, read line by line: the document is never one row.
+
+    A row is a line, so each is parsed by itself. Commas are checked: all rows but the first have one; a document for
+    which this does not hold, or without its first or last line, raises ValueError. A document without rows gives none.
+    """
+    # The place of a line: its file, the block of the file that a task reads, and its number in the task.
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
+    head = json.dumps({name: 0}, ensure_ascii=False)[1:-2] + "["
+    kind = F.when(F.startswith("value", F.lit('{"meta": ')) & F.endswith("value", F.lit(head)), "head").when(F.col("value") == "]}", "foot").when(F.startswith("value", F.lit(",")), "more").otherwise("first")
+    marked = lines.withColumn("kind", kind)
+    at = F.struct("f", "b", "i")
+    found = {r["kind"]: r for r in marked.groupBy("kind").agg(F.count("*").alias("n"), F.min(at).alias("least"), F.max(at).alias("most"), F.max(F.when(F.col("kind") == "head", F.col("value"))).alias("head")).collect()}
+    count = {k: found[k]["n"] if k in found else 0 for k in ("head", "first", "more", "foot")}
+    order = [found[k]["least"] for k in ("head", "first") if count[k]]
+    if count["head"] != 1 or count["foot"] != 1 or count["first"] != (1 if count["more"] or count["first"] else 0):
+        raise ValueError(f"not one document: {count}")
+    order += [found["more"]["least"], found["more"]["most"]] if count["more"] else []
+    order.append(found["foot"]["least"])
+    if order != sorted(order):
+        raise ValueError("lines of the document are out of order")
+    meta = json.loads(found["head"]["head"][: -len(head) - 2] + "}")["meta"]
+    body = marked.where(F.col("kind").isin("first", "more")).select(F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("r"))
+    return meta, body.select("r.*")
+
+
 def workbook(folder: str, sheets: dict[str, DataFrame], write=write_csv) -> list[str]:
     """A table for each sheet, in files of a folder; the paths."""
     out = []

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -396,6 +397,63 @@ def test_segmentation_parts_lines_without_spaces(spark):
     assert one(spark, segmentation.segmented(model)(F.col("t")), t=None) is None
 
 
+def test_learned_segmentation_by_either_way(spark):
+    from fathomline.functions import segmentation
+
+    prose = "the quick brown fox jumps over the lazy dog and the dog sleeps"
+    docs = spark.createDataFrame([(prose + "\n" + "nospaceshereatallinthislonglineoftext",), (prose.upper(),), (None,), ("",), ("one two",)], "text string")
+    counts = segmentation.learned(docs)
+    plain: dict = {}
+    for line in (prose, prose, "one two"):
+        for word in line.split():
+            plain[word] = plain.get(word, 0) + 1
+    assert {r["word"]: r["n"] for r in counts.collect()} == plain
+    model, long = segmentation.Unigrams(plain), "thedogandthefox" * 700
+    texts = ["thequickfox", "thequickfox", "thelazydogsleeps,ontwo", "OpenAI,thefox2dogs", "", "..", None, long, "\u00e9thefox", "xyzzy"]
+    lines = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "id long, line string, __l string")
+    want = [None if t is None else segmentation.line_segmented(t, model, re.compile(tx.protected_pattern())) for t in texts]
+    assert want[0] == "the quick fox" and want[4] == want[5] == "" and want[7].split()[:5] == ["the", "dog", "and", "the", "fox"]
+    for most in (segmentation.MOST_BYTES, 0):
+        got = segmentation.with_words(lines, "line", counts, most_bytes=most)
+        assert got.columns == ["id", "line", "__l", "words"] and [r["words"] for r in got.orderBy("id").collect()] == want
+    assert segmentation.with_words(lines.limit(0), "line", counts, most_bytes=0).count() == 0
+    assert [r["words"] for r in segmentation.with_words(lines.where("id = 0"), "line", counts.limit(0)).collect()] == [" ".join("thequickfox")]
+
+
+def test_surroundings_equal_plain_joins(spark):
+    r = random.Random(5)
+    rows = [(d, p, r.choice([None, "", "x", "ab\u00e9" * r.randrange(1, 9)]), f"{p}-{d}") for d in ("a", "b", None) for p in range(r.randrange(1, 30))] + [("a", 3, "same page", "z"), ("c", None, "alone", "q")]
+    df = spark.createDataFrame(rows, "doc string, page int, page_text string, __s string").repartition(3)
+    for radius in (0, 1, 4, 17, 500):
+        got = {(x["doc"], x["page"], x["__s"]): (x["before"], x["after"]) for x in windows.with_surroundings(df, ["doc"], radius).collect()}
+        for doc in ("a", "b", "c", None):
+            mine = sorted((x for x in rows if x[0] == doc), key=lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3]))
+            for i, x in enumerate(mine):
+                before, after = "".join((y[2] or "") + "\n" for y in mine[:i]), "".join("\n" + (y[2] or "") for y in mine[i + 1 :])
+                assert got[doc, x[1], x[3]] == (before[len(before) - radius if len(before) > radius else 0 :], after[:radius])
+        assert len(got) == len(rows)
+    assert windows.with_surroundings(df.limit(0), ["doc"], 5).count() == 0
+
+
+def test_json_document_is_read_line_by_line(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x,\n]}" if i % 2 else None) for i in range(9)], "id long, t string").repartition(3)
+    for rows, n in ((df, 9), (df.limit(0), 0)):
+        path = f"file://{tmp_path}/r{n}"
+        writers.write_json_document(rows, path, {"title": "t"})
+        meta, back = writers.read_json_document(spark, path, "id long, t string")
+        assert meta == {"title": "t"} and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    with pytest.raises(ValueError, match="not one document"):
+        writers.read_json_document(spark, path, "id long", name="other")
+    for broken in (['{"meta": {}, "references": [', '{"id":1}', '{"id":2}', "]}"], ['{"meta": {}, "references": [', ',{"id":1}', "]}"], ['{"meta": {}, "references": [', '{"id":1}']):
+        spark.createDataFrame([(x,) for x in broken], "value string").coalesce(1).write.mode("overwrite").text(f"file://{tmp_path}/broken")
+        with pytest.raises(ValueError, match="not one document"):
+            writers.read_json_document(spark, f"file://{tmp_path}/broken", "id long")
+    shuffled = ['{"meta": {}, "references": [', ',{"id":2}', '{"id":1}', "]}"]
+    spark.createDataFrame([(x,) for x in shuffled], "value string").coalesce(1).write.mode("overwrite").text(f"file://{tmp_path}/broken")
+    with pytest.raises(ValueError, match="out of order"):
+        writers.read_json_document(spark, f"file://{tmp_path}/broken", "id long")
+
+
 def test_json_document_is_one_document(spark, tmp_path):
     import json
 
