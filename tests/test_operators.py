@@ -1,6 +1,8 @@
 """Operators on literal fixtures, and properties of whole tables."""
 
+import functools
 import json
+import math
 import random
 import re
 
@@ -420,6 +422,40 @@ def test_learned_segmentation_by_either_way(spark):
     assert [r["words"] for r in segmentation.with_words(lines.where("id = 0"), "line", counts.limit(0)).collect()] == [" ".join("thequickfox")]
 
 
+def test_segmented_documents_equal_plain_python(spark, tmp_path):
+    texts = {1: "We read the report. The board reads it too", 2: "reports of the board, and of a boardroom", 3: None, 4: "", 5: "a report\n" + "theboardreadsareportofareport", 6: "we", 7: "the \u00e9cole of the board " * 30}
+    spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    counts: dict = {}
+    for t in texts.values():
+        for line in (t or "").split("\n"):
+            if len(line) < 20 or line.count(" ") / len(line) >= 0.05:
+                for w in re.findall("[a-z0-9]+", line.lower()):
+                    counts[w] = counts.get(w, 0) + (len(w) <= 24)
+    total = sum(counts.values())
+
+    def best(text):  # every way to part it, word by word
+        if not text:
+            return (0.0, 0, [])
+        ways = []
+        for k in range(max(0, len(text) - 24), len(text)):
+            w = text[k:]
+            p = math.log(counts[w] / total) if counts.get(w) else math.log(10.0 / total) - len(w) * math.log(10.0)
+            score, _, parts = memo(text[:k])
+            ways.append((score + p, k, [*parts, w]))
+        return max(ways)
+
+    memo = functools.cache(best)
+    want = {}
+    for i, t in texts.items():
+        words = re.findall("[a-z0-9]+", (t or "").lower())
+        pairs = [words[k : k + 2] for k in range(0, len(words), 2)]
+        if pairs:
+            found = [" ".join(memo("".join(p))[2]) for p in pairs]
+            want[i] = (len(pairs), sum(f == " ".join(p) for f, p in zip(found, pairs, strict=True)), sum(len(f.split()) for f in found), min(found), max(found))
+    got = {r["doc_id"]: tuple(r)[1:] for r in catalogue.QUERIES["txt_segmented"](spark, f"file://{tmp_path}").collect()}
+    assert got == want
+
+
 def test_surroundings_equal_plain_joins(spark):
     r = random.Random(5)
     rows = [(d, p, r.choice([None, "", "x", "ab\u00e9" * r.randrange(1, 9)]), f"{p}-{d}") for d in ("a", "b", None) for p in range(r.randrange(1, 30))] + [("a", 3, "same page", "z"), ("c", None, "alone", "q")]
