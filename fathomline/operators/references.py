@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as tx
@@ -39,8 +39,9 @@ def _flags(df: DataFrame, taxonomy: Taxonomy, cfg: DetectConfig) -> DataFrame:
     n = F.length("trigger")
     near = windows.around(F.col("surroundings"), F.col("place"), n, cfg.gate_radius)
     close = windows.around(F.col("surroundings"), F.col("place"), n, cfg.marker_radius)
-    out = df.withColumn("actor", rules.holds_any(near, taxonomy.actors)).withColumn("verb", rules.holds_any(near, taxonomy.verbs))
-    return out.withColumn("marker", rules.holds_any(close, taxonomy.markers))
+    sign = lambda hook, text, terms: F.coalesce(hook(text), F.lit(False)) if hook else rules.holds_any(text, terms)
+    out = df.withColumn("actor", sign(taxonomy.has_actor, near, taxonomy.actors)).withColumn("verb", sign(taxonomy.has_verb, near, taxonomy.verbs))
+    return out.withColumn("marker", sign(taxonomy.has_marker, close, taxonomy.markers))
 
 
 def page_windows(pages: DataFrame, keys: list[str], cfg: DetectConfig = DetectConfig()) -> DataFrame:
@@ -67,20 +68,21 @@ def passing(w: DataFrame, taxonomy: Taxonomy, keys: list[str], cfg: DetectConfig
     w = _flags(w, taxonomy, cfg)
     order = ["page", "window_no"]
     codes = [(c, any_hit) for c in taxonomy.codes().values() if c.patterns for any_hit in [F.col("window").rlike("(?i)" + "|".join(f"(?:{x})" for x in c.patterns))]]
-    gated = any(c.gate != NONE for c, _ in codes)
+    gate = {c.code: taxonomy.gate(c.code) for c, _ in codes}
+    gated = any(g != NONE for g in gate.values())
     false = F.lit(False)
     if gated:
         # Hits of the relational roots do not depend on earlier ones: their running maximum is a window function.
         own = false
         for c, hit in codes:
             if c.code.startswith(cfg.relational_roots):
-                own = own | (hit & rules.gate_pass(F.lit(c.gate), F.col("actor"), F.col("verb"), F.col("marker"), false))
+                own = own | (hit & rules.gate_pass(F.lit(gate[c.code]), F.col("actor"), F.col("verb"), F.col("marker"), false))
         w = w.withColumn("root_hit", own)
         w = w.withColumn("earlier", rules.earlier_hit(F.col("root_hit"), keys, order)).withColumn("so_far", rules.earlier_hit(F.col("root_hit"), keys, order, True))
     else:
         w = w.withColumn("earlier", false).withColumn("so_far", false)
     signs = [F.col("actor"), F.col("verb"), F.col("marker")]
-    passed = lambda seen: F.array_compact(F.array(*[F.when(hit & _own_gate(c.gate, *signs, F.col(seen)), F.lit(c.code)) for c, hit in codes])) if codes else F.array().cast("array<string>")
+    passed = lambda seen: F.array_compact(F.array(*[F.when(hit & _own_gate(gate[c.code], *signs, F.col(seen)), F.lit(c.code)) for c, hit in codes])) if codes else F.array().cast("array<string>")
     w = w.withColumn("passing", passed("earlier")).withColumn("pattern_codes", passed("so_far"))
     if gated:
         two = F.col("actor").cast("int") + F.col("verb").cast("int") + F.col("marker").cast("int") >= 2
@@ -144,6 +146,36 @@ def with_sentiment(refs: DataFrame, scorer: score.Scorer = score.lexicon_scorer,
     return out.withColumn("sentiment_score", F.when(pending, rules.sentiment_probability(F.col("compound"))).otherwise(F.col("sentiment_score"))).withColumn("sentiment", F.when(pending, label).otherwise(F.col("sentiment"))).drop("compound")
 
 
+#: What a document's references carry of it.
+DOCUMENT_FIELDS = ("company", "year", "position", "industry", "sector", "country", "doc_type")
+
+
+def analysed(pages: DataFrame, documents: DataFrame, taxonomy: Taxonomy, key: str, encoder: score.Encoder = score.hashing_encoder, scorer: score.Scorer = score.lexicon_scorer, cfg: DetectConfig = DetectConfig()) -> DataFrame:
+    """The whole run over documents: references found, deduplicated within their document, with sentiment and the document's fields.
+
+    pages: ``key``, page, page_text. documents: ``key`` and any of DOCUMENT_FIELDS; fields that are not there are null,
+    further columns are ignored, and so are documents without pages. Pages of documents that are not listed, or whose
+    key is null, have no references here. Of documents that repeat a key one counts, the first in the order of its fields.
+    """
+    have = [c for c in DOCUMENT_FIELDS if c in documents.columns]
+    one = documents.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(F.lit(0).alias("__0"), *have)).alias("__d"))
+    fields = one.select(key, *[(F.col(f"__d.{c}") if c in have else F.lit(None).cast("string")).alias(c) for c in DOCUMENT_FIELDS])
+    mine = pages.join(one.select(key), key, "left_semi")
+    refs = with_sentiment(deduplicated(lineage.kept(detect(mine, taxonomy, [key], encoder, cfg)), [key], cfg.dedup_threshold), scorer)
+    return refs.join(fields, key)
+
+
+def analysed_document(spark: SparkSession, page_texts: list[str | None], fields: dict, taxonomy: Taxonomy, encoder: score.Encoder = score.hashing_encoder, scorer: score.Scorer = score.lexicon_scorer, cfg: DetectConfig = DetectConfig()) -> DataFrame:
+    """One document by itself: ``analysed`` for its pages, in their order from 1, and its fields. No pages, no references; a null page is an empty one."""
+    pages = spark.createDataFrame([(0, i, t) for i, t in enumerate(page_texts, 1)], "doc long, page int, page_text string")
+    unknown = set(fields) - set(DOCUMENT_FIELDS)
+    if unknown:
+        raise ValueError(f"unknown fields: {sorted(unknown)}")
+    types = {"year": "int", "position": "int"}
+    document = spark.createDataFrame([(0, *fields.values())], ", ".join(["doc long", *[f"{c} {types.get(c, 'string')}" for c in fields]]))
+    return analysed(pages, document, taxonomy, "doc", encoder, scorer, cfg).drop("doc")
+
+
 def for_taxonomies(pages: DataFrame, taxonomies: list[Taxonomy], keys: list[str], encoder: score.Encoder = score.hashing_encoder, cfg: DetectConfig = DetectConfig()) -> DataFrame:
     """The references of several taxonomies in one frame, told apart by ``taxonomy``.
 

@@ -30,6 +30,18 @@ def session(refs: DataFrame) -> DataFrame:
     return refs.agg(F.count("*").alias("refs"), F.count_distinct("company").alias("companies"), F.count_distinct("year").alias("years"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
+def years_covered(df: DataFrame, company: str = "company", year: str = "year") -> DataFrame:
+    """One row: latest and first year, distinct companies and company-years, and the years as text, in order.
+
+    Rows without a company or a year count for the other alone; an empty table gives nulls, zeros and an empty text. Only
+    distinct company-years are shuffled.
+    """
+    pairs = df.select(F.col(company).alias("c"), F.col(year).alias("y")).distinct()
+    years = F.array_join(F.transform(F.sort_array(F.collect_set("y")), lambda y: y.cast("string")), ",")
+    both = F.count_if(F.col("c").isNotNull() & F.col("y").isNotNull())
+    return pairs.agg(F.max("y").alias("latest"), F.min("y").alias("first"), F.count_distinct("c").alias("companies"), both.alias("company_years"), years.alias("years"))
+
+
 def ratio(a: Column, b: Column, places: int = 2) -> Column:
     return F.when(b > 0, F.round(a / b + 1e-9, places)).otherwise(0.0)
 

@@ -8,6 +8,7 @@ the taxonomy as a parameter.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -52,6 +53,15 @@ class Taxonomy:
     markers: tuple[str, ...] = ()
     weights: Weights = field(default_factory=Weights)
     lower_case: bool = True
+    # Hooks: from the text around a trigger to a boolean column, instead of the lists of actors, verbs and markers.
+    has_actor: Callable[[Column], Column] | None = None
+    has_verb: Callable[[Column], Column] | None = None
+    has_marker: Callable[[Column], Column] | None = None
+    gate_of: Callable[[str], str] | None = None  # the gate of a code, instead of the code's own
+
+    def gate(self, code: str) -> str:
+        """The gate of a code: what ``gate_of`` says, else its own; that of an unknown code is NONE."""
+        return self.gate_of(code) if self.gate_of else self.codes()[code].gate if code in self.codes() else NONE
 
     def codes(self) -> dict[str, Code]:
         return {c.code: c for _, codes in self.dimensions for c in codes}

@@ -290,9 +290,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, md5(substring("window",
 SELECT doc_id, page, window_no, is_hard, CAST(place AS BIGINT) AS place, actor, verb, marker, codes FROM r WHERE r = 1"""
 )
 def detect_candidates(spark, sf):
+    return _candidates(spark, sf, GATED)
+
+
+#: The same taxonomy with its gates and signs as functions.
+HOOKED = dataclasses.replace(
+    GATED, dimensions=tuple((d, tuple(dataclasses.replace(c, gate=taxonomy.NONE) for c in codes)) for d, codes in GATED.dimensions), actors=(), verbs=(), markers=(),
+    has_actor=lambda t: F.lower(t).rlike("herth|inan"), has_verb=lambda t: F.lower(t).rlike("ating|entre"), has_marker=lambda t: F.contains(F.lower(t), F.lit("thand")),
+    gate_of={"D1_Ties": taxonomy.COOCCUR, "T1_Tools": taxonomy.COOCCUR_VERB, "G1_Goals": taxonomy.SOFT}.__getitem__,
+)
+
+
+@query(ORACLE_SQL["detect_candidates"])
+def detect_hooked(spark, sf):
+    return _candidates(spark, sf, HOOKED)
+
+
+def _candidates(spark, sf, t):
     p = windows.pages(table(spark, sf, "documents").select("doc_id", "text"))
     starts = p.select("doc_id", "page", F.length("page_text").alias("chars"))
-    w = references.candidates(p, GATED, ["doc_id"])
+    w = references.candidates(p, t, ["doc_id"])
     # ``place`` counts from the surroundings of the page: from the document's start, it is the page's start and what is behind that.
     from pyspark.sql.window import Window
 
@@ -533,8 +550,7 @@ def src_translated_files(spark, sf):
 @query("SELECT max(CAST(year(o_orderdate) AS INTEGER)) AS latest, min(CAST(year(o_orderdate) AS INTEGER)) AS first, count(DISTINCT o_custkey) AS companies, count(DISTINCT (o_custkey, year(o_orderdate))) AS company_years, array_to_string(list_sort(list(DISTINCT CAST(year(o_orderdate) AS INTEGER))), ',') AS years FROM orders")
 def stats_years(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("company"), F.year("o_orderdate").alias("year"))
-    pairs = o.distinct()
-    return pairs.agg(F.max("year").alias("latest"), F.min("year").alias("first"), F.count_distinct("company").alias("companies"), F.count("*").alias("company_years"), F.array_join(F.transform(F.sort_array(F.collect_set("year")), lambda y: y.cast("string")), ",").alias("years"))
+    return stats.years_covered(o)
 
 
 @query("SELECT c_custkey, CAST(unnest(range(1990 + c_custkey % 12, 2000)) AS INTEGER) AS year FROM customer WHERE 1990 + c_custkey % 12 <= 1999")

@@ -292,7 +292,7 @@ def test_coverage_has_totals(spark):
 def test_detection_of_a_small_document(spark):
     import dataclasses
 
-    from fathomline.operators import references
+    from fathomline.operators import builtin, references
     from fathomline.operators.taxonomy import COOCCUR, Code, Taxonomy
 
     t = Taxonomy("t", (("A", (Code("A1", patterns=("fraud detection",)), Code("D1", patterns=("supplier portal",), gate=COOCCUR))), ("B", (Code("B4", keywords=(("chatgpt", 1),), patterns=("chatgpt",)),))), false_positives=(("art", ("claude monet",)),), hard_triggers=r"\b(ChatGPT|AI)\b", soft_triggers=r"\b(model|portal)\b", actors=("supplier",))
@@ -308,7 +308,7 @@ def test_detection_of_a_small_document(spark):
 
 
 def test_document_language_takes_spaced_pages(spark):
-    from fathomline.operators import references
+    from fathomline.operators import builtin, references
 
     ja = "私たちは人工知能を導入しました。" * 3
     pages = spark.createDataFrame([(1, i, ja if i in (1, 3) else "plain words of a report page") for i in range(1, 12)] + [(2, 1, ja)], "doc_id int, page int, page_text string")
@@ -316,7 +316,7 @@ def test_document_language_takes_spaced_pages(spark):
 
 
 def test_priority_terms(spark):
-    from fathomline.operators import references
+    from fathomline.operators import builtin, references
 
     r = one(spark, references.first_priority_term(F.col("t"), (r"\bgenerative ai\b", r"\bai\b")), t="Our AI and Generative AI")
     assert (r["term"], r["marked"]) == ("Generative AI", "Our AI and >>>Generative AI<<<")
@@ -456,6 +456,35 @@ def test_segmented_documents_equal_plain_python(spark, tmp_path):
     assert got == want
 
 
+def test_one_document_by_itself_equals_the_run_over_all(spark):
+    from fathomline.operators import builtin, references
+
+    said = ["Our customers rely on machine learning for fraud detection in every market.", "We deployed ChatGPT for customer support automation last year.", "The board met twice and the weather was fine.", "A predictive model for demand forecasting uses deep learning on sales."]
+    r = random.Random(3)
+    texts = {k: [None if r.random() < 0.1 else " ".join(r.choice(said) for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(2, 5))] for k in range(2)} | {2: []}
+    pages = spark.createDataFrame([(k, i, t) for k, ps in texts.items() for i, t in enumerate(ps, 1)] + [(99, 1, said[1] * 3), (None, 1, said[1] * 3)], "doc long, page int, page_text string")
+    fields = {k: {"company": f"c{k}", "year": 2020 + k, "sector": None if k == 1 else "s"} for k in texts}
+    documents = spark.createDataFrame([(k, *f.values(), "further") for k, f in fields.items()] + [(0, "c9", 2030, "z", "repeated"), (None, "c", 1, "s", "null")], "doc long, company string, year int, sector string, page_text string")
+    t = builtin.AI
+    out = references.analysed(pages, documents, t, "doc")
+    columns = [c for c in out.columns if c != "doc"]
+    whole = sorted(((x["doc"], *[x[c] for c in columns]) for x in out.collect()), key=str)
+    single = [(k, *[x[c] for c in columns]) for k, ps in texts.items() if ps for x in references.analysed_document(spark, ps, fields[k], t).collect()]
+    assert whole and whole == sorted(single, key=str)
+    assert {x[1 + columns.index("company")] for x in whole} <= {f"c{k}" for k in texts} and {x[1 + columns.index("country")] for x in whole} == {None}
+    assert references.analysed_document(spark, [], {}, t).count() == 0
+    with pytest.raises(ValueError, match="unknown fields"):
+        references.analysed_document(spark, [], {"colour": "red"}, t)
+
+
+def test_years_covered_of_nothing_and_of_nulls(spark):
+    from fathomline.operators import stats
+
+    df = spark.createDataFrame([("a", 2001), ("a", 2001), ("b", 1999), (None, 2005), ("c", None)], "company string, year int")
+    assert tuple(stats.years_covered(df).first()) == (2005, 1999, 3, 2, "1999,2001,2005")
+    assert tuple(stats.years_covered(df.limit(0)).first()) == (None, None, 0, 0, "")
+
+
 def test_surroundings_equal_plain_joins(spark):
     r = random.Random(5)
     rows = [(d, p, r.choice([None, "", "x", "ab\u00e9" * r.randrange(1, 9)]), f"{p}-{d}") for d in ("a", "b", None) for p in range(r.randrange(1, 30))] + [("a", 3, "same page", "z"), ("c", None, "alone", "q")]
