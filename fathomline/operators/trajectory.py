@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.operators.memory import DISCONTINUED, NEW
+from fathomline.operators.memory import DISCONTINUED, NEW, SILENT_YEARS, granularity
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,69 @@ def event_trajectory(contribs: DataFrame, years: DataFrame, dedup_counts: DataFr
     return out.withColumn("breadth", sum((F.col(c) for c in parts), F.lit(0.0)))
 
 
+def spans(refs: DataFrame, a: str = "category_a", b: str = "category_b", product: str = "product", vendor: str | None = None, text: str = "text") -> DataFrame:
+    """First and last year of every unit of a company, and its texts of each year, by one aggregate over one pass.
+
+    company, dimension (A: a category; B: a category with product and vendor; T: a text, of the year ``at``), category (of T the
+    text), product, vendor, at, first_year, last_year. Blank categories are no units; references without a year take no part; a null
+    company is one of its own; null products and vendors are empty; a null text makes a row of T, so that its year is known. Repeated
+    references change nothing. A company's units lie in as many tasks as units have hashes, so that a hot company is split.
+    """
+    none, blank = F.lit(""), lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), none)
+    row = lambda d, c, p, v, y: F.struct(F.lit(d).alias("dimension"), c.cast("string").alias("category"), p.alias("product"), v.alias("vendor"), y.cast("int").alias("at"))
+    rows = F.array(
+        row("A", F.col(a), none, none, F.lit(None)),
+        row("B", F.col(b), text_of(product), text_of(vendor) if vendor else none, F.lit(None)),
+        row("T", F.col(text), none, none, F.col("year")),
+    )
+    every = refs.where("year is not null").select("company", F.col("year").cast("int").alias("year"), F.inline(rows))
+    named = every.where((F.col("dimension") == "T") | ~blank(F.col("category")))
+    return named.groupBy("company", "dimension", "category", "product", "vendor", "at").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+
+
+def unit_contributions(units: DataFrame, years: DataFrame, params: TrajectoryParams = TrajectoryParams(), silent: int = SILENT_YEARS, named: bool = True) -> DataFrame:
+    """What ``contributions`` gives for the events and the portfolio that memory derives from the same references, without either.
+
+    units: of ``spans``; years: the processed years, as many as reports have. company, year, component, category, event_type, units (as
+    many as count), points (of all of them). Maturity is stated for all processed years. A unit that ends has an event
+    in that year, so no retirement is inferred here. Not ``named``, products and maturity are summed over all categories.
+    """
+    p, is_b = params, F.col("dimension") == "B"
+    # One row: the processed years.
+    every = years.agg(F.array_sort(F.collect_set(F.col("year").cast("int"))).alias("__years"))
+    u = units.where("dimension <> 'T'").crossJoin(F.broadcast(every)).withColumn("ended", F.array_min(F.filter("__years", lambda y: y >= F.col("last_year") + silent)))
+    item = lambda ok, y, c, k, x, e: F.when(ok, F.struct(y.alias("year"), c.alias("component"), k.alias("category"), x.cast("double").alias("points"), F.lit(e).alias("event_type")))
+    delta, cat, ends = F.concat(F.lit("delta_"), F.lower("dimension")), F.col("category"), F.col("ended").isNotNull()
+    weight = granularity_weight(granularity(F.col("product"), F.col("vendor")), p)
+    called = F.concat_ws("::", "category", F.when(F.col("product") != "", F.col("product")).otherwise(F.col("vendor"))) if named else F.lit(None).cast("string")
+    held = lambda y: F.least(y, F.col("last_year")) - F.col("first_year") + 1
+    single = F.array(
+        item(F.lit(True), F.col("first_year"), delta, cat, F.when(is_b, p.new_b).otherwise(p.new_a), NEW),
+        item(ends, F.col("ended"), delta, cat, F.when(is_b, p.gone_b).otherwise(p.gone_a), DISCONTINUED),
+        item(is_b & ends, F.col("ended"), F.lit("retirement_explicit"), cat, F.lit(-abs(p.gone_b)), DISCONTINUED),
+        item(is_b & (weight > 0), F.col("first_year"), F.lit("delta_p"), called, weight, NEW),
+    )
+    mature = F.when(is_b & ~ends, F.filter("__years", lambda y: held(y) >= p.maturity_years)).otherwise(F.array().cast("array<int>"))
+    bonus = F.transform(mature, lambda y: item(F.lit(True), y, F.lit("maturity"), cat if named else called, F.least(held(y) - p.maturity_years + 1, F.lit(p.maturity_cap)), "CONFIRMED"))
+    rows = u.select("company", F.explode(F.concat(single, bonus)).alias("x")).where("x is not null").select("company", "x.*")
+    once = F.col("component").isin("delta_a", "delta_b", "retirement_explicit")
+    out = rows.groupBy("company", "year", "component", "category", "event_type").agg(F.count("*").alias("__n"), F.sum("points").alias("__sum"), F.max("points").alias("__one"))
+    return out.select("company", "year", "component", "category", "event_type", F.when(once, 1).otherwise(F.col("__n")).cast("long").alias("units"), F.when(once, F.col("__one")).otherwise(F.col("__sum")).alias("points"))
+
+
+def unit_trajectory(units: DataFrame, years: DataFrame, params: TrajectoryParams = TrajectoryParams(), silent: int = SILENT_YEARS) -> DataFrame:
+    """``event_trajectory`` of every company-year with a reference, from ``spans``: no join, one aggregate over contributions and texts."""
+    parts = unit_contributions(units, years, params, silent, named=False).select("company", "year", "component", "points")
+    texts = units.where("dimension = 'T'").select("company", F.col("at").alias("year"), F.lit("texts").alias("component"), F.col("category").isNotNull().cast("double").alias("points"))
+    of = lambda *c: F.coalesce(F.sum(F.when(F.col("component").isin(*c), F.col("points"))), F.lit(0.0))
+    agg = parts.unionByName(texts).groupBy("company", "year").agg(
+        of("delta_a").alias("delta_a"), of("delta_b").alias("delta_b"), F.least(of("delta_p"), F.lit(params.product_cap)).alias("delta_p"), of("maturity").alias("maturity_m"),
+        of("retirement_explicit").alias("retirement_r"), depth(of("texts"), params).alias("depth"), F.count_if(F.col("component") == "texts").alias("__seen"),
+    )
+    return agg.where("__seen > 0").drop("__seen").withColumn("breadth", sum((F.col(c) for c in ("delta_a", "delta_b", "delta_p", "maturity_m", "retirement_r")), F.lit(0.0)))
+
+
 def scores_of(trajectory: DataFrame, company=None, year: int | None = None) -> DataFrame:
     """The scores of a company, a year, or both, the broadest of each year first."""
     for name, value in (("company", company), ("year", year)):
@@ -106,6 +169,12 @@ def year_pairs(links: DataFrame, a_events: DataFrame, b_events: DataFrame) -> Da
     return linked.unionByName(lone_a).unionByName(lone_b)
 
 
+def _running(agg: DataFrame, weight: float, cap: float) -> DataFrame:
+    agg = agg.withColumn("maturity", F.round(F.least(F.lit(cap), F.col("continued_pairs") * weight), 2))
+    run = Window.partitionBy("company").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
+    return agg.withColumn("score", F.round(F.sum(F.col("pair_points") + F.col("maturity")).over(run), 2))
+
+
 def pair_trajectory(pairs: DataFrame, weight: float = 0.1, cap: float = 2.0) -> DataFrame:
     """Running score of each company: new applications 2, new technologies of a pair 1, continued pairs a capped bonus."""
     first_pair = F.min("year").over(Window.partitionBy("company", "a", "b"))
@@ -117,6 +186,35 @@ def pair_trajectory(pairs: DataFrame, weight: float = 0.1, cap: float = 2.0) ->
         F.count_if(~F.col("__new")).alias("continued_pairs"),
         F.count("*").alias("total_pairs"),
     )
-    agg = agg.withColumn("maturity", F.round(F.least(F.lit(cap), F.col("continued_pairs") * weight), 2))
-    run = Window.partitionBy("company").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
-    return agg.withColumn("score", F.round(F.sum(F.col("pair_points") + F.col("maturity")).over(run), 2))
+    return _running(agg, weight, cap)
+
+
+def reference_pairs(refs: DataFrame, linked: Column, a: str = "category_a", b: str = "category_b") -> DataFrame:
+    """What ``year_pairs`` gives for the links and categories of the same references, by one aggregate over one pass.
+
+    company, a, b, year, is_pair, is_app (a row that states an application's year), first_pair and first_app (first years). ``linked``:
+    whether a reference links its categories. Blank categories stand for none: they link as _NO_APP_ and _NO_TECH_ and are never lone.
+    References without a year take no part; a null company is one of its own; repeated references change nothing.
+    """
+    name = lambda c, other: F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", other).otherwise(F.col(c).cast("string"))
+    no_app, no_tech = F.lit("_NO_APP_"), F.lit("_NO_TECH_")
+    row = lambda k, x, y: F.struct(F.lit(k).alias("kind"), x.alias("a"), y.alias("b"))
+    one = refs.where("year is not null").select("company", "year", F.coalesce(linked, F.lit(False)).alias("linked"), name(a, no_app).alias("__a"), name(b, no_tech).alias("__b"))
+    rows = one.select("company", "year", "linked", F.inline(F.array(row("pair", F.col("__a"), F.col("__b")), row("app", F.col("__a"), no_tech), row("tech", no_app, F.col("__b")))))
+    named = (F.col("kind") == "pair") | ((F.col("kind") == "app") & (F.col("a") != no_app)) | ((F.col("kind") == "tech") & (F.col("b") != no_tech))
+    rows = rows.where(named & ((F.col("kind") != "pair") | F.col("linked"))).groupBy("company", "a", "b", "year", "kind").agg(F.max("linked").alias("linked"))
+    rows = rows.select("company", "a", "b", "year", ((F.col("kind") == "pair") == F.col("linked")).alias("is_pair"), (F.col("kind") == "app").alias("is_app"))
+    of = Window.partitionBy("company", "a", "b")
+    return rows.select("*", F.min(F.when(F.col("is_pair"), F.col("year"))).over(of).alias("first_pair"), F.min(F.when(F.col("is_app"), F.col("year"))).over(of).alias("first_app"))
+
+
+def pair_scores(pairs: DataFrame, weight: float = 0.1, cap: float = 2.0) -> DataFrame:
+    """``pair_trajectory`` of the rows of ``reference_pairs``: sums alone, as each first year is on its row."""
+    new = F.col("is_pair") & (F.col("year") == F.col("first_pair"))
+    agg = pairs.groupBy("company", "year").agg(
+        (2 * F.count_if(F.col("is_app") & (F.col("year") == F.col("first_app"))) + F.count_if(new & ((F.col("a") == "_NO_APP_") | (F.col("b") != "_NO_TECH_")))).cast("double").alias("pair_points"),
+        F.count_if(new).alias("new_pairs"),
+        F.count_if(F.col("is_pair") & ~new).alias("continued_pairs"),
+        F.count_if("is_pair").alias("total_pairs"),
+    )
+    return _running(agg.where("total_pairs > 0"), weight, cap)

@@ -163,6 +163,17 @@ def traj_contributions(spark, sf):
     return c.groupBy("company", "year", "component").agg(F.count("*").alias("n"), F.round(F.sum("points"), 4).alias("points"))
 
 
+#: Maturity in all processed years, whether or not the company reports in them.
+UNIT_PARTS_SQL = TRAJ_SQL.replace("JOIN cy USING (company)", "CROSS JOIN years")
+
+
+@query(f"WITH {UNIT_PARTS_SQL} SELECT company, year, component, category, count(*) AS units, sum(points)::DOUBLE AS points FROM parts GROUP BY ALL")
+def traj_units(spark, sf):
+    units = lineage.kept(trajectory.spans(st.references(spark, sf)))
+    c = trajectory.unit_contributions(units, units.select(F.col("at").alias("year")).where("year is not null").distinct())
+    return c.groupBy("company", "year", "component", "category").agg(F.sum("units").alias("units"), F.sum("points").alias("points"))
+
+
 @query(
     f"""WITH {TRAJ_SQL}, a AS (SELECT company, year, coalesce(sum(points) FILTER (component = 'delta_a'), 0) AS delta_a, coalesce(sum(points) FILTER (component = 'delta_b'), 0) AS delta_b,
   least(coalesce(sum(points) FILTER (component = 'delta_p'), 0), 2) AS delta_p, coalesce(sum(points) FILTER (component = 'maturity'), 0) AS maturity_m, coalesce(sum(points) FILTER (component LIKE 'retire%'), 0) AS retirement_r FROM parts GROUP BY ALL),
@@ -172,11 +183,8 @@ SELECT company, year, coalesce(delta_a, 0)::DOUBLE AS delta_a, coalesce(delta_b,
 FROM cy LEFT JOIN a USING (company, year) LEFT JOIN n USING (company, year)"""
 )
 def traj_event(spark, sf):
-    r = shared_references(spark, sf, *UNITS, "text")
-    cy = r.select("company", "year").distinct()
-    c = trajectory.contributions(lineage.kept(st.adoption_events(r)), lineage.kept(st.portfolio_b(r)), cy)
-    n = r.groupBy("company", "year").agg(F.count_distinct("text").alias("n"))
-    t = trajectory.event_trajectory(c, cy, n)
+    units = lineage.kept(trajectory.spans(st.references(spark, sf)))
+    t = trajectory.unit_trajectory(units, units.select(F.col("at").alias("year")).where("year is not null").distinct())
     return t.withColumn("depth", F.round("depth", 6)).withColumn("retirement_r", F.round("retirement_r", 4)).withColumn("breadth", F.round("breadth", 4))
 
 
@@ -191,11 +199,7 @@ m AS (SELECT *, round(least(2.0, continued_pairs * 0.1)::DOUBLE, 2) AS maturity
 SELECT *, round(sum(pair_points + maturity) OVER (PARTITION BY company ORDER BY year), 2) AS score FROM m"""
 )
 def traj_pair(spark, sf):
-    r = shared_references(spark, sf, *UNITS, "sentiment")
-    links = memory.links(r.where("sentiment <> 'pending'"))
-    a = r.select("company", "year", F.col("category_a").alias("category"))
-    b = r.select("company", "year", F.col("category_b").alias("category"))
-    return trajectory.pair_trajectory(trajectory.year_pairs(links, a, b))
+    return trajectory.pair_scores(trajectory.reference_pairs(st.references(spark, sf), F.col("sentiment") != "pending"))
 
 
 DIFFUSION_SQL = f"""{MEM_SQL}, rows_ AS (SELECT company, product, category_b, unnest(range(first_seen_year, least(last_confirmed_year, coalesce(discontinued_year - 1, last_confirmed_year)) + 1)) AS year FROM pb),

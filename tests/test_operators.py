@@ -157,6 +157,72 @@ def test_event_trajectory_of_one_company(spark):
     assert len(trajectory.TrajectoryParams().config_hash()) == 12
 
 
+def made_references(spark, n=400):
+    rng = random.Random(11)
+    rows = [(rng.choice(["c", "d", "e"]), rng.randint(2010, 2024), rng.choice(["A1", "A2", "A3"]), rng.choice(["B1", "B2", "B3"]), rng.choice(["", "x", "y"]), rng.choice(["", "v"]), rng.choice(["t1", "t2", "t3", None]), rng.choice(["positive", "pending", "neutral"])) for _ in range(n)]
+    rows = [r for r in rows if r[1] % 7 or r[0] == "c"]
+    return spark.createDataFrame(rows + rows[:9], "company string, year int, category_a string, category_b string, product string, vendor string, text string, sentiment string")
+
+
+def event_route(refs):
+    """Contributions from stored events and portfolios."""
+    y = refs.select("year").distinct()
+    r = refs.withColumn("ref_id", F.lit(1))
+    unit_b = ["category_b", "product", "vendor"]
+    p = memory.portfolio(r, unit_b, y).withColumn("granularity", memory.granularity(F.col("product"), F.col("vendor")))
+    as_event = lambda e, d, c, year="year": e.select("company", F.col(year).alias("year"), F.lit(d).alias("dimension"), F.col(c).alias("category"), *[F.col(k) if d == "B" else F.lit("").alias(k) for k in ("product", "vendor")], "event_type")
+    ev = as_event(memory.events(r, ["category_a"]), "A", "category_a").unionByName(as_event(memory.events(r, unit_b), "B", "category_b"))
+    for d, unit in (("A", ["category_a"]), ("B", unit_b)):
+        ev = ev.unionByName(as_event(memory.discontinued(r, unit, y).withColumn("event_type", F.lit("DISCONTINUED")), d, unit[0], "discontinued_year"))
+    cy = refs.select("company", "year").distinct()
+    return trajectory.contributions(ev, p, cy), cy
+
+
+def rounded(rows):
+    return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=str)
+
+
+def test_trajectories_of_units_equal_those_of_events(spark):
+    refs = made_references(spark)
+    c, cy = event_route(refs)
+    units, years = trajectory.spans(refs, vendor="vendor"), refs.select("year").distinct()
+    names = ["company", "year", "component", "category", "event_type"]
+    want = c.groupBy(*names).agg(F.count("*").alias("units"), F.sum("points").alias("points"))
+    got = trajectory.unit_contributions(units, years).join(cy, ["company", "year"], "left_semi")
+    want = want.join(cy, ["company", "year"], "left_semi")
+    assert rounded(got.select(*names, "units", "points").collect()) == rounded(want.select(*names, "units", "points").collect()) and got.where("component = 'maturity' and units > 1").count()
+    n = refs.groupBy("company", "year").agg(F.count_distinct("text").alias("n"))
+    old = trajectory.event_trajectory(c, cy, n)
+    assert rounded(trajectory.unit_trajectory(units, years).select(*old.columns).collect()) == rounded(old.collect())
+    other = trajectory.TrajectoryParams(maturity_years=3, new_b=0.5, product_cap=0.75)
+    assert trajectory.unit_trajectory(units, years, other).agg(F.max("delta_p")).first()[0] <= 0.75
+
+
+def test_pairs_of_references_equal_those_of_links(spark):
+    refs = made_references(spark)
+    lone = refs.where("company = 'c' and year = 2010").limit(1).withColumn("category_a", F.lit("A9")).withColumn("sentiment", F.lit("pending"))
+    refs = refs.union(lone)
+    a, b = (refs.select("company", "year", F.col(f"category_{k}").alias("category")) for k in "ab")
+    old = trajectory.pair_trajectory(trajectory.year_pairs(memory.links(refs.where("sentiment <> 'pending'")), a, b))
+    new = trajectory.pair_scores(trajectory.reference_pairs(refs, F.col("sentiment") != "pending"))
+    assert new.columns == old.columns and rounded(new.collect()) == rounded(old.collect())
+
+
+def test_trajectories_of_odd_references(spark):
+    rows = [(None, 2020, "A1", "B1", None, None, "t", "positive"), ("c", None, "A1", "B1", "x", "v", "t", "positive"), ("c", 2020, None, " ", "x", "v", None, None), ("d", 2020, "A1", None, "x", "v", "t", "positive"), ("d", 2020, "A1", None, "x", "v", "t", "positive"), ("d", 2020, None, "B2", "x", "v", "long " * 9000, "pending")]
+    odd = spark.createDataFrame(rows, made_references(spark, 1).schema).withColumn("at", F.lit("clash")).withColumn("linked", F.lit("clash")).withColumn("ended", F.lit("clash"))
+    units = trajectory.spans(odd, vendor="vendor")
+    t = {(r["company"], r["year"]): r for r in trajectory.unit_trajectory(units, odd.select("year").where("year is not null").distinct()).collect()}
+    assert set(t) == {(None, 2020), ("c", 2020), ("d", 2020)}
+    assert t["c", 2020]["breadth"] == 0.0 and t["c", 2020]["depth"] == 0.0
+    assert (t["d", 2020]["delta_a"], t["d", 2020]["delta_b"], t["d", 2020]["delta_p"]) == (2.0, 1.0, 0.5) and round(t["d", 2020]["depth"], 6) == round(math.log2(3) / 4, 6)
+    assert (t[None, 2020]["delta_a"], t[None, 2020]["delta_b"], t[None, 2020]["delta_p"]) == (2.0, 1.0, 0.0)
+    s = {r["company"]: (r["pair_points"], r["new_pairs"]) for r in trajectory.pair_scores(trajectory.reference_pairs(odd, F.col("sentiment") != "pending")).collect()}
+    assert s == {None: (3.0, 1), "d": (3.0, 2)}
+    none = odd.limit(0)
+    assert trajectory.unit_trajectory(trajectory.spans(none), none.select("year")).count() == 0 == trajectory.pair_scores(trajectory.reference_pairs(none, F.lit(True))).count()
+
+
 def test_stages_and_phrases(spark):
     df = spark.createDataFrame([(0.01, 0.0), (0.6, 0.0), (0.1, 0.7), (0.25, 0.0), (0.1, 0.1)], "p double, s double")
     assert [r["x"] for r in df.select(diffusion.stage(F.col("p"), F.col("s")).alias("x")).collect()] == ["emerging", "mature", "mature", "growth", "declining"]
