@@ -39,14 +39,15 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 @dataclass(frozen=True)
 class JoinSpec:
     """words: of a shingle; percent: of the union that linked sets share; block_shingles: shingles in a block at most (about,
-    a block holds one set at least); chunk_bytes: of text that are shingled at a time; skip: DivideSkip's tuning constant; most_bits: of the number of
-    buckets in which shared shingles are counted, beyond which slots are 32 bits wide instead of 16."""
+    a block holds one set at least); chunk_bytes: of text that are shingled at a time; skip: DivideSkip's tuning constant; bucket_rows: documents for
+    each bucket in which shared shingles are counted (about); most_bits: of the number of buckets, beyond which slots are 32 bits wide instead of 24."""
 
     words: int = 3
     percent: int = 90
     block_shingles: int = 4_000_000
     chunk_bytes: int = 600_000
     skip: float = 0.005
+    bucket_rows: int = 1024
     most_bits: int = 24
 
 
@@ -207,14 +208,25 @@ def _texts_in_chunks(ids: Iterator, texts: Iterator, most: int):
         yield held
 
 
+def _slot_bytes(x: np.ndarray, wide: bool) -> bytes:
+    return x.astype("<u4").tobytes() if wide else x.astype("<u2").tobytes() + (x >> 16).astype(np.uint8).tobytes()
+
+
+def _slots_of(raw: bytes, wide: bool) -> np.ndarray:
+    if wide:
+        return np.frombuffer(raw, "<u4")
+    n = len(raw) // 3
+    return np.frombuffer(raw, "<u2", n).astype(np.uint32) | np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.uint32) << np.uint32(16)
+
+
 def _count_side(spec: JoinSpec, bits: int, wide: bool) -> Callable:
-    """Texts to packed rows: for each bucket of hashes the slots (16 bits, or 32 if ``wide``) that one document of the flush has,
+    """Texts to packed rows: for each bucket of hashes the slots (24 bits, or 32 if ``wide``) that one document of the flush has,
     with its number, and those that several have, without; and the flush's documents, with how many slots of theirs the flush itself shares.
 
-    A shingle that many documents have is so one entry of a flush, however many there are.
+    A shingle that many documents have is so one entry of a flush, however many there are. Buckets are wide, so that a
+    flush has few rows: with 5 million documents about a hundred shingles go into each.
     """
-    low = 32 if wide else 16
-    kind = np.uint32 if wide else np.uint16
+    low = 32 if wide else 24
 
     def run(batches):
         from pyspark import TaskContext
@@ -239,11 +251,11 @@ def _count_side(spec: JoinSpec, bits: int, wide: bool) -> Callable:
                 here = np.bincount(who[~single], minlength=len(docs))
                 lead = np.flatnonzero(new[:-1])
                 h, who, single = h[lead], who[lead], single[lead]
-                bucket, slot = (h >> np.uint64(low)).astype(np.int64), h.astype(kind)
+                bucket, slot = (h >> np.uint64(low)).astype(np.int64), (h & np.uint64((1 << low) - 1)).astype(np.uint32)
                 ends = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(h))
                 for i, j in zip(ends[:-1], ends[1:], strict=True):
                     one = single[i:j]
-                    rows.append((0, int(bucket[i]), flush_id, slot[i:j][one].tobytes(), who[i:j][one].tobytes(), slot[i:j][~one].tobytes()))
+                    rows.append((0, int(bucket[i]), flush_id, _slot_bytes(slot[i:j][one], wide), who[i:j][one].tobytes(), _slot_bytes(slot[i:j][~one], wide)))
             rows.append((1, int(mix64(np.uint64(flush_id)) >> np.uint64(64 - bits)), flush_id, np.column_stack([np.array(docs, np.int64), here]).tobytes(), b"", b""))
             sets.clear()
             docs.clear()
@@ -270,12 +282,9 @@ def _count_side(spec: JoinSpec, bits: int, wide: bool) -> Callable:
 
 def _shared_slots(single: np.ndarray, several: np.ndarray) -> np.ndarray:
     """Which of ``single`` occur in it twice, or in ``several`` as well."""
-    if single.dtype == np.uint16:
-        n = np.bincount(single, minlength=1 << 16)
-        n[several] = 2
-        return n[single] >= 2
-    order = np.argsort(single, kind="stable")
-    new = np.concatenate([[True], single[order][1:] != single[order][:-1], [True]])
+    order = np.argsort(single)
+    ranked = single[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1], [True]])
     out = np.empty(len(single), bool)
     out[order] = ~(new[:-1] & new[1:])
     return out | np.isin(single, several)
@@ -283,8 +292,6 @@ def _shared_slots(single: np.ndarray, several: np.ndarray) -> np.ndarray:
 
 def _shared_side(wide: bool) -> Callable:
     """Rows sorted by bucket: of each flush, the numbers of documents once for every shingle of theirs whose slot another one has too."""
-    slot_type = np.uint32 if wide else np.uint16
-
     def run(batches):
         out, waiting = {}, 0
 
@@ -299,8 +306,8 @@ def _shared_side(wide: bool) -> Callable:
                 if r.kind == 1:
                     yield pd.DataFrame([(1, r.flush, r.slot)], columns=["kind", "flush", "data"])
             if held:
-                slots = [np.frombuffer(r.slot, slot_type) for r in held]
-                several = np.frombuffer(b"".join(r.several for r in held), slot_type)
+                slots = [_slots_of(r.slot, wide) for r in held]
+                several = np.concatenate([_slots_of(r.several, wide) for r in held])
                 twice = _shared_slots(np.concatenate(slots), several)
                 at = 0
                 for r, x in zip(held, slots, strict=True):
@@ -532,7 +539,7 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     """
     rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     parts = shuffle_partitions(docs.sparkSession)
-    bits = min(spec.most_bits, max(8, 1 + int(rows.count() / 64).bit_length()))
+    bits = min(spec.most_bits, max(8, (16 * parts).bit_length(), 1 + int(rows.count() / spec.bucket_rows).bit_length()))
     wide = bits == spec.most_bits
     counted = rows.mapInPandas(_count_side(spec, bits, wide), "kind int, bucket int, flush long, slot binary, who binary, several binary")
     shared = counted.repartition(parts, "bucket").sortWithinPartitions("bucket", "flush").mapInPandas(_shared_side(wide), "kind int, flush long, data binary")

@@ -189,10 +189,22 @@ def test_ngram_join_with_wide_slots_and_repeated_ids(spark):
 
 
 def test_slots_are_shared_from_the_second_on():
-    for kind in (np.uint16, np.uint32):
-        got = ngram_join._shared_slots(np.array([5, 7, 5, 9, 65535, 0], kind), np.array([9, 11], kind))
-        assert got.tolist() == [True, False, True, True, False, False]
-        assert not len(ngram_join._shared_slots(np.zeros(0, kind), np.zeros(0, kind)))
+    got = ngram_join._shared_slots(np.array([5, 7, 5, 9, 65535, 0], np.uint32), np.array([9, 11], np.uint32))
+    assert got.tolist() == [True, False, True, True, False, False]
+    assert not len(ngram_join._shared_slots(np.zeros(0, np.uint32), np.zeros(0, np.uint32)))
+    x = np.random.default_rng(1).integers(0, 1 << 24, 1000).astype(np.uint32)
+    for wide, size in ((False, 3), (True, 4)):
+        raw = ngram_join._slot_bytes(x, wide)
+        assert len(raw) == size * len(x) and (ngram_join._slots_of(raw, wide) == x).all() and not len(ngram_join._slots_of(b"", wide))
+
+
+def test_a_flush_has_few_rows(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(402))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit(0).cast("long")).coalesce(1)
+    counted = df.mapInPandas(ngram_join._count_side(ngram_join.JoinSpec(), 10, False), "kind int, bucket int, flush long, slot binary, who binary, several binary")
+    n, slots = counted.where("kind = 0").agg(F.count("*"), F.sum(F.length("slot")) / 3).first()
+    assert n <= 1 << 10 and abs(slots - 400_000) < 100
 
 
 @pytest.mark.parametrize(("percent", "grouped"), [(50, False), (80, True), (90, False)])
