@@ -539,7 +539,10 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     """
     rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     parts = shuffle_partitions(docs.sparkSession)
-    bits = min(spec.most_bits, max(8, (16 * parts).bit_length(), 1 + int(rows.count() / spec.bucket_rows).bit_length()))
+    n_rows = rows.count()
+    bits = min(spec.most_bits, max(8, (16 * parts).bit_length(), 1 + int(n_rows / spec.bucket_rows).bit_length()))
+    # Hashes of parts are few beside shingles: their buckets are narrow, and as many whatever the number of tasks.
+    tie_bits = min(spec.most_bits, max(8, 1 + int(n_rows / 64).bit_length()))
     wide = bits == spec.most_bits
     counted = rows.mapInPandas(_count_side(spec, bits, wide), "kind int, bucket int, flush long, slot binary, who binary, several binary")
     shared = counted.repartition(parts, "bucket").sortWithinPartitions("bucket", "flush").mapInPandas(_shared_side(wide), "kind int, flush long, data binary")
@@ -568,7 +571,7 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     reps = classes.where("alive").select("ka", "kb", "cid", "rep", "rep_th", "size")
     texts = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))).select("text", "ka", "kb", "cid", "size")
     sets = cut(texts.mapInPandas(sets_of, "who long, cid string, size long, sh binary"))
-    tied = sets.select("who", "sh").mapInPandas(_tie_side(spec, bits), "bucket int, sig binary, who binary, ties binary")
+    tied = sets.select("who", "sh").mapInPandas(_tie_side(spec, tie_bits), "bucket int, sig binary, who binary, ties binary")
     places = connected_components(tied.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_reduce_side, "a long, b long"))
     widths = sets.select("who", "size").join(places, F.col("who") == F.col("node")).groupBy("root").agg(F.sum("size").alias("width"))
     widths = widths.withColumn("blocks", F.ceil(F.col("width") / spec.block_shingles).cast("int"))
