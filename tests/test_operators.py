@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 
 import pandas as pd
 import pytest
@@ -637,3 +638,19 @@ def test_character_windows_of_any_overlap(spark, size, overlap):
     assert got == sorted((i, k, t[k : k + size]) for i, t in enumerate(texts) if t and len(t) >= 20 for k in range(0, len(t), size - overlap))
     with pytest.raises(ValueError):
         windows.char_windows(df, "text", 5, 5)
+
+
+def test_shuffle_files_of_kept_frames_go(spark):
+    from fathomline.operators import lineage
+
+    def files():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", manager.getAllBlocks().mkString(" ")))
+
+    before = files()
+    keyed = spark.range(10_000).groupBy((F.col("id") % 1001).alias("k")).count()
+    assert lineage.kept(keyed.join(keyed.withColumnRenamed("count", "n"), "k")).count() == 1001
+    end = time.monotonic() + 20
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not files() - before
