@@ -144,13 +144,16 @@ def columns_of_words(words: pd.DataFrame, width: float, gap: float = 0.03, line:
 
 
 def file_facts(name: Column) -> dict[str, Column]:
-    """company, year (0: none), doc_type and position from a file name like ``12. Name - 2024 - annual report.pdf``."""
+    """company, year (0: none), doc_type and position from a file name like ``12. Name - 2024 - annual report.pdf``.
+
+    Without a part that is a year, the first year inside of the name counts; one behind another digit, as within a number of a name, is none.
+    """
     stem = F.regexp_replace(name, r"(?i)\.pdf$", "")
     position = F.coalesce(F.regexp_extract(stem, r"^(\d{1,3})\.", 1).try_cast("int"), F.lit(0))
     rest = F.regexp_replace(stem, r"^\d{1,3}\.\s*", "")
     parts = F.split(rest, r"\s+-\s+")
     years = F.filter(parts, lambda p: p.rlike(r"^\s*20(1[5-9]|2[0-5])\s*$"))
-    year = F.coalesce(F.trim(F.get(years, F.lit(0))).try_cast("int"), F.regexp_extract(rest, r"(20(?:1[5-9]|2[0-5]))", 1).try_cast("int"), F.lit(0))
+    year = F.coalesce(F.trim(F.get(years, F.lit(0))).try_cast("int"), F.regexp_extract(rest, r"(?<!\d)(20(?:1[5-9]|2[0-5]))", 1).try_cast("int"), F.lit(0))
     kind = F.lit("Annual Report")
     for word, value in reversed(DOC_TYPES):
         kind = F.when(F.contains(F.lower(rest), F.lit(word)), value).otherwise(kind)

@@ -654,3 +654,9 @@ def test_shuffle_files_of_kept_frames_go(spark):
     while files() - before and time.monotonic() < end:
         time.sleep(0.2)
     assert not files() - before
+
+
+def test_no_year_within_a_number_of_a_name(spark):
+    names = ["Supplier#000002016 - n.d. - proxy.pdf", "3. Firm 12023 - report.pdf", "Firm 20240131 - report.pdf", "Firm FY2019 report.pdf", "Firm#2023.pdf"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r[0] for r in df.select(readers.file_facts(F.col("name"))["year"]).collect()] == [0, 0, 2024, 2019, 2023]
