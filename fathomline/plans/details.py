@@ -515,10 +515,11 @@ TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "
 
 @query("SELECT name || '.parquet' AS name, row_number() OVER (ORDER BY name) <= 3 AS first FROM (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ") v(name)")
 def src_discover(spark, sf):
-    files = readers.discover(spark, sf, "*.parquet")
-    first = readers.first_paths(files.select("path"), 3)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path").join(first.withColumn("first", F.lit(True)), "path", "left").select(name.alias("name"), F.coalesce("first", F.lit(False)).alias("first"))
+    """Tables are files or folders of files."""
+    files = readers.discover(spark, sf, "*.parquet").select("path")
+    tables = files.select(readers.table_name(readers.below(spark, sf)).alias("path")).distinct()
+    first = readers.first_paths(tables, 3)
+    return tables.join(first.withColumn("first", F.lit(True)), "path", "left").select(F.col("path").alias("name"), F.coalesce("first", F.lit(False)).alias("first"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(quality, 1) AS label, '' AS context, lang AS category, 0 AS year FROM documents LEFT JOIN labels USING (doc_id)")

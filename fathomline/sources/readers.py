@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.operators import windows
+from fathomline.operators import lineage, windows
 
 #: Kinds of documents by words in file names, in this order.
 DOC_TYPES = (
@@ -23,6 +23,18 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder)
 
 
+def below(spark: SparkSession, folder: str, path: str = "path") -> Column:
+    """A path from ``folder`` on, without the folder itself; the path as it stands where it is not below it."""
+    where, fs = lineage._file_system(spark, folder)
+    base = fs.makeQualified(where).toString().rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(F.col(path))
+
+
+def table_name(path: Column, suffix: str = ".parquet") -> Column:
+    """The first part of a path that has the suffix: a table's own file, or the folder of its files."""
+    return F.get(F.filter(F.split(path, "/"), lambda x: x.endswith(suffix)), F.lit(0))
+
+
 def first_paths(files: DataFrame, n: int) -> DataFrame:
     return files.orderBy("path").limit(n)
 

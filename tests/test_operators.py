@@ -660,3 +660,20 @@ def test_no_year_within_a_number_of_a_name(spark):
     names = ["Supplier#000002016 - n.d. - proxy.pdf", "3. Firm 12023 - report.pdf", "Firm 20240131 - report.pdf", "Firm FY2019 report.pdf", "Firm#2023.pdf"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
     assert [r[0] for r in df.select(readers.file_facts(F.col("name"))["year"]).collect()] == [0, 0, 2024, 2019, 2023]
+
+
+def test_tables_that_are_folders_are_found_by_name(spark, tmp_path):
+    for name in ("b", "a"):
+        spark.range(5).repartition(2).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("d", "c"):
+        spark.range(3).toPandas().to_parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["name"]: r["first"] for r in catalogue.QUERIES["src_discover"](spark, str(tmp_path)).collect()}
+    assert got == {"a.parquet": True, "b.parquet": True, "c.parquet": True, "d.parquet": False}
+
+
+def test_heaviest_contributions_have_one_order(spark):
+    rows = [("c", 2020, "delta_b", k, p) for k in "xyz" for p in (-1.0, 1.0)] + [("c", 2020, "delta_a", "x", 2.0)]
+    want = [("x", 2.0), *[(k, p) for k in "xyz" for p in (1.0, -1.0)]]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "company string, year int, component string, category string, points double")
+        assert [(r["category"], r["points"]) for r in trajectory.contributions_of(df, "c", 2020).collect()] == want
