@@ -361,7 +361,7 @@ def traj_contributions_of(spark, sf):
     c = lineage.kept(trajectory.contributions(lineage.kept(st.adoption_events(r)), lineage.kept(st.portfolio_b(r)), r.select("company", "year").distinct()))
     top = c.groupBy("company", "year").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "company", "year").first()
     of = trajectory.contributions_of(c, top["company"], top["year"])
-    return of.select("company", "year", "component", "category", "points", F.row_number().over(Window.orderBy(F.desc(F.abs("points")), "component", "category")).alias("place"))  # the parts of one company-year
+    return of.select("company", "year", "component", "category", "points", F.row_number().over(Window.orderBy(*trajectory.heaviest())).alias("place"))  # the parts of one company-year
 
 
 @query(f"WITH {REFS_SQL}, {st.LAST_YEARS_SQL} SELECT year, name, value FROM years, (VALUES ('maturity_cap', 2.0::DOUBLE), ('inferred_penalty', -0.25), ('depth_divisor', 4.0)) v(name, value)")
