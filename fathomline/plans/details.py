@@ -357,10 +357,10 @@ SELECT company, year, component, category, points::DOUBLE AS points, CAST(row_nu
 def traj_contributions_of(spark, sf):
     from pyspark.sql.window import Window
 
-    r = shared_references(spark, sf, *UNITS)
-    c = lineage.kept(trajectory.contributions(lineage.kept(st.adoption_events(r)), lineage.kept(st.portfolio_b(r)), r.select("company", "year").distinct()))
-    top = c.groupBy("company", "year").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "company", "year").first()
-    of = trajectory.contributions_of(c, top["company"], top["year"])
+    units, years = st.units_and_years(spark, sf)
+    n = trajectory.year_contributions(units, years).groupBy("company", "year").agg(F.sum("n").alias("n"))
+    top = lineage.kept(n.orderBy(F.desc("n"), "company", "year").limit(1)).first()
+    of = trajectory.contributions_of(trajectory.listed_contributions(units.where(F.col("company") == top["company"]), years), top["company"], top["year"])
     return of.select("company", "year", "component", "category", "points", F.row_number().over(Window.orderBy(*trajectory.heaviest())).alias("place"))  # the parts of one company-year
 
 
