@@ -266,6 +266,34 @@ def test_similar_classes_are_all_pairs_of_all_languages(spark, tmp_path):
     assert any(lang[a] != lang[b] for a, b, _ in got) and any(lang[a] is None for a, _, _ in got)
 
 
+@pytest.mark.parametrize(("threshold", "block"), [(0.7, 1000), (0.35, 7)])
+def test_similar_pairs_of_all_sizes_equal_brute_force(spark, monkeypatch, threshold, block):
+    monkeypatch.setattr(dedup, "CELL_SETS", block)
+    rng = random.Random(8)
+    texts = []
+    for size in (1, 3, 9, 40, 150, 400):
+        base = [f"w{rng.randrange(900)}" for _ in range(size)]
+        texts += [" ".join(base[: rng.randint(max(1, size // 3), size)] + [f"x{rng.randrange(99)}" for _ in range(rng.randint(0, size // 6))]) for _ in range(25)]
+    got = {(r["id_a"], r["id_b"]): r["jaccard"] for r in dedup.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", threshold).collect()}
+    sets = [set(t.split()) for t in texts]
+    want = {(a, b): j for a in range(150) for b in range(a + 1, 150) if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= threshold}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want) and len(want) > 300
+
+
+def _shuffled(spark) -> int:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(x.totalShuffleWrite() for x in [spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0)])
+
+
+def test_similar_classes_shuffle_less_than_every_word_twice(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"word{int(rng.paretovariate(0.4)) % 100_000}" for _ in range(250)) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts + [t + " more" for t in texts[:20]])), "id int, t string").repartition(4).localCheckpoint()
+    before, words = _shuffled(spark), sum(len(set(t.split())) for t in texts)
+    assert dedup.similar_classes(df, "id", "t", 0.7).where("jaccard < 1").count() == 20
+    assert _shuffled(spark) - before < 16 * words
+
+
 def test_greedy_clusters_equal_a_plain_loop(spark):
     rng = random.Random(2)
     rows = [(g, i, " ".join(rng.choice("abcdef") for _ in range(4)), rng.choice([0.1, 0.5, 0.9])) for g in "xy" for i in range(60)]
