@@ -309,6 +309,16 @@ def test_greedy_clusters_equal_a_plain_loop(spark):
             assert got[g, i] == (i if hit is None else hit)
 
 
+def test_greedy_clusters_shuffle_less_than_every_word_twice(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"word{int(rng.paretovariate(0.4)) % 100_000}" for _ in range(250)) for _ in range(1500)]
+    rows = [("g", i, t, 0.5) for i, t in enumerate(texts + [t + " more" for t in texts[:20]])]
+    df = spark.createDataFrame(rows, "g string, id int, t string, c double").repartition(4).localCheckpoint()
+    before, words = _shuffled(spark), sum(len(set(t.split())) for t in texts)
+    assert dedup.greedy_jaccard(df, ["g"], "id", "t", "c", 0.7).where("id <> cluster").count() == 20
+    assert _shuffled(spark) - before < 16 * words
+
+
 def test_products(spark):
     known = [products.Product("Copilot", "Microsoft", "B4", (r"copilot",), 2023), products.Product("Gemini", "Google", "B4", (r"gemini",), None, r"\b(ai|model)\b")]
     df = spark.createDataFrame([("We deployed Copilot", 2024), ("We deployed Copilot", 2020), ("Gemini clinical trial", 2024), ("Gemini AI", 2024), ("Partnered with Anthropic", 2024), ("proprietary ML platform called DataBrain", 2024)], "t string, y int")
