@@ -527,6 +527,24 @@ def test_learned_segmentation_by_either_way(spark):
     assert [r["words"] for r in segmentation.with_words(lines.where("id = 0"), "line", counts.limit(0)).collect()] == [" ".join("thequickfox")]
 
 
+def test_arrays_of_lines_are_parted_by_either_way_with_few_words_shuffled(spark, monkeypatch):
+    from fathomline.functions import segmentation
+
+    monkeypatch.setattr(segmentation, "CHUNK_BYTES", 2000)
+    rng = random.Random(3)
+    known = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rows = [(i, [rng.choice(known) + rng.choice(known) for _ in range(40)] + [None, ""]) for i in range(60)] + [(60, None), (61, []), (62, ["ab" * 30])]
+    lines = spark.createDataFrame(rows, "id long, line array<string>").repartition(4).localCheckpoint()
+    counts = spark.createDataFrame([(w, i + 1) for i, w in enumerate(dict.fromkeys(known))], "word string, n long").localCheckpoint()
+    model = segmentation.Unigrams({r["word"]: r["n"] for r in counts.collect()})
+    want = {i: x if x is None else [t if t is None else " ".join(model.segment(t)) for t in x] for i, x in rows}
+    for most in (segmentation.MOST_BYTES, 0):
+        before = _shuffled(spark)
+        assert {r["id"]: r["words"] for r in segmentation.with_words(lines, "line", counts, most_bytes=most).collect()} == want
+        # Every stretch of every line would be over half a million bytes.
+        assert _shuffled(spark) - before < 500_000
+
+
 def test_segmented_documents_equal_plain_python(spark, tmp_path):
     texts = {1: "We read the report. The board reads it too", 2: "reports of the board, and of a boardroom", 3: None, 4: "", 5: "a report\n" + "theboardreadsareportofareport", 6: "we", 7: "the \u00e9cole of the board " * 30}
     spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
