@@ -553,30 +553,34 @@ def jaccard_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), doc_id: str
     classes = sized.where("n_shingles > 0").groupBy("ka", "kb").agg(least, F.min("n_shingles").alias("size"), F.max("alive").alias("alive"))
     classes = classes.select("ka", "kb", F.col("least.doc_id").alias("rep"), F.col("least.th").alias("rep_th"), "size", "alive").withColumn("cid", _cid("ka", "kb"))
 
-    def sets_of(batches):
-        tokens.forget()
-        found: set[str] = set()  # classes of this task: rows that repeat both id and text meet here
-        for pdf in batches:
-            pdf = pdf[~pdf.duplicated(["cid", "text"]) & ~pdf["cid"].isin(found)]
-            done = 0
-            for chunk in _texts_in_chunks(iter(pdf["cid"]), iter(pdf["text"]), spec.chunk_bytes):
-                part = pdf.iloc[done : done + len(chunk)]
-                done += len(chunk)
-                sets = shingle_sets([t for _, t in chunk], spec.words)
-                same = np.array([class_key(s) == (a, b) for s, a, b in zip(sets, part["ka"], part["kb"], strict=True)], bool)
-                kept = part[same]
-                found.update(kept["cid"])
-                yield pd.DataFrame({"who": kept["ka"] & _WHO, "cid": kept["cid"], "size": kept["size"], "sh": [s.tobytes() for s, k in zip(sets, same, strict=True) if k]})
-
-    reps = classes.where("alive").select("ka", "kb", "cid", "rep", "rep_th", "size")
-    texts = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))).select("text", "ka", "kb", "cid", "size")
-    sets = cut(texts.mapInPandas(sets_of, "who long, cid string, size long, sh binary"))
-    tied = sets.select("who", "sh").mapInPandas(_tie_side(spec, tie_bits), "bucket int, sig binary, who binary, ties binary")
+    def sets_of(*more: str) -> Callable:
+        def run(batches):
+            tokens.forget()
+            found: set[str] = set()  # classes of this task: rows that repeat both id and text meet here
+            for pdf in batches:
+                pdf = pdf[~pdf.duplicated(["cid", "text"]) & ~pdf["cid"].isin(found)]
+                done = 0
+                for chunk in _texts_in_chunks(iter(pdf["cid"]), iter(pdf["text"]), spec.chunk_bytes):
+                    part = pdf.iloc[done : done + len(chunk)]
+                    done += len(chunk)
+                    sets = shingle_sets([t for _, t in chunk], spec.words)
+                    same = np.array([class_key(s) == (a, b) for s, a, b in zip(sets, part["ka"], part["kb"], strict=True)], bool)
+                    kept = part[same]
+                    found.update(kept["cid"])
+                    yield pd.DataFrame({**{c: kept[c] for c in more}, "sh": [s.tobytes() for s, k in zip(sets, same, strict=True) if k]})
+
+        return run
+
+    # Sets take more room than their texts and are not stored: texts are read once for ties, and those of places once more.
+    reps = classes.where("alive").select("ka", "kb", "cid", "rep", "rep_th", "size", F.col("ka").bitwiseAND(F.lit(_WHO)).alias("who"))
+    texts_of = lambda of, *more: rows.join(of, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))).select("text", "ka", "kb", "cid", *more)
+    sets_with, ties_of = sets_of("who"), _tie_side(spec, tie_bits)
+    tied = texts_of(reps, "who").mapInPandas(lambda batches: ties_of(sets_with(batches)), "bucket int, sig binary, who binary, ties binary")
     places = connected_components(tied.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_reduce_side, "a long, b long"))
-    widths = sets.select("who", "size").join(places, F.col("who") == F.col("node")).groupBy("root").agg(F.sum("size").alias("width"))
-    widths = widths.withColumn("blocks", F.ceil(F.col("width") / spec.block_shingles).cast("int"))
-    places = places.join(widths.select("root", "blocks"), "root")
-    sets = sets.join(places, F.col("who") == F.col("node")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select("root", "block", "blocks", "cid", "sh")
+    placed = cut(reps.join(places, F.col("who") == F.col("node")).select("ka", "kb", "cid", "rep", "rep_th", "size", "root"))
+    widths = placed.groupBy("root").agg(F.ceil(F.sum("size") / spec.block_shingles).cast("int").alias("blocks"))
+    placed = placed.join(widths, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    sets = texts_of(placed, "root", "block", "blocks").mapInPandas(sets_of("root", "block", "blocks", "cid"), "root long, block int, blocks int, cid string, sh binary")
     search = lambda df: df.repartition(parts, "root", "block").sortWithinPartitions("root", "block").select("root", "block", "cid", "grp", "sh", "asks").mapInPandas(_search(spec), "a string, b string")
     widest = widths.agg(F.max("blocks")).first()[0] or 0
     if widest > 1:

@@ -180,6 +180,16 @@ def test_ngram_join_matches_brute_force(spark, words, percent, block, seed):
     assert got == brute_components(rows, words, percent)
 
 
+def test_ngram_join_stores_no_sets(spark, monkeypatch):
+    r, stored = random.Random(11), []
+    texts = [" ".join(str(r.randrange(900)) for _ in range(80)) for _ in range(6)]
+    df = spark.createDataFrame([(6 * k + i, f"copy{k} {t}") for k in range(4) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "cut", lambda frame, cut=ngram_join.cut: stored.append(frame.columns) or cut(frame))
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.jaccard_components(df).collect()}
+    assert got == {i: i % 6 for i in range(24)}  # sets of near copies, all of which are searched
+    assert stored and not [c for c in stored if "sh" in c]
+
+
 def test_ngram_join_with_wide_slots_and_repeated_ids(spark):
     rows = [(i % 7 if i % 3 else None, t) for i, t in corpus(6, 120)]
     rows += [(1, "same id same text " * 4)] * 5 + [(None, "no id same text " * 4)] * 5
