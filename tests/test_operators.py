@@ -579,6 +579,25 @@ def test_segmented_documents_equal_plain_python(spark, tmp_path):
     assert got == want
 
 
+def test_lines_parted_together_equal_single_ones():
+    import pyarrow as pa
+
+    from fathomline.functions import segmentation, text
+
+    r, protected = random.Random(4), re.compile(text.protected_pattern())
+    for letters, longest in (("ab", 24), ("abcdefgh01", 24), ("abc", 5), ("ab", 30)):
+        counts = {"".join(r.choice(letters) for _ in range(r.randrange(1, r.choice([4, 8, 26])))): r.randrange(1, 50) for _ in range(200)}
+        model = segmentation.Unigrams(counts, longest)
+        lines = ["".join(r.choice([*counts, "zz"]) for _ in range(r.randrange(1, 6)))[: r.randrange(1, 70)] for _ in range(500)]
+        lines += ["", None, "Ab ab", "\u00e9a", "aB-ab ChatGPT ab", "chatgpt", "github", "1github22a", "a1github2", "xgithub", "a" * 200, *[t.lower() for t in text.PROTECTED_TERMS]]
+        want = [None if x is None else segmentation.line_segmented(x, model, protected) for x in lines]
+        together = segmentation._many(model)
+        assert together(pa.array(lines, pa.string())).to_pylist() == want
+        rows = pa.array([lines[:3], None, [], lines[3:], lines[495:505]], pa.list_(pa.string())).slice(1)
+        assert segmentation._parted(rows, together).to_pylist() == [None, [], want[3:], want[495:505]]
+    assert segmentation._many(segmentation.Unigrams({}))(pa.array(["abc", None], pa.string())).to_pylist() == ["a b c", None]
+
+
 def test_one_document_by_itself_equals_the_run_over_all(spark):
     from fathomline.operators import builtin, references
 
